@@ -284,8 +284,12 @@ def cross_pairs(rows: DataFrame, params: JoinParams) -> DataFrame:
     """Distinct pairs of one key but different labels that sizes and sketches allow to link. ``rows``: key, fp, label, size, sketch."""
     p = params.percent
 
+    def distinct(found: tuple[list, list]) -> pd.DataFrame:
+        x, y = (np.concatenate(f) for f in found)
+        return pd.DataFrame(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0), columns=["a", "b"])
+
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, found, n = None, ([], []), 0
         for batch in _then_none(batches):
             if batch is not None:
                 held = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -297,14 +301,20 @@ def cross_pairs(rows: DataFrame, params: JoinParams) -> DataFrame:
             counts = np.frombuffer(b"".join(held["sketch"]), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
             for begin, end in zip(bounds, bounds[1:]):
                 for i in range(begin, end - 1):
-                    j = np.arange(i + 1, end)
-                    most = (100 - p) * (size[i] + size[j]) // (100 + p)
-                    j = j[(label[j] != label[i]) & (np.abs(size[i] - size[j]) <= most)]
-                    most = (100 - p) * (size[i] + size[j]) // (100 + p)
-                    j = j[np.abs(counts[j] - counts[i]).sum(axis=1) <= most]
+                    rest = slice(i + 1, end)
+                    most = (100 - p) * (size[i] + size[rest]) // (100 + p)
+                    j = np.flatnonzero((label[rest] != label[i]) & (np.abs(size[i] - size[rest]) <= most))
                     if len(j):
-                        yield pd.DataFrame({"a": np.minimum(fp[i], fp[j]), "b": np.maximum(fp[i], fp[j])})
+                        near = j[np.abs(counts[j + (i + 1)] - counts[i]).sum(axis=1) <= most[j]] + (i + 1)
+                        found[0].append(np.full(len(near), fp[i]))
+                        found[1].append(fp[near])
+                        n += len(near)
+                if n >= 100_000:
+                    yield distinct(found)
+                    found, n = ([], []), 0
             held = held.iloc[cut:]
+        if n:
+            yield distinct(found)
 
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(pairs, "a bigint, b bigint").distinct()
 
