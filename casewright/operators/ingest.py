@@ -14,7 +14,8 @@ ERROR = "struct<status:int,error:string,message:string>"
 def parse(raw: DataFrame) -> DataFrame:
     """Add ``fields`` (a map of the JSON object's members as text, null if malformed), ``format`` and ``parse_error``."""
     fields = F.from_json("raw", "map<string,string>", {"mode": "PERMISSIVE"})
-    parsed = raw.withColumn("fields", F.when(F.ltrim("raw").startswith("{"), fields))
+    # explode of one element: the optimizer would else repeat the parsing for every field that is taken from the map
+    parsed = raw.select("*", F.explode(F.array(F.when(F.ltrim("raw").startswith("{"), fields))).alias("fields"))
     kind = F.when(F.map_contains_key("fields", "AccountName") | F.map_contains_key("fields", "UtcTime"), "A").when(F.map_contains_key("fields", "username") | F.map_contains_key("fields", "event_time"), "B")
     bad = F.struct(F.lit(400).alias("status"), F.lit("PARSE_ERROR").alias("error"), F.lit("event is not a JSON object").alias("message"))
     return parsed.withColumn("format", F.when(F.col("fields").isNotNull(), F.coalesce(kind, F.lit("internal")))).withColumn("parse_error", F.when(F.col("fields").isNull(), bad))
@@ -35,7 +36,7 @@ def normalize(parsed: DataFrame, field_map: dict[str, list[str]] = FIELD_MAP, zo
     known = F.array(*[F.lit(n) for names in field_map.values() for n in names])
     out = parsed.withColumns({k: _first(names) for k, names in field_map.items()})
     used = [F.struct(F.lit(k).alias("key"), F.coalesce(*[F.when(f.blank_to_null(F.col("fields")[n]).isNotNull(), n) for n in names]).alias("value")) for k, names in field_map.items()]
-    return out.withColumns(
+    out = out.withColumns(
         {
             "timestamp_raw": F.col("timestamp"),
             "timestamp": f.utc_timestamp(F.col("timestamp"), zone),
@@ -46,6 +47,8 @@ def normalize(parsed: DataFrame, field_map: dict[str, list[str]] = FIELD_MAP, zo
             "unknown_fields": F.map_filter("fields", lambda k, v: ~F.array_contains(known, k)),
         }
     )
+    fresh = [c for c in out.columns if c not in parsed.columns]
+    return out.select(*parsed.columns, F.inline(F.array(F.struct(*fresh))))  # evaluated once, too
 
 
 def _error(message: str) -> Column:

@@ -1,6 +1,183 @@
-def queries() -> dict:
-    return {}
+"""The engine's queries over the simulated investigation (table ``events``) and the literal scenarios."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.fields import stamp_text
+from ..operators import correlate, extract, graph, ingest, measure, timeline
+from ..sources import adapters
+from . import fixtures, oracles
+
+T = stamp_text(F.col("timestamp")).alias("timestamp")
+ANCHOR_NODE = "FIN-SRV-02"
+
+
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the simulation's ids are unique by construction, so no shuffle is spent on duplicates
+    return ingest.ingest(adapters.simulation(spark.read.parquet(f"{sf_dir}/events.parquet")), dedupe=False)
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.security_events(validated(spark, sf_dir))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.all_observations(events(spark, sf_dir))
+
+
+def related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events(spark, sf_dir)
+    return correlate.correlations(correlate.candidates(found), found)
+
+
+def src_05_security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", T, "event_type", "action", "user", "source_host", "destination_host", "source_ip", "destination_ip", "process", "file", "severity")
+
+
+def nrm_09_field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.array_join(F.array_sort(F.map_keys("field_mapping")), ",")
+    return events(spark, sf_dir).groupBy("action", m.alias("mapped_fields")).agg(F.count("*").alias("n"))
+
+
+def par_06_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.parse(fixtures.raw_cases(spark)).where("fields is not null").select(F.coalesce(F.col("fields")["event_id"], F.col("fields")["EventID"]).alias("event_id"), F.col("source_record_id").alias("record"), ingest.state("user").alias("user_state"))
+
+
+def val_06_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.rejected_events(ingest.ingest(fixtures.raw_cases(spark))).select("event_id", "error", "message", F.col("status").cast("bigint").alias("status"))
+
+
+def ent_07_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.occurrences(events(spark, sf_dir)).select("event_id", "entity_type", "entity_key", "name", "role")
+
+
+def ent_10_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = extract.entities(extract.occurrences(events(spark, sf_dir)))
+    return e.select("entity_type", "entity_key", stamp_text(F.col("first_seen")).alias("first_seen"), stamp_text(F.col("last_seen")).alias("last_seen"), "n_events", F.md5(F.array_join("event_ids", ",")).alias("event_ids_md5"))
+
+
+def rel_08_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.observations(events(spark, sf_dir)).select("relationship_type", "src_type", "src_key", "dst_type", "dst_key", "event_id", T, "source")
+
+
+def rel_10_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = extract.relationships(extract.observations(events(spark, sf_dir)))
+    return r.select("relationship_type", "src_key", "dst_key", stamp_text(F.col("first_seen")).alias("first_seen"), stamp_text(F.col("last_seen")).alias("last_seen"), "n", F.array_join("event_ids", ",").alias("event_ids"))
+
+
+def rel_11_derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = extract.derived_edges(events(spark, sf_dir))
+    return d.select(F.col("src_key").alias("process_key"), "dst_key", F.col("event_ids")[0].alias("exec_event_id"), F.col("event_ids")[1].alias("connect_event_id"))
+
+
+def cnd_07_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.candidates(events(spark, sf_dir)).select(F.col("a").alias("event_a"), F.col("b").alias("event_b"), F.array_join("kinds", ",").alias("kinds"))
+
+
+def cnd_09_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events(spark, sf_dir)
+    new = found.where("timestamp >= timestamp'2024-01-25 00:00:00'")
+    return correlate.candidates(found, new=new).select(F.col("a").alias("event_a"), F.col("b").alias("event_b"), F.array_join("kinds", ",").alias("kinds")).distinct()
+
+
+def cor_09_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related(spark, sf_dir).select("event_a", "event_b", F.array_join(F.array_sort("signals"), ",").alias("signals"), "gap_seconds", "related")
+
+
+def cor_13_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def cor_14_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = correlate.sequences(related(spark, sf_dir).where("related"))
+    return found.groupBy("sequence_id").agg(F.count("*").alias("n_events"))
+
+
+def grf_04_graph_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.edges_between(edges(spark, sf_dir), "sim", "2024-01-05 00:00:00", "2024-01-20 00:00:00", ["CONNECTED_TO", "ACCESSED"])
+    return graph.bounded(found).select("relationship_type", "src_key", "dst_key", "event_id", T)
+
+
+def grf_11_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.counts(edges(spark, sf_dir))
+
+
+def piv_01_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbours(edges(spark, sf_dir), ANCHOR_NODE).select("relationship_type", "neighbour", "event_id", T, "forward")
+
+
+def piv_02_around_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.around(edges(spark, sf_dir), ANCHOR_NODE, "2024-01-10 12:00:00", 24 * 60).select("relationship_type", "neighbour", "event_id", T)
+
+
+def piv_03_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reach(edges(spark, sf_dir), "user1", 3).select("node", "node_type", F.col("hop").cast("bigint").alias("hop"))
+
+
+def piv_08_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.paths(extract.all_observations(ingest.security_events(ingest.ingest(fixtures.raw_scenarios(spark, "A")))), "rahul")
+    return found.select("path", F.col("hops").cast("bigint").alias("hops"), F.array_join(F.transform("evidence", lambda e: F.array_join(e, "+")), " > ").alias("evidence"))
+
+
+def _pivot(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: graph.pivot(edges(spark, sf_dir), name)
+
+
+def tml_01_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = timeline.ordered(timeline.timeline(events(spark, sf_dir), edges(spark, sf_dir)))
+    return rows.select(T, "event_id", "event_type", "action", "user", "source_host", "destination_host", "process", "file", "source", "kind", F.array_join("relationship_refs", "; ").alias("relationship_refs"))
+
+
+def tml_04_entity_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events(spark, sf_dir)
+    rows = timeline.select(timeline.timeline(found, edges(spark, sf_dir)), start="2024-01-03 00:00:00", end="2024-01-28 00:00:00", actions=["connect", "access"])
+    return timeline.ordered(timeline.of_entity(rows, extract.occurrences(found), ANCHOR_NODE)).select(T, "event_id", "action", "user")
+
+
+def tml_08_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edges(spark, sf_dir)
+    return timeline.with_derived(timeline.timeline(events(spark, sf_dir), found), found).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def tml_09_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = timeline.sessions(events(spark, sf_dir))
+    return s.select("user_key", stamp_text(F.col("first_seen")).alias("first_seen"), stamp_text(F.col("last_seen")).alias("last_seen"), "n")
+
+
+def tml_10_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.adjacent(events(spark, sf_dir)).select("event_id", "before", "after")
+
+
+def evd_02_edge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.edge_evidence(edges(spark, sf_dir), events(spark, sf_dir)).select("relationship_type", "src_key", "dst_key", "derived", "event_id", "action")
+
+
+def evd_04_event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.event_edges(edges(spark, sf_dir)).groupBy("event_id").agg(F.count("*").alias("n_edges"), F.count_if("derived").alias("n_derived"))
+
+
+def evd_06_untraceable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.untraceable(edges(spark, sf_dir), events(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+def obs_01_pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked, found = validated(spark, sf_dir), events(spark, sf_dir)
+    return measure.pipeline_counts(checked, extract.entities(extract.occurrences(found)), extract.relationships(extract.all_observations(found)), related(spark, sf_dir))
+
+
+def evl_01_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = extract.all_observations(ingest.security_events(ingest.ingest(fixtures.raw_scenarios(spark))))
+    return measure.confusion(fixtures.expected(spark), seen.withColumnRenamed("investigation_id", "scenario"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    named = [f for n, f in globals().items() if n[:3] in {"src", "nrm", "par", "val", "ent", "rel", "cnd", "cor", "grf", "piv", "tml", "evd", "obs", "evl"} and n[3:4] == "_" and callable(f)]
+    return {f.__name__: f for f in named} | {f"piv_{9 + k:02d}_{name}": _pivot(name) for k, name in enumerate(graph.PIVOTS)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
