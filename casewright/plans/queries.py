@@ -11,6 +11,7 @@ from ..functions.fields import stamp_text
 from ..operators import correlate, extract, graph, ingest, measure, timeline
 from ..sources import adapters
 from . import fixtures, oracles
+from .tables import written
 
 T = stamp_text(F.col("timestamp")).alias("timestamp")
 ANCHOR_NODE = "FIN-SRV-02"
@@ -115,7 +116,7 @@ def piv_02_around_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piv_03_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(edges(spark, sf_dir), "user1", 3).select("node", "node_type", F.col("hop").cast("bigint").alias("hop"))
+    return graph.reach(written(edges(spark, sf_dir), "edges"), "user1", 3).select("node", "node_type", F.col("hop").cast("bigint").alias("hop"))
 
 
 def piv_08_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
