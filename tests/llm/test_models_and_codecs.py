@@ -91,15 +91,13 @@ class BitWriter(webp.Writer):
 
 def coded(w, pixels, width, cache_bits=0, refs=(), main=True):
     """An entropy-coded image: literals, back-references {position: (length, distance code)}, and the cache where it holds a pixel."""
-    w.put(1, 1), w.put(cache_bits, 4) if cache_bits else w.put(0, 1)
-    if not cache_bits:
-        w.size -= 1
-        w.value &= (1 << w.size) - 1
-        w.value &= ~(1 << (w.size - 1))
+    w.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        w.put(cache_bits, 4)
     if main:
         w.put(0, 1)
     symbols, at, cache, refs = [], 0, {}, dict(refs)
-    slot = lambda p: (0x1E35A7BD * p & 0xFFFFFFFF) >> (32 - cache_bits)
+    slot = lambda p: (0x1E35A7BD * p & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
     while at < len(pixels):
         if at in refs:
             n, d = refs[at]
@@ -161,7 +159,7 @@ def test_webp_back_references_and_cache():
     for cache_bits in (0, 3):
         w = start(10, 8)
         w.put(0, 1)
-        coded(w, pixels, 10, cache_bits, {20: (5, 2 * 1 + 118 + 20 - 20 + 20 - 0 - 0 if False else 140), 25: (40, 2)})
+        coded(w, pixels, 10, cache_bits, {20: (5, 140), 25: (40, 2)})
         assert webp.decode_vp8l(w.bytes()).reshape(-1).tolist() == pixels
 
 
