@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def blank_to_null(c: Column) -> Column:
@@ -20,7 +21,7 @@ def utc_timestamp(c: Column, zone: str = "UTC") -> Column:
     return F.when(has_offset, F.try_to_timestamp(c)).otherwise(F.to_utc_timestamp(F.try_to_timestamp(c), zone))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ipv6(values: pd.Series) -> pd.Series:
     def one(v: str | None) -> str | None:
         try:

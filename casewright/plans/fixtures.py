@@ -52,7 +52,7 @@ CASES = [
     "{bad",
     '{"event_id":"p-5","event_type":"authentication","action":"login","timestamp":"2026-09-18T10:00:00Z","user":""}',
     '{"event_id":"p-1","event_type":"file","action":"access","timestamp":"2026-09-18T11:00:00Z"}',
-    '{"event_id":"p-6","action":"login","timestamp":"2026-09-18T10:00:00Z","user":{"a":1}}',
+    '{"event_id":"p-6","event_type":"authentication","action":"login","timestamp":"2026-09-18T10:00:00Z","user":{"a":1}}',
 ]
 
 

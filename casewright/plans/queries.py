@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import stamp_text
@@ -13,10 +13,16 @@ from ..sources import adapters
 from . import fixtures, oracles
 from .tables import written
 
-T = stamp_text(F.col("timestamp")).alias("timestamp")
 ANCHOR_NODE = "FIN-SRV-02"
 
 
+def at() -> Column:
+    """The timestamp as text, the same in both engines."""
+    return stamp_text(F.col("timestamp")).alias("timestamp")
+
+
+
+
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the simulation's ids are unique by construction, so no shuffle is spent on duplicates
     return ingest.ingest(adapters.simulation(spark.read.parquet(f"{sf_dir}/events.parquet")), dedupe=False)
@@ -36,7 +42,7 @@ def related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_05_security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select("event_id", T, "event_type", "action", "user", "source_host", "destination_host", "source_ip", "destination_ip", "process", "file", "severity")
+    return events(spark, sf_dir).select("event_id", at(), "event_type", "action", "user", "source_host", "destination_host", "source_ip", "destination_ip", "process", "file", "severity")
 
 
 def nrm_09_field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ def ent_10_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rel_08_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.observations(events(spark, sf_dir)).select("relationship_type", "src_type", "src_key", "dst_type", "dst_key", "event_id", T, "source")
+    return extract.observations(events(spark, sf_dir)).select("relationship_type", "src_type", "src_key", "dst_type", "dst_key", "event_id", at(), "source")
 
 
 def rel_10_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +106,7 @@ def cor_14_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grf_04_graph_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.edges_between(edges(spark, sf_dir), "sim", "2024-01-05 00:00:00", "2024-01-20 00:00:00", ["CONNECTED_TO", "ACCESSED"])
-    return graph.bounded(found).select("relationship_type", "src_key", "dst_key", "event_id", T)
+    return graph.bounded(found).select("relationship_type", "src_key", "dst_key", "event_id", at())
 
 
 def grf_11_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +114,11 @@ def grf_11_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piv_01_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbours(edges(spark, sf_dir), ANCHOR_NODE).select("relationship_type", "neighbour", "event_id", T, "forward")
+    return graph.neighbours(edges(spark, sf_dir), ANCHOR_NODE).select("relationship_type", "neighbour", "event_id", at(), "forward")
 
 
 def piv_02_around_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.around(edges(spark, sf_dir), ANCHOR_NODE, "2024-01-10 12:00:00", 24 * 60).select("relationship_type", "neighbour", "event_id", T)
+    return graph.around(edges(spark, sf_dir), ANCHOR_NODE, "2024-01-10 12:00:00", 24 * 60).select("relationship_type", "neighbour", "event_id", at())
 
 
 def piv_03_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,13 +136,13 @@ def _pivot(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def tml_01_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = timeline.ordered(timeline.timeline(events(spark, sf_dir), edges(spark, sf_dir)))
-    return rows.select(T, "event_id", "event_type", "action", "user", "source_host", "destination_host", "process", "file", "source", "kind", F.array_join("relationship_refs", "; ").alias("relationship_refs"))
+    return rows.select(at(), "event_id", "event_type", "action", "user", "source_host", "destination_host", "process", "file", "source", "kind", F.array_join("relationship_refs", "; ").alias("relationship_refs"))
 
 
 def tml_04_entity_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events(spark, sf_dir)
     rows = timeline.select(timeline.timeline(found, edges(spark, sf_dir)), start="2024-01-03 00:00:00", end="2024-01-28 00:00:00", actions=["connect", "access"])
-    return timeline.ordered(timeline.of_entity(rows, extract.occurrences(found), ANCHOR_NODE)).select(T, "event_id", "action", "user")
+    return timeline.ordered(timeline.of_entity(rows, extract.occurrences(found), ANCHOR_NODE)).select(at(), "event_id", "action", "user")
 
 
 def tml_08_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
