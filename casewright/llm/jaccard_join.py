@@ -12,7 +12,7 @@ sets agree in one segment at least, whose content is their common key. Which seg
 Each level holds the ones below, and the lower of two partners' levels finds the pair, so no link is lost. Keys that several
 classes share are first resolved as stars: each class is verified against the one of its key that shares most. Only
 between what is then still apart in a key are further pairs formed, if their sizes and a bound on their distance (counts of
-shingles in 64 bins) allow a link; groups above ``split_members`` are keyed once more by an independent partition
+shingles in 256 bins) allow a link; groups above ``split_members`` are keyed once more by an independent partition
 before that. Pairs are verified exactly on the whole texts. Components grow by rounds of smallest labels, each round written to the
 shared folder; nothing but counts comes to the driver.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-BINS = 64
+BINS = 256
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -94,8 +94,8 @@ def fingerprint(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of a set's shingles in 64 bins, up to 255; the sum of two sketches' differences is at most the sets' distance."""
-    return np.minimum(np.bincount((mix(s, 2) >> np.uint64(58)).astype(np.intp), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Counts of a set's shingles in 256 bins, up to 255; the sum of two sketches' differences is at most the sets' distance."""
+    return np.minimum(np.bincount((mix(s, 2) >> np.uint64(56)).astype(np.intp), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
