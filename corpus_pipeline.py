@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("jaccard_join", near_duplicates), ("line_dedup", repeated_lines), ("packing", pack)]
 
-#: Compression sizes and token ids can't be had in SQL. A brute-force test of the whole chain is still to be written.
+#: Compression sizes and token ids can't be had in SQL; ``tests/llm/test_pipeline.py`` holds the whole chain against plain versions of its stages.
 ORACLE_SQL = None
 
 
