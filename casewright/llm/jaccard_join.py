@@ -13,11 +13,11 @@ Each level holds the ones below, and the lower of two partners' levels finds the
 classes share are first resolved as stars: each class is verified against the one of its key that shares most. Only
 between what is then still apart in a key are further pairs formed, if their sizes and a bound on their distance (counts of
 shingles in 256 bins) allow a link; groups above ``split_members`` are keyed once more by an independent partition
-before that. Pairs are verified exactly on the whole texts. Components grow by rounds of smallest labels, each round written to the
+before that, and what is still larger is compared block by block. Pairs are verified exactly on the whole texts. Components grow by rounds of smallest labels, each round written to the
 shared folder; nothing but counts comes to the driver.
 
 Shingles, contents and classes are compared by 64-bit hashes. A group's members pass a task as rows of 16 bytes, and only
-groups of up to ``split_members`` are held.
+cells of about ``split_members`` are held.
 
 Defined results: null and blank texts have an empty set and link with nothing; rows with a null id have no links and a null
 component; rows that repeat an id are one document if their texts are equal and linked through their id otherwise; an
@@ -280,8 +280,23 @@ def apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(several.select("key", "n"), "key")
 
 
+def blocks(rows: DataFrame, params: JoinParams) -> DataFrame:
+    """Cells of at most about ``split_members`` rows that hold each pair of a key's rows (key, fp, label) once.
+
+    A larger group is cut into blocks by its classes' hashes, and each two blocks are a cell; ``side`` tells a cell's blocks
+    apart (within one block, all its rows). Only rows of the same cell and of different sides are to be compared.
+    """
+    sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+    cuts = F.when(F.col("n") > params.split_members, F.ceil(2 * F.col("n") / params.split_members)).otherwise(1).cast("bigint")
+    sized = sized.withColumn("cuts", cuts)
+    own = sized.withColumn("own", F.pmod(F.xxhash64("fp"), "cuts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), F.col("fp")).otherwise(F.col("own"))
+    cell = F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return own.select(cell.alias("key"), "fp", "label", side.alias("side"))
+
+
 def cross_pairs(rows: DataFrame, params: JoinParams) -> DataFrame:
-    """Distinct pairs of one key but different labels that sizes and sketches allow to link. ``rows``: key, fp, label, size, sketch."""
+    """Distinct pairs of one key but different labels and sides that sizes and sketches allow to link. ``rows``: key, fp, label, side, size, sketch."""
     p = params.percent
 
     def distinct(found: tuple[list, list]) -> pd.DataFrame:
@@ -297,13 +312,13 @@ def cross_pairs(rows: DataFrame, params: JoinParams) -> DataFrame:
                 continue
             cut = len(held) if batch is None else int(held["key"].searchsorted(held["key"].iloc[-1]))
             bounds = [0, *(np.flatnonzero(np.diff(held["key"].to_numpy()[:cut])) + 1).tolist(), cut]
-            fp, label, size = (held[c].to_numpy() for c in ("fp", "label", "size"))
+            fp, label, side, size = (held[c].to_numpy() for c in ("fp", "label", "side", "size"))
             counts = np.frombuffer(b"".join(held["sketch"]), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
             for begin, end in zip(bounds, bounds[1:]):
                 for i in range(begin, end - 1):
                     rest = slice(i + 1, end)
                     most = (100 - p) * (size[i] + size[rest]) // (100 + p)
-                    j = np.flatnonzero((label[rest] != label[i]) & (np.abs(size[i] - size[rest]) <= most))
+                    j = np.flatnonzero((label[rest] != label[i]) & (side[rest] != side[i]) & (np.abs(size[i] - size[rest]) <= most))
                     if len(j):
                         near = j[np.abs(counts[j + (i + 1)] - counts[i]).sum(axis=1) <= most[j]] + (i + 1)
                         found[0].append(np.full(len(near), fp[i]))
@@ -331,8 +346,8 @@ def links(docs: DataFrame, of: DataFrame, text: str = "text", params: JoinParams
     small = rows.where(F.col("n") <= params.split_members).select("key", "fp", "label")
     large = rows.where(F.col("n") > params.split_members).select("key", "fp", "label")
     # large groups are keyed again by a second partition of the universe: what links there must share a key of it, too
-    again = shared_keys(keyed(large.join(texts.select("fp", "text"), "fp"), params, seed=1, outer=True)).join(large.select("fp", "label").distinct(), "fp")
-    todo = small.unionByName(again.select("key", "fp", "label")).join(texts.select("fp", "size", "sketch"), "fp")
+    again = materialize(shared_keys(keyed(large.join(texts.select("fp", "text"), "fp"), params, seed=1, outer=True)), "again").join(large.select("fp", "label").distinct(), "fp")
+    todo = blocks(small.unionByName(again.select("key", "fp", "label")), params).join(texts.select("fp", "size", "sketch"), "fp")
     second = verify(cross_pairs(todo, params), texts, params)
     return first.unionByName(materialize(second, "links"))
 

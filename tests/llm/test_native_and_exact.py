@@ -135,6 +135,15 @@ def test_jaccard_join_equals_brute_force(spark):
         assert got == brute_components(rows)
 
 
+def test_blocks_hold_each_pair_once(spark):
+    rows = spark.createDataFrame([(k, 1000 * k + i, i) for k, n in ((1, 3), (2, 10), (3, 95)) for i in range(n)], "key bigint, fp bigint, label bigint")
+    cells = jaccard_join.blocks(rows, jaccard_join.JoinParams(split_members=10))
+    assert cells.groupBy("key").count().agg({"count": "max"}).first()[0] < 25
+    met = cells.alias("x").join(cells.alias("y"), "key").where("x.fp < y.fp and x.side != y.side").selectExpr("x.fp as a", "y.fp as b").collect()
+    want = {(1000 * k + i, 1000 * k + j) for k, n in ((1, 3), (2, 10), (3, 95)) for j in range(n) for i in range(j)}
+    assert len(met) == len(want) and {tuple(r) for r in met} == want
+
+
 def test_every_level_finds_its_pairs():
     """Pigeonhole, set by set: linked sets share a key whatever their levels."""
     import numpy as np
