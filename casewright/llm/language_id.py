@@ -35,6 +35,7 @@ class PpmParams:
     max_order: int = 4
     sample_docs: int = 400
     sample_bytes: int = 200_000
+    rank_parts: tuple[int, ...] = (512, 64, 8, 1)  # of each language, one step after the other
     chunk_bytes: int = 1 << 17  # scored at once
 
 
@@ -199,8 +200,12 @@ class PpmModel:
 def learn(docs: DataFrame, params: PpmParams = PpmParams(), text: str = "text", lang: str = "lang") -> PpmModel:
     """Fit on rows of ``docs`` (doc_id, text, lang). The sample's ids are a bounded table, and only its texts come to the driver."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= params.sample_bytes))
-    order = Window.partitionBy(F.col("lang")).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", F.col(lang).alias("lang")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= params.sample_docs).select("doc_id", "lang").distinct()
+    ids = known.select("doc_id", F.col(lang).alias("lang")).withColumn("mark", F.xxhash64("doc_id")).distinct()
+    # the smallest of ever larger parts of a language, so that no task ranks a whole language
+    for parts in params.rank_parts:
+        order = Window.partitionBy("lang", "part").orderBy("mark", "doc_id")
+        ids = ids.withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(parts))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= params.sample_docs).select("doc_id", "lang", "mark")
+    ids = ids.select("doc_id", "lang")
     rows = known.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").distinct().collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
