@@ -70,8 +70,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
-    judged = url_filter.filter_urls(pages, pages.join(labels, "page_id").select("url", "bad"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    judged = url_filter.filter_urls(pages, url_filter.labelled_urls(pages, labels))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -6,7 +6,9 @@ import hashlib
 import itertools
 import re
 
-from casewright.llm import jaccard_join, line_dedup, quality_rules, url_filter, warc
+from pyspark.sql import functions as F
+
+from casewright.llm import jaccard_join, line_dedup, quality_rules, queries, url_filter, warc
 
 DOCS = "doc_id bigint, text string, source string, kept string"
 
@@ -179,3 +181,17 @@ def test_url_rules(spark):
     assert got[6][2] is None and got[7] == ("a.net", "", None, "allow") and got[8] == got[9] == ("", "", None, "allow")
     assert got[10][3] == "block" and len(got) == len(urls)
     assert url_filter.filter_urls(pages, labels.where("1 = 0")).where("verdict = 'block'").count() == 3
+
+
+def test_url_labels_follow_the_document_of_the_url(spark, tmp_path):
+    paths = ["/en/{}", "/en/{}/", "/en/{}.html", "/en/{}?page=2&ref=x", "/en/{}#top"]
+    pages = [(k, f"http://{'fine' if k % 3 else 'spam'}.test{paths[k % 5].format(1000 + k)}", "") for k in range(60)]
+    pages += [(60, "http://spam.test/about", ""), (61, "http://fine.test/about", ""), (62, None, "")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    # the label of a document whose id is some page's id says the opposite
+    labels = [(1000 + k, int(k % 3 > 0), 0) for k in range(60)] + [(k, int(k % 3 == 0), 0) for k in range(63)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r.verdict for r in queries.op10_url_rules(spark, str(tmp_path)).collect()}
+    assert got == {k: "block" if u and "spam" in u else "allow" for k, u, _ in pages}
+    found = spark.createDataFrame([("/en/7817",), ("/2024/x/7.htm/",), ("/en/",), ("",), ("/v7",), ("/9" + "0" * 30,), ("/12/about",)], "path string")
+    assert [r[0] for r in found.select(url_filter.document_id(F.col("path"))).collect()] == [7817, 7, None, None, None, None, 12]
