@@ -1,8 +1,9 @@
 """Quality classification by compression.
 
-Two zstandard dictionaries are built, one from good and one from bad labelled texts. A text is compressed with each;
-the difference of the two sizes over their sum is turned into a probability by a logistic curve fitted on labelled
-texts that built neither dictionary.
+Two zstandard dictionaries are built, one from good and one from bad labelled texts. A whole text is compressed with
+each in blocks of a fixed length, every block afresh, so that no part of it is served by its own history in place of the
+dictionaries; the difference of the two sums of sizes over their sum is turned into a probability by a logistic curve
+fitted on the same measure of labelled texts that built neither dictionary.
 
 Only a bounded sample of labelled rows is learned from (``ClassifierParams.sample_docs`` for each label, those with the
 smallest id hash; texts above ``sample_bytes`` are left out of it); every whole text is scored.
@@ -32,6 +33,7 @@ class ClassifierParams:
     sample_docs: int = 1500
     sample_bytes: int = 1_000_000
     dictionary_bytes: int = 65_536
+    block_bytes: int = 1024
     level: int = 3
     threshold: float = 0.3
 
@@ -44,6 +46,7 @@ class CompressionModel:
     bias: float
     prior: float
     level: int
+    block_bytes: int = ClassifierParams.block_bytes
 
     def differences(self, texts: list[str]) -> np.ndarray:
         """Normalised size differences: above 0 where the good dictionary serves better."""
@@ -51,7 +54,8 @@ class CompressionModel:
         out = np.zeros(len(texts))
         for k, t in enumerate(texts):
             if raw := t.encode("utf-8", "replace"):
-                good, bad = (len(p.compress(raw)) for p in packers)
+                blocks = [raw[i : i + self.block_bytes] for i in range(0, len(raw), self.block_bytes)]
+                good, bad = (sum(len(p.compress(b)) for b in blocks) for p in packers)
                 out[k] = (bad - good) / (bad + good)
         return out
 
@@ -75,8 +79,8 @@ def fit_model(good: list[str], bad: list[str], prior: float, params: ClassifierP
     """Dictionaries from every other text of each label, the logistic curve from the rest. ``prior``: share of good labels."""
     good, bad = [t for t in good if t], [t for t in bad if t]
     if not good or not bad:
-        return CompressionModel(b"", b"", 0.0, 0.0, prior, params.level)
-    base = CompressionModel(_dictionary(good[::2], params.dictionary_bytes), _dictionary(bad[::2], params.dictionary_bytes), 0.0, 0.0, prior, params.level)
+        return CompressionModel(b"", b"", 0.0, 0.0, prior, params.level, params.block_bytes)
+    base = CompressionModel(_dictionary(good[::2], params.dictionary_bytes), _dictionary(bad[::2], params.dictionary_bytes), 0.0, 0.0, prior, params.level, params.block_bytes)
     held = [good[1::2] or good, bad[1::2] or bad]
     x = np.concatenate([base.differences(h) for h in held])
     y = np.repeat([1.0, 0.0], [len(h) for h in held])
@@ -93,7 +97,7 @@ def fit_model(good: list[str], bad: list[str], prior: float, params: ClassifierP
         a, b = a + da, b + db
         if abs(da) + abs(db) < 1e-9:
             break
-    return CompressionModel(base.good, base.bad, a / scale, b, prior, params.level)
+    return CompressionModel(base.good, base.bad, a / scale, b, prior, params.level, params.block_bytes)
 
 
 def learn(docs: DataFrame, labels: DataFrame, params: ClassifierParams = ClassifierParams(), text: str = "text") -> CompressionModel:

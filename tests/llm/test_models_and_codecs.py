@@ -242,6 +242,17 @@ def test_classifier_odd_rows(spark):
     assert quality_classifier.score(docs.where("1 = 0"), model).count() == 0
 
 
+def test_classifier_judges_all_of_a_long_text():
+    rng = random.Random(12)
+    words = [["".join(rng.choice(x) for _ in range(rng.randint(3, 8))) for _ in range(2000)] for x in ("abcdefghilmnorstu", "defghijkqvwxyz")]
+    prose = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    model = quality_classifier.fit_model(*[[prose(k, rng.randint(60, 300)) for _ in range(200)] for k in (0, 1)], prior=0.85)
+    good, bad = prose(0, 40_000), prose(1, 40_000)
+    short = model.score([bad[:1500], bad, good, good[:1500] + bad, bad[:1500] + good])
+    assert short[0] < 0.1 and short[1] < 0.1 and short[2] > 0.9 and short[3] < 0.1 and short[4] > 0.9
+    assert model.differences([bad])[0] < 0.5 * model.differences([bad[:1024]])[0] < 0
+
+
 def test_language_held_out(spark):
     docs = table(spark, SF, "documents")
     got = queries.op8_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
