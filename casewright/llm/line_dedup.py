@@ -3,8 +3,11 @@
 A document's units are its lines, and the sentences of lines with several. Units are normalised (lower case, runs of
 white space as one blank), digested to 128 bits and grouped over the whole corpus. Of each digest the earliest
 occurrence stays, ranked by document id and then by place; all later ones go from their texts, within a document too.
-Lines of fewer than ``min_line_words`` and sentences of fewer than ``min_sentence_words`` words are left alone, as
-such short units coincide by chance.
+Lines of fewer than ``min_line_words`` and sentences of fewer than ``min_sentence_words`` words are no units of their
+own, as such short ones coincide by chance. With ``passages`` they count together with their neighbours: the shortest
+groups of consecutive sentences of a line that begin or end with a short one and have ``min_sentence_words`` words are
+units too, and such groups of consecutive short lines, so that a passage of short sentences goes group by group; and scripts without
+blanks have their own sentence marks and count two characters as a word.
 
 Removed spans keep their offsets in the original text (code points, the line's end mark included) and the document
 that keeps the unit. A line that goes as a whole is one span.
@@ -15,6 +18,7 @@ that repeat both id and text have the same ranks, so all of them keep or lose th
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +31,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SENTENCE = re.compile(r".*?[.!?]+[ \t\x0b\x0c\r]+|.+$")
+#: With the marks of scripts that put no blank after them.
+ANY_SENTENCE = re.compile(r".*?(?:(?<![.!?])[.!?]+[ \t\x0b\x0c\r]+|[。！？｡।॥؟۔።។]+[」』”’）]*[ \t\x0b\x0c\r]*)|.+$")
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+NO_BLANKS = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 UNIT_SCHEMA = "doc_id bigint, text_hash bigint, start int, length int, whole boolean, h1 bigint, h2 bigint"
 SPANS = "array<struct<start:int,length:int,kept_in:bigint>>"
 
@@ -35,10 +43,69 @@ SPANS = "array<struct<start:int,length:int,kept_in:bigint>>"
 class DedupParams:
     min_line_words: int = 4
     min_sentence_words: int = 8
+    passages: bool = True
+
+
+def n_words(words: list[str]) -> int:
+    """Words, with each two characters of scripts without blanks as one."""
+    return sum(max(1, len(NO_BLANKS.findall(w)) // 2) for w in words)
+
+
+def groups(parts: list[tuple[int, int, int]], short: int, least: int) -> set[tuple[int, int]]:
+    """First and last of the shortest groups of ``least`` words that begin with a part of fewer than ``short``; and those that end with one where none of the former does."""
+    parts = [(n, k) for k, (_, _, n) in enumerate(parts) if n]
+    found, ends, j, total = [], set(), 0, 0
+    for i, (n, k) in enumerate(parts):
+        while j < len(parts) and total < least:
+            total += parts[j][0]
+            j += 1
+        if total >= least and n < short and j - i > 1:
+            found.append((k, parts[j - 1][1]))
+            ends.add(j - 1)
+        total -= n
+    i = total = 0
+    for j, (n, k) in enumerate(parts):
+        total += n
+        while total - parts[i][0] >= least:
+            total -= parts[i][0]
+            i += 1
+        if total >= least and n < short and j > i and j not in ends:
+            found.append((parts[i][1], k))
+    return set(found)
+
+
+def passages(text: str, params: DedupParams) -> Iterator[tuple[int, int, bool, str]]:
+    """``units`` and the groups of short sentences and lines."""
+    count = n_words if NO_BLANKS.search(text) else len
+    start, lines = 0, []
+    for line in text.split("\n"):
+        words = line.lower().split()
+        n, end = count(words), min(start + len(line) + 1, len(text))
+        lines.append((start, end, n))
+        if n >= params.min_line_words:
+            yield start, end - start, True, " ".join(words)
+        found = list(ANY_SENTENCE.finditer(line)) if n >= params.min_sentence_words else []
+        if len(found) > 1:
+            inner = [m[0].lower().split() for m in found]
+            parts = [(start + m.start(), start + m.end(), count(w)) for m, w in zip(found, inner)]
+            for (begin, stop, k), w in zip(parts, inner):
+                if k >= params.min_sentence_words:
+                    yield begin, stop - begin, False, " ".join(w)
+            for a, b in groups(parts, params.min_sentence_words, params.min_sentence_words):
+                if (a, b) != (0, len(parts) - 1):
+                    yield parts[a][0], parts[b][1] - parts[a][0], False, " ".join(w for x in inner[a : b + 1] for w in x)
+        start += len(line) + 1
+    for below, run in itertools.groupby(lines, lambda x: x[2] < params.min_line_words):
+        run = list(run) if below else []
+        for a, b in groups(run, params.min_line_words, params.min_sentence_words):
+            yield run[a][0], run[b][1] - run[a][0], True, " ".join(text[run[a][0] : run[b][1]].lower().split())
 
 
 def units(text: str, params: DedupParams = DedupParams()) -> Iterator[tuple[int, int, bool, str]]:
-    """``(start, length, whole line, normalised unit)`` of each unit that counts."""
+    """``(start, length, whole lines, normalised unit)`` of each unit that counts."""
+    if params.passages:
+        yield from passages(text, params)
+        return
     start = 0
     for line in text.split("\n"):
         plain = line.lower().split()
@@ -77,19 +144,21 @@ def unit_table(docs: DataFrame, text: str = "text", params: DedupParams = DedupP
 
 
 def removals(found: DataFrame) -> DataFrame:
-    """Units that are not the earliest of their digest, with the document that keeps it. Counts and earliest ranks combine before the shuffle."""
+    """Units that are not the earliest of their digest and don't overlap it, with the document that keeps it. Counts and earliest ranks combine before the shuffle."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col("text_hash").alias("row"), F.col("start").alias("place"))
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").select("h1", "h2", "first")
-    return found.join(first, ["h1", "h2"]).where(rank != F.col("first")).select("doc_id", "text_hash", "start", "length", "whole", F.col("first.doc").alias("kept_in"))
+    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first"), F.min_by("length", rank).alias("size")).where("n > 1").select("h1", "h2", "first", "size")
+    within = F.col("doc_id").eqNullSafe(F.col("first.doc")) & (F.col("text_hash") == F.col("first.row")) & (F.col("start") < F.col("first.place") + F.col("size"))
+    return found.join(first, ["h1", "h2"]).where((rank != F.col("first")) & ~within).select("doc_id", "text_hash", "start", "length", "whole", F.col("first.doc").alias("kept_in"))
 
 
 def _outer(spans: list) -> list[tuple[int, int, int]]:
-    """Spans in order, without those inside a removed line."""
-    out, end = [], -1
+    """Spans in order, without those inside a removed line; of groups that overlap, each has what the ones before left."""
+    out, end = [], 0
     for s in sorted(spans, key=lambda s: (s["start"], -s["length"])):
-        if s["start"] >= end:
-            out.append((s["start"], s["length"], s["kept_in"]))
-            end = s["start"] + s["length"]
+        start, stop = max(s["start"], end), s["start"] + s["length"]
+        if stop > start:
+            out.append((start, stop - start, s["kept_in"]))
+            end = stop
     return out
 
 

@@ -27,7 +27,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), params=line_dedup.DedupParams(passages=False))  # the rule of its SQL
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["length"], s["kept_in"]))
     return out.select(
         "doc_id",

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import itertools
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -96,6 +97,45 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.where("1 = 0")).count() == 0
 
 
+def test_short_sentences_go_as_a_passage(spark):
+    short = [f"w{k}a w{k}b w{k}c w{k}d w{k}e w{k}f w{k}g. " for k in range(12)]
+    long = "this one sentence has more than eight words in it. "
+    verse = "".join(f"v{k} x{k}\n" for k in range(7))
+    han = [chr(0x4E00 + 40 * k) + "".join(chr(0x5000 + 40 * k + i) for i in range(5)) + "。" for k in range(12)]
+    passage = "".join(short)
+    pairs = [
+        (f"first start here. {passage}and its end", f"other start. {passage}of another kind", "other start. of another kind"),
+        (f"aa bb. {long}Tail it is. zz", f"cc dd. {long}Tail it is. yy", "cc dd. yy"),
+        (f"one head\n{verse}one foot", f"second top\n\n{verse}second bottom", "second top\n\nsecond bottom"),
+        ("甲乙丙。" + "".join(han) + "丁", "戊己。" + "".join(han) + "庚", "戊己。庚"),
+        ("Yes. No. Yes. No. Yes. No. Yes. No.", "Well. Yes. No. Maybe. Yes.", "Well. Yes. No. Maybe. Yes."),
+        ("Buy it. " * 5 + "end", "Nothing of it here", "Nothing of it here"),
+    ]
+    texts = [t for a, b, _ in pairs for t in (a, b)]
+    df = spark.createDataFrame([(k, t, "s", "x") for k, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert [got[2 * k].text for k in range(len(pairs))] == [a for a, _, _ in pairs]
+    assert [got[2 * k + 1].text for k in range(len(pairs))] == [c for _, _, c in pairs]
+    for k, r in got.items():  # the spans lie apart and in order, and what is left lies between them
+        ends = [0, *(s.start + s.length for s in r.removed)]
+        assert all(s.start >= e for s, e in zip(r.removed, ends))
+        assert r.text == "".join(c for i, c in enumerate(texts[k]) if not any(s.start <= i < s.start + s.length for s in r.removed))
+    old = {r.doc_id: r for r in line_dedup.dedup_lines(df, params=line_dedup.DedupParams(passages=False)).collect()}
+    assert old[1].text == texts[1]
+
+
+def test_groups_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(500):
+        parts = [(0, 0, rng.choice([0, 1, 2, 3, 5, 7, 8, 20])) for _ in range(rng.randint(0, 12))]
+        full = [k for k, p in enumerate(parts) if p[2]]
+        size = lambda a, b: sum(p[2] for p in parts[a : b + 1])
+        want = {(a, next(b for b in full if b >= a and size(a, b) >= 8)) for a in full if parts[a][2] < 8 and size(a, len(parts)) >= 8}
+        ends = {b for _, b in want}
+        want |= {(max(a for a in full if a <= b and size(a, b) >= 8), b) for b in full if parts[b][2] < 8 and size(0, b) >= 8 and b not in ends}
+        assert line_dedup.groups(parts, 8, 8) == want
+
+
 def brute_components(rows):
     def grams(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
