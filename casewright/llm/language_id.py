@@ -7,7 +7,8 @@ seen in the context, q: different ones). A context that the language never saw p
 are frozen; the language with the shortest code wins.
 
 The trees are fitted on a bounded sample (``PpmParams.sample_docs`` documents for each language, those with the smallest
-id hash, texts above ``sample_bytes`` left out); whole texts are scored.
+id hash, texts above ``sample_bytes`` left out); whole texts are scored. The model is sent to each task, and its size is checked:
+more than ``most_langs`` languages or ``most_bytes`` bytes are an error.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, or where nothing could be learned; ties
 go to the language that sorts first; rows with a null lang or id are not learned from.
@@ -34,7 +35,9 @@ UNKNOWN = "und"
 class PpmParams:
     max_order: int = 4
     sample_docs: int = 400
-    sample_bytes: int = 200_000
+    sample_bytes: int = 20_000  # so that a language's sample is 8 MB at most
+    most_langs: int = 256
+    most_bytes: int = 1 << 30  # of the tables that are sent to the tasks
     rank_parts: tuple[int, ...] = (512, 64, 8, 1)  # of each language, one step after the other
     chunk_bytes: int = 1 << 17  # scored at once
 
@@ -185,6 +188,10 @@ class PpmModel:
             flush()
         return total
 
+    def size(self) -> int:
+        """Bytes of all tables."""
+        return sum(t.keys.nbytes + t.slots.nbytes + c.nbytes for t, c in [*self.grams, *self.escapes])
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         best, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
         ask = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
@@ -201,6 +208,9 @@ def learn(docs: DataFrame, params: PpmParams = PpmParams(), text: str = "text",
     """Fit on rows of ``docs`` (doc_id, text, lang). The sample's ids are a bounded table, and only its texts come to the driver."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= params.sample_bytes))
     ids = known.select("doc_id", F.col(lang).alias("lang")).withColumn("mark", F.xxhash64("doc_id")).distinct()
+    langs = ids.select("lang").distinct().limit(params.most_langs + 1).count()
+    if langs > params.most_langs:
+        raise ValueError(f"more than {params.most_langs} languages")
     # the smallest of ever larger parts of a language, so that no task ranks a whole language
     for parts in params.rank_parts:
         order = Window.partitionBy("lang", "part").orderBy("mark", "doc_id")
@@ -210,7 +220,10 @@ def learn(docs: DataFrame, params: PpmParams = PpmParams(), text: str = "text",
     samples: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "replace"))
-    return PpmModel(samples, params)
+    model = PpmModel(samples, params)
+    if model.size() > params.most_bytes:
+        raise ValueError("the model is too large to be sent to each task: lower sample_docs or max_order")
+    return model
 
 
 def identify(docs: DataFrame, model: PpmModel, text: str = "text") -> DataFrame:

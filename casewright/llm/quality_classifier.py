@@ -31,7 +31,7 @@ from .common import fold
 @dataclass(frozen=True)
 class ClassifierParams:
     sample_docs: int = 1500
-    sample_bytes: int = 1_000_000
+    sample_bytes: int = 20_000  # so that the samples of both labels are 60 MB at most
     dictionary_bytes: int = 65_536
     block_bytes: int = 1024
     level: int = 3

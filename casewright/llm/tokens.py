@@ -38,11 +38,14 @@ class ByteBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.stops = re.compile("(" + "|".join(re.escape(x) for x in self.special) + ")") if self.special else None
         alphabet = byte_alphabet()
+        self.letters = {b: c for c, b in alphabet.items()}
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         self.bytes = [b""] * (max([*ranks.values(), *self.special.values()]) + 1)
         for t, i in [*ranks.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.bytes[i] = t
+        #: Characters of each token, by the bytes that begin one.
+        self.chars = np.array([sum(b & 0xC0 != 0x80 for b in t) for t in self.bytes], dtype=np.int64)
 
     def parts(self, text: str) -> list[str]:
         """Texts between special tokens, and these tokens."""
@@ -58,25 +61,40 @@ class ByteBpe:
             return self.encode_part(text) if text else []
         return list(chain.from_iterable(map(self.encode_part, self.parts(text))))
 
+    def encode_words(self, part: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text without special tokens, and for each id whether its pre-token ends with it."""
+        found = self.slow.encode(part, add_special_tokens=False)
+        of = np.array(found.word_ids, dtype=np.int64)
+        return np.array(found.ids, dtype="<u4"), np.append(of[1:] != of[:-1], True)[: len(of)]
+
     def encode_run(self, run: bytes) -> list[int]:
-        """BPE of a run that is one pre-token, without the pattern."""
-        return self.fast._encode_single_piece(run)
+        """BPE of bytes of one pre-token (they may begin or end inside a character), without the pattern."""
+        return [t.id for t in self.slow.model.tokenize("".join(map(self.letters.__getitem__, run)))]
+
+    def ends(self, text: str) -> list[int]:
+        """Where the pre-tokens of a text end."""
+        return [b for _, (_, b) in self.slow.pre_tokenizer.pre_tokenize_str(text)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class _Words(dict):
-    """Ids of words as little-endian bytes. At ``limit`` words a new generation begins, which takes over what is used again."""
+    """Ids of words as little-endian bytes. At ``limit`` words a new generation begins, which takes over what is used again.
+
+    Words above ``longest`` characters are encoded each time, so that the memory is bounded by both.
+    """
 
-    def __init__(self, encode: Callable[[bytes], list[int]], limit: int):
-        self.encode, self.limit, self.old = encode, limit, {}
+    def __init__(self, encode: Callable[[str], list[int]], limit: int, longest: int = 64):
+        self.encode, self.limit, self.longest, self.old = encode, limit, longest, {}
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > self.longest:
+            return array("I", self.encode(f"{word}A")).tobytes()
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        ids = self.old.get(word) or array("I", self.encode(f"{word}A".encode())).tobytes()
+        ids = self.old.get(word) or array("I", self.encode(f"{word}A")).tobytes()
         self[word] = ids
         return ids
 
@@ -105,12 +123,13 @@ class WordBpe:
         self.fast = tiktoken.Encoding("word", pat_str="[^A]+A", mergeable_ranks=ranks, special_tokens={})
         self.sentence_ends = np.zeros(max(known.values()) + 1, dtype=bool)
         self.sentence_ends[[i for t, i in known.items() if t.endswith(suffix) and re.fullmatch(r"[^\s\w]*[.!?]+[^\s\w]*", t.removesuffix(suffix))]] = True
-        self.words = _Words(self.fast._encode_single_piece, cached_words)
+        self.words = _Words(self.fast.encode_ordinary, cached_words)
 
     def encode(self, text: str) -> np.ndarray:
-        if BEYOND_LATIN.search(text) or "<|" in text and any(s in text for s in self.special):
+        low = text.lower()  # two letters of the range have lower-case forms outside it
+        if BEYOND_LATIN.search(low) or BEYOND_LATIN.search(text) or "<|" in text and any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.WORD.findall(text.lower()))), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.WORD.findall(low))), dtype="<u4")
 
 
 @functools.lru_cache(maxsize=4)

@@ -29,6 +29,17 @@ def test_encoders_equal_the_library():
         assert byte.encode(t) == ids and byte.decode(ids) == byte.slow.decode(ids, skip_special_tokens=False)
 
 
+def test_word_encoder_equals_the_library_for_every_fast_letter():
+    word = tokens.word_bpe(WORD)
+    for c in map(chr, range(0x250)):
+        for t in (c, f"a{c}b", f"{c * 3} {c.upper()}{c.lower()}x"):
+            assert word.encode(t).tolist() == word.slow.encode(t, add_special_tokens=False).ids, t
+    junk = [f"{k}zq" * 40 for k in range(50)]
+    before = len(word.words)
+    assert [word.encode(t).tolist() for t in junk] == [word.slow.encode(t, add_special_tokens=False).ids for t in junk]
+    assert len(word.words) - before <= 20  # long words aren't held
+
+
 def test_trees_equal_the_library():
     rng, byte = random.Random(2), tokens.byte_bpe(BYTE)
     params = bpe_trees.TreeParams(long_chars=64, piece_chars=16)
@@ -37,6 +48,41 @@ def test_trees_equal_the_library():
         assert bpe_trees.encode_split(t, byte, params) == byte.slow.encode(t, add_special_tokens=False).ids
 
 
+HARD = ["foo\n\n" + "a" * 20_000, "x" * 5000 + "\n\n" + "b" * 20_000, "a" * 20_000 + "\n\n" + "z" * 20_000, "- - \n\n" * 10 + "=" * 20_000, "\n" * 20_000 + "a", " " * 9000 + "  x", "'" * 9000 + "s", "日" * 9000 + " " * 5000 + "é" * 5000]
+
+
+def test_trees_of_long_runs_equal_the_library():
+    rng, byte = random.Random(6), tokens.byte_bpe(BYTE)
+    blank = lambda: rng.choice([" ", "\n", "\n\n", " \n\t", "\u3000"]) * rng.randint(1, 3000)
+    run = lambda: rng.choice(["a", "=", "7", "é", "ab'", "'ll", "😀"]) * rng.randint(1200, 12_000)
+    for t in HARD + ["".join(blank() + run() for _ in range(rng.randint(1, 3))) for _ in range(12)]:
+        assert bpe_trees.encode_split(t, byte) == byte.slow.encode(t, add_special_tokens=False).ids
+
+
+def test_trees_of_tiny_leaves_equal_the_library():
+    rng, byte = random.Random(7), tokens.byte_bpe(BYTE)
+    kinds = ["abcdefghij", "a", " ", "!?", "123", "'", "\n \t", "é日—", "'s 't're've'll", "😀", "lrevsdtm'", " \u00a0\u3000"]
+    for _ in range(600):
+        t = "".join("".join(rng.choice(k) for _ in range(rng.choice([1, 2, 3, 5, 20, 80]))) for k in rng.choices(kinds, k=rng.randint(1, 12)))
+        params = bpe_trees.TreeParams(long_chars=64, piece_chars=rng.choice([1, 2, 3, 5, 8, 16, 33]), first_window=rng.choice([1, 4]), first_chars=rng.choice([1, 2, 8, 64]))
+        assert bpe_trees.encode_split(t, byte, params) == byte.slow.encode(t, add_special_tokens=False).ids, (t, params)
+
+
+def test_long_documents_take_the_tree(monkeypatch):
+    """Each long text of ``documents`` is joined from leaves, and joins inside pre-tokens occur."""
+    byte = tokens.byte_bpe(BYTE)
+    counts = {"nodes": 0, "runs": 0}
+    for name in ("join_nodes", "join_runs"):
+        real = getattr(bpe_trees, name)
+        monkeypatch.setattr(bpe_trees, name, lambda *a, _real=real, _key=name[5:]: (counts.__setitem__(_key, counts[_key] + 1), _real(*a))[1])
+    texts = [t for t in pd.read_parquet("/root/testdata/sf0.1/documents.parquet")["text"] if t and len(t) > bpe_trees.TreeParams().long_chars][:25]
+    for t in texts:
+        before = counts["nodes"]
+        assert bpe_trees.encode_split(t, byte) == byte.slow.encode(t, add_special_tokens=False).ids
+        assert counts["nodes"] - before == -(-len(t) // bpe_trees.TreeParams().piece_chars) - 1 >= 4
+    assert len(texts) == 25 and counts["runs"] > 25
+
+
 def test_tree_query_rows(spark):
     long = "abc" * 9000 + " " + "word and more " * 4000
     df = spark.createDataFrame([(1, long, 0), (1, long, 0), (2, None, 0), (None, "", 0), (3, "x <|endoftext|> y", 0)], "doc_id bigint, text string, ids int")
@@ -242,6 +288,32 @@ def test_classifier_odd_rows(spark):
     assert quality_classifier.score(docs.where("1 = 0"), model).count() == 0
 
 
+def test_classifier_equals_a_plain_version():
+    """Sizes by a plain zstandard loop, the curve by plain gradient ascent of the same penalised likelihood."""
+    import zstandard
+
+    rng = random.Random(3)
+    words = [["".join(rng.choice(x) for _ in range(rng.randint(3, 8))) for _ in range(300)] for x in ("abcdefghilmnorstu", "defghijkmnopqrt")]
+    texts = [[" ".join(rng.choice(words[rng.random() < p]) for _ in range(rng.randint(5, 400))) for _ in range(80)] for p in (0.3, 0.7)]
+    model = quality_classifier.fit_model(*texts, prior=0.8)
+    packers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(zstandard.train_dictionary(65_536, [t.encode() for t in x[::2]]).as_bytes()), write_content_size=False) for x in texts]
+
+    def difference(t):
+        good, bad = ([len(p.compress(t.encode()[k : k + 1024])) for k in range(0, len(t.encode()), 1024)] for p in packers)
+        return (sum(bad) - sum(good)) / (sum(bad) + sum(good))
+
+    x = np.array([difference(t) for k in (0, 1) for t in texts[k][1::2]])
+    y = np.repeat([1.0, 0.0], 40)
+    weight = np.where(y == 1, 0.8 / 40, 0.2 / 40) * 80
+    z, a, b = x / x.std(), 0.0, 0.0
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(a * z + b)))
+        a, b = a + 0.01 * ((weight * (y - p) * z).sum() - 0.1 * a), b + 0.01 * (weight * (y - p)).sum()
+    asked = [texts[0][0], texts[1][3], "short", "", None, texts[0][1] * 30]
+    want = [1 / (1 + np.exp(-(a * difference(t) / x.std() + b))) if t else 0.8 for t in asked]
+    assert np.allclose(model.score(asked), want, atol=1e-4)
+
+
 def test_classifier_judges_all_of_a_long_text():
     rng = random.Random(12)
     words = [["".join(rng.choice(x) for _ in range(rng.randint(3, 8))) for _ in range(2000)] for x in ("abcdefghilmnorstu", "defghijkqvwxyz")]
@@ -260,6 +332,21 @@ def test_language_held_out(spark):
     assert docs.where(fold(F.col("doc_id"), 4) == 2).count() == len(got)
 
 
+def test_language_odd_rows(spark):
+    known = spark.createDataFrame([(k, ("aba cab bac " if k % 2 else "xyx zyx yzz ") * 30, "ab" if k % 2 else "xy") for k in range(40)] + [(None, "aba", "q"), (50, None, "q"), (51, "zz", None), (52, "y" * 30_000, "q")], "doc_id bigint, text string, lang string")
+    model = language_id.learn(known)
+    assert model.langs == ["ab", "xy"]
+    asked = spark.createDataFrame([(1, None, "l", 9.0), (1, "", "l", 9.0), (None, "12 !?", "l", 9.0), (2, "bac cab", "l", 9.0), (2, "bac cab", "l", 9.0), (3, "zyx " * 100_000, "l", 9.0)], "doc_id bigint, text string, lang_pred string, score double")
+    got = [(r.doc_id, r.lang_pred, round(r.score, 3)) for r in language_id.identify(asked, model).collect()]
+    assert got == [(1, "und", 0), (1, "und", 0), (None, "und", 0), (2, "ab", 1), (2, "ab", 1), (3, "xy", 1)]
+    assert language_id.identify(asked.where("1 = 0"), model).count() == 0
+    nothing = language_id.learn(known.where("1 = 0"))
+    assert {r.lang_pred for r in language_id.identify(asked, nothing).collect()} == {"und"}
+    for few in (language_id.PpmParams(most_langs=1), language_id.PpmParams(most_bytes=1000)):
+        with pytest.raises(ValueError):
+            language_id.learn(known, few)
+
+
 def test_code_lengths_are_exact():
     samples = {"a": [b"abracadabra", b"abra"], "b": [b"banana bandana"]}
     model = language_id.PpmModel(samples, language_id.PpmParams(max_order=2, chunk_bytes=8))
