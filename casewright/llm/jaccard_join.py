@@ -16,7 +16,9 @@ shingles in 256 bins) allow a link; groups above ``split_members`` are keyed onc
 before that, and what is still larger is compared block by block. Pairs are verified exactly on the whole texts. Components grow by rounds of smallest labels, each round written to the
 shared folder; nothing but counts comes to the driver.
 
-Shingles, contents and classes are compared by 64-bit hashes. A group's members pass a task as rows of 16 bytes, and only
+Candidates come from hashes; classes are told apart by 128-bit digests of their sets, and every link is verified on the
+shingles themselves. Classes are named by half of their digest; the few halves that different sets share (about n * n / 2 ** 65
+of n classes) are found first, and these sets are named anew. A group's members pass a task as rows of 16 bytes, and only
 cells of about ``split_members`` are held.
 
 Defined results: null and blank texts have an empty set and link with nothing; rows with a null id have no links and a null
@@ -27,6 +29,7 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +42,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BINS = 256
-BASE = 0x9E3779B97F4A7C15 | 1
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,7 @@ class JoinParams:
     percent: int = 80
     split_members: int = 2000
     batch_bytes: int = 1 << 20
+    most_odd: int = 100_000  # class halves that several sets share; about n * n / 2 ** 65 of n classes are to be expected
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -58,39 +61,51 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    full = lambda base: np.cumprod(np.full(n, base, dtype=np.uint64)) * np.uint64(pow(base, -1, 1 << 64))
-    return full(BASE), full(pow(BASE, -1, 1 << 64))
-
-
-def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
-    """Each text's distinct shingles as ascending hashes; blank texts have none."""
-    raw = [b" ".join(t.encode("utf-8", "replace").lower().split()) if t else b"" for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    stops = np.flatnonzero((data == 32) | (data == 10))
-    starts = np.concatenate([[0], stops[:-1] + 1])
-    last = np.flatnonzero(data[stops] == 10)  # each text's last word
-    out, begin = [], 0
-    for end in (last + 1).tolist():
-        n = end - begin
-        if n == 1 and starts[begin] == stops[begin]:
-            out.append(np.zeros(0, dtype=np.uint64))
-        else:
-            k = min(n, words)
-            a, b = starts[begin : end - k + 1], stops[begin + k - 1 : end]
-            h = (sums[b] - sums[a]) * down[a]
-            out.append(np.unique(mix(h ^ ((b - a).astype(np.uint64) << np.uint64(40)))))
-        begin = end
-    return out
+def split_words(text: str | None) -> list[bytes]:
+    """The words of a text, with A-Z lower-cased."""
+    return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def fingerprint(sets: list[np.ndarray]) -> np.ndarray:
-    """A hash of each set (0 for empty ones)."""
-    return np.array([int(np.bitwise_xor(mix(s, 1).sum(dtype=np.uint64), np.uint64(len(s)))) if len(s) else 0 for s in sets], dtype=np.uint64)
+def shingle_sets(texts: list[str | None], words: int = 5) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's distinct shingles as ascending 64-bit hashes, and a 128-bit digest of each set (0 for empty ones).
+
+    Words have 128-bit digests, which a shingle's words are chained to, in two independent halves. A set's shingles are its first
+    halves; its digest is taken of both.
+    """
+    split = [split_words(t) for t in texts]
+    index: dict[bytes, int] = {}
+    number = np.fromiter((index.setdefault(w, len(index)) for row in split for w in row), dtype=np.intp)
+    known = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in index), dtype=np.uint64).reshape(-1, 2)
+    sets, digests, begin = [], np.zeros((len(texts), 2), dtype=np.uint64), 0
+    halves = [known[:, k][number] for k in (0, 1)]
+    n = len(number)
+    chained = []
+    for h in halves:
+        state = np.full(max(0, n - words + 1), words, dtype=np.uint64)
+        for k in range(words):
+            state = mix(state ^ h[k : k + len(state)], k)
+        chained.append(state)
+    for i, row in enumerate(split):
+        if len(row) >= words:
+            first, second = (c[begin : begin + len(row) - words + 1] for c in chained)
+        else:
+            first, second = (np.full(min(1, len(row)), len(row), dtype=np.uint64) for _ in halves)
+            for k in range(len(row)):
+                first, second = (mix(s ^ h[begin + k], k) for s, h in zip((first, second), halves))
+        begin += len(row)
+        own, at = np.unique(first, return_index=True)
+        sets.append(own)
+        if len(own):
+            digests[i] = np.frombuffer(hashlib.blake2b(own.tobytes() + second[at].tobytes(), digest_size=16).digest(), dtype=np.uint64)
+    return sets, digests
+
+
+def fingerprint(digests: np.ndarray, odd: frozenset[int] = frozenset()) -> np.ndarray:
+    """A class of each set: half of its digest, and for the halves in ``odd``, which several sets have, one of the whole digest."""
+    out = digests[:, 0].copy()
+    for k in np.flatnonzero(np.isin(out.view(np.int64), list(odd))) if odd else ():
+        out[k] = mix(digests[k, :1] ^ mix(digests[k, 1:]))[0]
+    return out
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -151,6 +166,18 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common) and common > 0
 
 
+def word_shingles(text: str, words: int) -> set[tuple[bytes, ...]]:
+    row = split_words(text)
+    return set(zip(*(row[k:] for k in range(words)))) if len(row) >= words else {tuple(row)} if row else set()
+
+
+def linked_texts(a: str, b: str, words: int, percent: int) -> bool:
+    """Whether two texts' shingles themselves reach the threshold."""
+    x, y = word_shingles(a, words), word_shingles(b, words)
+    common = len(x & y)
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _portions(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     """Parts of the batches with texts of about ``most`` bytes."""
     for batch in batches:
@@ -162,27 +189,50 @@ def _portions(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFra
 
 
 def classes(docs: DataFrame, text: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
-    """``doc_id``, the class ``fp`` (null for empty sets) and the set's size, for each row."""
+    """``doc_id``, the class by its two halves ``fp`` and ``rest`` (null for empty sets) and the set's size, for each row."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _portions(batches, params.batch_bytes):
-            sets = shingle_sets(part["text"].where(part["text"].notna(), None).tolist(), params.words)
+            sets, digests = shingle_sets(part["text"].where(part["text"].notna(), None).tolist(), params.words)
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "fp": pd.array(fingerprint(sets).view(np.int64), dtype="Int64"), "n_shingles": n})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "fp": digests[:, 0].view(np.int64), "rest": digests[:, 1].view(np.int64), "n_shingles": n})
 
     kind = dict(docs.dtypes)["doc_id"]
     slim = docs.select("doc_id", F.col(text).alias("text"))
-    return slim.mapInPandas(rows, f"doc_id {kind}, fp bigint, n_shingles bigint").withColumn("fp", F.when(F.col("n_shingles") > 0, F.col("fp")))
+    found = slim.mapInPandas(rows, f"doc_id {kind}, fp bigint, rest bigint, n_shingles bigint")
+    return found.withColumns({c: F.when(F.col("n_shingles") > 0, F.col(c)) for c in ("fp", "rest")})
+
+
+def odd_halves(of: DataFrame, params: JoinParams) -> frozenset[int]:
+    """The first halves that different sets of the table share. There are next to none, and more than ``most_odd`` are an error."""
+    shared = of.groupBy("fp").agg(F.min("rest").alias("low"), F.max("rest").alias("high")).where("low < high").select("fp").limit(params.most_odd + 1).collect()
+    if len(shared) > params.most_odd:
+        raise ValueError("more classes share half a digest than can be by chance")
+    return frozenset(r["fp"] for r in shared)
+
+
+def settled(of: DataFrame, odd: frozenset[int]) -> DataFrame:
+    """``of`` with classes that hold equal sets alone (see ``fingerprint``)."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            digests = np.stack([batch[c].to_numpy(dtype=np.int64, na_value=0) for c in ("fp", "rest")], axis=1).view(np.uint64)
+            yield batch.assign(fp=pd.array(fingerprint(digests, odd).view(np.int64), dtype="Int64")).drop(columns="rest")
+
+    if not odd:
+        return of.drop("rest")
+    schema = ", ".join(f"{c} {t}" for c, t in of.dtypes if c != "rest")
+    return of.mapInPandas(rows, schema).withColumn("fp", F.when(F.col("n_shingles") > 0, F.col("fp")))
 
 
-def keyed(rows: DataFrame, params: JoinParams, seed: int = 0, outer: bool = False) -> DataFrame:
+def keyed(rows: DataFrame, params: JoinParams, odd: frozenset[int] = frozenset(), seed: int = 0, outer: bool = False) -> DataFrame:
     """``key`` and ``fp`` of the sets of ``rows`` (text; with ``outer``, keys are bound to the rows' own ``key``)."""
     schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _portions((b.to_pandas() for b in batches), params.batch_bytes):
-            sets = shingle_sets(part["text"].where(part["text"].notna(), None).tolist(), params.words)
-            fp = fingerprint(sets)
+            sets, digests = shingle_sets(part["text"].where(part["text"].notna(), None).tolist(), params.words)
+            fp = fingerprint(digests, odd)
             if not outer:  # a class needs its keys once
                 _, once = np.unique(fp, return_index=True)
                 sets, fp = [sets[k] for k in once], fp[once]
@@ -236,7 +286,7 @@ def stars(shared: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold. Texts are joined to pairs, so that hot classes can be split by adaptive execution."""
+    """The pairs (a, b) whose sets reach the threshold, by their hashes and then by the shingles themselves. Texts are joined to pairs, so that hot classes can be split by adaptive execution."""
     one = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -245,8 +295,9 @@ def verify(pairs: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
             for k in range(0, len(batch), 256):
                 part = batch.iloc[k : k + 256]
                 fps = dict(zip([*part["a"], *part["b"]], [*part["text_a"], *part["text_b"]]))
-                sets = dict(zip(fps, shingle_sets(list(fps.values()), params.words)))
-                good = [jaccard_at_least(sets[a], sets[b], params.percent) for a, b in zip(part["a"], part["b"])]
+                sets = dict(zip(fps, shingle_sets(list(fps.values()), params.words)[0]))
+                near = (jaccard_at_least(sets[a], sets[b], params.percent) for a, b in zip(part["a"], part["b"]))
+                good = [ok and linked_texts(x, y, params.words, params.percent) for ok, x, y in zip(near, part["text_a"], part["text_b"])]
                 yield part.loc[good, ["a", "b"]]
 
     return both.select("a", "b", "text_a", "text_b").mapInPandas(linked, "a bigint, b bigint")
@@ -334,29 +385,29 @@ def cross_pairs(rows: DataFrame, params: JoinParams) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(pairs, "a bigint, b bigint").distinct()
 
 
-def links(docs: DataFrame, of: DataFrame, text: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
+def links(docs: DataFrame, of: DataFrame, odd: frozenset[int] = frozenset(), text: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
     """Verified links (a, b) between classes that connect whatever the threshold connects. ``of``: the classes of ``docs``."""
-    shared = materialize(shared_keys(keyed(docs.where("doc_id is not null").select(F.col(text).alias("text")), params)), "shared")
+    shared = materialize(shared_keys(keyed(docs.where("doc_id is not null").select(F.col(text).alias("text")), params, odd)), "shared")
     needed = of.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")).join(shared.select("fp").distinct(), "fp", "left_semi")
     # of rows that repeat an id, those with the class's own text are needed; its class is told by the text itself
-    found = classes_with_text(docs.join(needed.select("doc_id"), "doc_id", "left_semi"), text, params)
+    found = classes_with_text(docs.join(needed.select("doc_id"), "doc_id", "left_semi"), odd, text, params)
     texts = materialize(found.join(needed.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("text").alias("text")), "texts")
     first = materialize(verify(stars(shared), texts, params), "links")
     rows = apart(shared, components(first))
     small = rows.where(F.col("n") <= params.split_members).select("key", "fp", "label")
     large = rows.where(F.col("n") > params.split_members).select("key", "fp", "label")
     # large groups are keyed again by a second partition of the universe: what links there must share a key of it, too
-    again = materialize(shared_keys(keyed(large.join(texts.select("fp", "text"), "fp"), params, seed=1, outer=True)), "again").join(large.select("fp", "label").distinct(), "fp")
+    again = materialize(shared_keys(keyed(large.join(texts.select("fp", "text"), "fp"), params, odd, seed=1, outer=True)), "again").join(large.select("fp", "label").distinct(), "fp")
     todo = blocks(small.unionByName(again.select("key", "fp", "label")), params).join(texts.select("fp", "size", "sketch"), "fp")
     second = verify(cross_pairs(todo, params), texts, params)
     return first.unionByName(materialize(second, "links"))
 
 
-def classes_with_text(docs: DataFrame, text: str, params: JoinParams) -> DataFrame:
+def classes_with_text(docs: DataFrame, odd: frozenset[int], text: str, params: JoinParams) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _portions(batches, params.batch_bytes):
-            sets = shingle_sets(part["text"].tolist(), params.words)
-            yield pd.DataFrame({"fp": fingerprint(sets).view(np.int64), "size": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "text": part["text"].to_numpy()})
+            sets, digests = shingle_sets(part["text"].tolist(), params.words)
+            yield pd.DataFrame({"fp": fingerprint(digests, odd).view(np.int64), "size": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "text": part["text"].to_numpy()})
 
     return docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(rows, "fp bigint, size bigint, sketch binary, text string").where("size > 0")
 
@@ -364,10 +415,12 @@ def classes_with_text(docs: DataFrame, text: str, params: JoinParams) -> DataFra
 def jaccard_components(docs: DataFrame, text: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of each row."""
     of = materialize(classes(docs, text, params), "classes")
+    odd = odd_halves(of, params)
+    of = settled(of, odd)
     ids = of.where("doc_id is not null and fp is not null")
     # an id whose rows have different texts links these, too
     repeated = ids.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").join(ids, "doc_id").where("fp != a").select("a", F.col("fp").alias("b"))
-    labels = components(links(docs, of, text, params).unionByName(repeated))
+    labels = components(links(docs, of, odd, text, params).unionByName(repeated))
     smallest = ids.groupBy("fp").agg(F.min("doc_id").alias("low")).join(labels, "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     smallest = materialize(smallest, "smallest")
     lowest = smallest.groupBy("label").agg(F.min("low").alias("component_id"))

@@ -7,7 +7,8 @@ Lines of fewer than ``min_line_words`` and sentences of fewer than ``min_sentenc
 own, as such short ones coincide by chance. With ``passages`` they count together with their neighbours: the shortest
 groups of consecutive sentences of a line that begin or end with a short one and have ``min_sentence_words`` words are
 units too, and such groups of consecutive short lines, so that a passage of short sentences goes group by group; and scripts without
-blanks have their own sentence marks and count two characters as a word.
+blanks have their own sentence marks and count two characters as a word. Of what repeats, only runs of neighbouring units with
+``min_run_words`` words together go: a single common line or sentence is no passage.
 
 Removed spans keep their offsets in the original text (code points, the line's end mark included) and the document
 that keeps the unit. A line that goes as a whole is one span.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -43,12 +44,22 @@ SPANS = "array<struct<start:int,length:int,kept_in:bigint>>"
 class DedupParams:
     min_line_words: int = 4
     min_sentence_words: int = 8
+    min_run_words: int = 16
     passages: bool = True
 
 
-def n_words(words: list[str]) -> int:
+def split_words(text: str) -> list[bytes]:
+    """The words ``[^\\x20\\x09-\\x0D]+``, lower-cased, in UTF-8."""
+    return text.lower().encode("utf-8", "replace").split()
+
+
+def n_words(words: list[bytes]) -> int:
     """Words, with each two characters of scripts without blanks as one."""
-    return sum(max(1, len(NO_BLANKS.findall(w)) // 2) for w in words)
+    return sum(max(1, len(NO_BLANKS.findall(w.decode())) // 2) for w in words)
+
+
+def counter(text: str, params: DedupParams) -> Callable[[list[bytes]], int]:
+    return n_words if params.passages and NO_BLANKS.search(text) else len
 
 
 def groups(parts: list[tuple[int, int, int]], short: int, least: int) -> set[tuple[int, int]]:
@@ -74,49 +85,49 @@ def groups(parts: list[tuple[int, int, int]], short: int, least: int) -> set[tup
     return set(found)
 
 
-def passages(text: str, params: DedupParams) -> Iterator[tuple[int, int, bool, str]]:
+def passages(text: str, params: DedupParams) -> Iterator[tuple[int, int, bool, bytes]]:
     """``units`` and the groups of short sentences and lines."""
-    count = n_words if NO_BLANKS.search(text) else len
+    count = counter(text, params)
     start, lines = 0, []
     for line in text.split("\n"):
-        words = line.lower().split()
+        words = split_words(line)
         n, end = count(words), min(start + len(line) + 1, len(text))
         lines.append((start, end, n))
         if n >= params.min_line_words:
-            yield start, end - start, True, " ".join(words)
+            yield start, end - start, True, b" ".join(words)
         found = list(ANY_SENTENCE.finditer(line)) if n >= params.min_sentence_words else []
         if len(found) > 1:
-            inner = [m[0].lower().split() for m in found]
+            inner = [split_words(m[0]) for m in found]
             parts = [(start + m.start(), start + m.end(), count(w)) for m, w in zip(found, inner)]
             for (begin, stop, k), w in zip(parts, inner):
                 if k >= params.min_sentence_words:
-                    yield begin, stop - begin, False, " ".join(w)
+                    yield begin, stop - begin, False, b" ".join(w)
             for a, b in groups(parts, params.min_sentence_words, params.min_sentence_words):
                 if (a, b) != (0, len(parts) - 1):
-                    yield parts[a][0], parts[b][1] - parts[a][0], False, " ".join(w for x in inner[a : b + 1] for w in x)
+                    yield parts[a][0], parts[b][1] - parts[a][0], False, b" ".join(w for x in inner[a : b + 1] for w in x)
         start += len(line) + 1
     for below, run in itertools.groupby(lines, lambda x: x[2] < params.min_line_words):
         run = list(run) if below else []
         for a, b in groups(run, params.min_line_words, params.min_sentence_words):
-            yield run[a][0], run[b][1] - run[a][0], True, " ".join(text[run[a][0] : run[b][1]].lower().split())
+            yield run[a][0], run[b][1] - run[a][0], True, b" ".join(split_words(text[run[a][0] : run[b][1]]))
 
 
-def units(text: str, params: DedupParams = DedupParams()) -> Iterator[tuple[int, int, bool, str]]:
+def units(text: str, params: DedupParams = DedupParams()) -> Iterator[tuple[int, int, bool, bytes]]:
     """``(start, length, whole lines, normalised unit)`` of each unit that counts."""
     if params.passages:
         yield from passages(text, params)
         return
     start = 0
     for line in text.split("\n"):
-        plain = line.lower().split()
+        plain = split_words(line)
         if len(plain) >= params.min_line_words:
-            yield start, len(line) + (start + len(line) < len(text)), True, " ".join(plain)
+            yield start, len(line) + (start + len(line) < len(text)), True, b" ".join(plain)
         if len(plain) >= params.min_sentence_words:
             found = list(SENTENCE.finditer(line))
             for m in found if len(found) > 1 else ():
-                inner = m[0].lower().split()
+                inner = split_words(m[0])
                 if len(inner) >= params.min_sentence_words:
-                    yield start + m.start(), len(m[0]), False, " ".join(inner)
+                    yield start + m.start(), len(m[0]), False, b" ".join(inner)
         start += len(line) + 1
 
 
@@ -131,7 +142,7 @@ def unit_table(docs: DataFrame, text: str = "text", params: DedupParams = DedupP
             for doc, key, t in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
                 doc = None if pd.isna(doc) else int(doc)
                 for start, length, whole, plain in units(t, params):
-                    d = xxhash.xxh3_128_intdigest(plain.encode("utf-8", "replace"))
+                    d = xxhash.xxh3_128_intdigest(plain)
                     out.append((doc, key, start, length, whole, signed(d >> 64), signed(d & ((1 << 64) - 1))))
                 if len(out) >= 50_000:
                     yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
@@ -151,20 +162,27 @@ def removals(found: DataFrame) -> DataFrame:
     return found.join(first, ["h1", "h2"]).where((rank != F.col("first")) & ~within).select("doc_id", "text_hash", "start", "length", "whole", F.col("first.doc").alias("kept_in"))
 
 
-def _outer(spans: list) -> list[tuple[int, int, int]]:
-    """Spans in order, without those inside a removed line; of groups that overlap, each has what the ones before left."""
-    out, end = [], 0
+def _outer(text: str, spans: list, params: DedupParams) -> list[tuple[int, int, int]]:
+    """Spans in order, without those inside a removed line; of groups that overlap, each has what the ones before left. Runs of too few words stay."""
+    out, end, count = [], 0, counter(text, params)
     for s in sorted(spans, key=lambda s: (s["start"], -s["length"])):
         start, stop = max(s["start"], end), s["start"] + s["length"]
         if stop > start:
             out.append((start, stop - start, s["kept_in"]))
             end = stop
-    return out
+    kept: list[tuple[int, int, int]] = []
+    begin = 0
+    for k in range(1, len(out) + 1):
+        if k == len(out) or out[k][0] != out[k - 1][0] + out[k - 1][1]:
+            if count(split_words(text[out[begin][0] : out[k - 1][0] + out[k - 1][1]])) >= params.min_run_words:
+                kept += out[begin:k]
+            begin = k
+    return kept
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", params: DedupParams = DedupParams()) -> DataFrame:
     """Each document with its remaining ``text`` and the ``removed`` spans of its original text (null text: none)."""
-    names = [c for c in docs.columns if c not in {"removed", "n_units"}]
+    names = [c for c in docs.columns if c != "removed"]
     gone = removals(materialize(unit_table(docs, text, params), "units"))
     by_doc = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length", "kept_in")).alias("__spans"))
 
@@ -172,7 +190,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", params: DedupParams = Dedup
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         left, removed = [], []
         for t, found in zip(texts, spans):
-            kept = _outer(found) if found is not None else []
+            kept = _outer(t, found, params) if found is not None else []
             at, parts = 0, []
             for start, length, _ in kept:
                 parts.append(t[at:start])

@@ -31,7 +31,7 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR 100 * n_symbols > 50 * n_words) AS bad FROM f GROUP BY source),
 moments AS (SELECT sum(bad) / sum(n) AS rate, greatest(0, sum(bad * bad / n) / sum(n) - (sum(bad) / sum(n)) ** 2 - (sum(bad) / sum(n)) * (1 - sum(bad) / sum(n)) * count(*) / sum(n)) AS spread FROM hosts),
 prior AS (SELECT rate, least(1000.0, greatest(2.0, CASE WHEN spread = 0 THEN 1000.0 ELSE rate * (1 - rate) / spread - 1 END)) AS strength FROM moments),
-verdict AS (SELECT source, source IS NOT NULL AND (bad + rate * strength) / (n + strength) > 0.6 AS rejected FROM hosts, prior)
+verdict AS (SELECT source, source IS NOT NULL AND (bad + rate * strength) / (n + strength) * (1 - rate) > 3.0 * rate * (1 - (bad + rate * strength) / (n + strength)) AS rejected FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
@@ -44,11 +44,13 @@ e AS (SELECT doc_id, start AS line_start, unnest(parts) AS part, generate_subscr
 o AS (SELECT doc_id, part, (line_start + sum(length(part)) OVER (PARTITION BY doc_id, line_start ORDER BY j) - length(part))::BIGINT AS start FROM e),
 u AS (SELECT doc_id, start, length(line) + CASE WHEN start + length(line) < total THEN 1 ELSE 0 END AS length, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w, 4 AS least FROM p
   UNION ALL SELECT doc_id, start, length(part), regexp_extract_all(lower(part), '[^\x20\x09-\x0D]+'), 8 FROM o),
-n AS (SELECT doc_id, start, length, array_to_string(w, ' ') AS unit FROM u WHERE len(w) >= least),
+n AS (SELECT doc_id, start, length, len(w) AS words, array_to_string(w, ' ') AS unit FROM u WHERE len(w) >= least),
 r AS (SELECT *, first_value(doc_id) OVER x AS kept_in, first_value(start) OVER x AS kept_at FROM n WINDOW x AS (PARTITION BY unit ORDER BY doc_id, start)),
-gone AS (SELECT DISTINCT doc_id, start, length, kept_in FROM r WHERE doc_id <> kept_in OR start <> kept_at),
+gone AS (SELECT DISTINCT doc_id, start, length, kept_in, words FROM r WHERE doc_id <> kept_in OR start <> kept_at),
 outer_spans AS (SELECT g.* FROM gone g WHERE NOT EXISTS (SELECT 1 FROM gone b WHERE b.doc_id = g.doc_id AND b.start <= g.start AND b.start + b.length >= g.start + g.length AND b.length > g.length)),
-spans AS (SELECT doc_id, count(*) AS n, sum(length)::BIGINT AS chars, string_agg(start || ':' || length || ':' || kept_in, ',' ORDER BY start) AS removed, list(start ORDER BY start) AS starts, list(length ORDER BY start) AS lengths FROM outer_spans GROUP BY doc_id),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM (SELECT *, CASE WHEN start = lag(start + length) OVER (PARTITION BY doc_id ORDER BY start) THEN 0 ELSE 1 END AS fresh FROM outer_spans)),
+long_spans AS (SELECT * FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS run_words FROM runs) WHERE run_words >= 16),
+spans AS (SELECT doc_id, count(*) AS n, sum(length)::BIGINT AS chars, string_agg(start || ':' || length || ':' || kept_in, ',' ORDER BY start) AS removed, list(start ORDER BY start) AS starts, list(length ORDER BY start) AS lengths FROM long_spans GROUP BY doc_id),
 c AS (SELECT d.doc_id, n, chars, removed, CASE WHEN n IS NULL THEN d.text ELSE
   array_to_string(list_transform(range(0, n + 1), lambda i: substr(d.text, CASE WHEN i = 0 THEN 1 ELSE starts[i] + lengths[i] + 1 END, CASE WHEN i = n THEN length(d.text) ELSE starts[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE starts[i] + lengths[i] END)), '') END AS text
   FROM documents d LEFT JOIN spans s USING (doc_id))

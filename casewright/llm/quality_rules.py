@@ -2,7 +2,8 @@
 
 Each document is measured by rules of its own text. The failures are summed by host, each host's failure rate
 is shrunk towards the corpus with a beta prior fitted to the hosts themselves (method of moments), and the
-hosts' verdicts are joined back to the documents.
+hosts' verdicts are joined back to the documents: a host goes as a whole if the odds of its shrunken rate are more than
+``max_host_odds`` times those of the whole table. Where hosts differ no more than chance has it, the prior is strong and none goes.
 
 Defined results: a null text has no words and fails the base rules; documents with a null host form a host of
 their own, which is never rejected as a whole; repeated rows count as often as they occur; an empty table gives an
@@ -27,7 +28,7 @@ class HostRules:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbol_percent: int = 50  # symbols for each 100 words, counted as a failure of the host only
-    max_host_rate: float = 0.6  # of the shrunken failure rate
+    max_host_odds: float = 3.0  # of the shrunken failure rate, as a multiple of the whole table's odds of failing
     least_strength: float = 2.0  # of the prior, in documents
     most_strength: float = 1000.0
 
@@ -87,7 +88,8 @@ def host_verdicts(measured: DataFrame, host: str = "source", rules: HostRules =
     strength = rules.most_strength if spread == 0 else rate * (1 - rate) / spread - 1
     strength = min(rules.most_strength, max(rules.least_strength, strength))
     shrunk = (F.col("n_failed") + rate * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host").isNotNull() & (F.col("host_rate") > rules.max_host_rate))
+    worse = F.col("host_rate") * (1 - rate) > rules.max_host_odds * rate * (1 - F.col("host_rate"))
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host").isNotNull() & worse)
 
 
 def judge(measured: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:

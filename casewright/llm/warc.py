@@ -2,12 +2,15 @@
 
 Writing is a plain DataFrame job: payload digests, the choice of response and revisit records, and the record text
 are built-in functions, and Spark's text writer stores the records (the blank lines that end a WARC record are its line
-separator), so archives go to whatever file system the shared folder is on. Reading takes the archives as Spark's binary files;
-keep single archives well below 2 GB, the writer's are as large as a partition at most.
+separator), so archives go to whatever file system the shared folder is on. Reading takes each archive as one of Spark's binary
+files, so the writer bounds their records by the mean size of a payload to about ``archive_bytes``.
 
 The reader checks each record (version line, header block, length, end marks, payload digest; for gzip members also the
-member's own check sum). After a failed check it searches for the next version line or gzip magic at which a whole record is
-valid, goes on from there, and reports the bytes in between as a ``gap`` row with the reason.
+member's own check sum). Plain records and gzip members may stand in one file in any order. After a failed check it searches for
+the next version line or gzip magic at which a whole record is valid, goes on from there, and reports the bytes in between as a
+``gap`` row with the reason. Of a member that holds more than one record, is damaged within, or was cut short, the records that can
+be unpacked are salvaged in the same way, and rows of these carry the member's offset and ``inner``, the place in the unpacked data. A
+member that unpacks to more than ``MOST_UNPACKED`` bytes is salvaged up to there, and the rest is a gap.
 
 Defined results: a null payload is empty; a null id is written without a record id, and reads back as null; rows
 with equal id and payload are all responses; an empty table gives no archive and no row.
@@ -33,8 +36,9 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MAGIC = b"\x1f\x8b\x08"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EPOCH = "1970-01-01T00:00:00Z"
+MOST_UNPACKED = 1 << 30
 RECORD_SCHEMA = (
-    "archive string, kind string, offset bigint, length bigint, reason string, record_type string, record_id string, refers_to string, "
+    "archive string, kind string, offset bigint, length bigint, inner bigint, reason string, record_type string, record_id string, refers_to string, "
     "target_uri string, payload_digest string, payload_bytes bigint, payload binary"
 )
 
@@ -67,9 +71,11 @@ def with_revisits(pages: DataFrame, key: str, payload: str, min_bytes: int = 0)
     )
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = EPOCH) -> None:
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = EPOCH, archive_bytes: int = 1 << 28) -> None:
     """Write one WARC/1.1 record for each row below ``path``. A revisit carries its payload's digest and length, not the payload."""
     rows = with_revisits(pages, key, payload, min_bytes)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(F.col(payload).cast("string")), F.lit(0)))).first()[0] or 0
+    most = max(1, int(archive_bytes / (mean + 512)))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     urn = lambda c: F.concat(F.lit("<urn:record:"), c.cast("string"), F.lit(">"))
     response = F.col("record_type") == "response"
@@ -86,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         line("Content-Length", F.octet_length(content).cast("string")),
         F.lit("\r\n"),
     )
-    rows.select(F.concat(head, content).alias("value")).write.option("lineSep", END.decode()).text(path)
+    rows.select(F.concat(head, content).alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).text(path)
 
 
 @dataclass
@@ -95,6 +101,15 @@ class Record:
     end: int
     headers: dict[str, str]
     body: bytes
+    inner: int = 0  # place in the unpacked member
+
+
+@dataclass
+class Gap:
+    start: int
+    end: int
+    reason: str
+    inner: int = 0
 
 
 def parse_record(data: bytes, at: int) -> Record | str:
@@ -123,58 +138,98 @@ def parse_record(data: bytes, at: int) -> Record | str:
     return Record(at, end + len(END), headers, body)
 
 
-def parse_member(data: bytes, at: int) -> Record | str:
-    """The record in the gzip member at ``at``; start and end are places in the compressed file."""
-    if data[at : at + 3] != MAGIC:
-        return "no gzip magic"
-    unpack = zlib.decompressobj(31)
+def unpack_member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` holds, its end, and what is wrong with it (empty: nothing)."""
+    unpack, parts, size, begin = zlib.decompressobj(31), [], 0, at
     try:
-        plain = unpack.decompress(memoryview(data)[at:])
+        while not unpack.eof and begin < len(data) and size < MOST_UNPACKED:
+            piece = data[begin : begin + (1 << 20)]
+            parts.append(unpack.decompress(piece, MOST_UNPACKED - size))
+            size += len(parts[-1])
+            begin += len(piece) - len(unpack.unconsumed_tail)
     except zlib.error as e:
-        return f"gzip: {e}"[:80]
+        return b"".join(parts), at, f"gzip: {e}"[:80]
     if not unpack.eof:
-        return "gzip member cut short"
-    found = parse_record(plain, 0)
-    if isinstance(found, str):
-        return found
-    return "more in a member than a record" if found.end != len(plain) else Record(at, len(data) - len(unpack.unused_data), found.headers, found.body)
+        return b"".join(parts), at, "gzip member too large" if size >= MOST_UNPACKED else "gzip member cut short"
+    return b"".join(parts), begin - len(unpack.unused_data), ""
 
 
-def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Records in order, and ``(start, end, reason)`` for each gap between them."""
-    packed = data[:2] == MAGIC[:2] or (not VERSION.match(data) and (m := data.find(MAGIC)) >= 0 and not VERSION.search(data, 0, m))
-    parse = parse_member if packed else parse_record
-    at, gap, why = 0, None, ""
-    while at < len(data):
-        found = parse(data, at)
+def parse_member(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """The records and gaps in the gzip member at ``at`` (start and end are places in the file), and where the next member can begin."""
+    plain, end, wrong = unpack_member(data, at)
+    found = list(salvage_plain(plain))
+    if not wrong and all(isinstance(f, Record) for f in found):
+        return [Record(at, end, f.headers, f.body, f.start) for f in found], end
+    # a damaged member's own end isn't known: the next one is searched for
+    stop = end if not wrong else data.find(MAGIC, at + 1)
+    stop = len(data) if stop < 0 else stop
+    out: list[Record | Gap] = []
+    for f in found:
+        out.append(Record(at, stop, f.headers, f.body, f.start) if isinstance(f, Record) else Gap(at, stop, wrong or f.reason, f.start))
+    if wrong and not any(isinstance(f, Gap) for f in out):
+        out.append(Gap(at, stop, wrong, len(plain)))
+    return out, stop
+
+
+def salvage_plain(data: bytes, at: int = 0) -> Iterator[Record | Gap]:
+    """Records of plain data in order, and a gap for what lies between them."""
+    gap, why = None, ""
+    while 0 <= at < len(data):
+        found = parse_record(data, at)
         if isinstance(found, Record):
             if gap is not None:
-                yield gap, at, why
+                yield Gap(gap, at, why, gap)
                 gap = None
             yield found
             at = found.end
             continue
         if gap is None:
             gap, why = at, found
-        if packed:
-            at = data.find(MAGIC, at + 1)
+        m = VERSION.search(data, at + 1)
+        at = m.start() if m else -1
+    if gap is not None:
+        yield Gap(gap, len(data), why, gap)
+
+
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """Records of an archive in order, and a gap for what lies between them."""
+    at, gap, why = 0, None, ""
+    while 0 <= at < len(data):
+        found, end = [], at
+        if data.startswith(MAGIC, at):
+            found, end = parse_member(data, at)
+            wrong = next((f.reason for f in found if isinstance(f, Gap)), "empty gzip member")
+            if not any(isinstance(f, Record) for f in found):
+                found = []
         else:
-            m = VERSION.search(data, at + 1)
-            at = m.start() if m else -1
-        if at < 0:
-            break
+            one = parse_record(data, at)
+            if isinstance(one, Record):
+                found, end = [one], one.end
+            else:
+                wrong = one
+        if found:
+            if gap is not None:
+                yield Gap(gap, at, why)
+                gap = None
+            yield from found
+            at = end
+            continue
+        if gap is None:
+            gap, why = at, wrong
+        m, z = VERSION.search(data, at + 1), data.find(MAGIC, at + 1)
+        at = min((x for x in (m.start() if m else -1, z) if x >= 0), default=-1)
     if gap is not None:
-        yield gap, len(data), why
+        yield Gap(gap, len(data), why)
 
 
-def _row(archive: str, found: Record | tuple[int, int, str], with_payload: bool) -> tuple:
-    if not isinstance(found, Record):
-        return archive, "gap", found[0], found[1] - found[0], found[2], None, None, None, None, None, None, None
+def _row(archive: str, found: Record | Gap, with_payload: bool) -> tuple:
+    if isinstance(found, Gap):
+        return archive, "gap", found.start, found.end - found.start, found.inner, found.reason, None, None, None, None, None, None, None
     h = found.headers
     name = lambda x: m[1] if (m := re.fullmatch(r"<urn:record:(.*)>", h.get(x, ""))) else h.get(x)
     size = int(h.get("warc-payload-length") or 0) if h.get("warc-type") == "revisit" else len(found.body)
     digest = h.get("warc-payload-digest", "").rpartition(":")[2] or None
-    return archive, "record", found.start, found.end - found.start, None, h.get("warc-type"), name("warc-record-id"), name("warc-refers-to"), h.get("warc-target-uri"), digest, size, found.body if with_payload else None
+    return archive, "record", found.start, found.end - found.start, found.inner, None, h.get("warc-type"), name("warc-record-id"), name("warc-refers-to"), h.get("warc-target-uri"), digest, size, found.body if with_payload else None
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:

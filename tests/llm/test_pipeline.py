@@ -14,8 +14,9 @@ from test_native_and_exact import brute_components, measured
 
 from casewright.llm import quality_classifier, tokens
 
-SHARED_LINE = "this passage of more than ten words stands in many documents of the fixture"
-SHARED_SENTENCE = "One sentence that several of the documents hold in the middle."
+SHARED_LINE = "this passage of more than sixteen words stands in many of the documents of the fixture and is long enough"
+SHARED_SENTENCE = "One sentence that several of the documents hold in the middle of their texts and that has enough words."
+SHORT_LINE = "a common line of ten words that is no passage"
 
 
 def fixture():
@@ -35,7 +36,7 @@ def fixture():
     for k in range(60):
         text = prose(good, rng.randint(70, 140))
         if k % 4 == 0:
-            text += f"\n{SHARED_LINE}\n{prose(good, 20)}"
+            text += f"\n{SHARED_LINE}\n{prose(good, 20)}\n{SHORT_LINE}\n{prose(good, 5)}"
         if k % 5 == 0:
             text += f". {SHARED_SENTENCE.upper() if k % 2 else SHARED_SENTENCE} {prose(good, 15)}"
         add(text, f"host{k % 4}", 1)
@@ -79,7 +80,8 @@ def plain_rules(rows):
     rate = failed / total
     spread = max(0.0, sum(n * (f / n - rate) ** 2 for n, f in hosts.values()) / total - rate * (1 - rate) * len(hosts) / total)
     strength = min(1000.0, max(2.0, rate * (1 - rate) / spread - 1)) if spread else 1000.0
-    rejected = {h for h, (n, f) in hosts.items() if h is not None and (f + rate * strength) / (n + strength) > 0.6}
+    shrunk = {h: (f + rate * strength) / (n + strength) for h, (n, f) in hosts.items()}
+    rejected = {h for h, r in shrunk.items() if h is not None and r / (1 - r) > 3 * rate / (1 - rate)}
     return [r for r, b in zip(rows, base) if not b and r[3] not in rejected], rejected
 
 
@@ -105,6 +107,14 @@ def plain_line_dedup(rows):
         for begin, end, unit in sorted(plain_units(r[1])):
             if seen.setdefault(unit, (r[0], begin)) != (r[0], begin):
                 keep[begin:end] = False
+        at = 0
+        while at < len(keep):  # short runs stay
+            end = at + 1
+            while end < len(keep) and keep[end] == keep[at]:
+                end += 1
+            if not keep[at] and len(r[1][at:end].split()) < 16:
+                keep[at:end] = True
+            at = end
         out.append((r[0], "".join(c for c, k in zip(r[1], keep) if k)))
     return out
 
@@ -127,7 +137,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     # every stage has something to do, and clean documents stay
     assert len(rows) > len(first) > len(second) > len(third) == len(fourth) > 50 and rejected == {"weak host"}
     assert sum(SHARED_LINE in t for _, t in fourth) == 1 and sum(SHARED_SENTENCE.lower() in t.lower() for _, t in fourth) == 1
-    assert sum(SHARED_LINE in r[1] for r in third) > 5
+    assert sum(SHARED_LINE in r[1] for r in third) > 5 and sum(SHORT_LINE in t for _, t in fourth) > 5
 
     word = tokens.word_bpe(public_tokenizers.path("word_bpe_49k.json")).slow
     want = {i: [*(word.encode(t, add_special_tokens=False).ids if t else []), 1] for i, t in fourth}
