@@ -2,17 +2,21 @@
 
 The decoder reads prefix codes (simple and normal, with groups chosen by an entropy image), back-references with the
 two-dimensional short distances, the colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms.
-Where an image has one code group and no colour cache, symbols are found for all bit positions at once and the positions in use are
-followed by jumps; elsewhere pixels are decoded one by one. Pixels are ARGB in uint32.
+Where an image has one code group, symbols are found for all bit positions at once and the positions in use are followed by
+jumps; with an entropy image pixels are decoded one by one. Pixels are ARGB in uint32.
 
-The encoder stores samples in the green channel under one prefix code, in images of 64 pixels' width; payloads above 1 MiB
-become several images one after another.
+The encoder stores samples in the green channel, in images of 64 pixels' width; payloads above 1 MiB become several images one
+after another. A palette packs samples of few values, a predictor (the left or the upper neighbour) is taken where its residuals have
+less entropy, and repeated runs become back-references where that makes the image smaller. A colour cache or cross-colour transform can't pay
+for a single channel, as a cache symbol costs what the literal does; the decoder reads them.
 
 Defined results: null and empty texts are 64 zero bytes; equal payloads give equal files; broken files raise ``ValueError``.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import heapq
 import struct
@@ -30,8 +34,12 @@ WIDTH, MAX_ROWS = 64, 16_384
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 PREFIXES, GREEN, CHANNEL, DISTANCES, SHORT_DISTANCES = 24, 256, 256, 40, 120
 PREDICTOR, CROSS_COLOR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
+#: The encoder's repeats: bytes that show one, the longest, and the farthest that a distance code can name.
+SEED, MOST_LONG, MOST_FAR = 8, 4096, (1 << 20) - SHORT_DISTANCES
 #: Zero bytes after the data, so that the last symbols can be looked up like the others.
-TAIL = 96
+TAIL = 128
+#: Bits that eight symbols can't exceed: codes of 15 bits, and 18 more for a length and a distance.
+EIGHT = 8 * (4 * 15 + 2 * 18)
 
 
 def short_distances() -> list[tuple[int, int]]:
@@ -141,29 +149,47 @@ def _far(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-def _literals(bits: Bits, codes: list[Code], most: int) -> np.ndarray:
-    """Literal pixels from here on, up to ``most``; stops before another kind of symbol, and after some thousands."""
-    if codes[0].only is not None and codes[0].only >= GREEN:
-        return np.zeros(0, dtype=np.uint32)
+#: Extra bits and first value of each length and distance prefix.
+EXTRA_BITS = np.array([0, 0, 0, 0, *((p - 2) >> 1 for p in range(4, DISTANCES))])
+EXTRA_BASE = np.array([1, 2, 3, 4, *(((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p in range(4, DISTANCES))])
+
+
+def _symbols(bits: Bits, codes: list[Code], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of one code group from here on, some thousands at once: green symbol, pixel (of literals), length, distance code."""
     first = bits.at >> 3
     piece = np.frombuffer(bits.data, dtype=np.uint8, count=min(len(bits.data) - first, 1 << 15), offset=first).astype(np.intp)
     words = piece[:-3] | piece[1:-2] << 8 | piece[2:-1] << 16 | piece[3:] << 24
     windows = (words[:, None] >> np.arange(8)).reshape(-1)
     n = len(windows)
-    place, channels = np.arange(n), []
-    for code in codes[:4]:
+
+    def look(code: Code, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if code.only is not None:
-            channels.append(code.only)
-            continue
-        at = windows if not channels or all(isinstance(c, int) for c in channels) else windows[np.minimum(place, n - 1)]
-        found = code.table[at & ((1 << code.bits) - 1)]
-        channels.append(found & 0xFFFF)
-        place = place + (found >> 16)
-    step = np.minimum(place, n - 1)
+            return np.full(len(at), code.only), at
+        found = code.table[windows[np.minimum(at, n - 1)] & ((1 << code.bits) - 1)]
+        return found & 0xFFFF, at + (found >> 16)
+
+    def more(prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = EXTRA_BITS[prefix]
+        return EXTRA_BASE[prefix] + (windows[np.minimum(at, n - 1)] & ((1 << k) - 1)), at + k
+
+    green, after = look(codes[0], np.arange(n))
+    step, channels = after, []
+    for code in codes[1:4]:
+        value, step = look(code, step) if code.only is None else (code.only, step)
+        channels.append(value)
+    if codes[0].only is None or codes[0].only >= GREEN:
+        refs, cached = np.flatnonzero((green >= GREEN) & (green < GREEN + PREFIXES)), np.flatnonzero(green >= GREEN + PREFIXES)
+        if len(refs) or len(cached):
+            step = step.copy()
+            step[cached] = after[cached]
+            _, at = more(green[refs] - GREEN, after[refs])
+            prefix, at = look(codes[4], at)
+            _, step[refs] = more(np.minimum(prefix, DISTANCES - 1), at)
+    step = np.minimum(step, n - 1)
     two = step[step]
     four = two[two]
     jump, p, starts = memoryview(four[four]), bits.at & 7, []
-    limit = n - 8 * 64  # eight pixels take no more bits than that
+    limit = n - EIGHT
     for _ in range((most + 7) // 8):
         if p >= limit:
             break
@@ -173,14 +199,26 @@ def _literals(bits: Bits, codes: list[Code], most: int) -> np.ndarray:
     for further in (step, two, four):
         s = np.concatenate([s, further[s]], axis=1)
     s = s.reshape(-1)[:most]
-    green, red, blue, alpha = (c if isinstance(c, int) else c[s] for c in channels)
-    if not isinstance(green, int) and len(other := np.flatnonzero(green >= GREEN)):
-        s, (green, red, blue, alpha) = s[: other[0]], (c if isinstance(c, int) else c[: other[0]] for c in (green, red, blue, alpha))
-    if len(s):
-        bits.at = 8 * first + int(place[s[-1]])
-        if bits.at > bits.end:
-            raise ValueError("image data cut short")
-    return np.broadcast_to(np.asarray(alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint32), s.shape)
+    red, blue, alpha = (c if isinstance(c, int) else c[s] for c in channels)
+    green = green[s]
+    pixel = np.broadcast_to(np.asarray(alpha << 24 | red << 16 | (green & 255) << 8 | blue).astype(np.uint32), s.shape)
+    length, far = np.ones(len(s), dtype=np.intp), np.zeros(len(s), dtype=np.intp)
+    refs = np.flatnonzero((green >= GREEN) & (green < GREEN + PREFIXES))
+    if len(refs):
+        length[refs], at = more(green[refs] - GREEN, after[s[refs]])
+        prefix, at = look(codes[4], at)
+        far[refs], _ = more(prefix, at)
+    # as many symbols as the image still has room for
+    used = min(len(s), int(np.searchsorted(np.cumsum(length), most)) + 1)
+    bits.at = 8 * first + (int(step[s[used - 1]]) if used else bits.at & 7)
+    if not used or bits.at > bits.end:
+        raise ValueError("image data cut short")
+    return green[:used], pixel[:used], length[:used], far[:used]
+
+
+def _slot(pixel: int, cache_bits: int) -> int:
+    """A pixel's place in the colour cache (a fixed value of the format)."""
+    return (0x1E35A7BD * pixel & 0xFFFFFFFF) >> (32 - cache_bits)
 
 
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -198,14 +236,32 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     out = np.zeros(width * height, dtype=np.uint32)
     cache = [0] * (1 << cache_bits) if cache_bits else None
     cached, at, total = 0, 0, width * height
+
+    def copy(at: int, length: int, code: int) -> None:
+        far = _far(code, width)
+        if far > at or at + length > total:
+            raise ValueError("back-reference outside the image")
+        out[at : at + length] = out[at - far : at - far + length] if far >= length else np.resize(out[at - far : at], length)  # what overlaps repeats
+
+    def recall(at: int, key: int) -> None:
+        nonlocal cached
+        for p in out[cached:at].tolist():  # the cache is brought up to date when it is read
+            cache[_slot(p, cache_bits)] = p
+        cached = at
+        out[at] = cache[key]
+
     while at < total:
-        if groups is None and cache is None:
-            found = _literals(bits, codes[0], min(total - at, 1 << 15))
-            out[at : at + len(found)] = found
-            at += len(found)
-            if at == total:
-                break
-        group = codes[0 if groups is None else int(groups[(at // width >> shift) * across + (at % width >> shift)])]
+        if groups is None:
+            green, pixel, length, code = _symbols(bits, codes[0], total - at)
+            place = at + np.cumsum(length) - length
+            literal = green < GREEN
+            out[place[literal]] = pixel[literal]
+            rest = np.flatnonzero(~literal)
+            for g, p, n, c in zip(green[rest].tolist(), place[rest].tolist(), length[rest].tolist(), code[rest].tolist()):
+                copy(p, n, c) if g < GREEN + PREFIXES else recall(p, g - GREEN - PREFIXES)
+            at = int(place[-1] + length[-1])
+            continue
+        group = codes[int(groups[(at // width >> shift) * across + (at % width >> shift)])]
         s = group[0].read(bits)
         if s < GREEN:
             red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
@@ -213,18 +269,10 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             at += 1
         elif s < GREEN + PREFIXES:
             length = _extra(s - GREEN, bits)
-            far = _far(_extra(group[4].read(bits), bits), width)
-            if far > at or at + length > total:
-                raise ValueError("back-reference outside the image")
-            for begin in range(at, at + length, far):  # what overlaps repeats
-                n = min(far, at + length - begin)
-                out[begin : begin + n] = out[begin - far : begin - far + n]
+            copy(at, length, _extra(group[4].read(bits), bits))
             at += length
         else:
-            for p in out[cached:at].tolist():  # the cache is brought up to date when it is read
-                cache[(0x1E35A7BD * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
-            cached = at
-            out[at] = cache[s - GREEN - PREFIXES]
+            recall(at, s - GREEN - PREFIXES)
             at += 1
     return out
 
@@ -404,6 +452,9 @@ class Writer:
         self.value |= value << self.size
         self.size += n
 
+    def bits(self, each: np.ndarray) -> None:
+        self.put(int.from_bytes(np.packbits(each, bitorder="little").tobytes(), "little"), len(each))
+
 
 def write_code(out: Writer, lengths: dict[int, int], alphabet: int) -> None:
     """A prefix code's description: simple for a single symbol, else run-length coded lengths."""
@@ -436,33 +487,183 @@ def write_code(out: Writer, lengths: dict[int, int], alphabet: int) -> None:
         out.put(codes[t], inner[t]), out.put(extra, k)
 
 
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols of lengths or distance codes, with their extra bits' values and numbers."""
+    symbol = np.searchsorted(EXTRA_BASE, values, side="right") - 1
+    return symbol, values - EXTRA_BASE[symbol], EXTRA_BITS[symbol]
+
+
+@functools.lru_cache(maxsize=4)
+def _near_codes(width: int) -> np.ndarray:
+    """Distance codes of the smallest distances; 0 where there is no short one."""
+    out = np.zeros(8 * width + 16, dtype=np.intp)
+    for code in range(SHORT_DISTANCES, 0, -1):
+        out[_far(code, width)] = code
+    return out
+
+
+def find_repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and distances of runs that occur before, from left to right: each begins where the nearest earlier one with its next bytes goes on longest from there."""
+    n = len(samples) - SEED + 1
+    none = np.zeros(0, dtype=np.intp)
+    if n < 2:
+        return none, none, none
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(samples, SEED)).view("<u8").reshape(-1)
+    order = np.argsort(words, kind="stable")
+    same = np.flatnonzero(words[order[1:]] == words[order[:-1]])
+    far = np.zeros(n, dtype=np.intp)
+    far[order[same + 1]] = order[same + 1] - order[same]
+    far[far > MOST_FAR] = 0
+    has = np.flatnonzero(far)
+    if not len(has):
+        return none, none, none
+    last = np.flatnonzero(np.append((np.diff(has) > 1) | (np.diff(far[has]) != 0), True))  # where a run of one distance ends
+    stop = has[last][np.searchsorted(last, np.arange(len(has)))] + SEED  # for each place, the end of its run
+    places, stops, at, k, found = has.tolist(), stop.tolist(), 0, 0, []
+    while k < len(places):
+        end = min(stops[k], places[k] + MOST_LONG)
+        found.append((k, end))
+        at = end
+        k = bisect.bisect_left(places, at, k + 1)
+    k, end = (np.array(x, dtype=np.intp) for x in zip(*found))
+    return has[k], end - has[k], far[has[k]]
+
+
+def _tokens(samples: np.ndarray, width: int, repeats: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Green symbols, length fields and distance codes of the samples (0 for literals)."""
+    place, length, far = repeats
+    cover = np.zeros(len(samples) + 1, dtype=np.int32)
+    np.add.at(cover, place, 1)
+    np.add.at(cover, place + length, -1)
+    begins = np.cumsum(cover[:-1]) == 0
+    begins[place] = True
+    at = np.flatnonzero(begins)
+    green = samples[at].astype(np.intp)
+    more, code = np.zeros(len(at), dtype=np.intp), np.zeros(len(at), dtype=np.intp)
+    refs = np.searchsorted(at, place)
+    near = _near_codes(width)
+    short = near[np.minimum(far, len(near) - 1)]
+    green[refs], more[refs], code[refs] = GREEN + _prefixes(length)[0], length, np.where((far < len(near)) & (short > 0), short, far + SHORT_DISTANCES)
+    return green, more, code
+
+
+def _lengths_of(symbols: np.ndarray) -> dict[int, int]:
+    counts = np.bincount(symbols)
+    used = np.flatnonzero(counts).tolist()
+    return code_lengths({s: int(counts[s]) for s in used}, 12) if len(used) > 1 else {used[0] if used else 0: 0}
+
+
+def _table(lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    codes, sizes = np.zeros(size, dtype=np.intp), np.zeros(size, dtype=np.intp)
+    if len(lengths) > 1:
+        for s, c in reversed_codes(lengths).items():
+            codes[s], sizes[s] = c, lengths[s]
+    return codes, sizes
+
+
+def write_image(out: Writer, samples: np.ndarray, width: int, alpha: int, main: bool = True) -> np.ndarray:
+    """The bits of an entropy-coded image of green samples: with back-references if that is smaller."""
+    best = None
+    repeats = find_repeats(samples)
+    none = np.zeros(0, dtype=np.intp)
+    for found in [repeats, (none, none, none)][len(repeats[0]) == 0 :]:
+        green, more, code = _tokens(samples, width, found)
+        refs = np.flatnonzero(more)
+        dist, dist_extra, dist_bits = _prefixes(code[refs])
+        _, len_extra, len_bits = _prefixes(more[refs])
+        lengths, dist_lengths = _lengths_of(green), _lengths_of(dist)
+        fields, sizes = np.zeros((len(green), 4), dtype=np.intp), np.zeros((len(green), 4), dtype=np.intp)
+        codes, n = _table(lengths, GREEN + PREFIXES)
+        fields[:, 0], sizes[:, 0] = codes[green], n[green]
+        codes, n = _table(dist_lengths, DISTANCES)
+        fields[refs, 1], sizes[refs, 1] = len_extra, len_bits
+        fields[refs, 2], sizes[refs, 2] = codes[dist], n[dist]
+        fields[refs, 3], sizes[refs, 3] = dist_extra, dist_bits
+        head = Writer()
+        head.put(0, 1 + main)  # no colour cache, no entropy image
+        write_code(head, lengths, GREEN + PREFIXES)
+        for s in (0, 0, alpha):
+            write_code(head, {s: 0}, CHANNEL)
+        write_code(head, dist_lengths, DISTANCES)
+        total = head.size + int(sizes.sum())
+        if best is None or total < best[0]:
+            best = total, head, fields.reshape(-1), sizes.reshape(-1)
+    _, head, fields, sizes = best
+    out.put(head.value, head.size)
+    fields, sizes = fields[sizes > 0], sizes[sizes > 0]
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return (np.repeat(fields, sizes) >> within & 1).astype(np.uint8)
+
+
+def _entropy(samples: np.ndarray) -> float:
+    p = np.bincount(samples, minlength=1) / len(samples)
+    return float(-(p[p > 0] * np.log2(p[p > 0])).sum())
+
+
+def residuals(samples: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """Samples less their left (1) or upper (2) neighbours; the first row has left ones, the first column upper ones."""
+    grid = samples.reshape(-1, width).astype(np.intp)
+    guess = np.zeros_like(grid)
+    guess[0, 1:] = grid[0, :-1]
+    guess[1:, 0] = grid[:-1, 0]
+    guess[1:, 1:] = grid[1:, :-1] if mode == 1 else grid[:-1, 1:]
+    return ((grid - guess) & 255).astype(np.uint8).reshape(-1)
+
+
 def encode_image(samples: np.ndarray, width: int = WIDTH) -> bytes:
     """A WebP file with uint8 ``samples`` in its green channel, ``width`` a row."""
     height = len(samples) // width
-    counts = np.bincount(samples, minlength=256)
-    used = np.flatnonzero(counts).tolist()
-    lengths = code_lengths({s: int(counts[s]) for s in used}, 12) if len(used) > 1 else {used[0]: 0}
     out = Writer()
     out.put(0x2F, 8), out.put(width - 1, 14), out.put(height - 1, 14), out.put(0, 1 + 3)
-    out.put(0, 1), out.put(0, 1), out.put(0, 1)  # no transform, no colour cache, no entropy image
-    write_code(out, lengths, GREEN + PREFIXES)
-    for s in (0, 0, 255, 0):
-        write_code(out, {s: 0}, CHANNEL)
+    counts = np.bincount(samples, minlength=256)
+    colours = np.flatnonzero(counts)
+    if len(colours) <= 16:
+        # colours in order, each as the difference from the one before; their alpha is 255, the differences' 0 but for the first
+        shift = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+        out.put(1, 1), out.put(PALETTE, 2), out.put(len(colours) - 1, 8)
+        write_palette(out, np.diff(colours, prepend=0))
+        index = np.zeros(256, dtype=np.uint8)
+        index[colours] = np.arange(len(colours))
+        across = -(-width >> shift)
+        grid = np.zeros((height, across << shift), dtype=np.uint8)
+        grid[:, :width] = index[samples].reshape(height, width)
+        grid = grid.reshape(height, across, 1 << shift) << (np.arange(1 << shift, dtype=np.uint8) * (8 >> shift))
+        samples, width, alpha = grid.sum(axis=2).astype(np.uint8).reshape(-1), across, 255
+    else:
+        alpha, plain = 255, _entropy(samples)
+        tried = [(_entropy(r), mode, r) for mode in (1, 2) for r in [residuals(samples, width, mode)]]
+        cost, mode, rest = min(tried, key=lambda x: x[:2])
+        if cost < 0.9 * plain:
+            out.put(1, 1), out.put(PREDICTOR, 2), out.put(7, 3)  # blocks of 512 pixels
+            blocks = -(-height >> 9)
+            modes = np.full(blocks, mode, dtype=np.uint8)
+            out.bits(write_image(out, modes, 1, 255, main=False))
+            samples, alpha = rest, 0
+    out.put(0, 1)
+    body = write_image(out, samples, width, alpha)
     head = np.unpackbits(np.frombuffer(out.value.to_bytes((out.size + 7) // 8, "little"), dtype=np.uint8), bitorder="little")[: out.size]
-    if len(used) > 1:
-        codes, sizes = np.zeros(256, dtype=np.uint16), np.zeros(256, dtype=np.uint8)
-        for s, c in reversed_codes(lengths).items():
-            codes[s], sizes[s] = c, lengths[s]
-        n = sizes[samples]
-        ends = np.cumsum(n, dtype=np.int32)
-        within = np.arange(ends[-1], dtype=np.int32) - np.repeat(ends - n, n)
-        body = (np.repeat(codes[samples], n) >> within.astype(np.uint16)).astype(np.uint8) & 1
-        head = np.concatenate([head, body])
-    data = np.packbits(head, bitorder="little").tobytes()
+    data = np.packbits(np.concatenate([head, body]), bitorder="little").tobytes()
     chunk = b"VP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
+def write_palette(out: Writer, steps: np.ndarray) -> None:
+    """An image of one row with the steps in its green channel, alpha 255 at its first pixel and 0 at the others."""
+    out.put(0, 1)  # no colour cache
+    steps = steps.astype(np.intp)
+    alphas = np.append(255, np.zeros(len(steps) - 1, dtype=np.intp))
+    channels = [(steps, GREEN + PREFIXES), (steps * 0, CHANNEL), (steps * 0, CHANNEL), (alphas, CHANNEL)]
+    tables = []
+    for values, size in channels:
+        lengths = _lengths_of(values)
+        write_code(out, lengths, size)
+        tables.append(_table(lengths, size))
+    write_code(out, {0: 0}, DISTANCES)
+    for k in range(len(steps)):
+        for (values, _), (codes, sizes) in zip(channels, tables):
+            out.put(int(codes[values[k]]), int(sizes[values[k]]))
+
+
 def padded(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))
 

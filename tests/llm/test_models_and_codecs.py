@@ -199,6 +199,103 @@ def picture(seed, n, colours=None):
     return (rng.choice(colours, n) if colours is not None else rng.integers(0, 1 << 32, n)).astype(np.uint32).tolist()
 
 
+def from_bits(*fields):
+    return np.packbits([int(b) for b in "".join(fields)], bitorder="little").tobytes()
+
+
+def test_webp_golden_file():
+    """The lossless test image of a well-known feature check: one transparent pixel behind a palette."""
+    import base64
+
+    (image,) = webp.decode_images(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert image.tolist() == [[0]]
+
+
+def test_webp_golden_back_reference():
+    """Bits written down by hand, lowest first: four pixels, of which three repeat the first."""
+    data = from_bits(
+        "11110100", "11000000000000", "00000000000000", "0", "000",  # signature 0x2f, width 4, height 1, no alpha hint, version 0
+        "0", "0", "0",  # no transform, cache or entropy image
+        "0", "0000", "010", "010", "000", "100",  # green: lengths of the length codes 17, 18, 0 and 1 are 2, 2, 0 and 1
+        "1", "000", "11",  # five codes follow: 1 is "0", 17 is "10", 18 is "11"
+        "10", "001", "0", "11", "1111111", "11", "1010011", "0",  # 7 zeros, symbol 7, 138 and 112 zeros, symbol 258
+        "1000", "1000", "10111111111", "1001",  # red 0, blue 0, alpha 255, distance code 2 (the pixel before)
+        "0", "1",  # green 7, then length prefix 2: three pixels
+    )
+    assert webp.decode_vp8l(data).tolist() == [[0xFF000700] * 4]
+
+
+def test_webp_golden_predictions():
+    """The 14 predictions worked out by hand for neighbours of known channels (blue, green, red, alpha)."""
+    left, top, right, corner = (np.array(c, dtype=np.int32) for c in ([10, 200, 7, 255], [20, 250, 8, 255], [30, 0, 9, 254], [40, 100, 200, 255]))
+    want = {
+        0: [0, 0, 0, 255],
+        1: [10, 200, 7, 255],
+        2: [20, 250, 8, 255],
+        3: [30, 0, 9, 254],
+        4: [40, 100, 200, 255],
+        5: [20, 175, 8, 254],
+        6: [25, 150, 103, 255],
+        7: [15, 225, 7, 255],
+        8: [30, 175, 104, 255],
+        9: [25, 125, 8, 254],
+        10: [25, 137, 55, 254],
+        11: [20, 250, 8, 255],
+        12: [0, 255, 0, 255],
+        13: [3, 255, 0, 255],
+    }
+    for mode, channels in want.items():
+        assert webp._predict(mode, left, top, right, corner).tolist() == channels, mode
+
+
+def test_webp_golden_distances():
+    assert webp.NEAR[:20] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3)]
+    assert webp.NEAR[34:40] == [(0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0)] and webp.NEAR[-3:] == [(-7, 7), (8, 6), (8, 7)] and len(webp.NEAR) == 120
+
+
+def transforms(media):
+    bits = webp.Bits(media[20:])
+    bits.read(40)
+    return bits.read(2) if bits.read(1) else None
+
+
+def test_webp_encoder_takes_what_pays(monkeypatch):
+    rng = np.random.default_rng(8)
+    noise = rng.integers(0, 256, 64 * 200, dtype=np.uint8)
+    slope = (np.arange(64 * 700) * 3 // 7 % 256).astype(np.uint8) + rng.integers(0, 3, 64 * 700, dtype=np.uint8)
+    for samples, kind, most in [(noise, None, 1.02), (slope, webp.PREDICTOR, 0.5), (noise % 2, webp.PALETTE, 0.15), (noise % 4, webp.PALETTE, 0.27), (noise % 13, webp.PALETTE, 0.5), (noise[:64] * 0, webp.PALETTE, 1)]:
+        media = webp.encode_image(samples)
+        assert transforms(media) == kind and len(media) < most * len(samples) + 40
+        assert (webp.load(media) == samples).all()
+    copies = []
+    real = webp._far
+    monkeypatch.setattr(webp, "_far", lambda *a: (copies.append(a), real(*a))[1])
+    webp._near_codes.cache_clear()
+    text = np.frombuffer((b"some prose that comes again, " + bytes(range(33, 127))) * 30 + bytes(94), dtype=np.uint8)
+    text = text[: len(text) // 64 * 64]
+    media = webp.encode_image(text)
+    copies.clear()
+    assert (webp.load(media) == text).all() and len(copies) >= 1 and len(media) < 0.15 * len(text)
+
+
+def test_webp_repeats_are_true():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        samples = np.concatenate([rng.integers(0, rng.choice([2, 5, 60]), rng.integers(1, 90), dtype=np.uint8)] * int(rng.integers(1, 5)) + [np.zeros(64, np.uint8)])
+        end = 0
+        for at, n, far in zip(*webp.find_repeats(samples)):
+            assert at >= end and far <= at and n >= 8 and all(samples[at + k] == samples[at + k - far] for k in range(n))
+            end = at + n
+        assert end <= len(samples)
+
+
+def test_webp_documents_use_back_references(spark):
+    texts = [t for t in pd.read_parquet(f"{SF}/documents.parquet")["text"].dropna()][:60]
+    rows = [webp.find_repeats(np.frombuffer(webp.padded(t.encode()), dtype=np.uint8))[0] for t in texts]
+    sizes = [len(webp.store(webp.padded(t.encode()))) for t in texts]
+    assert sum(len(r) for r in rows) > 1000 and sum(sizes) < 0.55 * sum(len(t.encode()) for t in texts)
+
+
 def test_webp_back_references_and_cache():
     base = picture(1, 20, [0xFF102030, 0xFF00FF00, 0x80FFFFFF])
     pixels = base + base[:5] + [base[4]] * 40 + picture(2, 15)
