@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,8 +54,15 @@ def file_path(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
 
+def account_domain(user: Column) -> Column:
+    """The domain of ``DOMAIN\\user`` and ``user@domain``; null where there is none."""
+    domain = F.coalesce(blank_to_null(F.regexp_extract(user, r"^(.*)\\", 1)), blank_to_null(F.regexp_extract(user, r"@(.+)$", 1)))
+    return F.when(user.isNotNull(), domain)
+
+
 def user_key(user: Column) -> Column:
-    return F.lower(user)
+    """Users are one by their account's name; its domain and its case don't count."""
+    return F.lower(account_name(user))
 
 
 def host_key(host: Column) -> Column:
@@ -65,6 +74,19 @@ def process_key(host: Column, process: Column) -> Column:
     return F.concat(F.upper(host), F.lit("|"), base_name(process))
 
 
+@dataclass(frozen=True)
+class Identity:
+    """One function for each entity type, from the event's fields to the key; configured rules replace some of them."""
+
+    user: Callable[[Column], Column] = user_key
+    host: Callable[[Column], Column] = host_key
+    process: Callable[[Column, Column], Column] = process_key
+    file: Callable[[Column], Column] = file_path
+
+
+IDENTITY = Identity()
+
+
 def host_type(host: Column, pattern: str = "-SRV-") -> Column:
     """Whether a host is a server, by its name's pattern; a configured role goes before (``entities.with_roles``)."""
     return F.when(F.contains(F.upper(host), F.lit(pattern)), "Server").otherwise("Host")

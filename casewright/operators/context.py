@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 from abc import ABC, abstractmethod
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PROMPT = (
@@ -13,11 +14,18 @@ PROMPT = (
     "Do not invent users, hosts, processes, files or events. Say what remains uncertain."
 )
 SECTIONS = ["overview", "timeline", "entities", "relationships", "correlations", "uncertainty", "evidence"]
+AUDIT = "investigation_id string, provider string, status string, summary string, error string, prompt string, context string"
 
 
-def context(description: str, timeline: DataFrame, entities: DataFrame, edges: DataFrame, correlations: DataFrame, limit: int = 50) -> DataFrame:
-    """One row with the first rows of each kind under a total order, as JSON. Each part is cut to ``limit`` before it is gathered."""
+def context(description: str, timeline: DataFrame, entities: DataFrame, edges: DataFrame, correlations: DataFrame, paths: DataFrame | None = None, limit: int = 50, evidence: int = 20) -> DataFrame:
+    """One row with the first rows of each kind under a total order, as JSON, and the prompt that a provider is given with it.
+
+    Each part is cut to ``limit`` rows before it is gathered, and of an edge's or a hop's event ids the first ``evidence`` are shown.
+    """
     spark = timeline.sparkSession
+    edges = edges.withColumn("event_ids", F.slice("event_ids", 1, evidence))
+    if paths is not None:
+        paths = paths.withColumn("evidence", F.transform("evidence", lambda e: F.slice(e, 1, evidence)))
 
     def part(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
         rows = df.select(*columns).orderBy(*order).limit(limit)
@@ -29,14 +37,17 @@ def context(description: str, timeline: DataFrame, entities: DataFrame, edges: D
         "relationships": part(edges, ["relationship_type", "src_key", "dst_key", "event_ids"], ["relationship_type", "src_key", "dst_key"]),
         "correlations": part(correlations.where("related"), ["event_a", "event_b", "signals"], ["event_a", "event_b"]),
     }
-    row = {"description": description} | {k: df.first()["part"] for k, df in parts.items()}
+    if paths is not None:
+        parts["paths"] = part(paths, ["hops", "path", "evidence"], ["hops", "path", "evidence"])
+    row = {"description": description, "prompt": PROMPT} | {k: df.first()["part"] for k, df in parts.items()}
+    row.setdefault("paths", "[]")
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} string" for k in row))
 
 
 class SummaryProvider(ABC):
     @abstractmethod
     def generate_summary(self, context: dict) -> str:
-        """A text with the seven sections."""
+        """A text with the seven sections, from the context's parts and under its ``prompt``."""
 
 
 class TemplateProvider(SummaryProvider):
@@ -49,7 +60,8 @@ class TemplateProvider(SummaryProvider):
             "overview": f"{context['description']}: {len(events)} events.",
             "timeline": "; ".join(f"{e['timestamp']} {e['action']} ({e['event_id']})" for e in events),
             "entities": ", ".join(f"{e['entity_type']} {e['entity_key']}" for e in json.loads(context["entities"] or "[]")),
-            "relationships": "; ".join(f"{r['src_key']} {r['relationship_type']} {r['dst_key']} ({', '.join(r['event_ids'])})" for r in json.loads(context["relationships"] or "[]")),
+            "relationships": "; ".join(f"{r['src_key']} {r['relationship_type']} {r['dst_key']} ({', '.join(r['event_ids'])})" for r in json.loads(context["relationships"] or "[]"))
+            + "".join(f"; path {p['path']}" for p in json.loads(context.get("paths") or "[]")),
             "correlations": "; ".join(f"{p['event_a']} and {p['event_b']}: {', '.join(p['signals'])}" for p in pairs),
             "uncertainty": "Related events need not have one cause.",
             "evidence": ", ".join(e["event_id"] for e in events),
@@ -66,10 +78,53 @@ def summarize(row: DataFrame, provider: SummaryProvider) -> dict:
         return {"status": "unavailable", "summary": None, "error": str(e)[:200], "context": given}
 
 
-def grounding(statements: DataFrame, events: DataFrame, pattern: str = r"(evt-[0-9]+)") -> DataFrame:
-    """Statements (statement_id, text) with the event ids they name, how many exist, and a verdict."""
-    named = statements.select("statement_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern)))).alias("event_id"))
-    known = named.join(events.select("event_id", F.lit(1).alias("known")).distinct(), "event_id", "left")
-    tally = known.groupBy("statement_id").agg(F.count("*").alias("n_named"), F.count("known").alias("n_known"))
-    out = statements.join(tally, "statement_id", "left").select("statement_id", F.coalesce("n_named", F.lit(0)).alias("n_named"), F.coalesce("n_known", F.lit(0)).alias("n_known"))
-    return out.withColumn("verdict", F.when(F.col("n_named") == 0, "unsupported").when(F.col("n_known") < F.col("n_named"), "invented").otherwise("grounded"))
+def audit(investigation_id: str, done: dict, provider: SummaryProvider, spark: SparkSession, at: Column | None = None) -> DataFrame:
+    """The row to append to the ``summaries`` table: the summary or its failure, with the prompt and the context it was made from."""
+    given = {k: v for k, v in done["context"].items() if k != "prompt"}
+    row = (investigation_id, type(provider).__name__, done["status"], done["summary"], done.get("error"), done["context"].get("prompt"), json.dumps(given, sort_keys=True))
+    return spark.createDataFrame([row], AUDIT).withColumn("kind", F.lit("narrative")).withColumn("made_at", F.current_timestamp() if at is None else at)
+
+
+def statements_of(summaries: DataFrame) -> DataFrame:
+    """The statements of summaries: their sections' parts, numbered."""
+    lines = F.filter(F.split("summary", r"\n(?:## [a-z]+\n)?|; |^## [a-z]+\n"), lambda x: F.trim(x) != "")
+    return summaries.where(F.col("summary").isNotNull()).select("investigation_id", F.posexplode(lines).alias("statement_id", "text"))
+
+
+#: Names that a statement may mention: users, hosts and servers, processes, addresses and files.
+ENTITY_PATTERN = r"(?i)\b(user[0-9]+|[A-Z]+-(?:PC|SRV)-[0-9]+|[\w-]+\.(?:exe|dat|xlsx|dll|ps1|sh)|[0-9]{1,3}(?:\.[0-9]{1,3}){3})\b"
+
+
+def grounding(statements: DataFrame, events: DataFrame, pattern: str = r"(evt-[0-9]+)", entities: DataFrame | None = None, entity_pattern: str = ENTITY_PATTERN) -> DataFrame:
+    """Statements (statement_id, text) with the event ids and entities they name, how many of these exist, and a verdict.
+
+    ``grounded``: all that is named exists, an event among it; ``invented``: something named doesn't exist; ``unsupported``: no event is
+    named. ``entities``: rows with entity_key and name, to check entities too; names are compared without case.
+    """
+
+    def tally(pattern: str, group: int, known: DataFrame, prefix: str) -> DataFrame:
+        named = statements.select("statement_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), group), lambda x: F.lower(x)))).alias("item"))
+        found = named.join(known.select(F.lower("item").alias("item"), F.lit(1).alias("known")).distinct(), "item", "left")
+        return found.groupBy("statement_id").agg(F.count("*").alias(f"{prefix}named"), F.count("known").alias(f"{prefix}known"))
+
+    out = statements.join(tally(pattern, 1, events.select(F.col("event_id").alias("item")), "n_"), "statement_id", "left")
+    names = ["n_named", "n_known"]
+    if entities is not None:
+        known = entities.select(F.explode(F.array("name", "entity_key")).alias("item")).where("item is not null")
+        out = out.join(tally(entity_pattern, 1, known, "n_entities_"), "statement_id", "left")
+        names += ["n_entities_named", "n_entities_known"]
+    out = out.select("statement_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+    missing = reduce(lambda a, b: a | b, [F.col(b) < F.col(a) for a, b in zip(names[::2], names[1::2])])
+    return out.withColumn("verdict", F.when(missing, "invented").when(F.col("n_named") == 0, "unsupported").otherwise("grounded"))
+
+
+def grounding_tally(checked: DataFrame, needed: DataFrame | None = None, statements: DataFrame | None = None, pattern: str = r"(evt-[0-9]+)") -> DataFrame:
+    """measure, n: supported, unsupported and incorrect statements, and, with the events a summary ``needed``, those that no statement names."""
+    kinds = {"supported": "grounded", "unsupported": "unsupported", "incorrect": "invented"}
+    counts = checked.agg(*[F.count_if(F.col("verdict") == v).alias(k) for k, v in kinds.items()])
+    out = counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("n")) for k in kinds])))
+    if needed is None:
+        return out
+    named = statements.select(F.explode(F.regexp_extract_all("text", F.lit(pattern))).alias("event_id")).distinct()
+    missing = needed.select("event_id").distinct().join(named, "event_id", "left_anti").agg(F.count("*").alias("n"))
+    return out.unionByName(missing.select(F.lit("missing evidence").alias("measure"), "n"))

@@ -15,8 +15,8 @@ def with_roles(events: DataFrame, roles: DataFrame | None = None, rules: Rules =
     for side, name in (("source_host", "source_type_of"), ("destination_host", "destination_type_of")):
         guess = f.host_type(F.col(side), rules.server_pattern)
         if roles is not None:
-            known = roles.select(f.host_key(F.col("host")).alias("__host"), F.col("role").alias("__role")).dropDuplicates(["__host"])
-            out = out.join(known, f.host_key(F.col(side)) == F.col("__host"), "left").withColumn(name, F.coalesce("__role", guess)).drop("__host", "__role")
+            known = roles.select(rules.identity.host(F.col("host")).alias("__host"), F.col("role").alias("__role")).dropDuplicates(["__host"])
+            out = out.join(known, rules.identity.host(F.col(side)) == F.col("__host"), "left").withColumn(name, F.coalesce("__role", guess)).drop("__host", "__role")
         else:
             out = out.withColumn(name, guess)
     return out
@@ -31,13 +31,13 @@ def occurrences(events: DataFrame, roles: DataFrame | None = None, rules: Rules
     """One row for each entity that an event names; missing fields make none."""
     c = F.col
     found = F.array(
-        _entity("User", f.user_key(c("user")), c("user"), "user"),
-        _entity(c("source_type_of"), f.host_key(c("source_host")), c("source_host"), "source_host"),
-        _entity(c("destination_type_of"), f.host_key(c("destination_host")), c("destination_host"), "destination_host"),
+        _entity("User", rules.identity.user(c("user")), c("user"), "user"),
+        _entity(c("source_type_of"), rules.identity.host(c("source_host")), c("source_host"), "source_host"),
+        _entity(c("destination_type_of"), rules.identity.host(c("destination_host")), c("destination_host"), "destination_host"),
         _entity("IP", c("source_ip"), c("source_ip"), "source_ip"),
         _entity("IP", c("destination_ip"), c("destination_ip"), "destination_ip"),
-        _entity("Process", f.process_key(c("source_host"), c("process")), f.base_name(c("process")), "process"),
-        _entity("File", f.file_path(c("file")), c("file"), "file"),
+        _entity("Process", rules.identity.process(c("source_host"), c("process")), f.base_name(c("process")), "process"),
+        _entity("File", rules.identity.file(c("file")), c("file"), "file"),
     )
     rows = with_roles(events, roles, rules).select("investigation_id", "event_id", "timestamp", F.inline(F.filter(found, lambda x: x["entity_key"].isNotNull())))
     return rows
@@ -64,18 +64,18 @@ def observations(events: DataFrame, roles: DataFrame | None = None, rules: Rules
     """Edges that single events state. Events that fit no rule make none."""
     c = F.col
     does = lambda a: F.lower("action") == a
-    source, target = f.host_key(c("source_host")), f.host_key(F.coalesce("destination_host", "source_host"))
+    source, target = rules.identity.host(c("source_host")), rules.identity.host(F.coalesce("destination_host", "source_host"))
     target_type = F.when(c("destination_host").isNotNull(), c("destination_type_of")).otherwise(c("source_type_of"))
-    far = F.coalesce(f.host_key(c("destination_host")), c("destination_ip"))
+    far = F.coalesce(rules.identity.host(c("destination_host")), c("destination_ip"))
     far_type = F.when(c("destination_host").isNotNull(), c("destination_type_of")).otherwise(F.lit("IP"))
-    process = f.process_key(c("source_host"), c("process"))
+    process = rules.identity.process(c("source_host"), c("process"))
     edges = F.array(
-        _edge(does("login"), "LOGGED_INTO", "User", f.user_key(c("user")), target_type, target),
-        _edge(does("authenticate"), "AUTHENTICATED_TO", "User", f.user_key(c("user")), target_type, target),
+        _edge(does("login"), "LOGGED_INTO", "User", rules.identity.user(c("user")), target_type, target),
+        _edge(does("authenticate"), "AUTHENTICATED_TO", "User", rules.identity.user(c("user")), target_type, target),
         _edge(does("execute"), "EXECUTED", c("source_type_of"), source, "Process", process),
         _edge(does("connect"), "CONNECTED_TO", c("source_type_of"), source, far_type, far),
         _edge(does("connect"), "CONNECTED_TO", "Process", process, far_type, far),
-        _edge(does("access"), "ACCESSED", c("source_type_of"), source, "File", f.file_path(c("file"))),
+        _edge(does("access"), "ACCESSED", c("source_type_of"), source, "File", rules.identity.file(c("file"))),
     )
     rows = with_roles(events, roles, rules).select("investigation_id", "event_id", "timestamp", F.col("source_name").alias("source"), F.inline(F.array_compact(edges)))
     return rows.withColumn("event_ids", F.array("event_id")).withColumn("derived", F.lit(False)).withColumn("correlation_signals", F.array().cast("array<string>"))
@@ -84,14 +84,19 @@ def observations(events: DataFrame, roles: DataFrame | None = None, rules: Rules
 def derived_edges(events: DataFrame, roles: DataFrame | None = None, rules: Rules = RULES) -> DataFrame:
     """Process to destination, where a connection names no process: the last execution on its host within the window, as of then.
 
-    A range frame over (investigation, host) finds it in one pass, without a join.
+    A range frame over (investigation, host, time bucket) finds it in one pass, without a join. Buckets are as long as the
+    window, and an execution stands in its own and the next one, so that a busy host is spread over its buckets.
     """
     c = F.col
     micros = F.unix_micros("timestamp")
-    frame = Window.partitionBy("investigation_id", f.host_key(c("source_host"))).orderBy(micros).rangeBetween(-rules.window_seconds * 1_000_000, 0)
-    executed = F.when((F.lower("action") == "execute") & c("process").isNotNull(), F.struct("timestamp", "event_id", f.process_key(c("source_host"), c("process")).alias("process")))
-    seen = with_roles(events, roles, rules).where(F.lower("action").isin("execute", "connect") & c("source_host").isNotNull()).withColumn("last", F.max(executed).over(frame))
-    far = F.coalesce(f.host_key(c("destination_host")), c("destination_ip"))
+    window = rules.window_seconds * 1_000_000
+    bucket = F.floor(micros / window)
+    frame = Window.partitionBy("investigation_id", rules.identity.host(c("source_host")), "bucket").orderBy(micros).rangeBetween(-window, 0)
+    executed = F.when((F.lower("action") == "execute") & c("process").isNotNull(), F.struct("timestamp", "event_id", rules.identity.process(c("source_host"), c("process")).alias("process")))
+    found = with_roles(events, roles, rules).where(F.lower("action").isin("execute", "connect") & c("source_host").isNotNull())
+    found = found.withColumn("bucket", F.explode(F.when(F.lower("action") == "execute", F.array(bucket, bucket + 1)).otherwise(F.array(bucket))))
+    seen = found.withColumn("last", F.max(executed).over(frame))
+    far = F.coalesce(rules.identity.host(c("destination_host")), c("destination_ip"))
     rows = seen.where((F.lower("action") == "connect") & c("process").isNull() & c("last").isNotNull() & far.isNotNull())
     return rows.select(
         "investigation_id",

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fields as f
 from ..schema import FIELD_MAP, MODEL, OPTIONAL
 
+#: Side columns of the model: the parts of a user's name, and the severity where it is a number.
+ACCOUNT = ["user_account", "user_domain", "severity_level"]
 ERROR = "struct<status:int,error:string,message:string>"
 
 
@@ -39,6 +41,9 @@ def normalize(parsed: DataFrame, field_map: dict[str, list[str]] = FIELD_MAP, zo
     out = out.withColumns(
         {
             "timestamp_raw": F.col("timestamp"),
+            "user_account": f.account_name(F.col("user")),
+            "user_domain": f.account_domain(F.col("user")),
+            "severity_level": F.col("severity").try_cast("int"),
             "timestamp": f.utc_timestamp(F.col("timestamp"), zone),
             "source_ip": f.ip_address(F.col("source_ip"), ipv6),
             "destination_ip": f.ip_address(F.col("destination_ip"), ipv6),
@@ -57,7 +62,15 @@ def _error(message: str) -> Column:
 
 def validate(normalized: DataFrame, field_map: dict[str, list[str]] = FIELD_MAP) -> DataFrame:
     """Add ``errors``: the parse error, or what is wrong with the model's fields. Optional fields may be absent, but must be scalars."""
-    nested = lambda k: F.exists(F.array(*[F.col("fields")[n] for n in field_map[k]]), lambda v: F.coalesce(v.rlike(r"^\s*[\[{]"), F.lit(False)))
+    def nested(k: str) -> Column:
+        """Whether a name of the field has an object or array; texts that merely look like one are told from these by the JSON value's type."""
+        found = F.lit(False)
+        for n in field_map[k]:
+            kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("raw"), f"$.{n}", "variant"))
+            looks = F.coalesce(F.col("fields")[n].rlike(r"^\s*[\[{]"), F.lit(False))
+            found = found | F.when(looks, F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(True))).otherwise(False)
+        return found
+
     checks = [F.when(F.col(k).isNull() & F.col("parse_error").isNull(), _error(f"{k} is required")) for k in ("event_id", "event_type", "action")]
     checks.append(F.when(F.col("timestamp_raw").isNull() & F.col("parse_error").isNull(), _error("timestamp is required")))
     checks.append(F.when(F.col("timestamp_raw").isNotNull() & F.col("timestamp").isNull(), _error("timestamp is malformed")))
@@ -66,8 +79,9 @@ def validate(normalized: DataFrame, field_map: dict[str, list[str]] = FIELD_MAP)
 
 
 def mark_duplicates(validated: DataFrame) -> DataFrame:
-    """The earliest ingested row of an event id stays, later ones get an error."""
-    order = Window.partitionBy("investigation_id", "event_id").orderBy("ingested_at", "source_record_id", "raw")
+    """The earliest ingested row of an event id stays, later ones get an error. Rows without an id are spread over the tasks, and none is a duplicate."""
+    spread = F.when(F.col("event_id").isNull(), F.xxhash64("raw", "source_record_id") % 4096)
+    order = Window.partitionBy("investigation_id", "event_id", spread).orderBy("ingested_at", "source_record_id", "raw")
     again = F.col("event_id").isNotNull() & (F.row_number().over(order) > 1)
     return validated.withColumn("errors", F.when(again, F.array_append("errors", _error("event_id occurs already").cast(ERROR))).otherwise(F.col("errors")))
 
@@ -75,7 +89,7 @@ def mark_duplicates(validated: DataFrame) -> DataFrame:
 def security_events(validated: DataFrame) -> DataFrame:
     """Valid events alone; all later steps read these."""
     envelope = ["investigation_id", "source_type", "source_name", "source_record_id", "ingested_at", "timestamp_raw", "field_mapping", "unknown_fields", "raw_data"]
-    return validated.where(F.size("errors") == 0).select(*MODEL, *envelope)
+    return validated.where(F.size("errors") == 0).select(*MODEL, *ACCOUNT, *envelope)
 
 
 def rejected_events(validated: DataFrame) -> DataFrame:

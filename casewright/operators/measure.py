@@ -25,15 +25,15 @@ def pipeline_counts(validated: DataFrame, entities: DataFrame, edges: DataFrame,
 
 
 @contextmanager
-def stage(name: str, request_id: str, investigation_id: str, durations: dict[str, float]) -> Iterator[None]:
-    """Times a stage and logs it, without any payload."""
+def stage(name: str, request_id: str, investigation_id: str, durations: dict[str, float], event_id: str | None = None) -> Iterator[None]:
+    """Times a stage and logs it, without any payload. ``event_id``: where the stage is about one event."""
     began, ok = time.monotonic(), False
     try:
         yield
         ok = True
     finally:
         durations[name] = time.monotonic() - began
-        LOG.info(json.dumps({"request": request_id, "investigation": investigation_id, "stage": name, "success": ok, "seconds": round(durations[name], 3)}))
+        LOG.info(json.dumps({"request": request_id, "investigation": investigation_id, "event": event_id, "stage": name, "success": ok, "seconds": round(durations[name], 3)}))
 
 
 def confusion(expected: DataFrame, produced: DataFrame) -> DataFrame:
@@ -45,3 +45,13 @@ def confusion(expected: DataFrame, produced: DataFrame) -> DataFrame:
         F.count("e").alias("expected"), F.count("p").alias("produced"), F.count_if(F.col("e").isNotNull() & F.col("p").isNotNull()).alias("correct"), F.count_if(F.col("e").isNull()).alias("unsupported"), F.count_if(F.col("p").isNull()).alias("missed")
     )
     return counts.withColumn("precision", F.try_divide("correct", "produced")).withColumn("recall", F.try_divide("correct", "expected"))
+
+
+#: What a comparison of reviews records; people measure it, and only measured rows are reported.
+UTILITY = "scenario string, participant string, assisted boolean, seconds double, pivots int, sources_checked int, events_inspected int, completed boolean, errors int"
+UTILITY_MEASURES = ["seconds", "pivots", "sources_checked", "events_inspected", "errors"]
+
+
+def utility(rows: DataFrame) -> DataFrame:
+    """By scenario and whether the review was assisted: reviews, how many were completed, and the mean of each measure over the completed ones."""
+    return rows.groupBy("scenario", "assisted").agg(F.count("*").alias("reviews"), F.count_if("completed").alias("completed"), *[F.avg(F.when(F.col("completed"), F.col(c))).alias(f"mean_{c}") for c in UTILITY_MEASURES])

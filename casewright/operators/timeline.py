@@ -25,6 +25,12 @@ def with_derived(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.unionByName(extra, allowMissingColumns=True)
 
 
+def with_narrative(rows: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Timeline rows and the summaries made of them (``context.audit``), marked as generated text: they are no evidence."""
+    extra = summaries.where("status = 'available'").select("investigation_id", F.col("made_at").alias("timestamp"), F.lit("summary").alias("event_type"), F.lit("narrative").alias("action"), F.col("provider").alias("source"), F.lit("narrative").alias("kind"))
+    return rows.unionByName(extra, allowMissingColumns=True)
+
+
 def ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy("timestamp", "event_id", "kind")
 
@@ -50,8 +56,9 @@ def sessions(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
 
 
 def adjacent(events: DataFrame) -> DataFrame:
-    """Each event with the one before and after it in its investigation's user activity."""
-    w = Window.partitionBy("investigation_id", F.lower("user")).orderBy("timestamp", "event_id")
+    """Each event with the one before and after it in its investigation's user activity. Events without a user have neither and are spread over the tasks."""
+    spread = F.when(F.col("user").isNull(), F.xxhash64("event_id"))
+    w = Window.partitionBy("investigation_id", F.lower("user"), spread).orderBy("timestamp", "event_id")
     return events.select("investigation_id", "event_id", F.lag("event_id").over(w).alias("before"), F.lead("event_id").over(w).alias("after"))
 
 
@@ -75,11 +82,19 @@ def untraceable(edges: DataFrame, events: DataFrame) -> DataFrame:
     return event_edges(edges).join(events.select("investigation_id", "event_id"), ["investigation_id", "event_id"], "left_anti")
 
 
+def details(events: DataFrame, occurrences: DataFrame, edges: DataFrame, correlations: DataFrame) -> DataFrame:
+    """All that is known of each event, as a nested row: its entities, relationships and correlations."""
+    keys = ["investigation_id", "event_id"]
+    of = occurrences.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("entity_type", "entity_key", "role"))).alias("entities"))
+    rel = event_edges(edges).groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(*REF, "derived"))).alias("relationships"))
+    pairs = correlations.where("related").select("investigation_id", "event_a", "event_b", "signals", F.explode(F.array("event_a", "event_b")).alias("event_id"))
+    cor = pairs.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("event_a", "event_b", "signals"))).alias("correlations"))
+    return events.join(of, keys, "left").join(rel, keys, "left").join(cor, keys, "left")
+
+
 def detail(event_id: str, events: DataFrame, occurrences: DataFrame, edges: DataFrame, correlations: DataFrame) -> DataFrame:
-    """All that is known of an event, as one nested row."""
-    one = events.where(F.col("event_id") == event_id)
-    of = occurrences.where(F.col("event_id") == event_id).groupBy("event_id").agg(F.array_sort(F.collect_set(F.struct("entity_type", "entity_key", "role"))).alias("entities"))
-    rel = event_edges(edges).where(F.col("event_id") == event_id).groupBy("event_id").agg(F.array_sort(F.collect_set(F.struct(*REF, "derived"))).alias("relationships"))
-    pairs = correlations.where((F.col("event_a") == event_id) | (F.col("event_b") == event_id)).where("related")
-    cor = pairs.groupBy(F.lit(event_id).alias("event_id")).agg(F.array_sort(F.collect_set(F.struct("event_a", "event_b", "signals"))).alias("correlations"))
-    return one.join(of, "event_id", "left").join(rel, "event_id", "left").join(cor, "event_id", "left")
+    """``details`` of one event; the conditions go before the grouping."""
+    has = F.array_contains("event_ids", event_id)
+    pairs = correlations.where((F.col("event_a") == event_id) | (F.col("event_b") == event_id))
+    one = F.col("event_id") == event_id
+    return details(events.where(one), occurrences.where(one), edges.where(has), pairs).where(one)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators import graph
 from . import fixtures
 
 STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -14,7 +13,7 @@ se AS (SELECT 'evt-' || event_id AS event_id, ts AS t, strftime(ts, '%Y-%m-%d %H
   CASE event_type WHEN 'signup' THEN 'authenticate' WHEN 'view' THEN 'login' WHEN 'click' THEN 'execute' WHEN 'purchase' THEN 'connect' ELSE 'access' END AS action,
   'user' || user_id AS "user",
   CASE WHEN event_type = 'error' THEN 'FIN-SRV-0' || (k % 5) ELSE 'ENG-PC-' || lpad(CAST(k % 20 AS VARCHAR), 2, '0') END AS source_host,
-  CASE WHEN event_type = 'purchase' AND k % 4 <> 0 THEN 'FIN-SRV-0' || (k % 5) END AS destination_host,
+  CASE WHEN event_type = 'purchase' AND k % 4 <> 0 OR event_type = 'view' AND k % 7 = 3 THEN 'FIN-SRV-0' || (k % 5) END AS destination_host,
   CASE WHEN event_type IN ('signup', 'view') THEN '10.1.0.' || (k % 20) END AS source_ip,
   CASE WHEN event_type = 'purchase' AND k % 4 = 0 THEN '10.0.0.' || (k % 5) END AS destination_ip,
   CASE WHEN event_type = 'click' THEN ['powershell.exe', 'cmd.exe', 'python.exe', 'bash'][k % 4 + 1] END AS process,
@@ -31,7 +30,7 @@ occ AS (
   UNION ALL SELECT event_id, t, 'Process', process_key, process, 'process' FROM kind WHERE process IS NOT NULL
   UNION ALL SELECT event_id, t, 'File', file, file, 'file' FROM kind WHERE file IS NOT NULL),
 direct AS (
-  SELECT CASE action WHEN 'login' THEN 'LOGGED_INTO' ELSE 'AUTHENTICATED_TO' END AS relationship_type, 'User' AS src_type, lower("user") AS src_key, src_kind AS dst_type, source_host AS dst_key, event_id, t, "timestamp" FROM kind WHERE action IN ('login', 'authenticate')
+  SELECT CASE action WHEN 'login' THEN 'LOGGED_INTO' ELSE 'AUTHENTICATED_TO' END AS relationship_type, 'User' AS src_type, lower("user") AS src_key, CASE WHEN destination_host IS NULL THEN src_kind ELSE far_kind END AS dst_type, coalesce(destination_host, source_host) AS dst_key, event_id, t, "timestamp" FROM kind WHERE action IN ('login', 'authenticate')
   UNION ALL SELECT 'EXECUTED', src_kind, source_host, 'Process', process_key, event_id, t, "timestamp" FROM kind WHERE action = 'execute'
   UNION ALL SELECT 'CONNECTED_TO', src_kind, source_host, far_kind, far, event_id, t, "timestamp" FROM kind WHERE action = 'connect'
   UNION ALL SELECT 'ACCESSED', src_kind, source_host, 'File', file, event_id, t, "timestamp" FROM kind WHERE action = 'access'),
@@ -87,12 +86,49 @@ edge(scenario, relationship_type, src_key, dst_key, evidence) AS (
     AND x.ts::TIMESTAMP <= c.ts::TIMESTAMP AND x.ts::TIMESTAMP >= c.ts::TIMESTAMP - INTERVAL 10 MINUTE)"""
 
 
-def _pivot(name: str) -> str:
-    kinds, a_type, b_type, forward = graph.PIVOTS[name]
-    a, b = ("src", "dst") if forward else ("dst", "src")
-    more = f" AND {b}_type = '{b_type}'" if b_type else ""
-    listed = ", ".join(f"'{k}'" for k in kinds)
-    return _sim(f"SELECT {a}_key AS start_key, {b}_key AS end_key, count(*) AS n FROM edge WHERE relationship_type IN ({listed}) AND {a}_type = '{a_type}'{more} GROUP BY 1, 2")
+#: Two investigations by the number of an edge's event.
+TWO = """, edge2 AS (SELECT *, CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS inv FROM edge)"""
+UND2 = (
+    TWO
+    + """, und2 AS (SELECT inv, relationship_type, event_id, event_ids, t, src_type AS node_type, src_key AS node, dst_type AS neighbour_type, dst_key AS neighbour, TRUE AS forward FROM edge2
+  UNION ALL SELECT inv, relationship_type, event_id, event_ids, t, dst_type, dst_key, src_type, src_key, FALSE FROM edge2)"""
+)
+
+
+def _walk(depth: int, where: str = "TRUE") -> str:
+    """Nodes with their least hop from user1 in each investigation, and the observations that reach them there."""
+    return f"""{UND2}, used AS (SELECT * FROM und2 WHERE {where}), near AS (SELECT DISTINCT inv, node_type, node, neighbour_type, neighbour FROM used),
+      steps AS (SELECT DISTINCT inv, node_type, node, 0 AS hop FROM used WHERE node = 'user1' AND node_type = 'User'
+        UNION SELECT near.inv, near.neighbour_type, near.neighbour, hop + 1 FROM steps JOIN near ON near.inv = steps.inv AND near.node_type = steps.node_type AND near.node = steps.node WHERE hop < {depth}),
+      least AS (SELECT inv, node_type, node, min(hop) AS hop FROM steps GROUP BY ALL),
+      led AS (SELECT u.*, y.hop FROM used u JOIN least x ON x.inv = u.inv AND x.node_type = u.node_type AND x.node = u.node JOIN least y ON y.inv = u.inv AND y.node_type = u.neighbour_type AND y.node = u.neighbour AND y.hop = x.hop + 1),
+      reached AS (SELECT inv, neighbour_type, neighbour, hop, list_sort(list_distinct(flatten(list(event_ids)))) AS ids FROM led GROUP BY ALL)"""
+
+
+def _pivot(start: str, end: str, test: str, end_type: str) -> str:
+    return _sim(f"{TWO} SELECT inv AS investigation_id, {start} AS start_key, {end_type} AS end_type, {end} AS end_key, count(*) AS n, strftime(min(t), {STAMP}) AS first_seen, strftime(max(t), {STAMP}) AS last_seen FROM edge2 WHERE {test} GROUP BY ALL")
+
+
+LOGINS = "relationship_type IN ('LOGGED_INTO', 'AUTHENTICATED_TO') AND src_type = 'User'"
+PIVOTS = {
+    "piv_09_host_users": _pivot("dst_key", "src_key", f"{LOGINS} AND dst_type = 'Host'", "src_type"),
+    "piv_10_host_processes": _pivot("src_key", "dst_key", "relationship_type = 'EXECUTED' AND src_type = 'Host' AND dst_type = 'Process'", "dst_type"),
+    "piv_11_host_destinations": _pivot("src_key", "dst_key", "relationship_type = 'CONNECTED_TO' AND src_type = 'Host'", "dst_type"),
+    "piv_12_server_users": _pivot("dst_key", "src_key", f"{LOGINS} AND dst_type = 'Server'", "src_type"),
+    "piv_13_user_hosts": _pivot("src_key", "dst_key", LOGINS, "dst_type"),
+    "piv_14_process_destinations": _pivot("src_key", "dst_key", "relationship_type = 'CONNECTED_TO' AND src_type = 'Process'", "dst_type"),
+    "piv_15_server_files": _pivot("src_key", "dst_key", "relationship_type = 'ACCESSED' AND src_type = 'Server' AND dst_type = 'File'", "dst_type"),
+}
+CASES_SQL = """c AS (SELECT 'case-' || n_nationkey AS investigation_id, n_nationkey AS k, CASE WHEN n_nationkey % 8 = 0 THEN lower(n_name) ELSE n_name END AS title, 'region ' || n_regionkey AS description,
+  CASE WHEN n_nationkey % 8 = 0 THEN 'OPEN' WHEN n_nationkey % 4 = 0 THEN 'CLOSED' WHEN n_nationkey % 2 = 0 THEN 'UNDER_REVIEW' ELSE 'OPEN' END AS status,
+  CASE WHEN n_nationkey % 8 = 0 THEN 'ESCALATE' WHEN n_nationkey % 4 = 0 THEN 'CLOSE_AS_INVESTIGATED' END AS outcome FROM nation)"""
+#: What is wrong with each damaged event.
+DAMAGED = """, n AS (SELECT *, CAST(substr(event_id, 5) AS BIGINT) AS number FROM kind), dam AS (SELECT *, CASE WHEN number % 50 = 49 THEN 'event is not a JSON object' ELSE CASE number % 9 WHEN 0 THEN 'event_id is required' WHEN 1 THEN 'event_type is required' WHEN 2 THEN 'action is required'
+  WHEN 3 THEN 'timestamp is required' WHEN 4 THEN 'timestamp is malformed' WHEN 5 THEN 'severity must be a scalar' WHEN 6 THEN 'severity must be a scalar' END END AS message FROM n),
+  bad AS (SELECT event_id AS record, CASE WHEN number % 50 = 49 THEN 'PARSE_ERROR' ELSE 'VALIDATION_ERROR' END AS error, message FROM dam WHERE message IS NOT NULL)"""
+SAID = """, st AS (SELECT event_id AS statement_id, CAST(substr(event_id, 5) AS BIGINT) % 6 AS r FROM se),
+  g AS (SELECT statement_id, r, CASE WHEN r = 1 THEN 0 ELSE 1 END::BIGINT AS n_named, CASE WHEN r IN (0, 1) THEN 0 ELSE 1 END::BIGINT AS n_known, CASE WHEN r IN (2, 3) THEN 3 ELSE 2 END::BIGINT AS n_entities_named, 2::BIGINT AS n_entities_known,
+    CASE WHEN r IN (0, 2, 3) THEN 'invented' WHEN r = 1 THEN 'unsupported' ELSE 'grounded' END AS verdict FROM st)"""
 
 
 UND = """, und AS (SELECT relationship_type, event_id, t, "timestamp", src_key AS node, dst_key AS neighbour, dst_type AS neighbour_type, TRUE AS forward FROM edge
@@ -120,26 +156,36 @@ def oracle_sql() -> dict[str, str]:
         "cnd_07_candidates": _sim("SELECT event_a, event_b, kinds FROM cand"),
         "cnd_09_incremental": _sim("SELECT event_a, event_b, kinds FROM cand JOIN kind x ON x.event_id = event_a JOIN kind y ON y.event_id = event_b WHERE x.t >= TIMESTAMP '2024-01-25' OR y.t >= TIMESTAMP '2024-01-25'"),
         "cor_09_correlations": _sim("SELECT event_a, event_b, array_to_string(signals, ',') AS signals, gap_seconds, related FROM corr"),
-        "cor_13_reasons": _sim("SELECT (gap_seconds // 60) || ' minutes after ' || action_a AS reason, count(*) AS n FROM corr GROUP BY 1"),
+        "cor_13_reasons": _sim("SELECT CASE WHEN gap_seconds < 60 THEN 'within a minute' ELSE (gap_seconds // 60) || ' minutes' END || ' after ' || action_a AS reason, count(*) AS n FROM corr GROUP BY 1"),
         "cor_14_sequences": _sim(
             """, pair AS (SELECT event_a AS u, event_b AS v FROM corr WHERE related UNION SELECT event_b, event_a FROM corr WHERE related),
             walk AS (SELECT DISTINCT u AS node, u AS low FROM pair UNION SELECT pair.v, walk.low FROM walk JOIN pair ON pair.u = walk.node WHERE walk.low < pair.v)
-            SELECT sequence_id, count(*) AS n_events FROM (SELECT node, min(low) AS sequence_id FROM walk GROUP BY node) GROUP BY 1""",
+            SELECT min(low) AS sequence_id, node AS event_id FROM walk GROUP BY node""",
             True,
         ),
         "grf_04_graph_filtered": _sim("""SELECT relationship_type, src_key, dst_key, event_id, "timestamp" FROM edge WHERE t BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND relationship_type IN ('CONNECTED_TO', 'ACCESSED') ORDER BY t, relationship_type, src_key, dst_key, event_id LIMIT 500"""),
-        "grf_11_graph_counts": _sim("SELECT relationship_type, count(DISTINCT src_key || chr(1) || dst_key) AS n_edges, count(DISTINCT event_id) AS n_events FROM edge GROUP BY 1"),
+        "grf_11_graph_counts": _sim(TWO + " SELECT inv AS investigation_id, relationship_type, count(DISTINCT src_type || chr(1) || src_key || chr(1) || dst_type || chr(1) || dst_key) AS n_edges, count(DISTINCT event_id) AS n_events FROM edge2 GROUP BY ALL"),
         "piv_01_neighbours": _sim(UND + """ SELECT relationship_type, neighbour, event_id, "timestamp", forward FROM und WHERE node = 'FIN-SRV-02'"""),
         "piv_02_around_anchor": _sim(UND + """ SELECT relationship_type, neighbour, event_id, "timestamp" FROM und WHERE node = 'FIN-SRV-02' AND t BETWEEN TIMESTAMP '2024-01-09 12:00:00' AND TIMESTAMP '2024-01-11 12:00:00'"""),
-        "piv_03_bfs": _sim(
-            UND
-            + """, near AS (SELECT DISTINCT node, neighbour, neighbour_type FROM und), hops AS (SELECT 'user1' AS node, 0 AS hop UNION SELECT near.neighbour, hop + 1 FROM hops JOIN near ON near.node = hops.node WHERE hop < 3)
-            SELECT h.node, k.node_type, h.hop::BIGINT AS hop FROM (SELECT node, min(hop) AS hop FROM hops GROUP BY node) h JOIN (SELECT DISTINCT neighbour AS node, neighbour_type AS node_type FROM near) k ON k.node = h.node WHERE h.hop > 0""",
+        "piv_03_bfs": _sim(_walk(3) + " SELECT inv AS investigation_id, neighbour AS node, neighbour_type AS node_type, hop::BIGINT AS hop, len(ids) AS n_events, md5(array_to_string(ids, ',')) AS event_ids_md5 FROM reached", True),
+        "piv_04_filtered": _sim(
+            _walk(2, "inv = 'odd' AND t BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-20' AND relationship_type IN ('LOGGED_INTO', 'EXECUTED')")
+            + " SELECT inv AS investigation_id, neighbour AS node, neighbour_type AS node_type, hop::BIGINT AS hop, array_to_string(ids, ',') AS event_ids FROM reached WHERE neighbour_type IN ('Host', 'Server', 'Process') ORDER BY hop, inv, neighbour_type, neighbour LIMIT 500",
+            True,
+        ),
+        "piv_07_hop_evidence": _sim(_walk(2) + " SELECT inv AS investigation_id, hop::BIGINT AS hop, relationship_type, node, neighbour, event_id, forward, array_to_string(event_ids, '+') AS evidence FROM led", True),
+        "piv_08_paths": _sim(
+            TWO
+            + """, link AS (SELECT inv, src_type || ':' || src_key AS a, dst_type || ':' || dst_key AS b, dst_key, relationship_type, array_to_string(list_sort(list_distinct(flatten(list(event_ids)))), '+') AS ids FROM edge2
+              WHERE t <= TIMESTAMP '2024-01-12' AND relationship_type IN ('LOGGED_INTO', 'EXECUTED', 'CONNECTED_TO', 'ACCESSED') GROUP BY ALL),
+            p AS (SELECT DISTINCT inv, a AS last, [a] AS seen, ['user1'] AS nodes, [] :: VARCHAR[] AS kinds, [] :: VARCHAR[] AS evidence FROM link WHERE a = 'User:user1'
+              UNION ALL SELECT p.inv, b, list_append(seen, b), list_append(nodes, dst_key), list_append(kinds, relationship_type), list_append(evidence, ids) FROM p JOIN link ON link.inv = p.inv AND a = last WHERE NOT list_contains(seen, b) AND len(kinds) < 4)
+            SELECT inv AS investigation_id, array_to_string(nodes, ' > ') AS path, array_to_string(kinds, ' > ') AS relationships, len(kinds)::BIGINT AS hops, md5(array_to_string(evidence, ' > ')) AS evidence_md5 FROM p WHERE len(kinds) > 0""",
             True,
         ),
-        "piv_08_paths": f"""WITH RECURSIVE {_scenarios("A")}, p AS (SELECT 'rahul' AS last, ['rahul'] AS nodes, [] :: VARCHAR[] AS evidence, 0 AS hops
-            UNION ALL SELECT dst_key, list_append(nodes, dst_key), list_append(p.evidence, edge.evidence), hops + 1 FROM p JOIN edge ON src_key = last WHERE NOT list_contains(nodes, dst_key) AND hops < 5)
-            SELECT array_to_string(nodes, ' > ') AS path, hops::BIGINT AS hops, array_to_string(evidence, ' > ') AS evidence FROM p WHERE hops > 0""",
+        "piv_17_long_paths": f"""WITH RECURSIVE {_scenarios("ABCD")}, p AS (SELECT DISTINCT scenario, 'rahul' AS last, ['rahul'] AS nodes, [] :: VARCHAR[] AS evidence FROM edge WHERE src_key = 'rahul'
+            UNION ALL SELECT p.scenario, dst_key, list_append(nodes, dst_key), list_append(p.evidence, edge.evidence) FROM p JOIN edge ON src_key = last AND edge.scenario = p.scenario WHERE NOT list_contains(nodes, dst_key) AND len(nodes) < 9)
+            SELECT scenario AS investigation_id, array_to_string(nodes, ' > ') AS path, len(nodes)::BIGINT - 1 AS hops, array_to_string(evidence, ' > ') AS evidence FROM p WHERE len(nodes) > 1""",
         "tml_01_timeline": _sim(REFS + """ SELECT "timestamp", event_id, event_type, action, "user", source_host, destination_host, process, file, 'events' AS source, 'event' AS kind, coalesce(relationship_refs, '') AS relationship_refs FROM se LEFT JOIN refs USING (event_id)"""),
         "tml_04_entity_timeline": _sim("""SELECT "timestamp", event_id, action, "user" FROM se WHERE action IN ('connect', 'access') AND t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28' AND event_id IN (SELECT event_id FROM occ WHERE entity_key = 'FIN-SRV-02')"""),
         "tml_08_marked": _sim("SELECT 'event' AS kind, count(*) AS n FROM se UNION ALL SELECT 'derived', count(*) FROM derived"),
@@ -156,9 +202,56 @@ def oracle_sql() -> dict[str, str]:
             """SELECT 'input' AS metric, count(*) AS n FROM events UNION ALL SELECT 'valid', count(*) FROM se UNION ALL SELECT 'rejected', 0 UNION ALL SELECT 'entities', count(*) FROM (SELECT DISTINCT entity_type, entity_key FROM occ)
             UNION ALL SELECT 'relationships', count(*) FROM (SELECT DISTINCT relationship_type, src_type, src_key, dst_type, dst_key FROM edge) UNION ALL SELECT 'correlated_links', count(*) FROM corr WHERE related"""
         ),
+        "src_09_mixed_sources": _sim("""SELECT event_id, "timestamp", action, "user", process, file, ['SIEM', 'EDR', 'dataset', 'Sysmon'][CAST(substr(event_id, 5) AS BIGINT) % 4 + 1] AS source_type,
+            ['lines', 'arrays', 'table', 'single'][CAST(substr(event_id, 5) AS BIGINT) % 4 + 1] AS source_name, event_id AS raw_event_id FROM se"""),
+        "src_11_list_events": _sim("""SELECT event_id, "timestamp", action, CASE WHEN action = 'login' THEN 0 ELSE 1 END AS added_later FROM se WHERE "user" LIKE '%7'"""),
+        "snk_01_graph_tables": _sim(TWO + " SELECT inv AS investigation_id, relationship_type, src_type, dst_type, derived, count(*) AS n, count(DISTINCT event_id) AS n_events, min(array_to_string(event_ids, '+')) AS least FROM edge2 GROUP BY ALL"),
+        "snk_05_retained": _sim("SELECT event_id, t >= TIMESTAMP '2024-01-15 12:00:00' AS covered FROM se WHERE t >= TIMESTAMP '2024-01-15'"),
+        "nrm_02_vendor_fields": _sim("""SELECT event_id, "timestamp", action, CASE CAST(substr(event_id, 5) AS BIGINT) % 3 WHEN 0 THEN 'CORP' WHEN 1 THEN 'corp.example' END AS user_domain, lower("user") AS user_key, source_host AS source_host_key, process_key, 'D:/data/' || file AS file_key,
+            source_ip, CASE WHEN destination_ip IS NOT NULL THEN '2001:db8::' || CASE WHEN destination_ip LIKE '%.0' THEN '' ELSE string_split(destination_ip, '.')[4] END END AS destination_ip, CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 2 = 0 THEN 5 ELSE -1 END AS severity_level, 'Vendor' AS unknown FROM kind"""),
+        "val_01_damaged_events": _sim(DAMAGED + " SELECT record, error, message FROM bad"),
+        "val_10_no_partial_graph": _sim(DAMAGED + " SELECT event_id, relationship_type, src_key, dst_key FROM direct WHERE event_id NOT IN (SELECT record FROM bad)"),
+        "err_01_envelopes": _sim(DAMAGED + " SELECT '400' AS status, error, message, count(*) AS n FROM bad GROUP BY ALL"),
+        "ent_03_roles": _sim("""SELECT CASE WHEN entity_key = 'FIN-SRV-01' OR entity_key LIKE '%SRV%3' THEN 'Host' WHEN entity_key LIKE '%3' OR entity_key LIKE '%SRV%' THEN 'Server' ELSE 'Host' END AS entity_type, entity_key, role, count(*) AS n FROM occ WHERE role IN ('source_host', 'destination_host') GROUP BY ALL"""),
+        "cor_11_strength": _sim(""", w AS (SELECT c.event_a, c.event_b, list_filter(c.signals, lambda s: s <> 'compatible_sequence') AS s, x.action || '>' || y.action = 'login>connect' AS q FROM cor c JOIN kind x ON x.event_id = event_a JOIN kind y ON y.event_id = event_b WHERE y.t - x.t <= INTERVAL 5 MINUTE)
+            SELECT event_a, event_b, CASE WHEN list_contains(s, 'shared_user') THEN 2.0 ELSE 0 END + CASE WHEN list_contains(s, 'shared_host') THEN 1.0 ELSE 0 END + CASE WHEN list_contains(s, 'shared_ip') THEN 0.5 ELSE 0 END + CASE WHEN q THEN 0.25 ELSE 0 END::DOUBLE AS strength, len(s)::BIGINT + CASE WHEN q THEN 1 ELSE 0 END AS signal_count FROM w"""),
+        "grf_02_merged_entities": _sim(f"SELECT entity_type, entity_key, arg_min(name, (t, event_id)) AS name, strftime(min(t), {STAMP}) AS first_seen, strftime(max(t), {STAMP}) AS last_seen, count(DISTINCT event_id) AS n_events, md5(string_agg(DISTINCT event_id, ',' ORDER BY event_id)) AS event_ids_md5 FROM occ GROUP BY 1, 2"),
+        "grf_09_entity_detail": _sim(""", ends AS (SELECT src_type AS a, src_key AS node, dst_type || chr(1) || dst_key AS b, relationship_type FROM edge UNION ALL SELECT dst_type, dst_key, src_type || chr(1) || src_key, relationship_type FROM edge),
+            o AS (SELECT node, string_agg(relationship_type || '=' || n, ',' ORDER BY relationship_type) AS observations FROM (SELECT node, relationship_type, count(*) AS n FROM ends WHERE a = 'Server' GROUP BY ALL) GROUP BY 1)
+            SELECT entity_key, count(DISTINCT event_id) AS n_events, (SELECT count(DISTINCT b) FROM ends WHERE node = entity_key AND a = 'Server') AS n_neighbours, any_value(o.observations) AS observations FROM occ LEFT JOIN o ON o.node = entity_key WHERE entity_type = 'Server' GROUP BY entity_key"""),
+        "tml_05_event_types": _sim(REFS.replace("string_agg(DISTINCT ref, '; ' ORDER BY ref)", "count(DISTINCT ref)") + " SELECT event_id, event_type, coalesce(relationship_refs, 0)::BIGINT AS n_refs FROM se LEFT JOIN refs USING (event_id) WHERE event_type IN ('network', 'file')"),
+        "evd_01_details": _sim(""", o AS (SELECT event_id, count(DISTINCT (entity_type, entity_key, role)) AS n FROM occ GROUP BY 1), each AS (SELECT unnest(event_ids) AS event_id, relationship_type, src_key, dst_key, derived FROM edge),
+            r AS (SELECT event_id, count(DISTINCT (relationship_type, src_key, dst_key, derived)) AS n FROM each GROUP BY 1), p AS (SELECT event_id, count(*) AS n FROM (SELECT event_a AS event_id FROM corr WHERE related UNION ALL SELECT event_b FROM corr WHERE related) GROUP BY 1)
+            SELECT se.event_id, coalesce(o.n, 0)::BIGINT AS n_entities, coalesce(r.n, 0)::BIGINT AS n_relationships, coalesce(p.n, 0)::BIGINT AS n_correlations FROM se LEFT JOIN o USING (event_id) LEFT JOIN r USING (event_id) LEFT JOIN p USING (event_id)"""),
+        "evd_05_untraceable": _sim(", each AS (SELECT unnest(event_ids) AS event_id, relationship_type, src_key, dst_key FROM edge) SELECT event_id, relationship_type, src_key, dst_key FROM each WHERE event_id NOT IN (SELECT event_id FROM se)"),
+        "inv_02_cases": f"""WITH {CASES_SQL} SELECT investigation_id, title, description, status, outcome, '2024-02-01 00:00:00.000000' AS created_at, CASE WHEN k % 8 = 0 THEN '2024-02-03 00:00:00.000000' WHEN k % 2 = 0 THEN '2024-02-02 00:00:00.000000' ELSE '2024-02-01 00:00:00.000000' END AS updated_at,
+            CASE WHEN k % 4 = 0 AND k % 8 <> 0 THEN '2024-02-02 00:00:00.000000' END AS closed_at FROM c""",
+        "inv_07_notes": "SELECT 'case-' || c_nationkey AS investigation_id, c_mktsegment AS author, 'analyst' AS kind, count(*) AS n, max('about ' || c_name) AS last_note FROM customer GROUP BY ALL",
+        "sec_01_visible": f"WITH {CASES_SQL} SELECT investigation_id, title FROM c WHERE description = 'region 2'",
+        "aix_01_context": _sim(
+            """, link AS (SELECT src_type || ':' || src_key AS a, dst_type || ':' || dst_key AS b, dst_key, relationship_type, list_sort(list_distinct(flatten(list(event_ids))))[1:20] AS ids FROM edge WHERE t <= TIMESTAMP '2024-01-12' GROUP BY ALL),
+            p AS (SELECT 'user1 > ' || dst_key AS path, 1 AS hops, [ids] AS evidence FROM link WHERE a = 'User:user1' UNION ALL SELECT 'user1 > ' || x.dst_key || ' > ' || y.dst_key, 2, [x.ids, y.ids] FROM link x JOIN link y ON y.a = x.b WHERE x.a = 'User:user1' AND y.b <> 'User:user1'),
+            ranked AS (SELECT 'timeline' AS part, event_id AS item, row_number() OVER (ORDER BY t, event_id) AS n FROM se
+              UNION ALL SELECT 'entities', entity_key, row_number() OVER (ORDER BY entity_type, entity_key) FROM (SELECT DISTINCT entity_type, entity_key FROM occ)
+              UNION ALL SELECT 'relationships', dst_key, row_number() OVER (ORDER BY relationship_type, src_key, dst_key) FROM (SELECT DISTINCT relationship_type, src_type, src_key, dst_type, dst_key FROM edge)
+              UNION ALL SELECT 'correlations', event_a, row_number() OVER (ORDER BY event_a, event_b) FROM corr WHERE related
+              UNION ALL SELECT 'paths', path, row_number() OVER (ORDER BY hops, path, evidence) FROM p)
+            SELECT part, count(*) AS n, arg_min(item, n) AS first_item, arg_max(item, n) AS last_item FROM ranked WHERE n <= 50 GROUP BY part"""
+        ),
+        "snk_04_summary_audit": """SELECT 'sim' AS investigation_id, kind, n, 'TemplateProvider' AS provider, 'available' AS status, TRUE AS names_events, TRUE AS has_prompt, 'simulated case' AS description FROM (SELECT 'event' AS kind, count(*) AS n FROM events UNION ALL SELECT 'narrative', 1)""",
+        "aix_08_grounding": _sim(SAID + " SELECT statement_id, n_named, n_known, n_entities_named, n_entities_known, verdict FROM g"),
+        "evl_03_grounding_tally": _sim(SAID + """ SELECT CASE verdict WHEN 'grounded' THEN 'supported' WHEN 'invented' THEN 'incorrect' ELSE verdict END AS measure, count(*) AS n FROM g GROUP BY 1
+            UNION ALL SELECT 'missing evidence', count(*) FROM se WHERE action = 'connect' AND CAST(substr(event_id, 5) AS BIGINT) % 6 IN (0, 1)"""),
+        "evl_04_utility": """SELECT o_orderpriority AS scenario, o_orderkey % 2 = 0 AS assisted, count(*) AS reviews, count(*) FILTER (o_orderkey % 10 > 0) AS completed, round(avg(o_orderkey % 600) FILTER (o_orderkey % 10 > 0), 6) AS mean_seconds, round(avg(o_orderkey % 7) FILTER (o_orderkey % 10 > 0), 6) AS mean_pivots,
+            round(avg(o_orderkey % 5) FILTER (o_orderkey % 10 > 0), 6) AS mean_sources_checked, round(avg(o_orderkey % 40) FILTER (o_orderkey % 10 > 0), 6) AS mean_events_inspected, round(avg(o_orderkey % 3) FILTER (o_orderkey % 10 > 0), 6) AS mean_errors FROM orders GROUP BY ALL""",
+        "str_01_stream_ingest": _sim("""SELECT event_id, "timestamp", action, "user" FROM se UNION ALL SELECT 'evt-end', '2034-01-01 00:00:00.000000', 'end', 'nobody' UNION ALL SELECT 'evt-end2', '2034-01-01 00:00:00.000000', 'end', 'nobody' """),
+        "str_03_stream_pairs": _sim(" SELECT x.event_id AS event_a, y.event_id AS event_b, x.kind, x.value FROM (SELECT *, bucket AS at FROM bkey UNION ALL SELECT *, bucket + 1 FROM bkey) x JOIN bkey y ON x.kind = y.kind AND x.value = y.value AND x.at = y.bucket AND (x.t < y.t OR x.t = y.t AND x.event_id < y.event_id) AND y.t - x.t <= INTERVAL 10 MINUTE"),
+        "str_04_stream_windows": _sim(f"""SELECT CASE WHEN "user" LIKE '%7' THEN 'seven' ELSE 'rest' END AS investigation_id, strftime(date_trunc('hour', t), {STAMP}) AS window_start, action, count(*) AS n FROM se GROUP BY ALL"""),
+        "str_07_stream_derived": _sim("SELECT process_key, far AS dst_key, exec_id AS exec_event_id, event_id AS connect_event_id FROM derived"),
         "evl_01_confusion": f"""WITH {_scenarios("ABCD")}, expected(scenario, relationship_type, src_key, dst_key) AS (VALUES {_literal([(s, *x) for s, v in fixtures.EXPECTED.items() for x in v])}),
             j AS (SELECT coalesce(x.scenario, p.scenario) AS scenario, x.src_key AS e, p.src_key AS p FROM expected x FULL JOIN (SELECT DISTINCT scenario, relationship_type, src_key, dst_key FROM edge) p USING (scenario, relationship_type, src_key, dst_key))
             SELECT scenario, count(e) AS expected, count(p) AS produced, count(*) FILTER (e IS NOT NULL AND p IS NOT NULL) AS correct, count(*) FILTER (e IS NULL) AS unsupported, count(*) FILTER (p IS NULL) AS missed,
             count(*) FILTER (e IS NOT NULL AND p IS NOT NULL) / count(p) AS precision, count(*) FILTER (e IS NOT NULL AND p IS NOT NULL) / count(e) AS recall FROM j GROUP BY scenario""",
     }
-    return out | {f"piv_{9 + k:02d}_{name}": _pivot(name) for k, name in enumerate(graph.PIVOTS)}
+    out["str_05_stream_sessions"] = out["tml_09_sessions"]
+    return out | PIVOTS

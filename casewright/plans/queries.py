@@ -8,24 +8,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import stamp_text
-from ..operators import correlate, extract, graph, ingest, measure, timeline
-from ..sources import adapters
+from ..operators import cases, context, correlate, extract, graph, ingest, measure, timeline
+from ..schema import Rules
+from ..sources import adapters, sinks
+from ..streaming import events as streams
+from ..tables import exists, shared_path, written
 from . import fixtures, oracles
-from .tables import written
 
 ANCHOR_NODE = "FIN-SRV-02"
+#: Folders of base tables by application, data folder and name.
+BASES: dict[tuple[str, str, str], str] = {}
 
 
-def at() -> Column:
-    """The timestamp as text, the same in both engines."""
-    return stamp_text(F.col("timestamp")).alias("timestamp")
+def at(column: str = "timestamp") -> Column:
+    """A timestamp as text, the same in both engines."""
+    return stamp_text(F.col(column)).alias(column)
 
 
+def base(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session read: built and written once, and again if its folder is gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in BASES or not exists(spark, f"{BASES[key]}/_SUCCESS"):
+        path = shared_path(spark, name)
+        build().write.parquet(path)
+        BASES[key] = path
+    return spark.read.parquet(BASES[key])
 
 
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the simulation's ids are unique by construction, so no shuffle is spent on duplicates
-    return ingest.ingest(adapters.simulation(spark.read.parquet(f"{sf_dir}/events.parquet")), dedupe=False)
+    return base(spark, sf_dir, "validated", lambda: ingest.ingest(adapters.simulation(spark.read.parquet(f"{sf_dir}/events.parquet"))).drop("fields", "parse_error", "raw"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +44,26 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.all_observations(events(spark, sf_dir))
+    return base(spark, sf_dir, "edges", lambda: extract.all_observations(events(spark, sf_dir)))
+
+
+def direct_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir).where("not derived")
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.occurrences(events(spark, sf_dir))
 
 
 def related(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events(spark, sf_dir)
-    return correlate.correlations(correlate.candidates(found), found)
+    return base(spark, sf_dir, "correlations", lambda: correlate.correlations(correlate.candidates(found), found))
+
+
+def two_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges as those of two investigations that share hosts, users and files, by their event's number."""
+    number = F.substring("event_id", 5, 20).cast("bigint")
+    return edges(spark, sf_dir).withColumn("investigation_id", F.when(number % 2 == 0, "even").otherwise("odd"))
 
 
 def src_05_security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,20 +84,20 @@ def val_06_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ent_07_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.occurrences(events(spark, sf_dir)).select("event_id", "entity_type", "entity_key", "name", "role")
+    return occurrences(spark, sf_dir).select("event_id", "entity_type", "entity_key", "name", "role")
 
 
 def ent_10_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = extract.entities(extract.occurrences(events(spark, sf_dir)))
+    e = extract.entities(occurrences(spark, sf_dir))
     return e.select("entity_type", "entity_key", stamp_text(F.col("first_seen")).alias("first_seen"), stamp_text(F.col("last_seen")).alias("last_seen"), "n_events", F.md5(F.array_join("event_ids", ",")).alias("event_ids_md5"))
 
 
 def rel_08_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.observations(events(spark, sf_dir)).select("relationship_type", "src_type", "src_key", "dst_type", "dst_key", "event_id", at(), "source")
+    return direct_edges(spark, sf_dir).select("relationship_type", "src_type", "src_key", "dst_type", "dst_key", "event_id", at(), "source")
 
 
 def rel_10_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = extract.relationships(extract.observations(events(spark, sf_dir)))
+    r = extract.relationships(direct_edges(spark, sf_dir))
     return r.select("relationship_type", "src_key", "dst_key", stamp_text(F.col("first_seen")).alias("first_seen"), stamp_text(F.col("last_seen")).alias("last_seen"), "n", F.array_join("event_ids", ",").alias("event_ids"))
 
 
@@ -100,8 +125,7 @@ def cor_13_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cor_14_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = correlate.sequences(related(spark, sf_dir).where("related"))
-    return found.groupBy("sequence_id").agg(F.count("*").alias("n_events"))
+    return correlate.sequences(related(spark, sf_dir).where("related")).select("sequence_id", "event_id")
 
 
 def grf_04_graph_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +134,7 @@ def grf_04_graph_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grf_11_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.counts(edges(spark, sf_dir))
+    return graph.counts(two_cases(spark, sf_dir))
 
 
 def piv_01_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,16 +146,33 @@ def piv_02_around_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piv_03_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(written(edges(spark, sf_dir), "edges"), "user1", 3).select("node", "node_type", F.col("hop").cast("bigint").alias("hop"))
+    found = graph.reach(two_cases(spark, sf_dir), "user1", 3, node_type="User")
+    return found.select("investigation_id", "node", "node_type", F.col("hop").cast("bigint").alias("hop"), F.size("event_ids").cast("bigint").alias("n_events"), F.md5(F.array_join("event_ids", ",")).alias("event_ids_md5"))
+
+
+def piv_04_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.reach(two_cases(spark, sf_dir), "user1", 2, entity_types=["Host", "Server", "Process"], limit=500, investigation_id="odd", start="2024-01-02 00:00:00", end="2024-01-20 00:00:00", relationship_types=["LOGGED_INTO", "EXECUTED"])
+    return found.select("investigation_id", "node", "node_type", F.col("hop").cast("bigint").alias("hop"), F.array_join("event_ids", ",").alias("event_ids"))
+
+
+def piv_07_hop_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.hops(two_cases(spark, sf_dir), "user1", 2, node_type="User")
+    return found.select("investigation_id", F.col("hop").cast("bigint").alias("hop"), "relationship_type", "node", "neighbour", "event_id", "forward", F.array_join("event_ids", "+").alias("evidence"))
 
 
 def piv_08_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.paths(extract.all_observations(ingest.security_events(ingest.ingest(fixtures.raw_scenarios(spark, "A")))), "rahul")
-    return found.select("path", F.col("hops").cast("bigint").alias("hops"), F.array_join(F.transform("evidence", lambda e: F.array_join(e, "+")), " > ").alias("evidence"))
+    found = graph.paths(two_cases(spark, sf_dir), "user1", 4, node_type="User", until="2024-01-12 00:00:00", relationship_types=["LOGGED_INTO", "EXECUTED", "CONNECTED_TO", "ACCESSED"])
+    return found.select("investigation_id", "path", F.array_join("relationships", " > ").alias("relationships"), F.col("hops").cast("bigint").alias("hops"), F.md5(F.array_join(F.transform("evidence", lambda e: F.array_join(e, "+")), " > ")).alias("evidence_md5"))
+
+
+def piv_17_long_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worked scenario's path with a deeper bound than the default."""
+    found = graph.paths(extract.all_observations(ingest.security_events(ingest.ingest(fixtures.raw_scenarios(spark)))), "rahul", 8, max_depth=8)
+    return found.select("investigation_id", "path", F.col("hops").cast("bigint").alias("hops"), F.array_join(F.transform("evidence", lambda e: F.array_join(e, "+")), " > ").alias("evidence"))
 
 
 def _pivot(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: graph.pivot(edges(spark, sf_dir), name)
+    return lambda spark, sf_dir: graph.pivot(two_cases(spark, sf_dir), name).select("investigation_id", "start_key", "end_type", "end_key", "n", at("first_seen"), at("last_seen"))
 
 
 def tml_01_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,13 +208,21 @@ def evd_04_event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.event_edges(edges(spark, sf_dir)).groupBy("event_id").agg(F.count("*").alias("n_edges"), F.count_if("derived").alias("n_derived"))
 
 
+def evd_05_untraceable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph event ids that the timeline lacks."""
+    rows = timeline.timeline(events(spark, sf_dir), edges(spark, sf_dir))
+    return timeline.untraceable(edges(spark, sf_dir), rows).select("event_id", "relationship_type", "src_key", "dst_key")
+
+
 def evd_06_untraceable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.untraceable(edges(spark, sf_dir), events(spark, sf_dir)).agg(F.count("*").alias("n"))
 
 
 def obs_01_pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked, found = validated(spark, sf_dir), events(spark, sf_dir)
-    return measure.pipeline_counts(checked, extract.entities(extract.occurrences(found)), extract.relationships(extract.all_observations(found)), related(spark, sf_dir))
+    distinct = lambda df, *keys: df.select("investigation_id", *keys).distinct()  # noqa: E731 counts need no lists of evidence
+    entities = distinct(occurrences(spark, sf_dir), "entity_type", "entity_key")
+    relationships = distinct(edges(spark, sf_dir), "relationship_type", "src_type", "src_key", "dst_type", "dst_key")
+    return measure.pipeline_counts(validated(spark, sf_dir), entities, relationships, related(spark, sf_dir))
 
 
 def evl_01_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,8 +230,295 @@ def evl_01_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.confusion(fixtures.expected(spark), seen.withColumnRenamed("investigation_id", "scenario"))
 
 
+# --- sources of several kinds, validation over damaged rows
+
+
+def simulated_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.simulation(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def src_09_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events dealt to JSON lines, JSON arrays, CSV files and single JSON texts, and read back as one investigation."""
+    raw = simulated_raw(spark, sf_dir).select("raw", (F.get_json_object("raw", "$.event_id").substr(5, 20).cast("bigint") % 4).alias("kind"))
+    folder = shared_path(spark, "mixed")
+    raw.where("kind = 0").select(F.col("raw").alias("value")).write.text(f"{folder}/lines")
+    bodies = raw.where("kind = 1").groupBy(F.xxhash64("raw") % 64).agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("raw")), F.lit("]")).alias("body"))
+    fields = ["event_id", "timestamp", "event_type", "action", "user", "source_host", "destination_host", "source_ip", "destination_ip", "process", "file"]
+    raw.where("kind = 2").select(*[F.get_json_object("raw", f"$.{c}").alias(c) for c in fields]).write.option("header", True).csv(f"{folder}/table")
+    csv = adapters.csv_rows(spark, f"{folder}/table", ", ".join(f"{c} string" for c in fields))
+    parts = [(adapters.json_lines(spark, f"{folder}/lines"), "SIEM", "lines"), (adapters.json_array(bodies), "EDR", "arrays"), (csv, "dataset", "table"), (raw.where("kind = 3").select("raw"), "Sysmon", "single")]
+    whole = adapters.mixed(*[adapters.stamp(df, "mixed", kind, name) for df, kind, name in parts])
+    found = ingest.security_events(ingest.ingest(whole))
+    return found.select("event_id", at(), "action", "user", "process", "file", "source_type", "source_name", F.get_json_object("raw_data", "$.event_id").alias("raw_event_id"))
+
+
+def src_11_list_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written by investigation, and one investigation's listed from its partition."""
+    folder = shared_path(spark, "store")
+    whole = events(spark, sf_dir).withColumn("investigation_id", F.when(F.col("user").endswith("7"), "seven").otherwise("rest"))
+    sinks.append(whole.where("action = 'login'"), folder, "security_events")
+    sinks.append(whole.where("action <> 'login'").withColumn("added_later", F.lit(1)), folder, "security_events")
+    return sinks.list_events(spark, folder, "seven").select("event_id", at(), "action", F.coalesce("added_later", F.lit(0)).alias("added_later"))
+
+
+def snk_01_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities and relationships appended in two parts and loaded again: nothing is lost or written over."""
+    folder = shared_path(spark, "graph")
+    for part in ("src_type = 'User'", "src_type <> 'User'"):
+        sinks.append(two_cases(spark, sf_dir).where(part), folder, "relationships")
+    found = sinks.load(spark, folder, "relationships")
+    return found.groupBy("investigation_id", "relationship_type", "src_type", "dst_type", "derived").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_events"), F.min(F.array_join("event_ids", "+")).alias("least"))
+
+
+def snk_05_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a table by days after a purge, and what of that retention still covers."""
+    folder = shared_path(spark, "kept")
+    sinks.append_by_day(events(spark, sf_dir), folder, "events", "timestamp")
+    sinks.purge(spark, folder, "events", 10, "2024-01-25 12:00:00")
+    left = sinks.load(spark, folder, "events")
+    covered = sinks.retained(left, 10, "2024-01-25 12:00:00", "timestamp").select("event_id", F.lit(True).alias("covered"))
+    return left.join(covered, "event_id", "left").select("event_id", F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
+def nrm_02_vendor_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event under other vendors' field names, with accounts, hosts, paths, addresses and times written in several ways."""
+    raw = simulated_raw(spark, sf_dir)
+    field = lambda n: F.get_json_object("raw", f"$.{n}")
+    number = field("event_id").substr(5, 20).cast("bigint")
+    user = F.when(number % 3 == 0, F.concat(F.lit("CORP\\"), F.upper(field("user")))).when(number % 3 == 1, F.concat(field("user"), F.lit("@corp.example"))).otherwise(F.concat(F.lit("  "), field("user")))
+    shifted = F.concat(F.date_format(F.try_to_timestamp(field("timestamp")) + F.expr("interval 330 minutes"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+05:30"))
+    parts = [field("event_id").alias("EventID"), shifted.alias("UtcTime"), field("event_type").alias("EventType"), field("action").alias("Action"), user.alias("AccountName"), F.lower(field("source_host")).alias("ComputerName")]
+    parts += [F.concat(F.lit("C:\\bin\\"), field("process")).alias("Image"), F.concat(F.lit("D:\\data\\"), field("file")).alias("TargetFilename")]
+    parts += [F.when(field("source_ip").isNotNull(), F.concat(F.lit("010.001.000.0"), F.substring_index(field("source_ip"), ".", -1))).alias("SourceIp"), F.when(field("destination_ip").isNotNull(), F.concat(F.lit("2001:0DB8:0000:0000::000"), F.substring_index(field("destination_ip"), ".", -1))).alias("DestinationIp")]
+    parts += [F.when(number % 2 == 0, F.lit("5")).otherwise(F.lit("high")).alias("Severity"), F.lit("x").alias("Vendor")]
+    found = ingest.security_events(ingest.ingest(adapters.stamp(adapters.dataset_rows(raw.select(*parts)), "vendor", "Sysmon", "v"), ipv6=True))
+    keys = extract.occurrences(found).where("role in ('user', 'source_host', 'process', 'file')").groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "entity_key"))).alias("keys"))
+    return found.join(keys, "event_id").select("event_id", at(), "action", "user_domain", *[F.col("keys")[k].alias(f"{k}_key") for k in ("user", "source_host", "process", "file")], "source_ip", "destination_ip", F.coalesce("severity_level", F.lit(-1)).alias("severity_level"), F.array_join(F.map_keys("unknown_fields"), ",").alias("unknown"))
+
+
+#: What is done to an event of the simulation, by its number modulo 9; the rest stay valid.
+DAMAGES = ["event_id", "event_type", "action", "timestamp", "malformed", "object", "array", "bracket"]
+
+
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = simulated_raw(spark, sf_dir)
+    fields = F.from_json("raw", "map<string,string>")
+    number = F.get_json_object("raw", "$.event_id").substr(5, 20).cast("bigint")
+    kind = F.element_at(F.array(*[F.lit(d) for d in [*DAMAGES, "none"]]), (number % 9 + 1).cast("int"))
+    left = F.map_filter(fields, lambda k, v: k != kind)
+    body = F.regexp_replace(F.to_json(left), r"\}$", "")
+    extra = F.when(kind == "malformed", ',"event_time":"2024-13-45","timestamp":"nope"}').when(kind == "object", ',"severity":{"level":5}}').when(kind == "array", ',"severity":["a"]}').when(kind == "bracket", ',"severity":"[low] {x}"}').otherwise("}")
+    whole = F.when(kind == "malformed", F.concat(F.regexp_replace(F.to_json(F.map_filter(fields, lambda k, v: k != "timestamp")), r"\}$", ""), extra)).otherwise(F.concat(body, extra))
+    return raw.withColumn("raw", F.when(number % 50 == 49, F.substring(whole, 1, 20)).otherwise(whole))
+
+
+def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir, "damaged", lambda: ingest.ingest(damaged(spark, sf_dir)).drop("fields"))
+
+
+def val_01_damaged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first error of each damaged event, by its record."""
+    e = F.col("errors")[0]
+    return checked(spark, sf_dir).where(F.size("errors") > 0).select(F.col("source_record_id").alias("record"), e["error"].alias("error"), e["message"].alias("message"))
+
+
+def val_10_no_partial_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged events leave no trace in the graph, and those with odd but valid texts do."""
+    seen = extract.observations(ingest.security_events(checked(spark, sf_dir)))
+    return seen.select("event_id", "relationship_type", "src_key", "dst_key")
+
+
+def err_01_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = ingest.error_envelope(ingest.rejected_events(checked(spark, sf_dir)))
+    field = lambda n: F.get_json_object("body", f"$.{n}").alias(n)
+    return bodies.select(field("status"), field("error"), field("message")).groupBy("status", "error", "message").agg(F.count("*").alias("n"))
+
+
+def ent_03_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured roles go before the names' pattern."""
+    hosts = events(spark, sf_dir).select(F.col("source_host").alias("host")).distinct()
+    roles = hosts.where(F.col("host").endswith("3") | F.col("host").endswith("FIN-SRV-01")).select(F.lower("host").alias("host"), F.when(F.contains("host", F.lit("SRV")), "Host").otherwise("Server").alias("role"))
+    return extract.occurrences(events(spark, sf_dir), roles).where("role in ('source_host', 'destination_host')").groupBy("entity_type", "entity_key", "role").agg(F.count("*").alias("n"))
+
+
+def cor_11_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other rules: a window of five minutes, other sequences, and weights."""
+    rules = Rules(window_seconds=300, compatible=[("login", "connect")], weights={"shared_user": 2.0, "shared_host": 1.0, "shared_ip": 0.5, "compatible_sequence": 0.25})
+    found = events(spark, sf_dir)
+    return correlate.correlations(correlate.candidates(found, rules), found, rules).select("event_a", "event_b", "strength", F.col("signal_count").cast("bigint").alias("signal_count"))
+
+
+def grf_02_merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of two halves of the time, merged, are those of the whole."""
+    seen = occurrences(spark, sf_dir)
+    old, new = (extract.entities(seen.where(f"timestamp {test} timestamp'2024-01-15 00:00:00'")) for test in ("<", ">="))
+    e = graph.merge_entities(old, new)
+    return e.select("entity_type", "entity_key", "name", at("first_seen"), at("last_seen"), "n_events", F.md5(F.array_join("event_ids", ",")).alias("event_ids_md5"))
+
+
+def grf_09_entity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = extract.entities(occurrences(spark, sf_dir))
+    found = graph.entity_detail(e, edges(spark, sf_dir), "sim", entity_type="Server")
+    shown = F.array_join(F.transform(F.map_entries("observations"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return found.select("entity_key", "n_events", "n_neighbours", shown.alias("observations"))
+
+
+def tml_05_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.select(timeline.timeline(events(spark, sf_dir), edges(spark, sf_dir)), event_types=["network", "file"]).select("event_id", "event_type", F.size("relationship_refs").cast("bigint").alias("n_refs"))
+
+
+def evd_01_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is known of each event: how many entities, relationships and correlations."""
+    found = timeline.details(events(spark, sf_dir), occurrences(spark, sf_dir), edges(spark, sf_dir), related(spark, sf_dir))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    return found.select("event_id", n("entities").alias("n_entities"), n("relationships").alias("n_relationships"), n("correlations").alias("n_correlations"))
+
+
+# --- cases, access
+
+
+def case_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of the nations: some reviewed, closed and reopened, with two changes at one moment."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey", "n_name")
+    when = lambda day: F.lit(f"2024-02-{day:02d} 00:00:00").cast("timestamp")
+    case = F.concat(F.lit("case-"), F.col("n_nationkey").cast("string")).alias("investigation_id")
+    log = cases.opened(nation.select(case, F.col("n_name").alias("title"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("description"), F.lit("analyst").alias("created_by")), when(1))
+    steps = [
+        (when(2), nation.where("n_nationkey % 2 = 0").select(case, F.lit("UNDER_REVIEW").alias("status"))),
+        (when(2), nation.where("n_nationkey % 4 = 0").select(case, F.lit("CLOSED").alias("status"), F.lit("CLOSE_AS_INVESTIGATED").alias("outcome"))),
+        (when(3), nation.where("n_nationkey % 8 = 0").select(case, F.lit("OPEN").alias("status"), F.lit("ESCALATE").alias("outcome"), F.lower("n_name").alias("title"))),
+    ]
+    for moment, changes in steps:
+        log = written(log.unionByName(cases.changed(log, changes, moment)), "cases")
+    return log
+
+
+def inv_02_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.latest(case_log(spark, sf_dir)).select("investigation_id", "title", "description", "status", "outcome", at("created_at"), at("updated_at"), at("closed_at"))
+
+
+def inv_07_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows = customer.select(F.concat(F.lit("case-"), F.col("c_nationkey").cast("string")).alias("investigation_id"), F.concat(F.lit("about "), "c_name").alias("note"), F.col("c_mktsegment").alias("author"))
+    return cases.noted(rows).groupBy("investigation_id", "author", "kind").agg(F.count("*").alias("n"), F.max("note").alias("last_note"))
+
+
+def sec_01_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    grants = nation.select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("user"), F.concat(F.lit("case-"), F.col("n_nationkey").cast("string")).alias("investigation_id"))
+    return cases.visible(cases.latest(case_log(spark, sf_dir)), grants.unionByName(grants), "region2").select("investigation_id", "title")
+
+
+# --- summaries and their grounding
+
+
+def summary_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, seen = events(spark, sf_dir), edges(spark, sf_dir)
+    routes = graph.paths(seen, "user1", 2, node_type="User", until="2024-01-12 00:00:00")
+    return context.context("simulated case", timeline.timeline(found, seen), extract.entities(occurrences(spark, sf_dir)), extract.relationships(seen), related(spark, sf_dir), routes)
+
+
+def aix_01_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context's parts: how many rows, and the first and the last."""
+    row = summary_context(spark, sf_dir)
+    kinds = {"timeline": "event_id", "entities": "entity_key", "relationships": "dst_key", "correlations": "event_a", "paths": "path"}
+
+    def part(name: str, shown: str) -> Column:
+        return F.struct(F.lit(name).alias("part"), F.transform(F.from_json(name, "array<map<string,string>>"), lambda x: x[shown]).alias("items"))
+
+    parts = [part(k, c) for k, c in kinds.items()]
+    return row.select(F.inline(F.array(*parts))).select("part", F.size("items").cast("bigint").alias("n"), F.col("items")[0].alias("first_item"), F.element_at("items", -1).alias("last_item"))
+
+
+def snk_04_summary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary's audit row, stored, and put beside the timeline as generated text."""
+    provider = context.TemplateProvider()
+    row = context.audit("sim", context.summarize(summary_context(spark, sf_dir), provider), provider, spark, F.lit("2024-03-01 00:00:00").cast("timestamp"))
+    folder = shared_path(spark, "audit")
+    sinks.append(row, folder, "summaries")
+    stored = sinks.load(spark, folder, "summaries", "sim")
+    marked = timeline.with_narrative(timeline.timeline(events(spark, sf_dir), edges(spark, sf_dir)), stored).groupBy("investigation_id", "kind").agg(F.count("*").alias("n"))
+    named = F.size(F.array_distinct(F.regexp_extract_all("summary", F.lit("(evt-[0-9]+)")))) > 0
+    shown = stored.select("investigation_id", "provider", "status", named.alias("names_events"), F.col("prompt").isNotNull().alias("has_prompt"), F.get_json_object("context", "$.description").alias("description"))
+    return marked.join(shown, "investigation_id")
+
+
+def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement about each event; some name an event, a host or a file that doesn't exist, some no event."""
+    found = events(spark, sf_dir)
+    n = F.substring("event_id", 5, 20).cast("bigint")
+    text = F.concat(F.col("user"), F.lit(" was active at "), F.col("source_host"))
+    text = F.when(n % 6 == 0, F.concat(text, F.lit(" (evt-99"), n.cast("string"), F.lit("99)"))).when(n % 6 == 1, text).when(n % 6 == 2, F.concat(F.lit("XX-SRV-99 and "), text, F.lit(" ("), "event_id", F.lit(")"))).when(n % 6 == 3, F.concat(text, F.lit(" with evil.exe ("), "event_id", F.lit(")"))).otherwise(F.concat(text, F.lit(" ("), "event_id", F.lit(")")))
+    return found.select(F.col("event_id").alias("statement_id"), text.alias("text"))
+
+
+def aix_08_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = context.grounding(said(spark, sf_dir), events(spark, sf_dir), entities=extract.entities(occurrences(spark, sf_dir)))
+    return found.select("statement_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_named", "n_known", "n_entities_named", "n_entities_known")], "verdict")
+
+
+def evl_03_grounding_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statements, known = said(spark, sf_dir), events(spark, sf_dir)
+    return context.grounding_tally(context.grounding(statements, known, entities=extract.entities(occurrences(spark, sf_dir))), known.where("action = 'connect'"), statements)
+
+
+def evl_04_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of reviews, over rows made of orders (there are no human ones)."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey")
+    rows = orders.select(F.col("o_orderpriority").alias("scenario"), k.cast("string").alias("participant"), (k % 2 == 0).alias("assisted"), (k % 600).cast("double").alias("seconds"), (k % 7).cast("int").alias("pivots"), (k % 5).cast("int").alias("sources_checked"), (k % 40).cast("int").alias("events_inspected"), (k % 10 > 0).alias("completed"), (k % 3).cast("int").alias("errors"))
+    out = measure.utility(rows)
+    return out.select("scenario", "assisted", "reviews", "completed", *[F.round(f"mean_{c}", 6).alias(f"mean_{c}") for c in measure.UTILITY_MEASURES])
+
+
+# --- streams
+
+
+def streamed(spark: SparkSession, sf_dir: str, name: str, transform: Callable[[DataFrame], DataFrame], late: bool = False) -> DataFrame:
+    """What a stream over the simulation's files writes. A last event, long after the others, moves the watermark past them; ``late`` ones come after it."""
+    folder, out = shared_path(spark, f"{name}-in"), shared_path(spark, f"{name}-out")
+    lines = simulated_raw(spark, sf_dir).select(F.col("raw").alias("value"))
+    again = lines.where(F.get_json_object("value", "$.event_id").endswith("0"))
+    end = '{{"event_id":"evt-{}","timestamp":"{}","event_type":"x","action":"{}","user":"nobody","source_host":"END-PC-{}"}}'
+    last = spark.createDataFrame([(end.format("end", "2034-01-01T00:00:00Z", "end", 0),)], "value string")
+    old = lines.withColumn("value", F.regexp_replace("value", '"evt-', '"evt-late-'))
+    batches = [lines.unionByName(again), last] + [old, last.withColumn("value", F.regexp_replace("value", "evt-end", "evt-end2"))] * late
+    for k, batch in enumerate(batches):  # one batch after another, as files arrive
+        batch.coalesce(4).write.mode("append").text(f"{folder}/data")
+        raw = adapters.stamp(adapters.stream_lines(spark, f"{folder}/data"), "sim", "simulation", "events")
+        query = transform(streams.ingest(raw)).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{out}/rows").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+def str_01_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated events are written once, and events behind the watermark not at all."""
+    found = streamed(spark, sf_dir, "ingest", lambda e: e, late=True)
+    return found.select("event_id", at(), "action", "user")
+
+
+def str_03_stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streamed(spark, sf_dir, "pairs", streams.pairs)
+    return found.select(F.col("a").alias("event_a"), F.col("b").alias("event_b"), "kind", "value")
+
+
+def str_04_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streamed(spark, sf_dir, "windows", lambda e: streams.tumbling_counts(e.withColumn("investigation_id", F.when(F.col("user").endswith("7"), "seven").otherwise("rest")), "1 hour"))
+    return found.select("investigation_id", at("window_start"), "action", "n")
+
+
+def str_05_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streamed(spark, sf_dir, "sessions", streams.sessions)
+    return found.select("user_key", at("first_seen"), at("last_seen"), "n")
+
+
+def str_07_stream_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streamed(spark, sf_dir, "derived", streams.derived_edges)
+    return found.select(F.col("src_key").alias("process_key"), "dst_key", "exec_event_id", F.col("event_id").alias("connect_event_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [f for n, f in globals().items() if n[:3] in {"src", "nrm", "par", "val", "ent", "rel", "cnd", "cor", "grf", "piv", "tml", "evd", "obs", "evl"} and n[3:4] == "_" and callable(f)]
+    named = [f for n, f in globals().items() if n[:3] in {"src", "snk", "nrm", "par", "val", "ent", "rel", "cnd", "cor", "grf", "piv", "tml", "evd", "inv", "sec", "err", "aix", "obs", "evl", "str"} and n[3:4] == "_" and callable(f)]
     return {f.__name__: f for f in named} | {f"piv_{9 + k:02d}_{name}": _pivot(name) for k, name in enumerate(graph.PIVOTS)}
 
 

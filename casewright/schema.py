@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from .functions.fields import IDENTITY, Identity
+
 OPTIONAL = ["user", "source_host", "destination_host", "source_ip", "destination_ip", "process", "file", "severity"]
 MODEL = ["event_id", "timestamp", "event_type", "action", *OPTIONAL]
 SOURCE_TYPES = ["SIEM", "EDR", "Sysmon", "authentication", "network", "host", "dataset", "simulation"]
@@ -31,13 +33,14 @@ FIELD_MAP = {
 
 @dataclass(frozen=True)
 class Rules:
-    """What correlation and extraction may be tuned by, without touching the graph."""
+    """What correlation and extraction may be tuned by, without touching the graph. ``identity`` says what makes two names one entity."""
 
     window_seconds: int = 600
     derive_process_edges: bool = True
     server_pattern: str = "-SRV-"
     compatible: list[tuple[str, str]] = field(default_factory=lambda: [("login", "execute"), ("authenticate", "execute"), ("execute", "connect"), ("connect", "access")])
     weights: dict[str, float] = field(default_factory=dict)  # evidence support for each signal; empty: no strength
+    identity: Identity = IDENTITY
 
 
 RULES = Rules()

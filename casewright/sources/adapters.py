@@ -42,8 +42,12 @@ def json_array(bodies: DataFrame, column: str = "body") -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header; cells that are missing are left out of the JSON."""
-    return dataset_rows(spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE"))
+    """CSV with a header; cells that are missing are left out of the JSON.
+
+    A line that doesn't fit the schema (a malformed cell, too many cells) stays as it is, for the parser to reject.
+    """
+    rows = spark.read.csv(path, header=True, schema=f"{schema}, __line string", mode="PERMISSIVE", columnNameOfCorruptRecord="__line")
+    return rows.select(F.coalesce("__line", F.to_json(F.struct(*[c for c in rows.columns if c != "__line"]))).alias("raw"))
 
 
 def dataset_rows(df: DataFrame) -> DataFrame:
@@ -75,6 +79,8 @@ def simulation(events: DataFrame, investigation_id: str = "sim") -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     of = lambda i: F.coalesce(*[F.when(F.col("event_type") == t, v[i]) for t, v in SIMULATED.items()])
     server = F.concat(F.lit("FIN-SRV-0"), (k % 5).cast("string"))
+    # some logins go to a server
+    far = (F.col("action") == "connect") & (F.col("k") % 4 != 0) | (F.col("action") == "login") & (F.col("k") % 7 == 3)
     workstation = F.concat(F.lit("ENG-PC-"), F.lpad((k % 20).cast("string"), 2, "0"))
     action = F.col("action")
     rows = events.select("event_id", "ts", "user_id", k.alias("k"), of(0).alias("event_type"), of(1).alias("action"), server.alias("server"), workstation.alias("pc"))
@@ -85,7 +91,7 @@ def simulation(events: DataFrame, investigation_id: str = "sim") -> DataFrame:
         "action",
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("user"),
         F.when(action == "access", F.col("server")).otherwise(F.col("pc")).alias("source_host"),
-        F.when((action == "connect") & (F.col("k") % 4 != 0), F.col("server")).alias("destination_host"),
+        F.when(far, F.col("server")).alias("destination_host"),
         F.when(action.isin("login", "authenticate"), F.concat(F.lit("10.1.0."), (F.col("k") % 20).cast("string"))).alias("source_ip"),
         F.when((action == "connect") & (F.col("k") % 4 == 0), F.concat(F.lit("10.0.0."), (F.col("k") % 5).cast("string"))).alias("destination_ip"),
         F.when(action == "execute", F.coalesce(*[F.when(F.col("k") % 4 == i, p) for i, p in enumerate(PROCESSES)])).alias("process"),

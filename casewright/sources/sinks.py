@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import exists, remove
 
-def append(df: DataFrame, folder: str, name: str) -> None:
-    df.write.mode("append").partitionBy("investigation_id").parquet(f"{folder}/{name}")
+
+def append(df: DataFrame, folder: str, name: str, by: list[str] | None = None) -> None:
+    """Add rows; earlier ones stay as they are. Columns that are new extend the table."""
+    df.write.mode("append").partitionBy("investigation_id", *(by or [])).parquet(f"{folder}/{name}")
 
 
 def load(spark: SparkSession, folder: str, name: str, investigation_id: str | None = None) -> DataFrame:
+    """A table, or one investigation's partition of it."""
     found = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}")
     return found if investigation_id is None else found.where(F.col("investigation_id") == investigation_id)
 
 
+def list_events(spark: SparkSession, folder: str, investigation_id: str, name: str = "security_events") -> DataFrame:
+    """An investigation's events in order of time."""
+    return load(spark, folder, name, investigation_id).orderBy("timestamp", "event_id")
+
+
 def expired(df: DataFrame, days: int, now: str, column: str = "ingested_at") -> DataFrame:
     """Rows that retention of ``days`` no longer covers at ``now``."""
     return df.where(F.col(column) < F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
@@ -22,3 +31,20 @@ def expired(df: DataFrame, days: int, now: str, column: str = "ingested_at") ->
 
 def retained(df: DataFrame, days: int, now: str, column: str = "ingested_at") -> DataFrame:
     return df.where(F.coalesce(F.col(column) >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)), F.lit(True)))
+
+
+def append_by_day(df: DataFrame, folder: str, name: str, column: str = "ingested_at") -> None:
+    """Add rows to a table that retention can delete from: partitions of a day each."""
+    append(df.withColumn("day", F.to_date(column)), folder, name, ["day"])
+
+
+def purge(spark: SparkSession, folder: str, name: str, days: int, now: str) -> int:
+    """Delete the day partitions that lie wholly before the retention's limit; how many went. Only partition names are read."""
+    found = load(spark, folder, name)
+    limit = F.to_date(F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
+    old = found.where(F.col("day") < limit).select("investigation_id", F.col("day").cast("string").alias("day")).distinct()
+    gone = 0
+    for row in old.toLocalIterator():
+        path = f"{folder}/{name}/investigation_id={row.investigation_id}/day={row.day}"
+        gone += exists(spark, path) and remove(spark, path)
+    return gone

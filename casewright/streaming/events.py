@@ -1,12 +1,20 @@
-"""Structured Streaming forms of the same steps. Columns are those of ``security_events``."""
+"""Structured Streaming forms of the same steps. Columns are those of ``security_events``.
+
+Each step takes what ``ingest`` gives, which has its watermark already; ``delay`` sets one for streams that have none.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ingest as steps
 from ..operators.correlate import context_keys
+from ..operators.extract import with_roles
 from ..schema import RULES, Rules
 
 
@@ -20,24 +28,79 @@ def rejected(raw: DataFrame, **options: object) -> DataFrame:
     return steps.rejected_events(steps.ingest(raw, dedupe=False, **options))
 
 
-def pairs(events: DataFrame, rules: Rules = RULES, delay: str = "10 minutes") -> DataFrame:
-    """Candidate pairs by a stream-stream join on the shared identifier within the window; state is dropped behind the watermark."""
-    keys = context_keys(events).withColumn("timestamp", F.timestamp_micros("at")).withWatermark("timestamp", delay)
+def _marked(events: DataFrame, delay: str | None) -> DataFrame:
+    return events if delay is None else events.withWatermark("timestamp", delay)
+
+
+def pairs(events: DataFrame, rules: Rules = RULES, delay: str | None = None) -> DataFrame:
+    """Candidate pairs, one for each identifier that two events share, by a stream-stream join on the shared identifier within the window; state is dropped behind the watermark."""
+    keys = context_keys(_marked(events, delay), rules)
     one = keys.select("investigation_id", "kind", "value", F.col("event_id").alias("a"), F.col("timestamp").alias("time_a"))
     two = keys.select(F.col("investigation_id").alias("inv"), F.col("kind").alias("k"), F.col("value").alias("v"), F.col("event_id").alias("b"), F.col("timestamp").alias("time_b"))
     span = F.expr(f"interval {rules.window_seconds} seconds")
     same = (F.col("investigation_id") == F.col("inv")) & (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v"))
     near = (F.col("time_b") >= F.col("time_a")) & (F.col("time_b") <= F.col("time_a") + span)
     later = (F.col("time_a") < F.col("time_b")) | (F.col("a") < F.col("b"))
-    return one.join(two, same & near & later).select("investigation_id", "a", "b", "kind", "time_a", "time_b")
+    return one.join(two, same & near & later).select("investigation_id", "a", "b", "kind", "value", "time_a", "time_b")
 
 
-def tumbling_counts(events: DataFrame, size: str = "10 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
+def tumbling_counts(events: DataFrame, size: str = "10 minutes", slide: str | None = None, delay: str | None = None) -> DataFrame:
+    """Events of each investigation, window and action; a window is emitted once the watermark has passed it."""
     w = F.window("timestamp", size, slide) if slide else F.window("timestamp", size)
-    counted = events.withWatermark("timestamp", delay).groupBy(w.alias("w"), "action").agg(F.count("*").alias("n"))
-    return counted.select(F.col("w.start").alias("window_start"), "action", "n")
+    counted = _marked(events, delay).groupBy("investigation_id", w.alias("w"), "action").agg(F.count("*").alias("n"))
+    return counted.select("investigation_id", F.col("w.start").alias("window_start"), "action", "n")
+
+
+def sessions(events: DataFrame, gap: str = "10 minutes", delay: str | None = None) -> DataFrame:
+    """Activity of each investigation's users without a gap of that length, as in batch; events without a user have no session."""
+    known = _marked(events, delay).where(F.col("user").isNotNull())
+    s = known.groupBy("investigation_id", F.session_window("timestamp", gap).alias("w"), F.lower("user").alias("user_key")).agg(F.count("*").alias("n"), F.max("timestamp").alias("last_seen"))
+    return s.select("investigation_id", "user_key", F.col("w.start").alias("first_seen"), "last_seen", "n")
+
+
+LAST = "process string, event_id string, micros bigint"
+DERIVED = "investigation_id string, event_id string, timestamp timestamp, src_key string, dst_type string, dst_key string, exec_event_id string"
+
+
+def derived_edges(events: DataFrame, rules: Rules = RULES, delay: str | None = None) -> DataFrame:
+    """Process to destination, as ``extract.derived_edges``, with the last execution of each host as state.
+
+    A batch's events of a host are taken in order of time; events that arrive in a later batch than ones after them see
+    the executions known by then. The state of a host is one row, and goes when the watermark is a window past it.
+    """
+    window = rules.window_seconds * 1_000_000
+    host = rules.identity.host(F.col("source_host"))
+    used = with_roles(_marked(events, delay), rules=rules).where(F.lower("action").isin("execute", "connect") & F.col("source_host").isNotNull())
+    slim = used.select(
+        "investigation_id",
+        host.alias("host"),
+        "timestamp",
+        F.unix_micros("timestamp").alias("micros"),
+        "event_id",
+        F.when((F.lower("action") == "execute") & F.col("process").isNotNull(), rules.identity.process(F.col("source_host"), F.col("process"))).alias("executed"),
+        F.when((F.lower("action") == "connect") & F.col("process").isNull(), F.coalesce(rules.identity.host(F.col("destination_host")), F.col("destination_ip"))).alias("far"),
+        F.when(F.col("destination_host").isNotNull(), F.col("destination_type_of")).otherwise(F.lit("IP")).alias("far_type"),
+    )
 
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["micros", "event_id"])
+        out = []
+        # executions of one moment come before its connections, the one with the greatest id last, as in batch
+        for _, moment in rows.groupby("micros", sort=True):
+            done = moment[moment["executed"].notna()]
+            if len(done):
+                one = done.iloc[-1]
+                last = (one["executed"], one["event_id"], int(one["micros"]))
+            for r in moment[moment["far"].notna()].itertuples():
+                if last and r.micros - last[2] <= window:
+                    out.append((key[0], r.event_id, r.timestamp, last[0], r.far_type, r.far, last[1]))
+        if last:
+            state.update(last)
+            state.setTimeoutTimestamp(max(last[2] + window, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000 + 1)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in DERIVED.split(", ")])
 
-def sessions(events: DataFrame, gap: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
-    s = events.withWatermark("timestamp", delay).groupBy(F.session_window("timestamp", gap).alias("w"), F.lower("user").alias("user_key")).agg(F.count("*").alias("n"))
-    return s.select("user_key", F.col("w.start").alias("first_seen"), "n")
+    return slim.groupBy("investigation_id", "host").applyInPandasWithState(follow, DERIVED, LAST, "append", GroupStateTimeout.EventTimeTimeout)
