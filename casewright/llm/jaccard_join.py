@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Rounds, materialize
 
 BINS = 256
 
@@ -307,10 +307,11 @@ def components(edges: DataFrame) -> DataFrame:
     """``fp`` and ``label``, the smallest fp of its component, for all ends of ``edges`` (a, b).
 
     In each round every node tells its neighbours the smallest label it knows, and labels follow their labels; paths so shorten
-    by more than half. Rounds are written to the shared folder.
+    by more than half. Rounds are written to the shared folder, and the one before goes.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    rounds = Rounds(edges.sparkSession, "labels")
+    labels = rounds.write(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         heard = both.join(labels.select(F.col("fp").alias("b"), "label"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("heard"))
         # a label's own label: whoever hears of a smaller one also tells the node that was its label before
@@ -318,10 +319,10 @@ def components(edges: DataFrame) -> DataFrame:
         told = nearer.where("best < label").select(F.col("label").alias("fp"), F.col("best").alias("told")).groupBy("fp").agg(F.min("told").alias("told"))
         hooked = nearer.join(told, "fp", "left").select("fp", "label", F.least("best", "told").alias("best"))
         jump = hooked.select(F.col("fp").alias("best"), F.col("best").alias("further"))
-        now = materialize(hooked.join(jump, "best").select("fp", F.least("best", "further").alias("label"), (F.least("best", "further") < F.col("label")).alias("changed")), "labels")
+        now = rounds.write(hooked.join(jump, "best").select("fp", F.least("best", "further").alias("label"), (F.least("best", "further") < F.col("label")).alias("changed")))
+        labels = now.select("fp", "label")
         if now.where("changed").isEmpty():
             return labels
-        labels = now.select("fp", "label")
 
 
 def apart(shared: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import shared_path
 
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -256,6 +256,6 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Write the pages to archives in the shared folder and read these back."""
     spark = pages.sparkSession
-    path = scratch_path(spark, "warc")
+    path = shared_path(spark, "warc")
     write_archives(pages, path, key, url, payload)
     return read_archives(spark, path, with_payload=False)
