@@ -1,6 +1,6 @@
 """Exact n-gram Jaccard self-join by partitioning the universe of shingles.
 
-Sets with equal shingles are one class. Classes are banded by size, so that partners lie in the same or the next band, and
+Texts of equal words are one class. Classes are banded by size, so that partners lie in the same or the next band, and
 two linked sets of a band differ in at most ``h`` shingles. Shingles are hashed into more than ``h`` segments: linked
 sets agree in one segment at least, whose content is their common key. Which segments a set indexes is chosen by cost:
 
@@ -16,9 +16,9 @@ shingles in 256 bins) allow a link; groups above ``split_members`` are keyed onc
 before that, and what is still larger is compared block by block. Pairs are verified exactly on the whole texts. Components grow by rounds of smallest labels, each round written to the
 shared folder; nothing but counts comes to the driver.
 
-Candidates come from hashes; classes are told apart by 128-bit digests of their sets, and every link is verified on the
-shingles themselves. Classes are named by half of their digest; the few halves that different sets share (about n * n / 2 ** 65
-of n classes) are found first, and these sets are named anew. A group's members pass a task as rows of 16 bytes, and only
+Candidates come from hashes; classes are told apart by 128-bit digests of their words, and every link is verified on the
+shingles themselves. Classes are named by half of their digest; the few halves that different texts share (about n * n / 2 ** 65
+of n classes) are found first, and these are named anew. A group's members pass a task as rows of 16 bytes, and only
 cells of about ``split_members`` are held.
 
 Defined results: null and blank texts have an empty set and link with nothing; rows with a null id have no links and a null
@@ -30,12 +30,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,42 +68,38 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def shingle_sets(texts: list[str | None], words: int = 5) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each text's distinct shingles as ascending 64-bit hashes, and a 128-bit digest of each set (0 for empty ones).
-
-    Words have 128-bit digests, which a shingle's words are chained to, in two independent halves. A set's shingles are its first
-    halves; its digest is taken of both.
-    """
-    split = [split_words(t) for t in texts]
-    index: dict[bytes, int] = {}
-    number = np.fromiter((index.setdefault(w, len(index)) for row in split for w in row), dtype=np.intp)
-    known = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in index), dtype=np.uint64).reshape(-1, 2)
-    sets, digests, begin = [], np.zeros((len(texts), 2), dtype=np.uint64), 0
-    halves = [known[:, k][number] for k in (0, 1)]
-    n = len(number)
-    chained = []
-    for h in halves:
-        state = np.full(max(0, n - words + 1), words, dtype=np.uint64)
-        for k in range(words):
-            state = mix(state ^ h[k : k + len(state)], k)
-        chained.append(state)
-    for i, row in enumerate(split):
-        if len(row) >= words:
-            first, second = (c[begin : begin + len(row) - words + 1] for c in chained)
+def chain_words(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A hash of each ``words`` neighbouring word hashes, in order."""
+    state = np.full(max(0, len(hashes) - words + 1), words, dtype=np.uint64)
+    for k in range(words):
+        state = (state ^ hashes[k : k + len(state)]) * np.uint64(0x9FB21C651E98DF25)
+        state ^= state >> np.uint64(32)
+    return state
+
+
+def shingle_sets(split: list[list[bytes]], words: int = 5) -> list[np.ndarray]:
+    """The distinct shingles of each text (of ``split_words``) as ascending 64-bit hashes; blank texts have none."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(split)), dtype=np.uint64, count=sum(map(len, split)))
+    chained = chain_words(hashes, words)
+    out, begin = [], 0
+    for row in split:
+        n = len(row)
+        if n >= words:
+            own = np.sort(chained[begin : begin + n - words + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
         else:
-            first, second = (np.full(min(1, len(row)), len(row), dtype=np.uint64) for _ in halves)
-            for k in range(len(row)):
-                first, second = (mix(s ^ h[begin + k], k) for s, h in zip((first, second), halves))
-        begin += len(row)
-        own, at = np.unique(first, return_index=True)
-        sets.append(own)
-        if len(own):
-            digests[i] = np.frombuffer(hashlib.blake2b(own.tobytes() + second[at].tobytes(), digest_size=16).digest(), dtype=np.uint64)
-    return sets, digests
+            out.append(chain_words(hashes[begin : begin + n], n) if n else np.zeros(0, dtype=np.uint64))
+        begin += n
+    return out
+
+
+def text_digests(split: list[list[bytes]]) -> np.ndarray:
+    """128 bits of each text's words in order (0 for blank texts), in two halves. Texts of one digest have one set."""
+    return np.frombuffer(b"".join(hashlib.blake2b(b" ".join(row), digest_size=16).digest() if row else bytes(16) for row in split), dtype=np.uint64).reshape(-1, 2)
 
 
 def fingerprint(digests: np.ndarray, odd: frozenset[int] = frozenset()) -> np.ndarray:
-    """A class of each set: half of its digest, and for the halves in ``odd``, which several sets have, one of the whole digest."""
+    """A class of each text: half of its digest, and for the halves in ``odd``, which several texts have, one of the whole digest."""
     out = digests[:, 0].copy()
     for k in np.flatnonzero(np.isin(out.view(np.int64), list(odd))) if odd else ():
         out[k] = mix(digests[k, :1] ^ mix(digests[k, 1:]))[0]
@@ -166,12 +164,11 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common) and common > 0
 
 
-def word_shingles(text: str, words: int) -> set[tuple[bytes, ...]]:
-    row = split_words(text)
+def word_shingles(row: list[bytes], words: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(row[k:] for k in range(words)))) if len(row) >= words else {tuple(row)} if row else set()
 
 
-def linked_texts(a: str, b: str, words: int, percent: int) -> bool:
+def linked(a: list[bytes], b: list[bytes], words: int, percent: int) -> bool:
     """Whether two texts' shingles themselves reach the threshold."""
     x, y = word_shingles(a, words), word_shingles(b, words)
     common = len(x & y)
@@ -193,8 +190,9 @@ def classes(docs: DataFrame, text: str = "text", params: JoinParams = JoinParams
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _portions(batches, params.batch_bytes):
-            sets, digests = shingle_sets(part["text"].where(part["text"].notna(), None).tolist(), params.words)
-            n = np.array([len(s) for s in sets], dtype=np.int64)
+            split = [split_words(t) for t in part["text"].where(part["text"].notna(), None)]
+            digests = text_digests(split)
+            n = np.array([len(s) for s in shingle_sets(split, params.words)], dtype=np.int64)
             yield pd.DataFrame({"doc_id": part["doc_id"], "fp": digests[:, 0].view(np.int64), "rest": digests[:, 1].view(np.int64), "n_shingles": n})
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -204,7 +202,7 @@ def classes(docs: DataFrame, text: str = "text", params: JoinParams = JoinParams
 
 
 def odd_halves(of: DataFrame, params: JoinParams) -> frozenset[int]:
-    """The first halves that different sets of the table share. There are next to none, and more than ``most_odd`` are an error."""
+    """The first halves that different classes of the table share. There are next to none, and more than ``most_odd`` are an error."""
     shared = of.groupBy("fp").agg(F.min("rest").alias("low"), F.max("rest").alias("high")).where("low < high").select("fp").limit(params.most_odd + 1).collect()
     if len(shared) > params.most_odd:
         raise ValueError("more classes share half a digest than can be by chance")
@@ -212,7 +210,7 @@ def odd_halves(of: DataFrame, params: JoinParams) -> frozenset[int]:
 
 
 def settled(of: DataFrame, odd: frozenset[int]) -> DataFrame:
-    """``of`` with classes that hold equal sets alone (see ``fingerprint``)."""
+    """``of`` with classes that hold equal texts alone (see ``fingerprint``)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -231,12 +229,12 @@ def keyed(rows: DataFrame, params: JoinParams, odd: frozenset[int] = frozenset()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _portions((b.to_pandas() for b in batches), params.batch_bytes):
-            sets, digests = shingle_sets(part["text"].where(part["text"].notna(), None).tolist(), params.words)
-            fp = fingerprint(digests, odd)
+            split = [split_words(t) for t in part["text"].where(part["text"].notna(), None)]
+            fp = fingerprint(text_digests(split), odd)
             if not outer:  # a class needs its keys once
                 _, once = np.unique(fp, return_index=True)
-                sets, fp = [sets[k] for k in once], fp[once]
-            key, owner = signatures(sets, params, seed)
+                split, fp = [split[k] for k in once], fp[once]
+            key, owner = signatures(shingle_sets(split, params.words), params, seed)
             if outer:
                 key = mix(key ^ mix(part["key"].to_numpy().view(np.uint64), 7)[owner], 8)
             for k in range(0, len(key), 1 << 16):
@@ -290,17 +288,17 @@ def verify(pairs: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
     one = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
 
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.iloc[k : k + 256]
                 fps = dict(zip([*part["a"], *part["b"]], [*part["text_a"], *part["text_b"]]))
-                sets = dict(zip(fps, shingle_sets(list(fps.values()), params.words)[0]))
-                near = (jaccard_at_least(sets[a], sets[b], params.percent) for a, b in zip(part["a"], part["b"]))
-                good = [ok and linked_texts(x, y, params.words, params.percent) for ok, x, y in zip(near, part["text_a"], part["text_b"])]
+                split = {fp: split_words(t) for fp, t in fps.items()}
+                sets = dict(zip(split, shingle_sets(list(split.values()), params.words)))
+                good = [jaccard_at_least(sets[a], sets[b], params.percent) and linked(split[a], split[b], params.words, params.percent) for a, b in zip(part["a"], part["b"])]
                 yield part.loc[good, ["a", "b"]]
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(linked, "a bigint, b bigint")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(verified, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -407,8 +405,9 @@ def links(docs: DataFrame, of: DataFrame, odd: frozenset[int] = frozenset(), tex
 def classes_with_text(docs: DataFrame, odd: frozenset[int], text: str, params: JoinParams) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _portions(batches, params.batch_bytes):
-            sets, digests = shingle_sets(part["text"].tolist(), params.words)
-            yield pd.DataFrame({"fp": fingerprint(digests, odd).view(np.int64), "size": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "text": part["text"].to_numpy()})
+            split = [split_words(t) for t in part["text"]]
+            sets = shingle_sets(split, params.words)
+            yield pd.DataFrame({"fp": fingerprint(text_digests(split), odd).view(np.int64), "size": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "text": part["text"].to_numpy()})
 
     return docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(rows, "fp bigint, size bigint, sketch binary, text string").where("size > 0")
 

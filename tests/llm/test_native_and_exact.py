@@ -287,9 +287,12 @@ def test_every_level_finds_its_pairs():
 def test_sets_are_told_apart_by_more_than_sums_of_powers():
     """The Thue-Morse word and its complement collide under every polynomial modulo 2 ** 64."""
     word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
-    sets, digests = jaccard_join.shingle_sets([word, word.translate(str.maketrans("ab", "ba")), "A b\tc", "a B c", "a b c d e f", ""])
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "A b\tc", "a B c", "a b c d e f", "", "a b c d e a b c d e a", "b a c d e"]
+    split = [jaccard_join.split_words(t) for t in texts]
+    sets, digests = jaccard_join.shingle_sets(split), jaccard_join.text_digests(split)
     assert sets[0][0] != sets[1][0] and (digests[0] != digests[1]).all() and (digests[2] == digests[3]).all()
-    assert [len(s) for s in sets] == [1, 1, 1, 1, 2, 0] and not digests[5].any()
+    assert [len(s) for s in sets] == [1, 1, 1, 1, 2, 0, 5, 1] and not digests[5].any() and sets[7][0] not in sets[6]
+    assert [len(jaccard_join.word_shingles(w, 5)) for w in split] == [len(s) for s in sets]
 
 
 def test_links_are_verified_on_the_shingles(spark, monkeypatch):
