@@ -18,7 +18,6 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -65,25 +64,39 @@ class Bits:
         return word & ((1 << n) - 1)
 
 
+@functools.lru_cache(maxsize=16)
+def _reversed(bits: int) -> np.ndarray:
+    """The numbers of that many bits, read backwards."""
+    out = np.zeros(1, dtype=np.intp)
+    for k in range(bits):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
+def _canonical(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols in the order of their canonical codes, their lengths, where their codes begin among those of the longest length, and that length."""
+    symbols, sizes = (np.fromiter(x, dtype=np.intp, count=len(lengths)) for x in (lengths.keys(), lengths.values()))
+    order = np.lexsort((symbols, sizes))
+    symbols, sizes = symbols[order], sizes[order]
+    longest = int(sizes[-1])
+    spans = 1 << (longest - sizes)
+    return symbols, sizes, np.cumsum(spans) - spans, longest
+
+
 class Code:
     """A prefix code as a table over the next ``bits`` bits: the symbol, and its length above bit 16."""
 
     def __init__(self, lengths: dict[int, int]):
-        used = sorted((n, s) for s, n in lengths.items())
-        if not used:
+        if not lengths:
             raise ValueError("prefix code without symbols")
-        self.only, self.bits, self.table = (used[0][1], 0, None) if len(used) == 1 else (None, used[-1][0], None)
+        self.only, self.bits, self.table = (next(iter(lengths)), 0, None) if len(lengths) == 1 else (None, 0, None)
         if self.only is not None:
             return
-        self.table = table = np.zeros(1 << self.bits, dtype=np.intp)
-        code, last = 0, used[0][0]
-        for n, s in used:
-            code <<= n - last
-            last = n
-            table[int(f"{code:0{n}b}"[::-1], 2) :: 1 << n] = s | n << 16
-            code += 1
-        if code != 1 << last:
+        symbols, sizes, _, self.bits = _canonical(lengths)
+        table = np.repeat(symbols | sizes << 16, 1 << (self.bits - sizes))
+        if len(table) != 1 << self.bits:
             raise ValueError("prefix code isn't complete")
+        self.table = table[_reversed(self.bits)]
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -172,7 +185,11 @@ def _symbols(bits: Bits, codes: list[Code], most: int) -> tuple[np.ndarray, np.n
         k = EXTRA_BITS[prefix]
         return EXTRA_BASE[prefix] + (windows[np.minimum(at, n - 1)] & ((1 << k) - 1)), at + k
 
-    green, after = look(codes[0], np.arange(n))
+    if codes[0].only is None:
+        found = codes[0].table[windows & ((1 << codes[0].bits) - 1)]
+        green, after = found & 0xFFFF, np.arange(n) + (found >> 16)
+    else:
+        green, after = np.full(n, codes[0].only), np.arange(n)
     step, channels = after, []
     for code in codes[1:4]:
         value, step = look(code, step) if code.only is None else (code.only, step)
@@ -409,37 +426,37 @@ def decode_images(data: bytes) -> Iterator[np.ndarray]:
 
 
 def code_lengths(counts: dict[int, int], longest: int) -> dict[int, int]:
-    """Huffman code lengths of at most ``longest`` bits (two symbols or more)."""
+    """Huffman code lengths of at most ``longest`` bits (two symbols or more): leaves and inner nodes both come by rising weight."""
+    symbols = sorted(counts, key=counts.__getitem__)
+    n = len(symbols)
+    weights = [counts[s] for s in symbols]
     while True:
-        heap = [(n, s, s) for s, n in counts.items()]
-        heapq.heapify(heap)
-        order = 1 << 20
-        while len(heap) > 1:
-            a = heapq.heappop(heap)
-            b = heap[0]
-            heapq.heapreplace(heap, (a[0] + b[0], order, (a[2], b[2])))
-            order += 1
-        out, stack = {}, [(heap[0][2], 0)]
-        while stack:
-            node, depth = stack.pop()
-            if isinstance(node, tuple):
-                stack += [(node[0], depth + 1), (node[1], depth + 1)]
-            else:
-                out[node] = depth
-        if max(out.values()) <= longest:
-            return out
-        counts = {s: (n >> 2) + 1 for s, n in counts.items()}
+        inner: list[int] = []
+        parent, leaf, node = [0] * (2 * n - 1), 0, 0
+        for new in range(n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (node >= new or weights[leaf] <= inner[node]):
+                    total += weights[leaf]
+                    parent[leaf] = n + new
+                    leaf += 1
+                else:
+                    total += inner[node]
+                    parent[n + node] = n + new
+                    node += 1
+            inner.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= longest:
+            return dict(zip(symbols, depth))
+        weights = [(w >> 2) + 1 for w in weights]
 
 
 def reversed_codes(lengths: dict[int, int]) -> dict[int, int]:
     """Canonical codes, with their first bit lowest."""
-    out, code, last = {}, 0, 0
-    for n, s in sorted((n, s) for s, n in lengths.items()):
-        code <<= n - last
-        last = n
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
-    return out
+    symbols, _, starts, longest = _canonical(lengths)
+    return dict(zip(symbols.tolist(), _reversed(longest)[starts].tolist()))
 
 
 class Writer:
@@ -509,7 +526,9 @@ def find_repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if n < 2:
         return none, none, none
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(samples, SEED)).view("<u8").reshape(-1)
-    order = np.argsort(words, kind="stable")
+    # 44 bits of a hash and the place in one number: sorted, equal bytes stand together in order of place
+    keyed = np.sort((words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) << np.uint64(20)) | np.arange(n, dtype=np.uint64))
+    order = (keyed & np.uint64((1 << 20) - 1)).astype(np.intp)
     same = np.flatnonzero(words[order[1:]] == words[order[:-1]])
     far = np.zeros(n, dtype=np.intp)
     far[order[same + 1]] = order[same + 1] - order[same]
@@ -556,50 +575,61 @@ def _lengths_of(symbols: np.ndarray) -> dict[int, int]:
 def _table(lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
     codes, sizes = np.zeros(size, dtype=np.intp), np.zeros(size, dtype=np.intp)
     if len(lengths) > 1:
-        for s, c in reversed_codes(lengths).items():
-            codes[s], sizes[s] = c, lengths[s]
+        symbols, own, starts, longest = _canonical(lengths)
+        codes[symbols], sizes[symbols] = _reversed(longest)[starts], own
     return codes, sizes
 
 
+def _entropy_bits(symbols: np.ndarray) -> float:
+    """Bits of the symbols under their own frequencies; a prefix code of two symbols or more takes one for each at least."""
+    n = np.bincount(symbols)
+    n = n[n > 0]
+    return max(float((n * np.log2(len(symbols) / n)).sum()), len(symbols)) if len(n) > 1 else 0.0
+
+
+@functools.lru_cache(maxsize=8)
+def _plain_channels(alpha: int) -> tuple[int, int]:
+    """The codes of red and blue, which are 0, and of an alpha that is the same everywhere: bits and their number."""
+    out = Writer()
+    for s in (0, 0, alpha):
+        write_code(out, {s: 0}, CHANNEL)
+    return out.value, out.size
+
+
 def write_image(out: Writer, samples: np.ndarray, width: int, alpha: int, main: bool = True) -> np.ndarray:
-    """The bits of an entropy-coded image of green samples: with back-references if that is smaller."""
-    best = None
-    repeats = find_repeats(samples)
-    none = np.zeros(0, dtype=np.intp)
-    for found in [repeats, (none, none, none)][len(repeats[0]) == 0 :]:
-        green, more, code = _tokens(samples, width, found)
-        refs = np.flatnonzero(more)
+    """The bits of an entropy-coded image of green samples: with back-references if these take fewer bits."""
+    place, length, far = find_repeats(samples)
+    refs = np.zeros(0, dtype=np.intp)
+    green, more, code = samples.astype(np.intp), refs, refs
+    if len(place):
+        found = _tokens(samples, width, (place, length, far))
+        at = np.flatnonzero(found[1])
+        bits = _entropy_bits(found[0]) + _entropy_bits(_prefixes(found[2][at])[0]) + int(EXTRA_BITS[_prefixes(found[1][at])[0]].sum() + EXTRA_BITS[_prefixes(found[2][at])[0]].sum())
+        if bits + 64 < _entropy_bits(green):  # another code must be described
+            (green, more, code), refs = found, at
+    lengths = _lengths_of(green)
+    codes, n = _table(lengths, GREEN + PREFIXES)
+    fields, sizes = codes[green], n[green]
+    dist_lengths = {0: 0}
+    if len(refs):
         dist, dist_extra, dist_bits = _prefixes(code[refs])
         _, len_extra, len_bits = _prefixes(more[refs])
-        lengths, dist_lengths = _lengths_of(green), _lengths_of(dist)
-        fields, sizes = np.zeros((len(green), 4), dtype=np.intp), np.zeros((len(green), 4), dtype=np.intp)
-        codes, n = _table(lengths, GREEN + PREFIXES)
-        fields[:, 0], sizes[:, 0] = codes[green], n[green]
+        dist_lengths = _lengths_of(dist)
         codes, n = _table(dist_lengths, DISTANCES)
-        fields[refs, 1], sizes[refs, 1] = len_extra, len_bits
-        fields[refs, 2], sizes[refs, 2] = codes[dist], n[dist]
-        fields[refs, 3], sizes[refs, 3] = dist_extra, dist_bits
-        head = Writer()
-        head.put(0, 1 + main)  # no colour cache, no entropy image
-        write_code(head, lengths, GREEN + PREFIXES)
-        for s in (0, 0, alpha):
-            write_code(head, {s: 0}, CHANNEL)
-        write_code(head, dist_lengths, DISTANCES)
-        total = head.size + int(sizes.sum())
-        if best is None or total < best[0]:
-            best = total, head, fields.reshape(-1), sizes.reshape(-1)
-    _, head, fields, sizes = best
-    out.put(head.value, head.size)
+        # after a reference's green symbol come three more fields
+        after = np.repeat(refs + 1, 3)
+        fields = np.insert(fields, after, np.stack([len_extra, codes[dist], dist_extra], axis=1).reshape(-1))
+        sizes = np.insert(sizes, after, np.stack([len_bits, n[dist], dist_bits], axis=1).reshape(-1))
+    out.put(0, 1 + main)  # no colour cache, no entropy image
+    write_code(out, lengths, GREEN + PREFIXES)
+    out.put(*_plain_channels(alpha))
+    write_code(out, dist_lengths, DISTANCES)
     fields, sizes = fields[sizes > 0], sizes[sizes > 0]
-    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ends = np.cumsum(sizes)
+    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
     return (np.repeat(fields, sizes) >> within & 1).astype(np.uint8)
 
 
-def _entropy(samples: np.ndarray) -> float:
-    p = np.bincount(samples, minlength=1) / len(samples)
-    return float(-(p[p > 0] * np.log2(p[p > 0])).sum())
-
-
 def residuals(samples: np.ndarray, width: int, mode: int) -> np.ndarray:
     """Samples less their left (1) or upper (2) neighbours; the first row has left ones, the first column upper ones."""
     grid = samples.reshape(-1, width).astype(np.intp)
@@ -630,10 +660,15 @@ def encode_image(samples: np.ndarray, width: int = WIDTH) -> bytes:
         grid = grid.reshape(height, across, 1 << shift) << (np.arange(1 << shift, dtype=np.uint8) * (8 >> shift))
         samples, width, alpha = grid.sum(axis=2).astype(np.uint8).reshape(-1), across, 255
     else:
-        alpha, plain = 255, _entropy(samples)
-        tried = [(_entropy(r), mode, r) for mode in (1, 2) for r in [residuals(samples, width, mode)]]
-        cost, mode, rest = min(tried, key=lambda x: x[:2])
-        if cost < 0.9 * plain:
+        alpha, tried = 255, []
+        # neighbours that are nearer to each other than values are to their mean
+        spread = float(np.abs(samples - samples.mean()).mean())
+        for mode, step in ((1, 1), (2, width)):
+            if len(samples) > step and np.abs((samples[step:] - samples[:-step]).view(np.int8), dtype=np.float32).mean() < 0.75 * spread:
+                rest = residuals(samples, width, mode)
+                tried.append((_entropy_bits(rest), mode, rest))
+        cost, mode, rest = min(tried, key=lambda x: x[:2], default=(0.0, 0, None))
+        if tried and cost < 0.9 * _entropy_bits(samples):
             out.put(1, 1), out.put(PREDICTOR, 2), out.put(7, 3)  # blocks of 512 pixels
             blocks = -(-height >> 9)
             modes = np.full(blocks, mode, dtype=np.uint8)
