@@ -41,16 +41,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-class Rounds:
-    """The tables of a loop: each round is written, and the one before it is removed, as nothing reads it any more."""
+class Scratch:
+    """Written tables that only the way to a result needs: ``clear`` removes them once the result itself is written."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.path = spark, name, None
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
 
-    def write(self, df: DataFrame) -> DataFrame:
-        path = shared_path(self.spark, self.name)
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
         df.write.parquet(path)
-        if self.path:
-            remove(self.spark, self.path)
-        self.path = path
+        self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
+
+class Rounds(Scratch):
+    """The tables of a loop: each round is written, and the one before it is removed, as nothing reads it any more."""
+
+    def write(self, df: DataFrame, name: str = "round") -> DataFrame:
+        before, self.paths = self.paths, []
+        out = super().write(df, name)
+        for path in before:
+            remove(self.spark, path)
+        return out

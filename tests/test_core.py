@@ -172,12 +172,14 @@ def test_delta_candidates_join_new_keys_alone(spark):
 
 
 def test_loops_leave_one_round(spark):
-    rounds = Rounds(spark, "round")
+    rounds = Rounds(spark)
     first = rounds.write(spark.range(3).toDF("x"))
-    path = rounds.path
+    (path,) = rounds.paths
     second = rounds.write(first.selectExpr("x + 1 as x"))
     assert not exists(spark, path) and sorted(r.x for r in second.collect()) == [1, 2, 3]
-    assert remove(spark, rounds.path) and not remove(spark, shared_path(spark, "none"))
+    (path,) = rounds.paths
+    rounds.clear()
+    assert not exists(spark, path) and not remove(spark, shared_path(spark, "none"))
 
 
 def test_base_tables_are_parsed_once(spark):
