@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import Rounds, shared_path
+from ..tables import Rounds, Scratch, shared_path
 from ..tables import written as materialize
 
-__all__ = ["BLANKS", "BLANK_RUN", "Rounds", "fold", "materialize", "shared_path", "table", "words"]
+__all__ = ["BLANKS", "BLANK_RUN", "Rounds", "Scratch", "fold", "materialize", "shared_path", "table", "words"]
 
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rounds, materialize
+from .common import Rounds, Scratch, materialize
 
 BINS = 256
 
@@ -301,14 +301,14 @@ def verify(pairs: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(verified, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``fp`` and ``label``, the smallest fp of its component, for all ends of ``edges`` (a, b).
 
     In each round every node tells its neighbours the smallest label it knows, and labels follow their labels; paths so shorten
     by more than half. Rounds are written to the shared folder, and the one before goes.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    rounds = Rounds(edges.sparkSession, "labels")
+    both = scratch.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    rounds = Rounds(edges.sparkSession)
     labels = rounds.write(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         heard = both.join(labels.select(F.col("fp").alias("b"), "label"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("heard"))
@@ -320,6 +320,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = rounds.write(hooked.join(jump, "best").select("fp", F.least("best", "further").alias("label"), (F.least("best", "further") < F.col("label")).alias("changed")))
         labels = now.select("fp", "label")
         if now.where("changed").isEmpty():
+            scratch.paths += rounds.paths
             return labels
 
 
@@ -384,22 +385,22 @@ def cross_pairs(rows: DataFrame, params: JoinParams) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(pairs, "a bigint, b bigint").distinct()
 
 
-def links(docs: DataFrame, of: DataFrame, odd: frozenset[int] = frozenset(), text: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
+def links(docs: DataFrame, of: DataFrame, scratch: Scratch, odd: frozenset[int] = frozenset(), text: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
     """Verified links (a, b) between classes that connect whatever the threshold connects. ``of``: the classes of ``docs``."""
-    shared = materialize(shared_keys(keyed(docs.where("doc_id is not null").select(F.col(text).alias("text")), params, odd)), "shared")
+    shared = scratch.write(shared_keys(keyed(docs.where("doc_id is not null").select(F.col(text).alias("text")), params, odd)), "shared")
     needed = of.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")).join(shared.select("fp").distinct(), "fp", "left_semi")
     # of rows that repeat an id, those with the class's own text are needed; its class is told by the text itself
     found = classes_with_text(docs.join(needed.select("doc_id"), "doc_id", "left_semi"), odd, text, params)
-    texts = materialize(found.join(needed.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("text").alias("text")), "texts")
-    first = materialize(verify(stars(shared), texts, params), "links")
-    rows = apart(shared, components(first))
+    texts = scratch.write(found.join(needed.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("text").alias("text")), "texts")
+    first = scratch.write(verify(stars(shared), texts, params), "links")
+    rows = apart(shared, components(first, scratch))
     small = rows.where(F.col("n") <= params.split_members).select("key", "fp", "label")
     large = rows.where(F.col("n") > params.split_members).select("key", "fp", "label")
     # large groups are keyed again by a second partition of the universe: what links there must share a key of it, too
-    again = materialize(shared_keys(keyed(large.join(texts.select("fp", "text"), "fp"), params, odd, seed=1, outer=True)), "again").join(large.select("fp", "label").distinct(), "fp")
+    again = scratch.write(shared_keys(keyed(large.join(texts.select("fp", "text"), "fp"), params, odd, seed=1, outer=True)), "again").join(large.select("fp", "label").distinct(), "fp")
     todo = blocks(small.unionByName(again.select("key", "fp", "label")), params).join(texts.select("fp", "size", "sketch"), "fp")
     second = verify(cross_pairs(todo, params), texts, params)
-    return first.unionByName(materialize(second, "links"))
+    return first.unionByName(scratch.write(second, "links"))
 
 
 def classes_with_text(docs: DataFrame, odd: frozenset[int], text: str, params: JoinParams) -> DataFrame:
@@ -420,9 +421,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", params: JoinParams =
     ids = of.where("doc_id is not null and fp is not null")
     # an id whose rows have different texts links these, too
     repeated = ids.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").join(ids, "doc_id").where("fp != a").select("a", F.col("fp").alias("b"))
-    labels = components(links(docs, of, odd, text, params).unionByName(repeated))
+    scratch = Scratch(docs.sparkSession)
+    labels = components(links(docs, of, scratch, odd, text, params).unionByName(repeated), scratch)
     smallest = ids.groupBy("fp").agg(F.min("doc_id").alias("low")).join(labels, "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     smallest = materialize(smallest, "smallest")
+    scratch.clear()
     lowest = smallest.groupBy("label").agg(F.min("low").alias("component_id"))
     component = smallest.join(lowest, "label").select(F.col("fp").alias("__fp"), "component_id")
     out = of.join(component, F.col("fp") == F.col("__fp"), "left")

@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 
 SENTENCE = re.compile(r".*?[.!?]+[ \t\x0b\x0c\r]+|.+$")
 #: With the marks of scripts that put no blank after them.
 ANY_SENTENCE = re.compile(r".*?(?:(?<![.!?])[.!?]+[ \t\x0b\x0c\r]+|[。！？｡।॥؟۔።។]+[」』”’）]*[ \t\x0b\x0c\r]*)|.+$")
 #: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
 NO_BLANKS = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-UNIT_SCHEMA = "doc_id bigint, text_hash bigint, start int, length int, whole boolean, h1 bigint, h2 bigint"
+UNIT_SCHEMA = "doc_id bigint, text_hash bigint, start int, length int, h1 bigint, h2 bigint"
 SPANS = "array<struct<start:int,length:int,kept_in:bigint>>"
 
 
@@ -141,9 +141,9 @@ def unit_table(docs: DataFrame, text: str = "text", params: DedupParams = DedupP
             out = []
             for doc, key, t in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
                 doc = None if pd.isna(doc) else int(doc)
-                for start, length, whole, plain in units(t, params):
+                for start, length, _, plain in units(t, params):
                     d = xxhash.xxh3_128_intdigest(plain)
-                    out.append((doc, key, start, length, whole, signed(d >> 64), signed(d & ((1 << 64) - 1))))
+                    out.append((doc, key, start, length, signed(d >> 64), signed(d & ((1 << 64) - 1))))
                 if len(out) >= 50_000:
                     yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
                     out = []
@@ -154,12 +154,18 @@ def unit_table(docs: DataFrame, text: str = "text", params: DedupParams = DedupP
     return slim.mapInPandas(rows, UNIT_SCHEMA)
 
 
+def repeated(found: DataFrame) -> DataFrame:
+    """Units whose digest may occur again, by its first half. Counts combine before the shuffle, and adaptive execution splits very common digests in the join."""
+    often = found.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    return found.join(often, "h1")
+
+
 def removals(found: DataFrame) -> DataFrame:
-    """Units that are not the earliest of their digest and don't overlap it, with the document that keeps it. Counts and earliest ranks combine before the shuffle."""
+    """Units that are not the earliest of their digest and don't overlap it, with the document that keeps it. Earliest ranks combine before the shuffle."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col("text_hash").alias("row"), F.col("start").alias("place"))
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first"), F.min_by("length", rank).alias("size")).where("n > 1").select("h1", "h2", "first", "size")
+    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.min_by("length", rank).alias("size"))
     within = F.col("doc_id").eqNullSafe(F.col("first.doc")) & (F.col("text_hash") == F.col("first.row")) & (F.col("start") < F.col("first.place") + F.col("size"))
-    return found.join(first, ["h1", "h2"]).where((rank != F.col("first")) & ~within).select("doc_id", "text_hash", "start", "length", "whole", F.col("first.doc").alias("kept_in"))
+    return found.join(first, ["h1", "h2"]).where((rank != F.col("first")) & ~within).select("doc_id", "text_hash", "start", "length", F.col("first.doc").alias("kept_in"))
 
 
 def _outer(text: str, spans: list, params: DedupParams) -> list[tuple[int, int, int]]:
@@ -183,7 +189,9 @@ def _outer(text: str, spans: list, params: DedupParams) -> list[tuple[int, int,
 def dedup_lines(docs: DataFrame, text: str = "text", params: DedupParams = DedupParams()) -> DataFrame:
     """Each document with its remaining ``text`` and the ``removed`` spans of its original text (null text: none)."""
     names = [c for c in docs.columns if c != "removed"]
-    gone = removals(materialize(unit_table(docs, text, params), "units"))
+    scratch = Scratch(docs.sparkSession)
+    gone = removals(materialize(repeated(scratch.write(unit_table(docs, text, params), "units")), "repeated"))
+    scratch.clear()
     by_doc = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length", "kept_in")).alias("__spans"))
 
     @F.pandas_udf(f"text string, removed {SPANS}")
