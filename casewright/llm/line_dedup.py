@@ -154,18 +154,30 @@ def unit_table(docs: DataFrame, text: str = "text", params: DedupParams = DedupP
     return slim.mapInPandas(rows, UNIT_SCHEMA)
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """Units whose digest may occur again, by its first half. Counts combine before the shuffle, and adaptive execution splits very common digests in the join."""
-    often = found.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
-    return found.join(often, "h1")
+def join_counted(found: DataFrame, digests: DataFrame, on: list[str], total: int, share: int = 1000) -> DataFrame:
+    """``found`` with the columns of ``digests`` (a row each, with its number ``n`` of the ``total`` rows of ``found``).
 
+    Digests of more than a ``share``-th of all rows, which can be ``share`` at most, are broadcast, so that no task gets all rows of one; the
+    others are joined by their digest.
+    """
+    often = F.col("n") * share > total
+    hot, rest = F.broadcast(digests.where(often)), digests.where(~often)
+    return found.join(hot, on).unionByName(found.join(hot.select(*on), on, "left_anti").join(rest, on))
 
-def removals(found: DataFrame) -> DataFrame:
+
+def repeated(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Units whose digest may occur again, by its first half. Counts combine before the shuffle."""
+    often = scratch.write(found.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    return join_counted(found, often, ["h1"], found.count()).drop("n")
+
+
+def removals(found: DataFrame, scratch: Scratch) -> DataFrame:
     """Units that are not the earliest of their digest and don't overlap it, with the document that keeps it. Earliest ranks combine before the shuffle."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col("text_hash").alias("row"), F.col("start").alias("place"))
-    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.min_by("length", rank).alias("size"))
+    first = scratch.write(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first"), F.min_by("length", rank).alias("size")).where("n > 1"), "first")
     within = F.col("doc_id").eqNullSafe(F.col("first.doc")) & (F.col("text_hash") == F.col("first.row")) & (F.col("start") < F.col("first.place") + F.col("size"))
-    return found.join(first, ["h1", "h2"]).where((rank != F.col("first")) & ~within).select("doc_id", "text_hash", "start", "length", F.col("first.doc").alias("kept_in"))
+    later = join_counted(found, first, ["h1", "h2"], found.count()).where((rank != F.col("first")) & ~within)
+    return later.select("doc_id", "text_hash", "start", "length", F.col("first.doc").alias("kept_in"))
 
 
 def _outer(text: str, spans: list, params: DedupParams) -> list[tuple[int, int, int]]:
@@ -190,7 +202,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", params: DedupParams = Dedup
     """Each document with its remaining ``text`` and the ``removed`` spans of its original text (null text: none)."""
     names = [c for c in docs.columns if c != "removed"]
     scratch = Scratch(docs.sparkSession)
-    gone = removals(materialize(repeated(scratch.write(unit_table(docs, text, params), "units")), "repeated"))
+    again = scratch.write(repeated(scratch.write(unit_table(docs, text, params), "units"), scratch), "repeated")
+    gone = materialize(removals(again, scratch), "removals")
     scratch.clear()
     by_doc = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length", "kept_in")).alias("__spans"))
 

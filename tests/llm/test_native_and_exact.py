@@ -199,6 +199,15 @@ def test_short_sentences_go_as_a_passage(spark):
     assert old[1].text == texts[1]
 
 
+def test_very_common_digests_are_joined_apart(spark):
+    found = spark.createDataFrame([(1 if k % 3 == 0 else k, k) for k in range(300)], "h1 bigint, place bigint")
+    counts = found.groupBy("h1").count().withColumnRenamed("count", "n")
+    rows = {(r.h1, r.place, r.n) for r in line_dedup.join_counted(found, counts, ["h1"], 300, share=10).collect()}
+    assert rows == {(1, k, 101) if k % 3 == 0 or k == 1 else (k, k, 1) for k in range(300)}
+    plan = line_dedup.join_counted(found, counts, ["h1"], 300)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "LeftAnti" in plan
+
+
 def test_groups_equal_brute_force():
     rng = random.Random(5)
     for _ in range(500):
