@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import materialize, shared_path
 
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -55,11 +55,14 @@ def with_revisits(pages: DataFrame, key: str, payload: str, min_bytes: int = 0)
     """Add payload, payload_digest, payload_bytes, record_type and refers_to.
 
     Of equal payloads of at least ``min_bytes`` that with the largest key is the response. The largest keys combine
-    before the shuffle; adaptive execution splits the join's partition of a payload that very many rows share.
+    before the shuffle, and those of payloads that occur more than once are written: as long as that table is below the session's
+    broadcast threshold no payload is shuffled, and beyond it adaptive execution splits the join's partition of a payload that
+    very many rows share.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(*pages.columns, body.alias("__payload"), base32_sha1(body).alias("__digest"), F.octet_length(body).cast("bigint").alias("__bytes"))
-    first = rows.where(F.col("__bytes") >= min_bytes).groupBy("__digest").agg(F.max(key).alias("__first"))
+    first = rows.where(F.col("__bytes") >= min_bytes).groupBy("__digest").agg(F.max(key).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    first = materialize(first.select("__digest", "__first"), "payloads")
     revisit = F.col("__first").isNotNull() & ~F.col(key).eqNullSafe(F.col("__first"))
     return rows.join(first, "__digest", "left").select(
         *[F.col(c) for c in pages.columns if c not in {"payload", "payload_digest", "payload_bytes", "record_type", "refers_to"} or c in {key, payload}],
