@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express.
 
 Not expressible, and tested otherwise: op3 (token ids), op5 (image coding), op6 (compressed sizes), op7 (token ids),
-op8 (language model sampled by hashes) and op10 (mined rules).
+op8 (language model sampled by hashes), op10 (mined rules) and op12 (token ids).
 """
 
 from __future__ import annotations
@@ -70,5 +70,35 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(low, d.doc_id)
 """
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+q AS (SELECT DISTINCT r, item_id, term FROM (SELECT r, item_id, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS r, * FROM benchmark))),
+total AS (SELECT count(*) FILTER (len(words) > 0) AS n, sum(len(words))::BIGINT AS l FROM d),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, total GROUP BY term),
+m AS (SELECT r, doc_id, 10 + (90 * len(words) * n) // l AS m FROM d, total WHERE len(words) > 0),
+s AS (SELECT q.r AS query, item_id, m.doc_id, m.r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN t USING (term) JOIN w USING (term) JOIN m ON m.r = t.r GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+t AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(lang_n)::BIGINT AS lang_kept FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+c AS (SELECT g.lang, g.source, k.term, k.lang_n, coalesce(n.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (SELECT c.lang, source, term, n, 1 + (1000000000 * (n + 2)) // ((sum(n) OVER (PARTITION BY c.lang, source))::BIGINT + 2 * v) AS p, 1 + (1000000000 * (lang_n + 2)) // (lang_kept + 2 * v) AS q FROM c JOIN v ON v.lang = c.lang),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+both_parts AS (SELECT * FROM pair UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_salvage": OP1, "op2_quality_rules": OP2, "op4_line_dedup": OP4, "op9_jaccard_join": OP9}
+    return {"op1_warc_salvage": OP1, "op2_quality_rules": OP2, "op4_line_dedup": OP4, "op9_jaccard_join": OP9, "op11_maxscore_search": OP11, "op13_source_divergence": OP13}
