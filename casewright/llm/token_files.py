@@ -50,6 +50,7 @@ class FileParams:
     cached_words: int = 400_000
     longest_word: int = 32
     read_docs: int = 65_536  # documents that one reading task maps at a time
+    read_tasks: int = 20_000  # at most
     read_tokens: int = 1 << 22  # ids in one batch of rows
 
 
@@ -239,4 +240,6 @@ def read_tokens(spark: SparkSession, folder: str, params: FileParams = FileParam
                     yield pd.DataFrame({"doc_id": doc, "start": offsets[begin:stop] + r.base_tokens, "n_tokens": np.diff(offsets[begin : stop + 1]), "ids": wide}, columns=columns)
                     begin = stop
 
-    return runs.repartition("name", "first").mapInPandas(read, READ)
+    # a number of parts of its own, as the rows of the index are so small that they would all be put into one task
+    tasks = index.agg(F.sum(F.ceil(F.col("n_docs") / params.read_docs))).first()[0] or 1
+    return runs.repartition(min(int(tasks), params.read_tasks), "name", "first").mapInPandas(read, READ)
