@@ -3,14 +3,17 @@
 Writing is a plain DataFrame job: payload digests, the choice of response and revisit records, and the record text
 are built-in functions, and Spark's text writer stores the records (the blank lines that end a WARC record are its line
 separator), so archives go to whatever file system the shared folder is on. Reading takes each archive as one of Spark's binary
-files, so the writer bounds their records by the mean size of a payload to about ``archive_bytes``.
+files, so the writer bounds an archive to ``archive_bytes`` and a record: records are written by classes of their size, and in each as many go
+to a file as there is room for the class's largest.
 
 The reader checks each record (version line, header block, length, end marks, payload digest; for gzip members also the
 member's own check sum). Plain records and gzip members may stand in one file in any order. After a failed check it searches for
 the next version line or gzip magic at which a whole record is valid, goes on from there, and reports the bytes in between as a
 ``gap`` row with the reason. Of a member that holds more than one record, is damaged within, or was cut short, the records that can
 be unpacked are salvaged in the same way, and rows of these carry the member's offset and ``inner``, the place in the unpacked data. A
-member that unpacks to more than ``MOST_UNPACKED`` bytes is salvaged up to there, and the rest is a gap.
+member that unpacks to more than ``MOST_UNPACKED`` bytes is salvaged up to there, and the rest is a gap. A header block is sought over
+``MOST_HEADER`` bytes, and of a gzip magic whose first ``MOST_PROBED`` unpacked bytes hold no version line nothing more is unpacked. So reading is
+linear in an archive's size, also where every record is damaged.
 
 Defined results: a null payload is empty; a null id is written without a record id, and reads back as null; rows
 with equal id and payload are all responses; an empty table gives no archive and no row.
@@ -34,9 +37,14 @@ from .common import materialize, shared_path
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MAGIC = b"\x1f\x8b\x08"
+#: Where a record or member can begin.
+MARK = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EPOCH = "1970-01-01T00:00:00Z"
 MOST_UNPACKED = 1 << 30
+MOST_HEADER, MOST_PROBED = 1 << 24, 1 << 20
+#: Upper ends of the size classes in which records are written.
+SIZE_CLASSES = [1 << 14, 1 << 18, 1 << 22, 1 << 26, 1 << 31]
 RECORD_SCHEMA = (
     "archive string, kind string, offset bigint, length bigint, inner bigint, reason string, record_type string, record_id string, refers_to string, "
     "target_uri string, payload_digest string, payload_bytes bigint, payload binary"
@@ -77,8 +85,9 @@ def with_revisits(pages: DataFrame, key: str, payload: str, min_bytes: int = 0)
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = EPOCH, archive_bytes: int = 1 << 28) -> None:
     """Write one WARC/1.1 record for each row below ``path``. A revisit carries its payload's digest and length, not the payload."""
     rows = with_revisits(pages, key, payload, min_bytes)
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length(F.col(payload).cast("string")), F.lit(0)))).first()[0] or 0
-    most = max(1, int(archive_bytes / (mean + 512)))
+    size = F.coalesce(F.octet_length(F.col(payload).cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col(url).cast("string")), F.lit(0))
+    kind = F.coalesce(*[F.when(size <= most, k) for k, most in enumerate(SIZE_CLASSES)])
+    largest = {r.kind: r.largest for r in pages.groupBy(kind.alias("kind")).agg(F.max(size).alias("largest")).collect()}
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     urn = lambda c: F.concat(F.lit("<urn:record:"), c.cast("string"), F.lit(">"))
     response = F.col("record_type") == "response"
@@ -95,7 +104,10 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         line("Content-Length", F.octet_length(content).cast("string")),
         F.lit("\r\n"),
     )
-    rows.select(F.concat(head, content).alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).text(path)
+    for k, most in sorted(largest.items()):
+        room = max(1, archive_bytes // (most + 1024))  # no header but for the url has a kilobyte
+        some = rows.where(kind == k) if len(largest) > 1 else rows
+        some.select(F.concat(head, content).alias("value")).write.mode("append").option("lineSep", END.decode()).option("maxRecordsPerFile", room).text(path)
 
 
 @dataclass
@@ -119,7 +131,7 @@ def parse_record(data: bytes, at: int) -> Record | str:
     """The record at ``at``, or why there is none."""
     if not VERSION.match(data, at):
         return "no version line"
-    stop = data.find(END, at)
+    stop = data.find(END, at, at + MOST_HEADER)
     if stop < 0:
         return "header block without an end"
     headers = {}
@@ -143,13 +155,17 @@ def parse_record(data: bytes, at: int) -> Record | str:
 
 def unpack_member(data: bytes, at: int) -> tuple[bytes, int, str]:
     """What the gzip member at ``at`` holds, its end, and what is wrong with it (empty: nothing)."""
-    unpack, parts, size, begin = zlib.decompressobj(31), [], 0, at
+    unpack, parts, size, begin, probed = zlib.decompressobj(31), [], 0, at, False
     try:
         while not unpack.eof and begin < len(data) and size < MOST_UNPACKED:
             piece = data[begin : begin + (1 << 20)]
-            parts.append(unpack.decompress(piece, MOST_UNPACKED - size))
+            parts.append(unpack.decompress(piece, (MOST_UNPACKED if probed else MOST_PROBED) - size))
             size += len(parts[-1])
             begin += len(piece) - len(unpack.unconsumed_tail)
+            if not probed and size >= MOST_PROBED:
+                if not VERSION.search(b"".join(parts)):
+                    return b"", at, "no version line in gzip member"
+                probed = True
     except zlib.error as e:
         return b"".join(parts), at, f"gzip: {e}"[:80]
     if not unpack.eof:
@@ -219,8 +235,8 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             continue
         if gap is None:
             gap, why = at, wrong
-        m, z = VERSION.search(data, at + 1), data.find(MAGIC, at + 1)
-        at = min((x for x in (m.start() if m else -1, z) if x >= 0), default=-1)
+        m = MARK.search(data, at + 1)  # the first of either mark, so that nothing is sought twice
+        at = m.start() if m else -1
     if gap is not None:
         yield Gap(gap, len(data), why)
 

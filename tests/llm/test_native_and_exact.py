@@ -79,6 +79,34 @@ def test_archives_are_bounded(spark, tmp_path):
     assert len(rows) == 200 and all(r.kind == "record" and r.inner == 0 for r in rows)
 
 
+def test_archives_of_skewed_payloads_are_bounded(spark, tmp_path):
+    """A few very large pages among many small ones: the mean says nothing of the files that they come into."""
+    pages = spark.range(3000).selectExpr("id as page_id", "if(id % 7 = 0, null, repeat('u', int(id % 90))) as url", "case when id % 500 = 0 then repeat(char(65 + id / 500), 300000) when id % 11 = 0 then null else 'small ' || id end as html")
+    warc.write_archives(pages.orderBy("html").coalesce(1), str(tmp_path / "w"), archive_bytes=1_000_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("*.txt")]
+    assert max(sizes) <= 1_000_000 + 302_000 and len(sizes) < 20
+    rows = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert len(rows) == 3000 and sum(len(r.payload or b"") for r in rows.values()) > 1_800_000
+    assert warc.read_archives(spark, str(tmp_path / "w")).where("kind = 'gap'").isEmpty()
+
+
+def test_salvage_is_linear(spark):
+    """Every record is damaged: each failed check is followed by a search for the next mark alone."""
+    import time
+
+    digest = base64.b32encode(hashlib.sha1(b"other").digest())
+    bad = b"".join(record(k, b"x" * 900, b"WARC-Payload-Digest: sha1:" + digest + b"\r\n") for k in range(16_000))
+    began = time.process_time()
+    found = list(warc.salvage(bad))
+    assert len(found) == 1 and (found[0].start, found[0].end) == (0, len(bad)) and time.process_time() - began < 2
+    bomb = gzip.compress(b"z" * (1 << 24))  # unpacks to much more than it is, and holds no record
+    began = time.process_time()
+    found = list(warc.salvage(bomb * 50 + record(1)))
+    assert isinstance(found[-1], warc.Record) and time.process_time() - began < 2
+    marks = b"\x1f\x8b\x08" * 20_000 + record(2)
+    assert [type(f) for f in warc.salvage(marks)] == [warc.Gap, warc.Record]
+
+
 def test_a_gap_fails_the_query(spark, tmp_path, monkeypatch):
     spark.range(3).selectExpr("id as page_id", "'u' as url", "'body' || id as html").write.parquet(str(tmp_path / "pages.parquet"))
     write = warc.write_archives
