@@ -35,6 +35,7 @@ UNKNOWN = "und"
 class PpmParams:
     max_order: int = 4
     sample_docs: int = 400
+    most_sample: int = 400_000_000  # bytes of all sampled texts; with many languages each gives fewer documents
     sample_bytes: int = 20_000  # so that a language's sample is 8 MB at most
     most_langs: int = 256
     most_bytes: int = 1 << 30  # of the tables that are sent to the tasks
@@ -211,10 +212,12 @@ def learn(docs: DataFrame, params: PpmParams = PpmParams(), text: str = "text",
     langs = ids.select("lang").distinct().limit(params.most_langs + 1).count()
     if langs > params.most_langs:
         raise ValueError(f"more than {params.most_langs} languages")
+    # fewer documents of each where there are so many languages that the sample would outgrow the driver
+    docs_each = max(1, min(params.sample_docs, params.most_sample // (max(langs, 1) * params.sample_bytes)))
     # the smallest of ever larger parts of a language, so that no task ranks a whole language
     for parts in params.rank_parts:
         order = Window.partitionBy("lang", "part").orderBy("mark", "doc_id")
-        ids = ids.withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(parts))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= params.sample_docs).select("doc_id", "lang", "mark")
+        ids = ids.withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(parts))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_each).select("doc_id", "lang", "mark")
     ids = ids.select("doc_id", "lang")
     rows = known.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").distinct().collect()
     samples: dict[str, list[bytes]] = {}
