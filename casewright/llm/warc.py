@@ -104,7 +104,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         line("Content-Length", F.octet_length(content).cast("string")),
         F.lit("\r\n"),
     )
-    for k, most in sorted(largest.items()):
+    for k, most in sorted(largest.items()) or [(0, 0)]:  # of no pages an empty folder
         room = max(1, archive_bytes // (most + 1024))  # no header but for the url has a kilobyte
         some = rows.where(kind == k) if len(largest) > 1 else rows
         some.select(F.concat(head, content).alias("value")).write.mode("append").option("lineSep", END.decode()).option("maxRecordsPerFile", room).text(path)
