@@ -42,12 +42,13 @@ def ip_address(c: Column, ipv6: bool = False) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^\\/]+)$", 1)
+    """The last part of a path; null for a path that ends in a separator."""
+    return blank_to_null(F.regexp_extract(path, r"([^\\/]+)$", 1))
 
 
 def account_name(user: Column) -> Column:
-    """The account of ``DOMAIN\\user`` and ``user@domain``."""
-    return F.regexp_extract(F.regexp_replace(user, r"^.*\\", ""), r"^([^@]+)", 1)
+    """The account of ``DOMAIN\\user`` and ``user@domain``; null where a domain stands alone."""
+    return blank_to_null(F.regexp_extract(F.regexp_replace(user, r"^.*\\", ""), r"^([^@]+)", 1))
 
 
 def file_path(path: Column) -> Column:
@@ -61,7 +62,13 @@ def account_domain(user: Column) -> Column:
 
 
 def user_key(user: Column) -> Column:
-    """Users are one by their account's name; its domain and its case don't count."""
+    """``account`` or ``account@domain`` in lower case, however the domain is written: accounts of two domains are two users."""
+    account, domain = account_name(user), account_domain(user)
+    return F.lower(F.when(domain.isNotNull(), F.concat(account, F.lit("@"), domain)).otherwise(account))
+
+
+def account_key(user: Column) -> Column:
+    """A rule for sources that write one account with several domains or none: the account's name alone counts."""
     return F.lower(account_name(user))
 
 

@@ -85,17 +85,19 @@ def derived_edges(events: DataFrame, roles: DataFrame | None = None, rules: Rule
     """Process to destination, where a connection names no process: the last execution on its host within the window, as of then.
 
     A range frame over (investigation, host, time bucket) finds it in one pass, without a join. Buckets are as long as the
-    window, and an execution stands in its own and the next one, so that a busy host is spread over its buckets.
+    window, and an execution stands in its own and the next one, so that a busy host is spread over its buckets. The frame begins
+    with the bucket, as the latest execution of a growing frame is kept and not sought again for each row; one that is too old is
+    dropped after it.
     """
     c = F.col
     micros = F.unix_micros("timestamp")
     window = rules.window_seconds * 1_000_000
     bucket = F.floor(micros / window)
-    frame = Window.partitionBy("investigation_id", rules.identity.host(c("source_host")), "bucket").orderBy(micros).rangeBetween(-window, 0)
+    frame = Window.partitionBy("investigation_id", rules.identity.host(c("source_host")), "bucket").orderBy(micros).rangeBetween(Window.unboundedPreceding, 0)
     executed = F.when((F.lower("action") == "execute") & c("process").isNotNull(), F.struct("timestamp", "event_id", rules.identity.process(c("source_host"), c("process")).alias("process")))
     found = with_roles(events, roles, rules).where(F.lower("action").isin("execute", "connect") & c("source_host").isNotNull())
     found = found.withColumn("bucket", F.explode(F.when(F.lower("action") == "execute", F.array(bucket, bucket + 1)).otherwise(F.array(bucket))))
-    seen = found.withColumn("last", F.max(executed).over(frame))
+    seen = found.withColumn("last", F.max(executed).over(frame)).where(micros - F.unix_micros("last.timestamp") <= window)
     far = F.coalesce(rules.identity.host(c("destination_host")), c("destination_ip"))
     rows = seen.where((F.lower("action") == "connect") & c("process").isNull() & c("last").isNotNull() & far.isNotNull())
     return rows.select(

@@ -79,10 +79,14 @@ def validate(normalized: DataFrame, field_map: dict[str, list[str]] = FIELD_MAP)
 
 
 def mark_duplicates(validated: DataFrame) -> DataFrame:
-    """The earliest ingested row of an event id stays, later ones get an error. Rows without an id are spread over the tasks, and none is a duplicate."""
-    spread = F.when(F.col("event_id").isNull(), F.xxhash64("raw", "source_record_id") % 4096)
+    """The earliest ingested valid row of an event id stays, later valid ones get an error. A row that has an error already takes no id.
+
+    Rows without an id and rows with errors are spread over the tasks.
+    """
+    valid = (F.size("errors") == 0) & F.col("event_id").isNotNull()
+    spread = F.when(~valid, F.xxhash64("raw", "source_record_id") % 4096)
     order = Window.partitionBy("investigation_id", "event_id", spread).orderBy("ingested_at", "source_record_id", "raw")
-    again = F.col("event_id").isNotNull() & (F.row_number().over(order) > 1)
+    again = valid & (F.row_number().over(order) > 1)
     return validated.withColumn("errors", F.when(again, F.array_append("errors", _error("event_id occurs already").cast(ERROR))).otherwise(F.col("errors")))
 
 

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..tables import exists, remove
+from ..tables import listed, remove
 
 
 def append(df: DataFrame, folder: str, name: str, by: list[str] | None = None) -> None:
-    """Add rows; earlier ones stay as they are. Columns that are new extend the table."""
-    df.write.mode("append").partitionBy("investigation_id", *(by or [])).parquet(f"{folder}/{name}")
+    """Add rows; earlier ones stay as they are. Columns that are new extend the table. A row without an investigation is an error, as no partition can hold it."""
+    known = F.when(F.trim("investigation_id") != "", F.col("investigation_id").cast("string")).otherwise(F.raise_error(F.lit("investigation_id is required")))
+    df.withColumn("investigation_id", known).write.mode("append").partitionBy("investigation_id", *(by or [])).parquet(f"{folder}/{name}")
 
 
 def load(spark: SparkSession, folder: str, name: str, investigation_id: str | None = None) -> DataFrame:
-    """A table, or one investigation's partition of it."""
-    found = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}")
+    """A table, or one investigation's partition of it. Ids are texts, whatever they look like: the folders' names alone would make "007" the number 7."""
+    merged = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}").schema
+    fields = [StructField(f.name, StringType()) if f.name == "investigation_id" else f for f in merged]
+    found = spark.read.schema(StructType(fields)).parquet(f"{folder}/{name}")
     return found if investigation_id is None else found.where(F.col("investigation_id") == investigation_id)
 
 
@@ -39,12 +43,10 @@ def append_by_day(df: DataFrame, folder: str, name: str, column: str = "ingested
 
 
 def purge(spark: SparkSession, folder: str, name: str, days: int, now: str) -> int:
-    """Delete the day partitions that lie wholly before the retention's limit; how many went. Only partition names are read."""
-    found = load(spark, folder, name)
-    limit = F.to_date(F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
-    old = found.where(F.col("day") < limit).select("investigation_id", F.col("day").cast("string").alias("day")).distinct()
-    gone = 0
-    for row in old.toLocalIterator():
-        path = f"{folder}/{name}/investigation_id={row.investigation_id}/day={row.day}"
-        gone += exists(spark, path) and remove(spark, path)
-    return gone
+    """Delete the day partitions that lie wholly before the retention's limit; how many went.
+
+    The folders are taken as the file system lists them, so ids that are written in an escaped form are found too; no file is read.
+    """
+    limit = spark.range(1).select(F.to_date(F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))).cast("string")).first()[0]
+    old = [path for path in listed(spark, f"{folder}/{name}/investigation_id=*/day=[0-9]*") if path.rpartition("/day=")[2] < limit]
+    return sum(remove(spark, path) for path in old)

@@ -41,6 +41,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, as any file system Spark can reach gives them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [str(f.getPath().toString()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []]
+
+
 class Scratch:
     """Written tables that only the way to a result needs: ``clear`` removes them once the result itself is written."""
 

@@ -155,7 +155,9 @@ def test_missing_ids_are_spread_and_never_duplicates(spark):
 def test_accounts_are_one_user(spark):
     base = {"event_type": "authentication", "action": "login", "timestamp": "2026-01-01T00:00:00Z", "source_host": "H"}
     found = make(spark, [base | {"event_id": str(k), "user": u} for k, u in enumerate(["CORP\\rahul", "rahul", "Rahul@corp.example", " RAHUL "])])
-    assert {r.entity_key for r in extract.occurrences(found).where("role = 'user'").collect()} == {"rahul"}
+    one = Rules(identity=Identity(user=account_key))
+    assert {r.entity_key for r in extract.occurrences(found, rules=one).where("role = 'user'").collect()} == {"rahul"}
+    assert {r.entity_key for r in extract.occurrences(found).where("role = 'user'").collect()} == {"rahul", "rahul@corp", "rahul@corp.example"}
     assert {r.user_domain for r in found.collect()} == {"CORP", None, "corp.example"} and "CORP\\rahul" in {r.user for r in found.collect()}
     full = Rules(identity=Identity(user=F.lower))
     assert {r.entity_key for r in extract.occurrences(found, rules=full).where("role = 'user'").collect()} == {"corp\\rahul", "rahul", "rahul@corp.example"}
