@@ -6,11 +6,13 @@ Each step takes what ``ingest`` gives, which has its watermark already; ``delay`
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators import ingest as steps
 from ..operators.correlate import context_keys
@@ -32,8 +34,8 @@ def _marked(events: DataFrame, delay: str | None) -> DataFrame:
     return events if delay is None else events.withWatermark("timestamp", delay)
 
 
-def pairs(events: DataFrame, rules: Rules = RULES, delay: str | None = None) -> DataFrame:
-    """Candidate pairs, one for each identifier that two events share, by a stream-stream join on the shared identifier within the window; state is dropped behind the watermark."""
+def shared_keys(events: DataFrame, rules: Rules = RULES, delay: str | None = None) -> DataFrame:
+    """A row for each identifier that two events within the window share, by a stream-stream join; state is dropped behind the watermark."""
     keys = context_keys(_marked(events, delay), rules)
     one = keys.select("investigation_id", "kind", "value", F.col("event_id").alias("a"), F.col("timestamp").alias("time_a"))
     two = keys.select(F.col("investigation_id").alias("inv"), F.col("kind").alias("k"), F.col("value").alias("v"), F.col("event_id").alias("b"), F.col("timestamp").alias("time_b"))
@@ -44,6 +46,17 @@ def pairs(events: DataFrame, rules: Rules = RULES, delay: str | None = None) ->
     return one.join(two, same & near & later).select("investigation_id", "a", "b", "kind", "value", "time_a", "time_b")
 
 
+def pairs(events: DataFrame, rules: Rules = RULES, delay: str | None = None) -> DataFrame:
+    """Candidate pairs as in batch: ``investigation_id, a, b, at_a, time_b, kinds``, one row a pair.
+
+    Two stateful operators one after the other: the join on shared identifiers, and the aggregation of its rows by pair. The watermark goes through the
+    join, so a pair is emitted once no further row of it can come, and its state goes then.
+    """
+    # one column of event time must be left for the aggregation: the later event's
+    shared = shared_keys(events, rules, delay).select("investigation_id", "a", "b", "kind", F.unix_micros("time_a").alias("at_a"), "time_b")
+    return shared.groupBy("investigation_id", "a", "b", "at_a", "time_b").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
 def tumbling_counts(events: DataFrame, size: str = "10 minutes", slide: str | None = None, delay: str | None = None) -> DataFrame:
     """Events of each investigation, window and action; a window is emitted once the watermark has passed it."""
     w = F.window("timestamp", size, slide) if slide else F.window("timestamp", size)
@@ -58,17 +71,69 @@ def sessions(events: DataFrame, gap: str = "10 minutes", delay: str | None = Non
     return s.select("investigation_id", "user_key", F.col("w.start").alias("first_seen"), "last_seen", "n")
 
 
-LAST = "process string, event_id string, micros bigint"
+#: The provider that ``transformWithState`` needs; its state is kept in the query's checkpoint.
+STATE_CONF = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 DERIVED = "investigation_id string, event_id string, timestamp timestamp, src_key string, dst_type string, dst_key string, exec_event_id string"
+WAITING = "micros bigint, event_id string, executed string, far string, far_type string"
+LAST = "process string, event_id string, micros bigint"
+
+
+class LastExecution(StatefulProcessor):
+    """Connections of a host with the execution before them, in order of event time whatever the order of arrival.
+
+    Events wait in a list until the watermark has passed them, as none that precedes them can come after that; a timer at the earliest one wakes
+    the host. What is left then is the last execution, one row, which goes when it is a window behind the watermark.
+    """
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.last = handle.getValueState("last", LAST)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        fresh = [(r.micros, r.event_id, r.executed, r.far, r.far_type) for r in rows]
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._wake(min(r[0] for r in fresh))
+        return iter([])
+
+    def _wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        horizon = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(r) for r in self.waiting.get()]
+        # executions of one moment come before its connections, the one with the greatest id last, as in batch
+        due = sorted((r for r in held if r[0] <= horizon), key=lambda r: (r[0], r[2] is None, r[1]))
+        last = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for micros, event_id, executed, far, far_type in due:
+            if executed is not None:
+                last = (executed, event_id, micros)
+            if far is not None and last and micros - last[2] <= self.window:
+                out.append(Row(investigation_id=key[0], event_id=event_id, timestamp=datetime.fromtimestamp(micros // 1_000_000, timezone.utc).replace(microsecond=micros % 1_000_000), src_key=last[0], dst_type=far_type, dst_key=far, exec_event_id=last[1]))
+        if due:
+            rest = [r for r in held if r[0] > horizon]
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+                self._wake(min(r[0] for r in rest))
+        if last and last[2] + self.window <= horizon:
+            self.last.clear()
+        elif last:
+            self.last.update(last)
+            self._wake(last[2] + self.window)
+        return iter(out)
 
 
 def derived_edges(events: DataFrame, rules: Rules = RULES, delay: str | None = None) -> DataFrame:
-    """Process to destination, as ``extract.derived_edges``, with the last execution of each host as state.
+    """Process to destination, as ``extract.derived_edges``: what arrives within the delay, in whatever order, gives the batch's result.
 
-    A batch's events of a host are taken in order of time; events that arrive in a later batch than ones after them see
-    the executions known by then. The state of a host is one row, and goes when the watermark is a window past it.
+    The session needs ``STATE_CONF``.
     """
-    window = rules.window_seconds * 1_000_000
     host = rules.identity.host(F.col("source_host"))
     used = with_roles(_marked(events, delay), rules=rules).where(F.lower("action").isin("execute", "connect") & F.col("source_host").isNotNull())
     slim = used.select(
@@ -81,26 +146,24 @@ def derived_edges(events: DataFrame, rules: Rules = RULES, delay: str | None = N
         F.when((F.lower("action") == "connect") & F.col("process").isNull(), F.coalesce(rules.identity.host(F.col("destination_host")), F.col("destination_ip"))).alias("far"),
         F.when(F.col("destination_host").isNotNull(), F.col("destination_type_of")).otherwise(F.lit("IP")).alias("far_type"),
     )
+    return slim.groupBy("investigation_id", "host").transformWithState(LastExecution(rules.window_seconds * 1_000_000), DERIVED, "append", "EventTime")
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["micros", "event_id"])
-        out = []
-        # executions of one moment come before its connections, the one with the greatest id last, as in batch
-        for _, moment in rows.groupby("micros", sort=True):
-            done = moment[moment["executed"].notna()]
-            if len(done):
-                one = done.iloc[-1]
-                last = (one["executed"], one["event_id"], int(one["micros"]))
-            for r in moment[moment["far"].notna()].itertuples():
-                if last and r.micros - last[2] <= window:
-                    out.append((key[0], r.event_id, r.timestamp, last[0], r.far_type, r.far, last[1]))
-        if last:
-            state.update(last)
-            state.setTimeoutTimestamp(max(last[2] + window, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000 + 1)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in DERIVED.split(", ")])
-
-    return slim.groupBy("investigation_id", "host").applyInPandasWithState(follow, DERIVED, LAST, "append", GroupStateTimeout.EventTimeTimeout)
+
+RAW = "investigation_id string, raw string, source_type string, source_name string, source_record_id string, ingested_at timestamp"
+
+
+def late_marked(raw: DataFrame, delay: str = "10 minutes", parts: int = 64, **options: object) -> DataFrame:
+    """A raw stream with ``late``: whether an event's time was behind the watermark when it came. Stateful steps drop such rows without a trace.
+
+    The watermark is read where state is kept; none is. Rows are dealt by their text to ``parts``. Rows whose time can't be read aren't late.
+    """
+    columns = [c.split()[0] for c in RAW.split(", ")]
+    timed = steps.normalize(steps.parse(raw.select(*columns)), **options).select(*columns, F.col("timestamp").alias("event_time")).withWatermark("event_time", delay)
+
+    def mark(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        for rows in batches:
+            yield rows[columns].assign(late=(rows["event_time"] <= passed).fillna(False).astype(bool))
+
+    dealt = timed.withColumn("part", F.pmod(F.xxhash64("raw"), F.lit(parts)))
+    return dealt.groupBy("part").applyInPandasWithState(mark, f"{RAW}, late boolean", "n int", "append", GroupStateTimeout.NoTimeout)
