@@ -91,6 +91,54 @@ def statements_of(summaries: DataFrame) -> DataFrame:
     return summaries.where(F.col("summary").isNotNull()).select("investigation_id", F.posexplode(lines).alias("statement_id", "text"))
 
 
+#: Marks that are cut off the ends of a word.
+MARKS = "()[]{}<>,;:.!?\"'"
+MOST_WORDS = 100_000
+
+
+def words_of(text: Column) -> Column:
+    """A text's words in lower case, without marks at their ends."""
+    return F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.btrim(w, F.lit(MARKS))), lambda w: w != "")
+
+
+def mentions(statements: DataFrame, events: DataFrame, entities: DataFrame, vocabulary: DataFrame, most_grams: int = 3) -> DataFrame:
+    """What statements (investigation_id, statement_id, text) mention: ``item`` and its ``kind`` (event, entity, unknown), once a statement.
+
+    There is no pattern of what names look like. A dictionary of the investigation's own event ids, names and keys is joined by runs of words: each
+    name stands under its first ``most_grams`` words, and a run that begins with these is compared with the whole name. A word that no known
+    name covers and that isn't in ``vocabulary`` (rows of word: the ordinary words of narratives) is unknown: an invented name, or one of
+    another investigation. Ordinary words that are names of the investigation count as names. The vocabulary is configuration, at most
+    ``MOST_WORDS`` rows, checked; it is sent to all tasks, so that ordinary words are dropped before anything is shuffled.
+    """
+    inv = "investigation_id"
+    ordinary = vocabulary.select(F.lower("word").alias("word")).distinct().limit(MOST_WORDS + 1)
+    if ordinary.count() > MOST_WORDS:
+        raise ValueError(f"a vocabulary of more than {MOST_WORDS} words")
+    names = entities.select(inv, F.lit("entity").alias("kind"), F.explode(F.array("name", "entity_key")).alias("item")).unionByName(events.select(inv, F.lit("event").alias("kind"), F.col("event_id").alias("item")))
+    names = names.where("item is not null").select(inv, "kind", F.lower("item").alias("item"), words_of(F.col("item")).alias("words")).where(F.size("words") > 0)
+    names = names.select(inv, "kind", "item", "words", F.concat_ws(" ", F.slice("words", 1, most_grams)).alias("gram")).distinct()
+    said = statements.where(F.col("text").isNotNull()).select(inv, "statement_id", words_of(F.col("text")).alias("text_words"))
+    placed = said.select(inv, "statement_id", "text_words", F.posexplode("text_words").alias("at", "word"))
+    is_plain = ordinary.select("word", F.lit(True).alias("plain"))
+    plain = placed.join(F.broadcast(is_plain), "word", "left").select(inv, "statement_id", "text_words", "at", "word", F.coalesce("plain", F.lit(False)).alias("plain"))
+    # ordinary words that are a name by themselves, or begin one, in some investigation are few
+    begins = names.select(F.col("words")[0].alias("word")).join(F.broadcast(ordinary), "word", "left_semi").distinct().select("word", F.lit(True).alias("begins"))
+    can = plain.join(begins, "word", "left").where(~F.col("plain") | F.col("begins"))
+    runs = can.select(inv, "statement_id", "at", "text_words", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(most_grams)), lambda n: F.concat_ws(" ", F.slice("text_words", F.col("at") + 1, n))))).alias("gram"))
+    hits = runs.join(names, [inv, "gram"]).where(F.slice("text_words", F.col("at") + 1, F.size("words")) == F.col("words")).select(inv, "statement_id", "at", "kind", "item", F.size("words").alias("n"))
+    covered = hits.select(inv, "statement_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at")).distinct()
+    unknown = plain.where("not plain").join(covered, [inv, "statement_id", "at"], "left_anti").select(inv, "statement_id", F.lit("unknown").alias("kind"), F.col("word").alias("item"))
+    return hits.select(inv, "statement_id", "kind", "item").unionByName(unknown).distinct()
+
+
+def grounded_statements(statements: DataFrame, found: DataFrame) -> DataFrame:
+    """Each statement with what it ``mentions``, counted, and the verdict of ``grounding``."""
+    keys = ["investigation_id", "statement_id"]
+    counts = found.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("event", "entity", "unknown")])
+    out = statements.select(*keys).join(counts, keys, "left").select(*keys, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_event", "n_entity", "n_unknown")])
+    return out.withColumn("verdict", F.when(F.col("n_unknown") > 0, "invented").when(F.col("n_event") == 0, "unsupported").otherwise("grounded"))
+
+
 #: Names that a statement may mention: users, hosts and servers, processes, addresses and files.
 ENTITY_PATTERN = r"(?i)\b(user[0-9]+|[A-Z]+-(?:PC|SRV)-[0-9]+|[\w-]+\.(?:exe|dat|xlsx|dll|ps1|sh)|[0-9]{1,3}(?:\.[0-9]{1,3}){3})\b"
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LOG = logging.getLogger("casewright")
@@ -24,6 +24,19 @@ def pipeline_counts(validated: DataFrame, entities: DataFrame, edges: DataFrame,
     return reduce(DataFrame.unionByName, parts)
 
 
+def write_observed(df: DataFrame, path: str, name: str, metrics: dict[str, Column] | None = None) -> dict[str, float]:
+    """Write ``df`` and give what was counted while it was written (``rows`` and the ``metrics``), with the seconds it took; nothing is read for it."""
+    seen = Observation(name)
+    began = time.monotonic()
+    df.observe(seen, F.count("*").alias("rows"), *[m.alias(k) for k, m in (metrics or {}).items()]).write.parquet(path)
+    return seen.get | {"seconds": time.monotonic() - began}
+
+
+def observed_counts(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """metric, n of observed counts, as ``pipeline_counts`` gives them by reading."""
+    return spark.createDataFrame([(k, int(v)) for k, v in counts.items()], "metric string, n bigint")
+
+
 @contextmanager
 def stage(name: str, request_id: str, investigation_id: str, durations: dict[str, float], event_id: str | None = None) -> Iterator[None]:
     """Times a stage and logs it, without any payload. ``event_id``: where the stage is about one event."""

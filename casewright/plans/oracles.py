@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import fixtures
-
 STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
 
 SE = """
@@ -64,28 +62,6 @@ def _sim(sql: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}{SE}{sql}"
 
 
-def _literal(rows: list[tuple]) -> str:
-    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
-
-
-CASES = f"raw(record, body) AS (VALUES {_literal([(str(k), c) for k, c in enumerate(fixtures.CASES)])}), ok AS (SELECT record, body::JSON AS j FROM raw WHERE json_valid(body))"
-EVENT_COLUMNS = ["event_id", "timestamp", "event_type", "action", "user", "source_host", "destination_host", "process", "file"]
-
-
-def _scenarios(names: str) -> str:
-    rows = [(n, *(e.get(c) for c in EVENT_COLUMNS)) for n in names for e in fixtures.SCENARIOS[n]]
-    return f"""ev(scenario, event_id, ts, event_type, action, usr, source_host, destination_host, process, file) AS (VALUES {_literal(rows)}),
-e AS (SELECT *, source_host || '|' || process AS process_key FROM ev),
-edge(scenario, relationship_type, src_key, dst_key, evidence) AS (
-  SELECT scenario, 'LOGGED_INTO', lower(usr), source_host, event_id FROM e WHERE action = 'login'
-  UNION ALL SELECT scenario, 'EXECUTED', source_host, process_key, event_id FROM e WHERE action = 'execute'
-  UNION ALL SELECT scenario, 'CONNECTED_TO', source_host, destination_host, event_id FROM e WHERE action = 'connect'
-  UNION ALL SELECT scenario, 'ACCESSED', source_host, file, event_id FROM e WHERE action = 'access'
-  UNION ALL SELECT c.scenario, 'CONNECTED_TO', x.process_key, c.destination_host, x.event_id || '+' || c.event_id FROM e c JOIN e x ON x.scenario = c.scenario AND x.source_host = c.source_host AND x.action = 'execute' AND c.action = 'connect'
-    AND x.ts::TIMESTAMP <= c.ts::TIMESTAMP AND x.ts::TIMESTAMP >= c.ts::TIMESTAMP - INTERVAL 10 MINUTE)"""
-
-
 #: Two investigations by the number of an edge's event.
 TWO = """, edge2 AS (SELECT *, CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS inv FROM edge)"""
 UND2 = (
@@ -105,6 +81,33 @@ def _walk(depth: int, where: str = "TRUE") -> str:
       reached AS (SELECT inv, neighbour_type, neighbour, hop, list_sort(list_distinct(flatten(list(event_ids)))) AS ids FROM led GROUP BY ALL)"""
 
 
+def _arrivals(depth: int) -> str:
+    """The earliest arrival at each node from user1 in exactly so many hops, each no earlier than the one before; dominated labels don't go on."""
+    pick = "row_number() OVER (PARTITION BY inv, tt, n ORDER BY t, event_ids, relationship_type, ft, f) AS place"
+    first = "SELECT inv, tt, n, t, t AS leaves, ft || ':' || f || ' > ' || tt || ':' || n AS nodes, relationship_type AS kinds, array_to_string(event_ids, '+') AS evidence, event_ids, relationship_type, ft, f FROM link WHERE f = 'user1' AND ft = 'User' AND (n <> 'user1' OR tt <> 'User')"
+    parts = [f"c1 AS ({first}), l1 AS (SELECT *, 1 AS hops FROM (SELECT *, {pick} FROM c1) WHERE place = 1)"]
+    for h in range(2, depth + 1):
+        known = " UNION ALL ".join(f"SELECT inv, tt, n, t FROM l{k}" for k in range(1, h))
+        parts.append(f"""k{h} AS (SELECT inv, tt, n, min(t) AS known FROM ({known}) GROUP BY ALL),
+          c{h} AS (SELECT link.inv, link.tt, link.n, link.t, leaves, nodes || ' > ' || link.tt || ':' || link.n AS nodes, kinds || ' > ' || link.relationship_type AS kinds, evidence || ' > ' || array_to_string(link.event_ids, '+') AS evidence, link.event_ids, link.relationship_type, link.ft, link.f
+            FROM l{h - 1} p JOIN link ON link.inv = p.inv AND link.ft = p.tt AND link.f = p.n AND link.t >= p.t WHERE (link.n <> 'user1' OR link.tt <> 'User') AND (p.n <> 'FIN-SRV-02' OR p.tt <> 'Server')),
+          l{h} AS (SELECT r.*, {h} AS hops FROM (SELECT *, {pick} FROM c{h}) r LEFT JOIN k{h} ON k{h}.inv = r.inv AND k{h}.tt = r.tt AND k{h}.n = r.n WHERE place = 1 AND (known IS NULL OR r.t < known))""")
+    columns = "inv, tt, n, t, leaves, nodes, kinds, evidence, hops"
+    return ", ".join(parts) + ", reached AS (" + " UNION ALL ".join(f"SELECT {columns} FROM l{k}" for k in range(1, depth + 1)) + ")"
+
+
+def _matches(kind: str, steps: list[tuple[str, str, int, str | None]], most: int | None = None) -> str:
+    """Matches by looking up, from the first step on, the next event that satisfies each step: (name, condition, seconds, exclusion)."""
+    parts = [f", ev AS (SELECT DISTINCT c.value AS key, c.t, c.event_id, k.action, k.destination_host FROM ckey c JOIN kind k USING (event_id) WHERE c.kind = '{kind}'), s0 AS (SELECT key, t AS began, t, event_id, event_id AS ids FROM ev WHERE {steps[0][1]})"]
+    for k, (_, when, within, unless) in enumerate(steps[1:], 1):
+        broken = f"AND NOT EXISTS (SELECT 1 FROM ev b WHERE b.key = p.key AND ({unless}) AND (b.t > p.t OR b.t = p.t AND b.event_id > p.event_id) AND (b.t < n.t OR b.t = n.t AND b.event_id < n.event_id))" if unless else ""
+        parts.append(f"""n{k} AS (SELECT p.key, p.event_id, arg_min({{'t': e.t, 'id': e.event_id}}, (e.t, e.event_id)) AS nxt FROM (SELECT DISTINCT key, t, event_id FROM s{k - 1}) p JOIN (SELECT * FROM ev WHERE {when}) e ON e.key = p.key AND (e.t > p.t OR e.t = p.t AND e.event_id > p.event_id) GROUP BY ALL),
+          s{k} AS (SELECT p.key, p.began, n.t, n.event_id, p.ids || ' > ' || n.event_id AS ids FROM s{k - 1} p JOIN (SELECT key, event_id AS before, nxt.t AS t, nxt.id AS event_id FROM n{k}) n ON n.key = p.key AND n.before = p.event_id WHERE n.t - p.t <= INTERVAL {within} SECOND {broken})""")
+    last = len(steps) - 1
+    names = " > ".join(s[0] for s in steps)
+    return _sim(", ".join(parts) + f" SELECT key AS entity_key, strftime(began, {STAMP}) AS first_seen, strftime(t, {STAMP}) AS last_seen, '{names}' AS steps, ids AS event_ids FROM s{last}" + (f" WHERE t - began <= INTERVAL {most} SECOND" if most else ""))
+
+
 def _pivot(start: str, end: str, test: str, end_type: str) -> str:
     return _sim(f"{TWO} SELECT inv AS investigation_id, {start} AS start_key, {end_type} AS end_type, {end} AS end_key, count(*) AS n, strftime(min(t), {STAMP}) AS first_seen, strftime(max(t), {STAMP}) AS last_seen FROM edge2 WHERE {test} GROUP BY ALL")
 
@@ -141,13 +144,10 @@ def oracle_sql() -> dict[str, str]:
         "src_05_security_events": _sim('SELECT event_id, "timestamp", event_type, action, "user", source_host, destination_host, source_ip, destination_ip, process, file, severity FROM se'),
         "nrm_09_field_mapping": _sim("""SELECT action, array_to_string(list_sort(list_filter(['action', 'event_id', 'event_type', 'source_host', 'timestamp', 'user', CASE WHEN destination_host IS NOT NULL THEN 'destination_host' END,
             CASE WHEN source_ip IS NOT NULL THEN 'source_ip' END, CASE WHEN destination_ip IS NOT NULL THEN 'destination_ip' END, CASE WHEN process IS NOT NULL THEN 'process' END, CASE WHEN file IS NOT NULL THEN 'file' END], lambda x: x IS NOT NULL)), ',') AS mapped_fields, count(*) AS n FROM se GROUP BY 1, 2"""),
-        "par_06_tristate": f"""WITH {CASES} SELECT coalesce(j->>'event_id', j->>'EventID') AS event_id, record,
-            CASE WHEN NOT list_contains(json_keys(j), 'user') THEN 'MISSING' WHEN j->>'user' IS NULL THEN 'NULL' WHEN j->>'user' = '' THEN 'EMPTY' ELSE 'VALUE' END AS user_state FROM ok""",
-        "val_06_rejects": f"""WITH {CASES}, n AS (SELECT record, coalesce(j->>'event_id', j->>'EventID') AS event_id, coalesce(j->>'timestamp', j->>'UtcTime', j->>'event_time') AS ts, coalesce(j->>'event_type', j->>'EventType') AS event_type, j->'user' AS u FROM ok),
-            m AS (SELECT event_id, record, CASE WHEN event_type IS NULL THEN 'event_type is required' WHEN ts IS NULL THEN 'timestamp is required' WHEN try_cast(ts AS TIMESTAMPTZ) IS NULL THEN 'timestamp is malformed'
-              WHEN json_type(u) = 'OBJECT' THEN 'user must be a scalar' WHEN row_number() OVER (PARTITION BY event_id ORDER BY record) > 1 THEN 'event_id occurs already' END AS message FROM n)
-            SELECT event_id, 'VALIDATION_ERROR' AS error, message, 400::BIGINT AS status FROM m WHERE message IS NOT NULL
-            UNION ALL SELECT NULL, 'PARSE_ERROR', 'event is not a JSON object', 400 FROM raw WHERE NOT json_valid(body)""",
+        "par_06_tristate": _sim("SELECT event_id, 'internal' AS format, ['VALUE', 'EMPTY', 'NULL', 'MISSING'][CAST(substr(event_id, 5) AS BIGINT) % 4 + 1] AS user_state, CASE WHEN file IS NULL THEN 'MISSING' ELSE 'VALUE' END AS file_state FROM se"),
+        "val_06_rejects": _sim("""SELECT event_id, event_id || CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 13 = 0 THEN '' ELSE '+' END AS record, 'VALIDATION_ERROR' AS error, CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 13 = 0 THEN 'timestamp is malformed' ELSE 'event_id occurs already' END AS message, 400::BIGINT AS status
+            FROM se WHERE CAST(substr(event_id, 5) AS BIGINT) % 13 = 0 OR CAST(substr(event_id, 5) AS BIGINT) % 11 = 0"""),
+        "val_13_one_delivery": _sim("SELECT event_id, event_id || CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 13 = 0 THEN '+' ELSE '' END AS record FROM se"),
         "ent_07_occurrences": _sim("SELECT event_id, entity_type, entity_key, name, role FROM occ"),
         "ent_10_entities": _sim(f"SELECT entity_type, entity_key, strftime(min(t), {STAMP}) AS first_seen, strftime(max(t), {STAMP}) AS last_seen, count(DISTINCT event_id) AS n_events, md5(string_agg(DISTINCT event_id, ',' ORDER BY event_id)) AS event_ids_md5 FROM occ GROUP BY 1, 2"),
         "rel_08_observations": _sim("""SELECT relationship_type, src_type, src_key, dst_type, dst_key, event_id, "timestamp", 'events' AS source FROM direct"""),
@@ -183,9 +183,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT inv AS investigation_id, array_to_string(nodes, ' > ') AS path, array_to_string(kinds, ' > ') AS relationships, len(kinds)::BIGINT AS hops, md5(array_to_string(evidence, ' > ')) AS evidence_md5 FROM p WHERE len(kinds) > 0""",
             True,
         ),
-        "piv_17_long_paths": f"""WITH RECURSIVE {_scenarios("ABCD")}, p AS (SELECT DISTINCT scenario, 'rahul' AS last, ['rahul'] AS nodes, [] :: VARCHAR[] AS evidence FROM edge WHERE src_key = 'rahul'
-            UNION ALL SELECT p.scenario, dst_key, list_append(nodes, dst_key), list_append(p.evidence, edge.evidence) FROM p JOIN edge ON src_key = last AND edge.scenario = p.scenario WHERE NOT list_contains(nodes, dst_key) AND len(nodes) < 9)
-            SELECT scenario AS investigation_id, array_to_string(nodes, ' > ') AS path, len(nodes)::BIGINT - 1 AS hops, array_to_string(evidence, ' > ') AS evidence FROM p WHERE len(nodes) > 1""",
+        "piv_17_long_paths": _sim(
+            UND2
+            + ", link AS (SELECT inv, t, event_ids, relationship_type, node_type AS ft, node AS f, neighbour_type AS tt, neighbour AS n FROM und2 WHERE t >= TIMESTAMP '2024-01-02'), "
+            + _arrivals(10)
+            + f" SELECT inv AS investigation_id, hops::BIGINT AS hops, strftime(leaves, {STAMP}) AS leaves, strftime(t, {STAMP}) AS arrives, nodes AS route, kinds AS relationships, evidence FROM reached WHERE tt = 'Server' AND n = 'FIN-SRV-02'"
+        ),
         "tml_01_timeline": _sim(REFS + """ SELECT "timestamp", event_id, event_type, action, "user", source_host, destination_host, process, file, 'events' AS source, 'event' AS kind, coalesce(relationship_refs, '') AS relationship_refs FROM se LEFT JOIN refs USING (event_id)"""),
         "tml_04_entity_timeline": _sim("""SELECT "timestamp", event_id, action, "user" FROM se WHERE action IN ('connect', 'access') AND t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28' AND event_id IN (SELECT event_id FROM occ WHERE entity_key = 'FIN-SRV-02')"""),
         "tml_08_marked": _sim("SELECT 'event' AS kind, count(*) AS n FROM se UNION ALL SELECT 'derived', count(*) FROM derived"),
@@ -205,7 +208,9 @@ def oracle_sql() -> dict[str, str]:
         "src_09_mixed_sources": _sim("""SELECT event_id, "timestamp", action, "user", process, file, ['SIEM', 'EDR', 'dataset', 'Sysmon'][CAST(substr(event_id, 5) AS BIGINT) % 4 + 1] AS source_type,
             ['lines', 'arrays', 'table', 'single'][CAST(substr(event_id, 5) AS BIGINT) % 4 + 1] AS source_name, event_id AS raw_event_id FROM se"""),
         "src_11_list_events": _sim("""SELECT event_id, "timestamp", action, CASE WHEN action = 'login' THEN 0 ELSE 1 END AS added_later FROM se WHERE "user" LIKE '%7'"""),
-        "snk_01_graph_tables": _sim(TWO + " SELECT inv AS investigation_id, relationship_type, src_type, dst_type, derived, count(*) AS n, count(DISTINCT event_id) AS n_events, min(array_to_string(event_ids, '+')) AS least FROM edge2 GROUP BY ALL"),
+        "snk_01_graph_tables": _sim(TWO + """, named AS (SELECT *, CASE inv WHEN 'even' THEN '007' ELSE 'case:1' END AS investigation_id FROM edge2), node AS (SELECT DISTINCT CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 2 = 0 THEN '007' ELSE 'case:1' END AS investigation_id, entity_type, entity_key, event_id FROM occ)
+            SELECT investigation_id, relationship_type AS kind, src_type, dst_type, derived, count(*) AS n, count(DISTINCT event_id) AS n_events, min(array_to_string(event_ids, '+')) AS least FROM named GROUP BY ALL
+            UNION ALL SELECT investigation_id, entity_type, NULL, NULL, NULL, count(DISTINCT entity_key), count(*), min(entity_key) FROM node GROUP BY investigation_id, entity_type"""),
         "snk_05_retained": _sim("SELECT event_id, t >= TIMESTAMP '2024-01-15 12:00:00' AS covered FROM se WHERE t >= TIMESTAMP '2024-01-15'"),
         "nrm_02_vendor_fields": _sim("""SELECT event_id, "timestamp", action, CASE CAST(substr(event_id, 5) AS BIGINT) % 3 WHEN 0 THEN 'CORP' WHEN 1 THEN 'corp.example' END AS user_domain, lower("user") AS user_key, source_host AS source_host_key, process_key, 'D:/data/' || file AS file_key,
             source_ip, CASE WHEN destination_ip IS NOT NULL THEN '2001:db8::' || CASE WHEN destination_ip LIKE '%.0' THEN '' ELSE string_split(destination_ip, '.')[4] END END AS destination_ip, CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 2 = 0 THEN 5 ELSE -1 END AS severity_level, 'Vendor' AS unknown FROM kind"""),
@@ -223,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "evd_01_details": _sim(""", o AS (SELECT event_id, count(DISTINCT (entity_type, entity_key, role)) AS n FROM occ GROUP BY 1), each AS (SELECT unnest(event_ids) AS event_id, relationship_type, src_key, dst_key, derived FROM edge),
             r AS (SELECT event_id, count(DISTINCT (relationship_type, src_key, dst_key, derived)) AS n FROM each GROUP BY 1), p AS (SELECT event_id, count(*) AS n FROM (SELECT event_a AS event_id FROM corr WHERE related UNION ALL SELECT event_b FROM corr WHERE related) GROUP BY 1)
             SELECT se.event_id, coalesce(o.n, 0)::BIGINT AS n_entities, coalesce(r.n, 0)::BIGINT AS n_relationships, coalesce(p.n, 0)::BIGINT AS n_correlations FROM se LEFT JOIN o USING (event_id) LEFT JOIN r USING (event_id) LEFT JOIN p USING (event_id)"""),
-        "evd_05_untraceable": _sim(", each AS (SELECT unnest(event_ids) AS event_id, relationship_type, src_key, dst_key FROM edge) SELECT event_id, relationship_type, src_key, dst_key FROM each WHERE event_id NOT IN (SELECT event_id FROM se)"),
+        "evd_05_untraceable": _sim(", each AS (SELECT unnest(event_ids) AS event_id, relationship_type, src_key, dst_key FROM edge) SELECT event_id, relationship_type, src_key, dst_key FROM each WHERE event_id IN (SELECT event_id FROM se WHERE CAST(substr(event_id, 5) AS BIGINT) % 17 = 0)"),
         "inv_02_cases": f"""WITH {CASES_SQL} SELECT investigation_id, title, description, status, outcome, '2024-02-01 00:00:00.000000' AS created_at, CASE WHEN k % 8 = 0 THEN '2024-02-03 00:00:00.000000' WHEN k % 2 = 0 THEN '2024-02-02 00:00:00.000000' ELSE '2024-02-01 00:00:00.000000' END AS updated_at,
             CASE WHEN k % 4 = 0 AND k % 8 <> 0 THEN '2024-02-02 00:00:00.000000' END AS closed_at FROM c""",
         "inv_07_notes": "SELECT 'case-' || c_nationkey AS investigation_id, c_mktsegment AS author, 'analyst' AS kind, count(*) AS n, max('about ' || c_name) AS last_note FROM customer GROUP BY ALL",
@@ -245,13 +250,37 @@ def oracle_sql() -> dict[str, str]:
         "evl_04_utility": """SELECT o_orderpriority AS scenario, o_orderkey % 2 = 0 AS assisted, count(*) AS reviews, count(*) FILTER (o_orderkey % 10 > 0) AS completed, round(avg(o_orderkey % 600) FILTER (o_orderkey % 10 > 0), 6) AS mean_seconds, round(avg(o_orderkey % 7) FILTER (o_orderkey % 10 > 0), 6) AS mean_pivots,
             round(avg(o_orderkey % 5) FILTER (o_orderkey % 10 > 0), 6) AS mean_sources_checked, round(avg(o_orderkey % 40) FILTER (o_orderkey % 10 > 0), 6) AS mean_events_inspected, round(avg(o_orderkey % 3) FILTER (o_orderkey % 10 > 0), 6) AS mean_errors FROM orders GROUP BY ALL""",
         "str_01_stream_ingest": _sim("""SELECT event_id, "timestamp", action, "user" FROM se UNION ALL SELECT 'evt-end', '2034-01-01 00:00:00.000000', 'end', 'nobody' UNION ALL SELECT 'evt-end2', '2034-01-01 00:00:00.000000', 'end', 'nobody' """),
-        "str_03_stream_pairs": _sim(" SELECT x.event_id AS event_a, y.event_id AS event_b, x.kind, x.value FROM (SELECT *, bucket AS at FROM bkey UNION ALL SELECT *, bucket + 1 FROM bkey) x JOIN bkey y ON x.kind = y.kind AND x.value = y.value AND x.at = y.bucket AND (x.t < y.t OR x.t = y.t AND x.event_id < y.event_id) AND y.t - x.t <= INTERVAL 10 MINUTE"),
+        "str_03_stream_pairs": _sim("SELECT event_a, event_b, kinds FROM cand"),
+        "str_06_late_rows": _sim("""SELECT 'evt-late-' || substr(event_id, 5) AS event_id, 'LATE_EVENT' AS error, 'event came after its time was closed' AS message FROM se WHERE CAST(substr(event_id, 5) AS BIGINT) % 5 = 0
+            UNION ALL SELECT event_id, 'VALIDATION_ERROR', 'event_id occurs already' FROM se WHERE CAST(substr(event_id, 5) AS BIGINT) % 2 = 0 AND CAST(substr(event_id, 5) AS BIGINT) % 3 = 0"""),
+        "snk_06_stream_entities": _sim(f"SELECT entity_type, entity_key, arg_min(name, (t, event_id, name)) AS name, strftime(min(t), {STAMP}) AS first_seen, strftime(max(t), {STAMP}) AS last_seen, count(DISTINCT event_id) AS n_events FROM occ GROUP BY 1, 2"),
+        "snk_06_stream_relationships": _sim(f"SELECT relationship_type, src_type, src_key, dst_type, dst_key, strftime(min(t), {STAMP}) AS first_seen, strftime(max(t), {STAMP}) AS last_seen, count(*) AS n FROM direct GROUP BY ALL"),
+        "src_04_line_source": _sim("""SELECT way, event_id, md5('{"event_id":"' || event_id || '","timestamp":"' || strftime(t, '%Y-%m-%dT%H:%M:%S.%fZ') || '","event_type":"' || event_type || '","action":"' || action || '","user":"' || "user" || '","source_host":"' || source_host || '"'
+            || coalesce(',"destination_host":"' || destination_host || '"', '') || coalesce(',"source_ip":"' || source_ip || '"', '') || coalesce(',"destination_ip":"' || destination_ip || '"', '') || coalesce(',"process":"' || process || '"', '') || coalesce(',"file":"' || file || '"', '') || '}') AS raw_md5 FROM se, (VALUES ('table'), ('stream')) w(way)"""),
+        "ent_10_evidence_segments": _sim(f""", each AS (SELECT DISTINCT entity_type, entity_key, event_id, t FROM occ UNION ALL SELECT 'Source', 'events', event_id, t FROM se)
+            SELECT entity_type, entity_key, count(*) AS n_events, count(*) AS n_opened, sum(CAST(substr(event_id, 5) AS BIGINT))::BIGINT AS id_sum, strftime(min(t), {STAMP}) AS first_seen, strftime(max(t), {STAMP}) AS last_seen, TRUE AS bounded FROM each GROUP BY 1, 2"""),
+        "ent_14_declared_entities": _sim("""SELECT 'Session' AS entity_type, source_host || '|' || lower('S-' || "user" || strftime(t, '-%m%d')) AS entity_key, 'session' AS role, count(*) AS n, min('S-' || "user" || strftime(t, '-%m%d')) AS name FROM se GROUP BY 2
+            UNION ALL SELECT 'Service', 'SVC' || CAST(substr(event_id, 5) AS BIGINT) % 9, 'service', count(*), min('Svc' || CAST(substr(event_id, 5) AS BIGINT) % 9) FROM se WHERE CAST(substr(event_id, 5) AS BIGINT) % 4 = 0 GROUP BY 2"""),
+        "ent_14_declared_edges": _sim(""", x AS (SELECT *, CAST(substr(event_id, 5) AS BIGINT) AS number, source_host || '|' || lower('S-' || "user" || strftime(t, '-%m%d')) AS session FROM kind)
+            SELECT 'OPENED' AS relationship_type, 'User' AS src_type, lower("user") AS src_key, 'Session' AS dst_type, session AS dst_key, event_id FROM x WHERE action = 'login'
+            UNION ALL SELECT 'RAN_IN', 'Process', process_key, 'Session', session, event_id FROM x WHERE process IS NOT NULL UNION ALL SELECT 'USED', 'Session', session, 'Service', 'SVC' || number % 9, event_id FROM x WHERE number % 4 = 0"""),
+        "aix_08_mentions": _sim(""", x AS (SELECT event_id, CAST(substr(event_id, 5) AS BIGINT) AS n FROM se), y AS (SELECT event_id AS statement_id, CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END AS investigation_id, CASE WHEN n % 7 = 0 THEN 0 ELSE 1 END::BIGINT AS n_event, 2::BIGINT AS n_entity, CASE WHEN n % 5 IN (1, 2, 3) THEN 1 ELSE 0 END::BIGINT AS n_unknown FROM x)
+            SELECT *, CASE WHEN n_unknown > 0 THEN 'invented' WHEN n_event = 0 THEN 'unsupported' ELSE 'grounded' END AS verdict FROM y"""),
+        "str_03_shared_keys": _sim(" SELECT x.event_id AS event_a, y.event_id AS event_b, x.kind, x.value FROM (SELECT *, bucket AS at FROM bkey UNION ALL SELECT *, bucket + 1 FROM bkey) x JOIN bkey y ON x.kind = y.kind AND x.value = y.value AND x.at = y.bucket AND (x.t < y.t OR x.t = y.t AND x.event_id < y.event_id) AND y.t - x.t <= INTERVAL 10 MINUTE"),
         "str_04_stream_windows": _sim(f"""SELECT CASE WHEN "user" LIKE '%7' THEN 'seven' ELSE 'rest' END AS investigation_id, strftime(date_trunc('hour', t), {STAMP}) AS window_start, action, count(*) AS n FROM se GROUP BY ALL"""),
         "str_07_stream_derived": _sim("SELECT process_key, far AS dst_key, exec_id AS exec_event_id, event_id AS connect_event_id FROM derived"),
-        "evl_01_confusion": f"""WITH {_scenarios("ABCD")}, expected(scenario, relationship_type, src_key, dst_key) AS (VALUES {_literal([(s, *x) for s, v in fixtures.EXPECTED.items() for x in v])}),
-            j AS (SELECT coalesce(x.scenario, p.scenario) AS scenario, x.src_key AS e, p.src_key AS p FROM expected x FULL JOIN (SELECT DISTINCT scenario, relationship_type, src_key, dst_key FROM edge) p USING (scenario, relationship_type, src_key, dst_key))
+        "evl_01_confusion": _sim(
+            DAMAGED
+            + """, w AS (SELECT d.*, 'week ' || (date_diff('day', DATE '2024-01-01', d.t::DATE) // 7) AS scenario FROM direct d),
+            x AS (SELECT DISTINCT scenario, relationship_type, src_key, dst_key FROM w WHERE relationship_type IN ('LOGGED_INTO', 'ACCESSED')),
+            y AS (SELECT DISTINCT scenario, relationship_type, src_key, dst_key FROM w WHERE relationship_type <> 'AUTHENTICATED_TO' AND event_id NOT IN (SELECT record FROM bad)),
+            j AS (SELECT coalesce(x.scenario, y.scenario) AS scenario, x.src_key AS e, y.src_key AS p FROM x FULL JOIN y USING (scenario, relationship_type, src_key, dst_key))
             SELECT scenario, count(e) AS expected, count(p) AS produced, count(*) FILTER (e IS NOT NULL AND p IS NOT NULL) AS correct, count(*) FILTER (e IS NULL) AS unsupported, count(*) FILTER (p IS NULL) AS missed,
-            count(*) FILTER (e IS NOT NULL AND p IS NOT NULL) / count(p) AS precision, count(*) FILTER (e IS NOT NULL AND p IS NOT NULL) / count(e) AS recall FROM j GROUP BY scenario""",
+            count(*) FILTER (e IS NOT NULL AND p IS NOT NULL) / count(p) AS precision, count(*) FILTER (e IS NOT NULL AND p IS NOT NULL) / count(e) AS recall FROM j GROUP BY scenario"""
+        ),
+        "cor_15_repeated_sign_in": _matches("user", [("authenticate", "action = 'authenticate'", 0, None), *[("authenticate", "action = 'authenticate'", 172_800, None)] * 2, ("login", "action = 'login'", 86_400, "action = 'access'")]),
+        "cor_15_lateral": _matches("host", [("login", "action = 'login'", 0, None), ("execute", "action = 'execute'", 7_200, None), ("connect", "action = 'connect'", 7_200, None)], 10_800),
+        "cor_15_unannounced_access": _matches("host", [("connect", "action = 'connect' AND destination_host IS NOT NULL", 0, None), ("access", "action = 'access'", 21_600, "action = 'login'"), ("access", "action = 'access'", 21_600, None)]),
     }
     out["str_05_stream_sessions"] = out["tml_09_sessions"]
     return out | PIVOTS

@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fields import stamp_text
-from ..operators import cases, context, correlate, extract, graph, ingest, measure, timeline
+from ..functions.fields import Identity, account_key, stamp_text
+from ..operators import cases, context, correlate, evidence, expanded, extract, graph, ingest, measure, patterns, routes, timeline
 from ..schema import Rules
 from ..sources import adapters, sinks
+from ..sources.lines import EventLines
 from ..streaming import events as streams
+from ..streaming.store import GraphStore
 from ..tables import exists, shared_path, written
-from . import fixtures, oracles
+from . import oracles
 
 ANCHOR_NODE = "FIN-SRV-02"
 #: Folders of base tables by application, data folder and name.
 BASES: dict[tuple[str, str, str], str] = {}
+#: What was counted while a base table was written, by its folder.
+OBSERVED: dict[str, dict[str, float]] = {}
 
 
 def at(column: str = "timestamp") -> Column:
@@ -25,18 +29,23 @@ def at(column: str = "timestamp") -> Column:
     return stamp_text(F.col(column)).alias(column)
 
 
-def base(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], metrics: dict[str, Column] | None = None) -> DataFrame:
     """A table that several queries of a session read: built and written once, and again if its folder is gone."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in BASES or not exists(spark, f"{BASES[key]}/_SUCCESS"):
         path = shared_path(spark, name)
-        build().write.parquet(path)
+        OBSERVED[path] = measure.write_observed(build(), path, name, metrics)
         BASES[key] = path
     return spark.read.parquet(BASES[key])
 
 
+def observed(spark: SparkSession, sf_dir: str, name: str) -> dict[str, float]:
+    """What was counted when a base table was written."""
+    return OBSERVED[BASES[spark.sparkContext.applicationId, sf_dir, name]]
+
+
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base(spark, sf_dir, "validated", lambda: ingest.ingest(adapters.simulation(spark.read.parquet(f"{sf_dir}/events.parquet"))).drop("fields", "parse_error", "raw"))
+    return base(spark, sf_dir, "validated", lambda: ingest.ingest(adapters.simulation(spark.read.parquet(f"{sf_dir}/events.parquet"))).drop("fields", "parse_error", "raw"), {"valid": F.count_if(F.size("errors") == 0), "rejected": F.count_if(F.size("errors") > 0)})
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +66,7 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def related(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events(spark, sf_dir)
-    return base(spark, sf_dir, "correlations", lambda: correlate.correlations(correlate.candidates(found), found))
+    return base(spark, sf_dir, "correlations", lambda: correlate.correlations(correlate.candidates(found), found), {"related": F.count_if("related")})
 
 
 def two_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,17 +79,80 @@ def src_05_security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", at(), "event_type", "action", "user", "source_host", "destination_host", "source_ip", "destination_ip", "process", "file", "severity")
 
 
+def ent_10_evidence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with an index of their events in segments, among them one that is in every event."""
+    seen = occurrences(spark, sf_dir).select(*evidence.ENTITY, "event_id", "timestamp")
+    hub = events(spark, sf_dir).select("investigation_id", F.lit("Source").alias("entity_type"), F.col("source_name").alias("entity_key"), "event_id", "timestamp")
+    found = base(spark, sf_dir, "segments", lambda: evidence.segments(seen.unionByName(hub), evidence.ENTITY, size=200))
+    index = evidence.heads(found, evidence.ENTITY).withColumn("bounded", F.col("largest") <= 400)
+    ids = evidence.events_of(found, evidence.ENTITY).groupBy(*evidence.ENTITY).agg(F.count("*").alias("n_opened"), F.sum(F.substring("event_id", 5, 20).cast("bigint")).alias("id_sum"))
+    return index.join(ids, evidence.ENTITY).select("entity_type", "entity_key", "n_events", "n_opened", "id_sum", at("first_seen"), at("last_seen"), "bounded")
+
+
+def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose raw text holds a session, and for some a service, in nested members that the model doesn't know."""
+    found = events(spark, sf_dir)
+    n = F.substring("event_id", 5, 20).cast("bigint")
+    session = F.concat(F.lit('"session":{"id":"S-'), F.col("user"), F.lit("-"), F.date_format("timestamp", "MMdd"), F.lit('","tty":'), (n % 3).cast("string"), F.lit("}"))
+    service = F.when(n % 4 == 0, F.concat(F.lit(',"services":[{"name":"Svc'), (n % 9).cast("string"), F.lit('"}]'))).otherwise(F.lit(',"services":{}'))
+    return found.withColumn("raw_data", F.concat(F.regexp_replace("raw_data", r"\}$", ","), F.lit('"context":{'), session, service, F.lit("}}")))
+
+
+DECLARED = [("Session", "$.context.session.id", "session", "lower@source_host"), ("Service", "$.context.services[0].name", "service", "upper"), ("Odd", "$.context.session", "odd", "plain")]
+DECLARED_EDGES = [("OPENED", "user", "session", "login"), ("RAN_IN", "process", "session", None), ("USED", "session", "service", None)]
+
+
+def ent_14_declared_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of declared types, with how many events name them."""
+    types = spark.createDataFrame(DECLARED, expanded.ENTITIES)
+    return expanded.occurrences(extended(spark, sf_dir), types).groupBy("entity_type", "entity_key", "role").agg(F.count("*").alias("n"), F.min("name").alias("name"))
+
+
+def ent_14_declared_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types, kinds = spark.createDataFrame(DECLARED, expanded.ENTITIES), spark.createDataFrame(DECLARED_EDGES, expanded.EDGES)
+    return expanded.observations(extended(spark, sf_dir), types, kinds).select("relationship_type", "src_type", "src_key", "dst_type", "dst_key", "event_id")
+
+
 def nrm_09_field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.array_join(F.array_sort(F.map_keys("field_mapping")), ",")
     return events(spark, sf_dir).groupBy("action", m.alias("mapped_fields")).agg(F.count("*").alias("n"))
 
 
+def number_of(column: str = "event_id") -> Column:
+    """The number in an event's id."""
+    return F.substring(column, 5, 20).cast("bigint")
+
+
 def par_06_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.parse(fixtures.raw_cases(spark)).where("fields is not null").select(F.coalesce(F.col("fields")["event_id"], F.col("fields")["EventID"]).alias("event_id"), F.col("source_record_id").alias("record"), ingest.state("user").alias("user_state"))
+    """Every event with its user as it is, empty, null or left out."""
+    raw = simulated_raw(spark, sf_dir)
+    kind = number_of("source_record_id") % 4
+    user = F.get_json_object("raw", "$.user")
+    given = lambda value: F.regexp_replace("raw", F.concat(F.lit('"user":"'), user, F.lit('",?')), value)
+    shown = F.when(kind == 1, given(F.lit('"user":"",'))).when(kind == 2, given(F.lit('"user":null,'))).when(kind == 3, given(F.lit(""))).otherwise(F.col("raw"))
+    return ingest.parse(raw.withColumn("raw", shown)).select(F.col("source_record_id").alias("event_id"), "format", ingest.state("user").alias("user_state"), ingest.state("file").alias("file_state"))
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event, some delivered again later: as it was (of 11 one), and where the first delivery was damaged, corrected (of 13 one)."""
+    raw = simulated_raw(spark, sf_dir)
+    number = number_of("source_record_id")
+    first = raw.withColumn("raw", F.when(number % 13 == 0, F.regexp_replace("raw", '"timestamp":"[^"]*"', '"timestamp":"nope"')).otherwise(F.col("raw")))
+    later = raw.where((number % 11 == 0) | (number % 13 == 0)).withColumns({"ingested_at": F.col("ingested_at") + F.expr("interval 1 day"), "source_record_id": F.concat("source_record_id", F.lit("+"))})
+    return first.unionByName(later)
 
 
 def val_06_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.rejected_events(ingest.ingest(fixtures.raw_cases(spark))).select("event_id", "error", "message", F.col("status").cast("bigint").alias("status"))
+    """What is rejected of repeated deliveries: a damaged one, or a valid one after a valid one."""
+    checked = base(spark, sf_dir, "deliveries", lambda: ingest.ingest(deliveries(spark, sf_dir)).drop("fields"))
+    e = F.col("errors")[0]
+    return checked.where(F.size("errors") > 0).select("event_id", F.col("source_record_id").alias("record"), e["error"].alias("error"), e["message"].alias("message"), e["status"].cast("bigint").alias("status"))
+
+
+def val_13_one_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's delivery that counts: one a valid id."""
+    checked = base(spark, sf_dir, "deliveries", lambda: ingest.ingest(deliveries(spark, sf_dir)).drop("fields"))
+    return ingest.security_events(checked).select("event_id", F.col("source_record_id").alias("record"))
 
 
 def ent_07_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +197,24 @@ def cor_13_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cor_14_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlate.sequences(related(spark, sf_dir).where("related")).select("sequence_id", "event_id")
+    """Components over the links of neighbours; the pairs of all related events aren't needed."""
+    return correlate.sequences(correlate.chain_links(events(spark, sf_dir))).select("sequence_id", "event_id")
+
+
+#: A user's third authentication in a row within two days each, and a login within a day after, with no access between.
+REPEATED_SIGN_IN = patterns.Pattern("repeated sign-in", "user", (patterns.Step("authenticate", "action = 'authenticate'", 172_800, times=3), patterns.Step("login", "action = 'login'", 86_400, unless="action = 'access'")))
+#: On a host: a login, then an execution within two hours, then a connection within two hours; four hours at most altogether.
+LATERAL = patterns.Pattern("lateral", "host", (patterns.Step("login", "action = 'login'"), patterns.Step("execute", "action = 'execute'", 7_200), patterns.Step("connect", "action = 'connect'", 7_200)), most=10_800)
+#: A file reached on a server by a connection, with no login on it between: two accesses within six hours of a connection.
+UNANNOUNCED = patterns.Pattern("unannounced access", "host", (patterns.Step("connect", "action = 'connect' and destination_host is not null"), patterns.Step("access", "action = 'access'", 21_600, times=2, unless="action = 'login'")))
+
+
+def _pattern(pattern: patterns.Pattern) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = patterns.matches(events(spark, sf_dir), pattern)
+        return found.select("entity_key", at("first_seen"), at("last_seen"), F.array_join("steps", " > ").alias("steps"), F.array_join("event_ids", " > ").alias("event_ids"))
+
+    return run
 
 
 def grf_04_graph_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,9 +255,9 @@ def piv_08_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piv_17_long_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The worked scenario's path with a deeper bound than the default."""
-    found = graph.paths(extract.all_observations(ingest.security_events(ingest.ingest(fixtures.raw_scenarios(spark)))), "rahul", 8, max_depth=8)
-    return found.select("investigation_id", "path", F.col("hops").cast("bigint").alias("hops"), F.array_join(F.transform("evidence", lambda e: F.array_join(e, "+")), " > ").alias("evidence"))
+    """Routes in time from a user to a server over up to ten hops, through entities that others share."""
+    found = routes.routes(two_cases(spark, sf_dir), "user1", "User", "FIN-SRV-02", "Server", 10, since="2024-01-02 00:00:00", directed=False)
+    return found.select("investigation_id", F.col("hops").cast("bigint").alias("hops"), at("leaves"), at("arrives"), F.array_join("nodes", " > ").alias("route"), F.array_join("relationships", " > ").alias("relationships"), F.array_join(F.transform("evidence", lambda e: F.array_join(e, "+")), " > ").alias("evidence"))
 
 
 def _pivot(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -209,8 +298,8 @@ def evd_04_event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evd_05_untraceable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graph event ids that the timeline lacks."""
-    rows = timeline.timeline(events(spark, sf_dir), edges(spark, sf_dir))
+    """Graph event ids that the timeline lacks, after some of its events are gone."""
+    rows = timeline.timeline(events(spark, sf_dir).where(number_of() % 17 != 0), edges(spark, sf_dir))
     return timeline.untraceable(edges(spark, sf_dir), rows).select("event_id", "relationship_type", "src_key", "dst_key")
 
 
@@ -219,15 +308,32 @@ def evd_06_untraceable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obs_01_pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that the writing of each stage's table gave; none is read again."""
+    validated(spark, sf_dir), related(spark, sf_dir)
     distinct = lambda df, *keys: df.select("investigation_id", *keys).distinct()  # noqa: E731 counts need no lists of evidence
-    entities = distinct(occurrences(spark, sf_dir), "entity_type", "entity_key")
-    relationships = distinct(edges(spark, sf_dir), "relationship_type", "src_type", "src_key", "dst_type", "dst_key")
-    return measure.pipeline_counts(validated(spark, sf_dir), entities, relationships, related(spark, sf_dir))
+    base(spark, sf_dir, "entity-keys", lambda: distinct(occurrences(spark, sf_dir), "entity_type", "entity_key"))
+    base(spark, sf_dir, "relationship-keys", lambda: distinct(edges(spark, sf_dir), "relationship_type", "src_type", "src_key", "dst_type", "dst_key"))
+    of = lambda name: observed(spark, sf_dir, name)
+    counts = {"input": of("validated")["rows"], "valid": of("validated")["valid"], "rejected": of("validated")["rejected"]}
+    counts |= {"entities": of("entity-keys")["rows"], "relationships": of("relationship-keys")["rows"], "correlated_links": of("correlations")["related"]}
+    return measure.observed_counts(spark, counts)
+
+
+def expected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the table's own columns lead one to expect, without the engine: logins and accesses of each event, by its week."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "user_id", k.alias("k"), F.concat(F.lit("week "), F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7).cast("string")).alias("scenario"))
+    server, pc = F.concat(F.lit("FIN-SRV-0"), (F.col("k") % 5).cast("string")), F.concat(F.lit("ENG-PC-"), F.lpad((F.col("k") % 20).cast("string"), 2, "0"))
+    login = rows.where("event_type = 'view'").select("scenario", F.lit("LOGGED_INTO").alias("relationship_type"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("src_key"), F.when(F.col("k") % 7 == 3, server).otherwise(pc).alias("dst_key"))
+    access = rows.where("event_type = 'error'").select("scenario", F.lit("ACCESSED").alias("relationship_type"), server.alias("src_key"), F.concat(F.lit("file_"), F.col("k").cast("string"), F.lit(".dat")).alias("dst_key"))
+    return login.unionByName(access)
 
 
 def evl_01_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = extract.all_observations(ingest.security_events(ingest.ingest(fixtures.raw_scenarios(spark))))
-    return measure.confusion(fixtures.expected(spark), seen.withColumnRenamed("investigation_id", "scenario"))
+    """Expected edges against those of the damaged events, by week: what damage hides is missed, and connections and executions, which are not expected, are unsupported."""
+    seen = extract.observations(ingest.security_events(checked(spark, sf_dir))).where("relationship_type <> 'AUTHENTICATED_TO'")
+    week = F.concat(F.lit("week "), F.floor(F.datediff("timestamp", F.lit("2024-01-01")) / 7).cast("string"))
+    return measure.confusion(expected_edges(spark, sf_dir), seen.withColumn("scenario", week))
 
 
 # --- sources of several kinds, validation over damaged rows
@@ -262,12 +368,17 @@ def src_11_list_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snk_01_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities and relationships appended in two parts and loaded again: nothing is lost or written over."""
+    """Entities and relationships of two numbered investigations, appended in two parts and loaded again: nothing is lost or written over."""
     folder = shared_path(spark, "graph")
+    numbered = lambda df: df.withColumn("investigation_id", F.when(number_of() % 2 == 0, "007").otherwise("case:1"))
     for part in ("src_type = 'User'", "src_type <> 'User'"):
-        sinks.append(two_cases(spark, sf_dir).where(part), folder, "relationships")
+        sinks.append(numbered(edges(spark, sf_dir)).where(part), folder, "relationships")
+    for part in ("entity_type = 'User'", "entity_type <> 'User'"):
+        sinks.append(extract.entities(numbered(occurrences(spark, sf_dir)).where(part)).drop("event_ids"), folder, "entities")
     found = sinks.load(spark, folder, "relationships")
-    return found.groupBy("investigation_id", "relationship_type", "src_type", "dst_type", "derived").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_events"), F.min(F.array_join("event_ids", "+")).alias("least"))
+    found = found.groupBy("investigation_id", F.col("relationship_type").alias("kind"), "src_type", "dst_type", "derived").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_events"), F.min(F.array_join("event_ids", "+")).alias("least"))
+    nodes = sinks.load(spark, folder, "entities").groupBy("investigation_id", F.col("entity_type").alias("kind")).agg(F.count("*").alias("n"), F.sum("n_events").alias("n_events"), F.min("entity_key").alias("least"))
+    return found.unionByName(nodes, allowMissingColumns=True)
 
 
 def snk_05_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +403,8 @@ def nrm_02_vendor_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts += [F.when(field("source_ip").isNotNull(), F.concat(F.lit("010.001.000.0"), F.substring_index(field("source_ip"), ".", -1))).alias("SourceIp"), F.when(field("destination_ip").isNotNull(), F.concat(F.lit("2001:0DB8:0000:0000::000"), F.substring_index(field("destination_ip"), ".", -1))).alias("DestinationIp")]
     parts += [F.when(number % 2 == 0, F.lit("5")).otherwise(F.lit("high")).alias("Severity"), F.lit("x").alias("Vendor")]
     found = ingest.security_events(ingest.ingest(adapters.stamp(adapters.dataset_rows(raw.select(*parts)), "vendor", "Sysmon", "v"), ipv6=True))
-    keys = extract.occurrences(found).where("role in ('user', 'source_host', 'process', 'file')").groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "entity_key"))).alias("keys"))
+    one_account = Rules(identity=Identity(user=account_key))  # the vendor writes one account in several domains
+    keys = extract.occurrences(found, rules=one_account).where("role in ('user', 'source_host', 'process', 'file')").groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "entity_key"))).alias("keys"))
     return found.join(keys, "event_id").select("event_id", at(), "action", "user_domain", *[F.col("keys")[k].alias(f"{k}_key") for k in ("user", "source_host", "process", "file")], "source_ip", "destination_ip", F.coalesce("severity_level", F.lit(-1)).alias("severity_level"), F.array_join(F.map_keys("unknown_fields"), ",").alias("unknown"))
 
 
@@ -457,6 +569,19 @@ def aix_08_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("statement_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_named", "n_known", "n_entities_named", "n_entities_known")], "verdict")
 
 
+def aix_08_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement about each event of two investigations; some name what isn't there, in any shape, or an event of the other one."""
+    split = lambda df: df.withColumn("investigation_id", F.when(number_of() % 2 == 0, "even").otherwise("odd"))
+    found = split(events(spark, sf_dir))
+    n = number_of()
+    extra = F.when(n % 5 == 1, F.concat(F.lit(" with "), F.substring(F.md5("event_id"), 1, F.lit(8)), F.lit("z"))).when(n % 5 == 2, F.concat(F.lit(" with Ωmega#"), n.cast("string"))).when(n % 5 == 3, F.concat(F.lit(" and evt-"), (n + 1).cast("string"))).otherwise("")
+    named = F.when(n % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(" ("), "event_id", F.lit(").")))
+    told = found.select("investigation_id", F.col("event_id").alias("statement_id"), F.concat(F.initcap("user"), F.lit(" was active at "), "source_host", extra, named).alias("text"))
+    vocabulary = spark.createDataFrame([(w,) for w in ("was", "active", "at", "with", "and")], "word string")
+    entities = split(occurrences(spark, sf_dir)).select("investigation_id", "name", "entity_key").distinct()
+    return context.grounded_statements(told, context.mentions(told, found, entities, vocabulary))
+
+
 def evl_03_grounding_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     statements, known = said(spark, sf_dir), events(spark, sf_dir)
     return context.grounding_tally(context.grounding(statements, known, entities=extract.entities(occurrences(spark, sf_dir))), known.where("action = 'connect'"), statements)
@@ -486,6 +611,7 @@ def streamed(spark: SparkSession, sf_dir: str, name: str, transform: Callable[[D
     for k, batch in enumerate(batches):  # one batch after another, as files arrive
         batch.coalesce(4).write.mode("append").text(f"{folder}/data")
         raw = adapters.stamp(adapters.stream_lines(spark, f"{folder}/data"), "sim", "simulation", "events")
+        spark.conf.set(*streams.STATE_CONF)
         query = transform(streams.ingest(raw)).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{out}/rows").trigger(availableNow=True).start()
         query.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
@@ -498,10 +624,75 @@ def str_01_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def str_03_stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each pair, with all the kinds of identifiers it shares."""
     found = streamed(spark, sf_dir, "pairs", streams.pairs)
+    return found.select(F.col("a").alias("event_a"), F.col("b").alias("event_b"), F.array_join("kinds", ",").alias("kinds"))
+
+
+def str_03_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each identifier that two events share."""
+    found = streamed(spark, sf_dir, "keys", streams.shared_keys)
     return found.select(F.col("a").alias("event_a"), F.col("b").alias("event_b"), "kind", "value")
 
 
+def arrivals(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], str]:
+    """Batches of raw lines as they come in: events in two parts by their number, the second with some of the first once more, and then late ones."""
+    lines = simulated_raw(spark, sf_dir).select(F.col("raw").alias("value"), (number_of("source_record_id") % 2).alias("part"), number_of("source_record_id").alias("number"))
+    parts = [lines.where((F.col("part") == k) | (F.col("part") == k - 1) & (F.col("number") % 3 == 0)).select("value") for k in range(2)]
+    end = '{{"event_id":"evt-{}","timestamp":"2034-01-01T00:00:00Z","event_type":"x","action":"end","user":"nobody","source_host":"END-PC-0"}}'
+    last = [spark.createDataFrame([(end.format(n),)], "value string") for n in ("end", "end2")]
+    late = lines.where("number % 5 = 0").select(F.regexp_replace("value", '"evt-', '"evt-late-').alias("value"))
+    return [*parts, last[0], late, last[1]], shared_path(spark, "arrivals")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """A store that a stream over ``arrivals`` has kept; some batches are run twice. Shuffled order within the delay, as parts are dealt by number."""
+    key = (spark.sparkContext.applicationId, sf_dir, "store")
+    if key not in BASES:
+        batches, folder = arrivals(spark, sf_dir)
+        store = GraphStore(spark, f"{folder}/store")
+
+        def sink(batch: DataFrame, batch_id: int) -> None:
+            store.write_batch(batch, batch_id)
+            if batch_id % 2 == 0:
+                store.write_batch(batch, batch_id)
+
+        for k, batch in enumerate(batches):
+            batch.coalesce(4).write.mode("append").text(f"{folder}/data")
+            raw = streams.late_marked(adapters.stamp(adapters.stream_lines(spark, f"{folder}/data"), "sim", "simulation", "events", ingested_at=F.lit(adapters.INGESTED).cast("timestamp")), "40 days")
+            raw.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+            if k == 1:
+                store.compact()
+        BASES[key] = f"{folder}/store"
+    return GraphStore(spark, BASES[key])
+
+
+def str_06_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream rejects: late events and repeated ones, as evidence with their reasons."""
+    return stored(spark, sf_dir).table("rejected_events").where("error <> 'VALIDATION_ERROR' or message = 'event_id occurs already'").select("event_id", "error", "message")
+
+
+def snk_06_stream_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities kept by a stream's deltas, with batches that ran twice and a snapshot: those of one build over everything."""
+    return stored(spark, sf_dir).entities().where("name <> 'nobody' and entity_key not like 'END%'").select("entity_type", "entity_key", "name", at("first_seen"), at("last_seen"), "n_events")
+
+
+def snk_06_stream_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).relationships().select("relationship_type", "src_type", "src_key", "dst_type", "dst_key", at("first_seen"), at("last_seen"), "n")
+
+
+def src_04_line_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as lines of files, read in ranges of bytes by the data source, once as a table and once as a stream."""
+    folder = shared_path(spark, "lines")
+    simulated_raw(spark, sf_dir).select("raw").write.text(f"{folder}/data")
+    spark.dataSource.register(EventLines)
+    table = spark.read.format("event_lines").option("range_bytes", 1 << 17).load(f"{folder}/data")
+    stream = spark.readStream.format("event_lines").load(f"{folder}/data").writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    both = table.select("raw", F.lit("table").alias("way")).unionByName(spark.read.parquet(f"{folder}/out").select("raw", F.lit("stream").alias("way")))
+    return both.select("way", F.get_json_object("raw", "$.event_id").alias("event_id"), F.md5("raw").alias("raw_md5"))
+
+
 def str_04_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = streamed(spark, sf_dir, "windows", lambda e: streams.tumbling_counts(e.withColumn("investigation_id", F.when(F.col("user").endswith("7"), "seven").otherwise("rest")), "1 hour"))
     return found.select("investigation_id", at("window_start"), "action", "n")
@@ -519,7 +710,8 @@ def str_07_stream_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [f for n, f in globals().items() if n[:3] in {"src", "snk", "nrm", "par", "val", "ent", "rel", "cnd", "cor", "grf", "piv", "tml", "evd", "inv", "sec", "err", "aix", "obs", "evl", "str"} and n[3:4] == "_" and callable(f)]
-    return {f.__name__: f for f in named} | {f"piv_{9 + k:02d}_{name}": _pivot(name) for k, name in enumerate(graph.PIVOTS)}
+    found = {f.__name__: f for f in named} | {f"piv_{9 + k:02d}_{name}": _pivot(name) for k, name in enumerate(graph.PIVOTS)}
+    return found | {f"cor_15_{p.name.replace(' ', '_').replace('-', '_')}": _pattern(p) for p in (REPEATED_SIGN_IN, LATERAL, UNANNOUNCED)}
 
 
 def oracle_sql() -> dict[str, str]:
