@@ -29,6 +29,33 @@ def state(name: str, fields: str = "fields") -> Column:
     return F.when(~F.map_contains_key(fields, name), "MISSING").when(value.isNull(), "NULL").when(value == "", "EMPTY").otherwise("VALUE")
 
 
+def primitives(raw: DataFrame, field_map: dict[str, list[str]] = FIELD_MAP) -> DataFrame:
+    """The members of raw events that the model doesn't know, each as what it is: ``name``, ``kind`` and one of ``whole``, ``number``, ``flag``, ``moment`` and ``text``.
+
+    The raw text is parsed once as a VARIANT, whose own types tell 5 from "5". Texts that are timestamps are moments; decimals and exponents are numbers. Objects
+    and arrays keep their JSON as text; null members have a kind alone; raw text that is no JSON object has no members.
+    """
+    known = [n for names in field_map.values() for n in names]
+    parsed = raw.select("investigation_id", "source_record_id", F.try_parse_json("raw").alias("__v")).where(F.startswith(F.schema_of_variant("__v"), F.lit("OBJECT")))
+    each = parsed.lateralJoin(raw.sparkSession.tvf.variant_explode(F.col("__v").outer())).where(~F.col("key").isin(known))
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+    as_ = lambda t: F.try_variant_get("value", "$", t)
+    text = F.when(kind == "STRING", as_("string"))
+    moment = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]"), f.utc_timestamp(text))
+    kind = F.when(moment.isNotNull(), "TIMESTAMP").when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), "NUMBER").otherwise(kind)
+    return each.select(
+        "investigation_id",
+        "source_record_id",
+        F.col("key").alias("name"),
+        kind.alias("kind"),
+        F.when(kind == "BIGINT", as_("bigint")).alias("whole"),
+        F.when(kind == "NUMBER", as_("double")).alias("number"),
+        F.when(kind == "BOOLEAN", as_("boolean")).alias("flag"),
+        moment.alias("moment"),
+        F.when(kind == "STRING", text).when(kind.isin("OBJECT", "ARRAY"), F.to_json("value")).alias("text"),
+    )
+
+
 def _first(names: list[str]) -> Column:
     return F.coalesce(*[f.blank_to_null(F.col("fields")[n]) for n in names])
 

@@ -55,11 +55,22 @@ def sessions(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
     return s.select("investigation_id", "user_key", F.col("w.start").alias("first_seen"), "last_seen", "n")
 
 
-def adjacent(events: DataFrame) -> DataFrame:
-    """Each event with the one before and after it in its investigation's user activity. Events without a user have neither and are spread over the tasks."""
-    spread = F.when(F.col("user").isNull(), F.xxhash64("event_id"))
-    w = Window.partitionBy("investigation_id", F.lower("user"), spread).orderBy("timestamp", "event_id")
-    return events.select("investigation_id", "event_id", F.lag("event_id").over(w).alias("before"), F.lead("event_id").over(w).alias("after"))
+def adjacent(events: DataFrame, span_seconds: int = 86_400) -> DataFrame:
+    """Each event with the one before and after it in its investigation's user activity. Events without a user have neither and are spread over the tasks.
+
+    A busy user is spread over spans of time: neighbours are found within a span, and the first and last events of the spans, a row each, tell
+    what lies across their borders.
+    """
+    keys = ["investigation_id", "__user", "__spread", "__span"]
+    rows = events.select("investigation_id", "event_id", "timestamp", F.lower("user").alias("__user"), F.when(F.col("user").isNull(), F.xxhash64("event_id")).otherwise(0).alias("__spread"), F.coalesce(F.floor(F.unix_seconds("timestamp") / span_seconds), F.lit(-1).cast("bigint")).alias("__span"))
+    rows = rows.withColumn("__user", F.coalesce("__user", F.lit("")))
+    place = F.struct("timestamp", "event_id")
+    ends = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    across = Window.partitionBy(*keys[:3]).orderBy("__span")
+    ends = ends.select(*keys, F.lag("last.event_id").over(across).alias("__before"), F.lead("first.event_id").over(across).alias("__after"))
+    w = Window.partitionBy(*keys).orderBy("timestamp", "event_id")
+    found = rows.withColumns({"before": F.lag("event_id").over(w), "after": F.lead("event_id").over(w)}).join(ends, keys)
+    return found.select("investigation_id", "event_id", F.coalesce("before", "__before").alias("before"), F.coalesce("after", "__after").alias("after"))
 
 
 def edge_evidence(edges: DataFrame, events: DataFrame) -> DataFrame:

@@ -145,12 +145,18 @@ def oracle_sql() -> dict[str, str]:
         "nrm_09_field_mapping": _sim("""SELECT action, array_to_string(list_sort(list_filter(['action', 'event_id', 'event_type', 'source_host', 'timestamp', 'user', CASE WHEN destination_host IS NOT NULL THEN 'destination_host' END,
             CASE WHEN source_ip IS NOT NULL THEN 'source_ip' END, CASE WHEN destination_ip IS NOT NULL THEN 'destination_ip' END, CASE WHEN process IS NOT NULL THEN 'process' END, CASE WHEN file IS NOT NULL THEN 'file' END], lambda x: x IS NOT NULL)), ',') AS mapped_fields, count(*) AS n FROM se GROUP BY 1, 2"""),
         "par_06_tristate": _sim("SELECT event_id, 'internal' AS format, ['VALUE', 'EMPTY', 'NULL', 'MISSING'][CAST(substr(event_id, 5) AS BIGINT) % 4 + 1] AS user_state, CASE WHEN file IS NULL THEN 'MISSING' ELSE 'VALUE' END AS file_state FROM se"),
+        "par_03_primitives": _sim(""", n AS (SELECT CAST(substr(event_id, 5) AS BIGINT) AS n FROM se), mem(name, kind) AS (VALUES ('count', 'BIGINT'), ('digits', 'STRING'), ('ratio', 'NUMBER'), ('ok', 'BOOLEAN'), ('nothing', 'VOID'), ('seen', 'TIMESTAMP'), ('list', 'ARRAY'))
+            SELECT name, kind, count(*) AS n, (sum(CASE WHEN name = 'count' THEN n END))::BIGINT AS whole, sum(CASE WHEN name = 'ratio' THEN n % 8 / 8 + 0.5 END)::DOUBLE AS number, count(*) FILTER (name = 'ok' AND n % 2 = 0) AS flags, (sum(CASE WHEN name = 'seen' THEN n % 6 - 3600 END))::BIGINT AS moment,
+            max(CASE name WHEN 'digits' THEN n::VARCHAR WHEN 'list' THEN '[1,2]' END) AS text FROM n, mem GROUP BY ALL"""),
         "val_06_rejects": _sim("""SELECT event_id, event_id || CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 13 = 0 THEN '' ELSE '+' END AS record, 'VALIDATION_ERROR' AS error, CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 13 = 0 THEN 'timestamp is malformed' ELSE 'event_id occurs already' END AS message, 400::BIGINT AS status
             FROM se WHERE CAST(substr(event_id, 5) AS BIGINT) % 13 = 0 OR CAST(substr(event_id, 5) AS BIGINT) % 11 = 0"""),
         "val_13_one_delivery": _sim("SELECT event_id, event_id || CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 13 = 0 THEN '+' ELSE '' END AS record FROM se"),
         "ent_07_occurrences": _sim("SELECT event_id, entity_type, entity_key, name, role FROM occ"),
         "ent_10_entities": _sim(f"SELECT entity_type, entity_key, strftime(min(t), {STAMP}) AS first_seen, strftime(max(t), {STAMP}) AS last_seen, count(DISTINCT event_id) AS n_events, md5(string_agg(DISTINCT event_id, ',' ORDER BY event_id)) AS event_ids_md5 FROM occ GROUP BY 1, 2"),
         "rel_08_observations": _sim("""SELECT relationship_type, src_type, src_key, dst_type, dst_key, event_id, "timestamp", 'events' AS source FROM direct"""),
+        "rel_04_host_to_host": _sim("""SELECT CASE WHEN source_host = 'ENG-PC-07' THEN 'Server' ELSE src_kind END AS src_type, source_host AS src_key, CASE WHEN destination_host IN ('FIN-SRV-01', 'FIN-SRV-03') THEN 'Host' ELSE far_kind END AS dst_type, far AS dst_key, event_id FROM kind WHERE action = 'connect'"""),
+        "rel_13_no_edge": _sim("""SELECT event_id, CASE WHEN CAST(substr(event_id, 5) AS BIGINT) % 6 = 0 THEN 'observe' ELSE action END AS action FROM kind
+            WHERE CAST(substr(event_id, 5) AS BIGINT) % 6 = 0 OR CAST(substr(event_id, 5) AS BIGINT) % 6 = 1 AND action IN ('login', 'authenticate') OR CAST(substr(event_id, 5) AS BIGINT) % 6 = 2 AND (action IN ('execute', 'connect', 'access') OR destination_host IS NULL)"""),
         "rel_10_relationships": _sim(f"SELECT relationship_type, src_key, dst_key, strftime(min(t), {STAMP}) AS first_seen, strftime(max(t), {STAMP}) AS last_seen, count(*) AS n, string_agg(DISTINCT event_id, ',' ORDER BY event_id) AS event_ids FROM direct GROUP BY relationship_type, src_type, src_key, dst_type, dst_key"),
         "rel_11_derived_edges": _sim("SELECT process_key, far AS dst_key, exec_id AS exec_event_id, event_id AS connect_event_id FROM derived"),
         "cnd_07_candidates": _sim("SELECT event_a, event_b, kinds FROM cand"),
@@ -247,8 +253,11 @@ def oracle_sql() -> dict[str, str]:
         "aix_08_grounding": _sim(SAID + " SELECT statement_id, n_named, n_known, n_entities_named, n_entities_known, verdict FROM g"),
         "evl_03_grounding_tally": _sim(SAID + """ SELECT CASE verdict WHEN 'grounded' THEN 'supported' WHEN 'invented' THEN 'incorrect' ELSE verdict END AS measure, count(*) AS n FROM g GROUP BY 1
             UNION ALL SELECT 'missing evidence', count(*) FROM se WHERE action = 'connect' AND CAST(substr(event_id, 5) AS BIGINT) % 6 IN (0, 1)"""),
-        "evl_04_utility": """SELECT o_orderpriority AS scenario, o_orderkey % 2 = 0 AS assisted, count(*) AS reviews, count(*) FILTER (o_orderkey % 10 > 0) AS completed, round(avg(o_orderkey % 600) FILTER (o_orderkey % 10 > 0), 6) AS mean_seconds, round(avg(o_orderkey % 7) FILTER (o_orderkey % 10 > 0), 6) AS mean_pivots,
-            round(avg(o_orderkey % 5) FILTER (o_orderkey % 10 > 0), 6) AS mean_sources_checked, round(avg(o_orderkey % 40) FILTER (o_orderkey % 10 > 0), 6) AS mean_events_inspected, round(avg(o_orderkey % 3) FILTER (o_orderkey % 10 > 0), 6) AS mean_errors FROM orders GROUP BY ALL""",
+        "evl_04_utility": _sim(""", h AS (SELECT DISTINCT event_id FROM derived), m AS (SELECT k.*, h.event_id IS NOT NULL AS hint, CASE WHEN t < lag(t) OVER (PARTITION BY "user" ORDER BY t) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM kind k LEFT JOIN h ON h.event_id = k.event_id),
+            n AS (SELECT *, sum(fresh) OVER (PARTITION BY "user" ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM m),
+            r AS (SELECT arg_min(event_type, (t, event_id)) AS scenario, bool_or(hint) AS assisted, (epoch_us(max(t)) - epoch_us(min(t))) / 1000000 AS seconds, count(DISTINCT source_host) AS pivots, count(DISTINCT event_type) AS sources_checked, count(*) AS events_inspected, bool_or(action = 'access') AS completed, count(destination_ip) AS errors FROM n GROUP BY "user", s)
+            SELECT scenario, assisted, count(*) AS reviews, count(*) FILTER (completed) AS completed, round(avg(seconds) FILTER (completed), 4) AS mean_seconds, round(avg(pivots) FILTER (completed), 4) AS mean_pivots, round(avg(sources_checked) FILTER (completed), 4) AS mean_sources_checked,
+            round(avg(events_inspected) FILTER (completed), 4) AS mean_events_inspected, round(avg(errors) FILTER (completed), 4) AS mean_errors FROM r GROUP BY scenario, assisted"""),
         "str_01_stream_ingest": _sim("""SELECT event_id, "timestamp", action, "user" FROM se UNION ALL SELECT 'evt-end', '2034-01-01 00:00:00.000000', 'end', 'nobody' UNION ALL SELECT 'evt-end2', '2034-01-01 00:00:00.000000', 'end', 'nobody' """),
         "str_03_stream_pairs": _sim("SELECT event_a, event_b, kinds FROM cand"),
         "str_06_late_rows": _sim("""SELECT 'evt-late-' || substr(event_id, 5) AS event_id, 'LATE_EVENT' AS error, 'event came after its time was closed' AS message FROM se WHERE CAST(substr(event_id, 5) AS BIGINT) % 5 = 0

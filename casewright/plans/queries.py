@@ -14,7 +14,7 @@ from ..sources import adapters, sinks
 from ..sources.lines import EventLines
 from ..streaming import events as streams
 from ..streaming.store import GraphStore
-from ..tables import exists, shared_path, written
+from ..tables import exists, remove, shared_path, written
 from . import oracles
 
 ANCHOR_NODE = "FIN-SRV-02"
@@ -39,6 +39,13 @@ def base(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     return spark.read.parquet(BASES[key])
 
 
+def settled(df: DataFrame, folder: str) -> DataFrame:
+    """What a query read from a folder of its own, as a written table; the folder goes."""
+    out = written(df, "settled")
+    remove(df.sparkSession, folder)
+    return out
+
+
 def observed(spark: SparkSession, sf_dir: str, name: str) -> dict[str, float]:
     """What was counted when a base table was written."""
     return OBSERVED[BASES[spark.sparkContext.applicationId, sf_dir, name]]
@@ -133,6 +140,15 @@ def par_06_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.parse(raw.withColumn("raw", shown)).select(F.col("source_record_id").alias("event_id"), "format", ingest.state("user").alias("user_state"), ingest.state("file").alias("file_state"))
 
 
+def par_03_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that the model doesn't know, by their types: of each event some more, with numbers, texts that look like numbers, moments, lists."""
+    n = number_of("source_record_id")
+    extra = F.concat(F.lit(',"count":'), n.cast("string"), F.lit(',"digits":"'), n.cast("string"), F.lit('","ratio":'), (n % 8 / 8 + 0.5).cast("string"), F.lit(',"ok":'), (n % 2 == 0).cast("string"), F.lit(',"nothing":null,"seen":"2024-02-01T00:00:0'), (n % 6).cast("string"), F.lit('+01:00","list":[1,2]}'))
+    found = ingest.primitives(simulated_raw(spark, sf_dir).withColumn("raw", F.concat(F.regexp_replace("raw", r"\}$", ""), extra)))
+    moment = F.sum(F.unix_seconds("moment") - 1_706_745_600)
+    return found.groupBy("name", "kind").agg(F.count("*").alias("n"), F.sum("whole").alias("whole"), F.sum("number").alias("number"), F.count_if("flag").alias("flags"), moment.alias("moment"), F.max("text").alias("text"))
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event, some delivered again later: as it was (of 11 one), and where the first delivery was damaged, corrected (of 13 one)."""
     raw = simulated_raw(spark, sf_dir)
@@ -168,6 +184,20 @@ def rel_08_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct_edges(spark, sf_dir).select("relationship_type", "src_type", "src_key", "dst_type", "dst_key", "event_id", at(), "source")
 
 
+def rel_04_host_to_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections under configured roles, by which some of the destinations are hosts."""
+    roles = spark.createDataFrame([("fin-srv-01", "Host"), ("FIN-SRV-03", "Host"), ("ENG-PC-07", "Server")], "host string, role string")
+    seen = extract.observations(events(spark, sf_dir), roles).where("relationship_type = 'CONNECTED_TO'")
+    return seen.select("src_type", "src_key", "dst_type", "dst_key", "event_id")
+
+
+def rel_13_no_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that fit no rule, by an unknown action or for want of an end, and so make no edge."""
+    n = number_of()
+    found = events(spark, sf_dir).withColumns({"action": F.when(n % 6 == 0, "observe").otherwise(F.col("action")), "user": F.when(n % 6 == 1, F.lit(None)).otherwise(F.col("user")), "source_host": F.when(n % 6 == 2, F.lit(None)).otherwise(F.col("source_host"))})
+    return found.join(extract.observations(found), ["investigation_id", "event_id"], "left_anti").select("event_id", "action")
+
+
 def rel_10_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = extract.relationships(direct_edges(spark, sf_dir))
     return r.select("relationship_type", "src_key", "dst_key", stamp_text(F.col("first_seen")).alias("first_seen"), stamp_text(F.col("last_seen")).alias("last_seen"), "n", F.array_join("event_ids", ",").alias("event_ids"))
@@ -354,7 +384,7 @@ def src_09_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     csv = adapters.csv_rows(spark, f"{folder}/table", ", ".join(f"{c} string" for c in fields))
     parts = [(adapters.json_lines(spark, f"{folder}/lines"), "SIEM", "lines"), (adapters.json_array(bodies), "EDR", "arrays"), (csv, "dataset", "table"), (raw.where("kind = 3").select("raw"), "Sysmon", "single")]
     whole = adapters.mixed(*[adapters.stamp(df, "mixed", kind, name) for df, kind, name in parts])
-    found = ingest.security_events(ingest.ingest(whole))
+    found = settled(ingest.security_events(ingest.ingest(whole)), folder)
     return found.select("event_id", at(), "action", "user", "process", "file", "source_type", "source_name", F.get_json_object("raw_data", "$.event_id").alias("raw_event_id"))
 
 
@@ -364,7 +394,7 @@ def src_11_list_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = events(spark, sf_dir).withColumn("investigation_id", F.when(F.col("user").endswith("7"), "seven").otherwise("rest"))
     sinks.append(whole.where("action = 'login'"), folder, "security_events")
     sinks.append(whole.where("action <> 'login'").withColumn("added_later", F.lit(1)), folder, "security_events")
-    return sinks.list_events(spark, folder, "seven").select("event_id", at(), "action", F.coalesce("added_later", F.lit(0)).alias("added_later"))
+    return settled(sinks.list_events(spark, folder, "seven"), folder).select("event_id", at(), "action", F.coalesce("added_later", F.lit(0)).alias("added_later"))
 
 
 def snk_01_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +408,7 @@ def snk_01_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sinks.load(spark, folder, "relationships")
     found = found.groupBy("investigation_id", F.col("relationship_type").alias("kind"), "src_type", "dst_type", "derived").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_events"), F.min(F.array_join("event_ids", "+")).alias("least"))
     nodes = sinks.load(spark, folder, "entities").groupBy("investigation_id", F.col("entity_type").alias("kind")).agg(F.count("*").alias("n"), F.sum("n_events").alias("n_events"), F.min("entity_key").alias("least"))
-    return found.unionByName(nodes, allowMissingColumns=True)
+    return settled(found.unionByName(nodes, allowMissingColumns=True), folder)
 
 
 def snk_05_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +416,7 @@ def snk_05_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "kept")
     sinks.append_by_day(events(spark, sf_dir), folder, "events", "timestamp")
     sinks.purge(spark, folder, "events", 10, "2024-01-25 12:00:00")
-    left = sinks.load(spark, folder, "events")
+    left = settled(sinks.load(spark, folder, "events"), folder)
     covered = sinks.retained(left, 10, "2024-01-25 12:00:00", "timestamp").select("event_id", F.lit(True).alias("covered"))
     return left.join(covered, "event_id", "left").select("event_id", F.coalesce("covered", F.lit(False)).alias("covered"))
 
@@ -500,9 +530,11 @@ def case_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (when(2), nation.where("n_nationkey % 4 = 0").select(case, F.lit("CLOSED").alias("status"), F.lit("CLOSE_AS_INVESTIGATED").alias("outcome"))),
         (when(3), nation.where("n_nationkey % 8 = 0").select(case, F.lit("OPEN").alias("status"), F.lit("ESCALATE").alias("outcome"), F.lower("n_name").alias("title"))),
     ]
+    folder = shared_path(spark, "cases")
+    sinks.append(log, folder, "investigations")
     for moment, changes in steps:
-        log = written(log.unionByName(cases.changed(log, changes, moment)), "cases")
-    return log
+        sinks.append(cases.changed(sinks.load(spark, folder, "investigations"), changes, moment), folder, "investigations")
+    return settled(sinks.load(spark, folder, "investigations"), folder)
 
 
 def inv_02_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -548,7 +580,7 @@ def snk_04_summary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = context.audit("sim", context.summarize(summary_context(spark, sf_dir), provider), provider, spark, F.lit("2024-03-01 00:00:00").cast("timestamp"))
     folder = shared_path(spark, "audit")
     sinks.append(row, folder, "summaries")
-    stored = sinks.load(spark, folder, "summaries", "sim")
+    stored = settled(sinks.load(spark, folder, "summaries", "sim"), folder)
     marked = timeline.with_narrative(timeline.timeline(events(spark, sf_dir), edges(spark, sf_dir)), stored).groupBy("investigation_id", "kind").agg(F.count("*").alias("n"))
     named = F.size(F.array_distinct(F.regexp_extract_all("summary", F.lit("(evt-[0-9]+)")))) > 0
     shown = stored.select("investigation_id", "provider", "status", named.alias("names_events"), F.col("prompt").isNotNull().alias("has_prompt"), F.get_json_object("context", "$.description").alias("description"))
@@ -588,12 +620,19 @@ def evl_03_grounding_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evl_04_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The measures of reviews, over rows made of orders (there are no human ones)."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    k = F.col("o_orderkey")
-    rows = orders.select(F.col("o_orderpriority").alias("scenario"), k.cast("string").alias("participant"), (k % 2 == 0).alias("assisted"), (k % 600).cast("double").alias("seconds"), (k % 7).cast("int").alias("pivots"), (k % 5).cast("int").alias("sources_checked"), (k % 40).cast("int").alias("events_inspected"), (k % 10 > 0).alias("completed"), (k % 3).cast("int").alias("errors"))
+    """The measures of reviews over the users' sessions, each taken as the review of what it touches: there are no human ones. One that saw the timeline's derived edges is assisted."""
+    found, seen = events(spark, sf_dir), edges(spark, sf_dir)
+    keys = ["investigation_id", "event_id"]
+    marked = found.join(seen.where("derived").select(*keys).distinct().withColumn("hint", F.lit(True)), keys, "left")
+    s = marked.groupBy("user", F.session_window("timestamp", "6 hours").alias("w"))
+    # sizes of sets, as count_distinct over merged session windows counts an item once for each part of a session
+    rows = s.agg(
+        F.min_by("event_type", F.struct("timestamp", "event_id")).alias("scenario"), F.count("hint").alias("hints"), (F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))).alias("micros"),
+        F.size(F.collect_set("source_host")).alias("pivots"), F.size(F.collect_set("event_type")).alias("sources_checked"), F.count("*").alias("events_inspected"), F.count_if(F.col("action") == "access").alias("accesses"), F.count_if(F.col("destination_ip").isNotNull()).alias("errors"),
+    )
+    rows = rows.select("scenario", F.col("user").alias("participant"), (F.col("hints") > 0).alias("assisted"), (F.col("micros") / 1_000_000).alias("seconds"), "pivots", "sources_checked", "events_inspected", (F.col("accesses") > 0).alias("completed"), "errors")
     out = measure.utility(rows)
-    return out.select("scenario", "assisted", "reviews", "completed", *[F.round(f"mean_{c}", 6).alias(f"mean_{c}") for c in measure.UTILITY_MEASURES])
+    return out.select("scenario", "assisted", "reviews", "completed", *[F.round(f"mean_{c}", 4).alias(f"mean_{c}") for c in measure.UTILITY_MEASURES])
 
 
 # --- streams
@@ -614,6 +653,7 @@ def streamed(spark: SparkSession, sf_dir: str, name: str, transform: Callable[[D
         spark.conf.set(*streams.STATE_CONF)
         query = transform(streams.ingest(raw)).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{out}/rows").trigger(availableNow=True).start()
         query.awaitTermination()
+    remove(spark, folder)
     return spark.read.parquet(f"{out}/rows")
 
 
@@ -663,6 +703,7 @@ def stored(spark: SparkSession, sf_dir: str) -> GraphStore:
             raw.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
             if k == 1:
                 store.compact()
+        remove(spark, f"{folder}/data"), remove(spark, f"{folder}/state")
         BASES[key] = f"{folder}/store"
     return GraphStore(spark, BASES[key])
 
@@ -690,7 +731,7 @@ def src_04_line_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.format("event_lines").load(f"{folder}/data").writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
     stream.trigger(availableNow=True).start().awaitTermination()
     both = table.select("raw", F.lit("table").alias("way")).unionByName(spark.read.parquet(f"{folder}/out").select("raw", F.lit("stream").alias("way")))
-    return both.select("way", F.get_json_object("raw", "$.event_id").alias("event_id"), F.md5("raw").alias("raw_md5"))
+    return settled(both, folder).select("way", F.get_json_object("raw", "$.event_id").alias("event_id"), F.md5("raw").alias("raw_md5"))
 
 
 def str_04_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -26,6 +27,11 @@ def ingest(raw: DataFrame, delay: str = "10 minutes", **options: object) -> Data
     return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["investigation_id", "event_id"])
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """How many rows a query's stateful steps have dropped as late, by the progress that it keeps (``spark.sql.streaming.numRecentProgressUpdates`` triggers)."""
+    return sum(int(step["numRowsDroppedByWatermark"]) for progress in query.recentProgress for step in progress["stateOperators"])
+
+
 def rejected(raw: DataFrame, **options: object) -> DataFrame:
     return steps.rejected_events(steps.ingest(raw, dedupe=False, **options))
 

@@ -1,6 +1,5 @@
 """Patterns, routes, chains, streams' state and stores, sources, segments and declared entities against plain versions and on awkward rows."""
 
-import itertools
 import json
 import random
 import shutil
@@ -14,10 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright.functions import fields
-from casewright.functions.fields import Identity
-from casewright.operators import cases, context, correlate, evidence, expanded, extract, ingest, measure, patterns, routes
-from casewright.plans import fixtures
-from casewright.schema import Rules
+from casewright.operators import cases, context, correlate, evidence, expanded, extract, ingest, measure, patterns, routes, timeline
 from casewright.sources import adapters, sinks
 from casewright.sources.lines import EventLines
 from casewright.streaming import events as streams
@@ -256,6 +252,41 @@ def test_streamed_derived_edges_of_shuffled_arrivals(spark, tmp_path):
     assert got == {(r.event_id, r.event_ids[0], r.src_key) for r in batch.collect()} and len(got) > 50
 
 
+def test_dropped_rows_are_counted(spark, tmp_path):
+    base = {"event_type": "x", "action": "login", "source_host": "H"}
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, times in enumerate([[0, 10], [90_000], [5, 6, 7, 90_001], [200_000]]):
+        (folder / f"{k}.json").write_text("\n".join(json.dumps(base | {"event_id": f"{k}-{t}", "timestamp": stamp(t)}) for t in times))
+        lines = adapters.stamp(adapters.stream_lines(spark, str(folder), 1), "i", "simulation", "s")
+        q = streams.ingest(lines).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(120)
+        assert streams.dropped_rows(q) == (3 if k == 2 else 0)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_primitives_of_unknown_members(spark):
+    texts = ['{"a":5,"b":"5","c":1.5,"d":1e3,"e":true,"f":null,"g":{"x":[1]},"h":"2024-01-01T00:00:00Z","i":"2024-13-01T00:00:00Z","user":"u"}', "{bad", "[1]", '"x"', "7", "", '{"event_id":"e"}', '{"a":12345678901234567890,"a b":"t"}']
+    got = sorted((r.source_record_id, r.name, r.kind, r.whole, r.number, r.flag, str(r.moment), r.text) for r in ingest.primitives(raw(spark, texts)).collect())
+    none = "None"
+    assert got == [
+        ("0", "a", "BIGINT", 5, None, None, none, None), ("0", "b", "STRING", None, None, None, none, "5"), ("0", "c", "NUMBER", None, 1.5, None, none, None), ("0", "d", "NUMBER", None, 1000.0, None, none, None),
+        ("0", "e", "BOOLEAN", None, None, True, none, None), ("0", "f", "VOID", None, None, None, none, None), ("0", "g", "OBJECT", None, None, None, none, '{"x":[1]}'), ("0", "h", "TIMESTAMP", None, None, None, "2024-01-01 00:00:00", None), ("0", "i", "STRING", None, None, None, none, "2024-13-01T00:00:00Z"),
+        ("7", "a", "NUMBER", None, 1.2345678901234567e19, None, none, None), ("7", "a b", "STRING", None, None, None, none, "t"),
+    ]
+
+
+def test_adjacent_across_spans(spark):
+    rng = random.Random(2)
+    rows = [{"event_id": f"e{k:03d}", "at": rng.randrange(0, 400_000), "action": "x", "user": rng.choice(["u", "U", "v", None])} for k in range(120)]
+    got = {r.event_id: (r.before, r.after) for r in timeline.adjacent(frame(spark, rows), 3600).collect()}
+    want = {r["event_id"]: (None, None) for r in rows}
+    for user in "uv":
+        own = [r["event_id"] for r in sorted((r for r in rows if (r["user"] or "").lower() == user), key=lambda r: (r["at"], r["event_id"]))]
+        want |= {i: (own[k - 1] if k else None, own[k + 1] if k + 1 < len(own) else None) for k, i in enumerate(own)}
+    assert got == want
+
+
 def test_a_store_shows_committed_batches_alone(spark, tmp_path):
     base = {"event_type": "x", "action": "login", "timestamp": "2026-01-01T00:00:00Z", "source_host": "H"}
     one = raw(spark, [base | {"event_id": f"e{k}", "user": f"u{k % 2}"} for k in range(4)] + ["{bad"], inv="007").withColumn("late", F.lit(False))
