@@ -52,6 +52,7 @@ class JoinParams:
     percent: int = 80
     split_members: int = 2000
     batch_bytes: int = 1 << 20
+    remembered: int = 500_000  # classes whose keys a task doesn't give again
     most_odd: int = 100_000  # class halves that several sets share; about n * n / 2 ** 65 of n classes are to be expected
 
 
@@ -228,12 +229,17 @@ def keyed(rows: DataFrame, params: JoinParams, odd: frozenset[int] = frozenset()
     schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # classes that gave their keys in this task already
         for part in _portions((b.to_pandas() for b in batches), params.batch_bytes):
             split = [split_words(t) for t in part["text"].where(part["text"].notna(), None)]
             fp = fingerprint(text_digests(split), odd)
             if not outer:  # a class needs its keys once
                 _, once = np.unique(fp, return_index=True)
+                if len(seen) > params.remembered:
+                    seen.clear()
+                once = [k for k, f in zip(once.tolist(), fp[once].tolist()) if f not in seen]
                 split, fp = [split[k] for k in once], fp[once]
+                seen.update(fp.tolist())
             key, owner = signatures(shingle_sets(split, params.words), params, seed)
             if outer:
                 key = mix(key ^ mix(part["key"].to_numpy().view(np.uint64), 7)[owner], 8)
