@@ -45,7 +45,7 @@ class DivergenceParams:
     top_terms: int = 10
     light_groups: int = 8
     tile_groups: int = 64
-    tile_terms: int = 256
+    tile_terms: int = 64
     tile_counts: int = 65_536  # rows of histograms
     pending: int = 3_000_000  # counts that a task holds before it adds them up
     held: int = 1_000_000  # different ones, or terms, that it holds before it gives them out
