@@ -30,7 +30,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), params=line_dedup.DedupParams(passages=False))  # the rule of its SQL
+    return _removals(line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), params=line_dedup.DedupParams(passages=False)))  # the rule of its SQL
+
+
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's default, as the pipeline uses it: with passages of short sentences and scripts without blanks."""
+    return _removals(line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _removals(out: DataFrame) -> DataFrame:
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["length"], s["kept_in"]))
     return out.select(
         "doc_id",
@@ -98,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_quality_rules,
         op3_packing,
         op4_line_dedup,
+        passage_dedup,
         op5_lossless_webp,
         op6_quality_classifier,
         op7_bpe_trees,

@@ -248,6 +248,24 @@ def test_groups_equal_brute_force():
         assert line_dedup.groups(parts, 8, 8) == want
 
 
+def test_the_form_without_sql_is_the_pipeline_s(spark, tmp_path):
+    """Whole results of the registered default form: what it leaves and removes add up to the texts, and it takes all that the plainer rule takes."""
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    both = {n: {r.doc_id: r for r in getattr(queries, n)(spark, str(tmp_path)).collect()} for n in ("op4_line_dedup", "passage_dedup")}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    for found in both.values():
+        assert found.keys() == texts.keys()
+        for doc, r in found.items():
+            assert (r.chars_left or 0) + r.chars_removed == len(texts[doc] or "")
+            left, at = "", 0
+            for span in filter(None, r.removed_spans.split(",")):
+                start, length, kept_in = map(int, span.split(":"))
+                assert start >= at and kept_in in texts
+                left, at = left + texts[doc][at:start], start + length
+            assert texts[doc] is None or hashlib.md5((left + texts[doc][at:]).encode()).hexdigest() == r.text_md5
+    assert sum(r.chars_removed for r in both["passage_dedup"].values()) >= sum(r.chars_removed for r in both["op4_line_dedup"].values()) > 0
+
+
 def test_line_dedup_of_odd_blanks_long_texts_and_columns(spark):
     line = "one\u00a0two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
     other = line.replace("\u00a0", " ")
@@ -413,6 +431,35 @@ def test_mining_is_bounded_and_needs_rows(spark):
     assert [r.key for r in hit.collect()] == ["a"]
 
 
+def test_a_bad_token_planted_in_pages_is_mined(spark, tmp_path):
+    """The labels of the given pages don't depend on their URLs, so nothing is mined there; a token of bad pages alone blocks all that have it."""
+    data = "/root/testdata/sf0.1"
+    pages, labels = spark.read.parquet(f"{data}/pages.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    number = url_filter.document_id(url_filter.split_url(pages)["path"])
+    bad = labels.select(F.col("doc_id").alias("__doc"), (F.col("quality") == 0).alias("__bad"))
+    known = url_filter.split_url(pages).select("page_id", "url", "html", url_filter.document_id(F.col("path")).alias("__doc")).join(bad, "__doc", "left")
+    # half of the bad pages, and of the unlabelled ones a tenth
+    hit = F.when(F.col("__bad"), F.col("page_id") % 2 == 0).when(F.col("__bad").isNull(), F.col("page_id") % 10 == 0).otherwise(False)
+    planted = known.withColumn("hit", hit).withColumn("url", F.when(F.col("hit"), F.regexp_replace("url", "^([^:]+://[^/?#]+)", r"$1/cheappills")).otherwise(F.col("url")))
+    planted.select("page_id", "url", "html").write.parquet(f"{tmp_path}/pages.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r for r in queries.op10_url_rules(spark, str(tmp_path)).collect()}
+    hits = {r.page_id for r in planted.where("hit and instr(url, 'cheappills') > 0").collect()}
+    open_ones = {p for p, r in got.items() if r.rule is None and r.host}
+    assert len(hits & open_ones) > 50 and {p for p in open_ones if got[p].verdict == "block"} == hits & open_ones
+    spark.createDataFrame([], planted.select("page_id", "url", "html").schema).unionByName(pages.select("page_id", "url", "html")).write.parquet(f"{tmp_path}/as-it-is/pages.parquet")
+    labels.write.parquet(f"{tmp_path}/as-it-is/labels.parquet")
+    assert queries.op10_url_rules(spark, f"{tmp_path}/as-it-is").where("rule is null and verdict = 'block'").isEmpty()
+
+
+def test_very_long_urls(spark):
+    long = "http://bad.test/" + "spam/" * 40_000 + "?" + "&".join(f"k{k}=v" for k in range(5_000))
+    pages = spark.createDataFrame([(1, long), (2, "http://ok.test/1"), (3, "://" + "x" * 100_000), (4, long)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(long, True)] * 8 + [(f"http://ok.test/{k}", False) for k in range(40)], "url string, bad boolean")
+    got = {r.page_id: (r.verdict, len(r.host)) for r in url_filter.filter_urls(pages, labels).collect()}
+    assert got == {1: ("block", 8), 2: ("allow", 7), 3: ("allow", 100_000), 4: ("block", 8)}
+
+
 def test_query_tokens(spark):
     urls = spark.createDataFrame([("http://A.b/c?page=2&ref=X&k#y?z=1",), ("http://a.b",), (None,), ("http://a.b/?u=http://q?w=1",)], "url string")
     got = [r[0] for r in url_filter.split_url(urls).select(url_filter.url_tokens(F.col("url"), F.col("host"), F.col("path"))).collect()]

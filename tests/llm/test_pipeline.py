@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import zstandard
+from pyspark.sql import functions as F
 from test_native_and_exact import brute_components, measured
 
 from casewright.llm import quality_classifier, tokens
@@ -157,3 +158,21 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    """Columns that are called as what the stages make themselves come out as they went in, and change no decision."""
+    rows, labels = fixture()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["score", "kept", "removed", "n_words", "host_rate", "host_rejected", "fp", "key", "size", "label", "a.b", "__cut", "digest"]
+    clashing = docs.select("*", *[F.concat_ws("/", F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    plain, wide = docs, clashing
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = (corpus_pipeline.materialize(stage(spark, d, str(tmp_path)), name) for d in (plain, wide))
+        assert wide.columns == clashing.columns
+        assert sorted(map(str, wide.select(*docs.columns).collect())) == sorted(map(str, plain.collect()))
+        for r in wide.collect():
+            assert [r[c] for c in names] == ["/".join([c, *([] if r.doc_id is None else [str(r.doc_id)])]) for c in names]
+    pieces = [corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect() for d in (plain, wide)]
+    assert sorted(map(str, pieces[0])) == sorted(map(str, pieces[1]))
