@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.functions.fields import Identity
+from casewright.functions.fields import Identity, account_key
 
 from casewright.operators import cases, context, correlate, extract, graph, ingest, measure, timeline
 from casewright.plans import fixtures, queries
