@@ -308,6 +308,21 @@ def test_a_store_shows_committed_batches_alone(spark, tmp_path):
     assert store.table("security_events").count() == 5 and {r.investigation_id for r in store.entities().collect()} == {"007"}
 
 
+def test_a_late_row_takes_no_id_and_commits_are_folded(spark, tmp_path):
+    base = {"event_type": "x", "action": "login", "source_host": "H", "user": "u"}
+    store = GraphStore(spark, str(tmp_path / "s"))
+    for batch in range(4):
+        rows = [base | {"event_id": f"b{batch}", "timestamp": stamp(batch)}, base | {"event_id": "late-first", "timestamp": stamp(0)}, base | {"event_id": "late-first", "timestamp": stamp(900 + batch)}]
+        store.write_batch(raw(spark, rows).withColumn("late", F.get_json_object("raw", "$.timestamp") == stamp(0)), batch)
+        if batch == 2:
+            store.compact()
+    # the first batch's own event is late as well; of the repeated one the first delivery in time stays
+    assert {(r.event_id, str(r.timestamp)[14:]) for r in store.table("security_events").collect()} == {("b1", "00:01"), ("b2", "00:02"), ("b3", "00:03"), ("late-first", "15:00")}
+    assert Counter((r.event_id, r.error) for r in store.table("rejected_events").collect()) == {("b0", "LATE_EVENT"): 1, ("late-first", "LATE_EVENT"): 4, ("late-first", "VALIDATION_ERROR"): 3}
+    assert store.last() == 3 and len(list((tmp_path / "s" / "commits").glob("batch=*"))) == 2
+    assert [(r.entity_key, r.n_events) for r in store.entities().where("entity_type = 'User'").collect()] == [("u", 4)]
+
+
 # --- sources
 
 
