@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.llm import jaccard_join, line_dedup, packing, quality_classifier, quality_rules
-from casewright.llm.common import materialize, table
+from casewright.llm.common import bounded_batches, materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,10 +23,14 @@ CARRIED = "__carried"
 
 
 def carrying(stage: Stage) -> Stage:
-    """A stage that sees the columns of ``documents`` alone; others go through it as one struct, so that no name can clash with the stage's own."""
+    """A stage that sees the columns of ``documents`` alone; others go through it as one struct, so that no name can clash with the stage's own.
+
+    Stages follow each other in the same executors, and so take texts in small batches.
+    """
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
         extra = [c for c in docs.columns if c not in DOCUMENTS]
         if not extra:
             return stage(spark, docs, sf_dir)
@@ -79,6 +83,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens; one row for each piece. A null or empty text is its end token alone."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -176,3 +176,22 @@ def test_stages_carry_columns_of_any_name(spark, tmp_path):
             assert [r[c] for c in names] == ["/".join([c, *([] if r.doc_id is None else [str(r.doc_id)])]) for c in names]
     pieces = [corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect() for d in (plain, wide)]
     assert sorted(map(str, pieces[0])) == sorted(map(str, pieces[1]))
+
+
+def test_stages_take_texts_in_small_batches(spark):
+    """A task's texts don't reach Python as one Arrow batch; narrow rows still come by the thousand."""
+
+    def weigh(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": [len(b)], "n_chars": [int(b["text"].str.len().sum())]})
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    stage = corpus_pipeline.carrying(lambda spark, docs, sf_dir: docs.coalesce(1).mapInPandas(weigh, "doc_id bigint, n_chars bigint"))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 600).alias("text"))
+    sent = [tuple(r) for r in stage(spark, docs, "").collect()]
+    assert sum(n for n, _ in sent) == 3000 and max(c for _, c in sent) < 3_000_000
+    narrow = stage(spark, docs.withColumn("text", F.lit("word")), "").collect()
+    assert max(r.doc_id for r in narrow) == 3000
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")  # a bound of the session's own stays
+    assert max(r.n_chars for r in stage(spark, docs, "").collect()) < 1_500_000
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
