@@ -431,6 +431,48 @@ def test_mining_is_bounded_and_needs_rows(spark):
     assert [r.key for r in hit.collect()] == ["a"]
 
 
+def test_rules_of_all_tokens_of_long_urls(spark):
+    """Tokens beyond the 12 most telling of a labelled URL block pages, too, alone or together."""
+    path = "/".join(f"part{k}" for k in range(60))
+    labels = [(f"http://x.test/{path}", True)] * 8 + [(f"http://x.test/fine{k}", False) for k in range(60)]
+    pages = [(k, f"http://y.test/part{k}/on-its-own") for k in range(60)] + [(60, "http://y.test/part60"), (61, "http://x.test/fine7")]
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "url string, bad boolean"))
+    assert {r.page_id for r in got.collect() if r.verdict == "block"} == set(range(60))
+
+
+@pytest.mark.parametrize("mined_tokens", [100, 12])  # FP-growth, level by level
+def test_all_rules_equal_brute_force(spark, mined_tokens):
+    rng = random.Random(3)
+    names = [f"t{k:02}" for k in range(15)]
+    rows = []
+    for _ in range(24):
+        tokens = {n for n in names if rng.random() < 0.85}
+        tokens |= {"t00-too"} if "t00" in tokens else set()  # always with t00
+        tokens |= {"all"}
+        rows.append((sorted(tokens), rng.random() < (0.95 if not {"t01", "t02"} <= tokens else 0.3)))
+    assert max(len(t) for t, _ in rows) - 2 > 12
+    params = url_filter.MiningParams(min_rows=6, interval=0.5, mined_tokens=mined_tokens)
+    rules, same = url_filter.mine_all_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), params)
+    got = {frozenset(r.antecedent): (r.n_bad, r.n_rows) for r in rules.collect()}
+    assert [(r.token, r.name) for r in same.collect() if r.token != r.name] == [("t00-too", "t00")]
+    base = sum(b for _, b in rows) / len(rows)
+    masks = [(sum(1 << k for k, n in enumerate(names) if n in t), b) for t, b in rows]
+    found = {}
+    for items in range(1, 1 << len(names)):
+        hits = [b for m, b in masks if m & items == items]
+        bad, n = sum(hits), len(hits)
+        if bad >= 6 and 2 * bad >= n:
+            p, z = bad / n, 0.5
+            if (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n) > base:
+                found[items] = (bad, n)
+    least = {}
+    for s in sorted(found, key=int.bit_count):
+        if not any(r & s == r and found[r][0] * found[s][1] >= found[s][0] * found[r][1] for r in least):
+            least[s] = found[s]
+    want = {frozenset(n for k, n in enumerate(names) if s >> k & 1): v for s, v in least.items()}
+    assert got == want and max(map(len, want)) >= 2 and len(want) >= 5
+
+
 def test_a_bad_token_planted_in_pages_is_mined(spark, tmp_path):
     """The labels of the given pages don't depend on their URLs, so nothing is mined there; a token of bad pages alone blocks all that have it."""
     data = "/root/testdata/sf0.1"
