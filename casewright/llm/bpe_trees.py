@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import ByteBpe, byte_bpe
 
 #: Characters that the pattern may look at after a pre-token's first one to find its end, an end mark aside: ``'ll`` is the longest.
@@ -190,6 +191,7 @@ def encode_split(text: str, bpe: ByteBpe, params: TreeParams = TreeParams()) ->
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", params: TreeParams = TreeParams()) -> DataFrame:
     """``doc_id``, the row's ``ids`` (little-endian unsigned 32-bit, as binary) and the ``decoded`` text."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
     schema = f"doc_id {kind}, ids binary, decoded string"

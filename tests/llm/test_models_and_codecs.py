@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright.llm import bpe_trees, language_id, packing, quality_classifier, queries, tokens, webp
-from casewright.llm.common import fold, table
+from casewright.llm.common import BATCH_BYTES, fold, table
 
 SF = "/root/testdata/sf0.01"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -94,6 +94,26 @@ def test_tree_query_rows(spark):
         assert np.frombuffer(bytes(r.ids), dtype="<u4").tolist() == byte.slow.encode(want[r.doc_id], add_special_tokens=False).ids and r.decoded == want[r.doc_id]
 
 
+def test_trees_take_texts_in_small_batches(spark):
+    """The operator bounds its session's Arrow batches, so that a task's texts don't reach Python as one."""
+
+    def weigh(batches):
+        for b in batches:
+            yield pd.DataFrame({"n_chars": [int(b["text"].str.len().sum())]})
+
+    docs = spark.range(3000).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 600).alias("text"))
+    spark.conf.unset(BATCH_BYTES)
+    try:
+        assert bpe_trees.encode(docs, BYTE).where(F.octet_length("ids") > 0).count() == 3000
+        sent = [r.n_chars for r in docs.mapInPandas(weigh, "n_chars bigint").collect()]
+        assert sum(sent) == 9_000_000 and max(sent) < 3_000_000
+        spark.conf.set(BATCH_BYTES, "1m")  # a bound of the session's own stays
+        bpe_trees.encode(docs, BYTE)
+        assert spark.conf.get(BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
 def test_cuts_are_optimal():
     rng = random.Random(4)
     params = packing.PackParams(size=16)
