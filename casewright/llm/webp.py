@@ -76,8 +76,8 @@ def _reversed(bits: int) -> np.ndarray:
 def _canonical(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols in the order of their canonical codes, their lengths, where their codes begin among those of the longest length, and that length."""
     symbols, sizes = (np.fromiter(x, dtype=np.intp, count=len(lengths)) for x in (lengths.keys(), lengths.values()))
-    order = np.lexsort((symbols, sizes))
-    symbols, sizes = symbols[order], sizes[order]
+    keyed = np.sort(sizes << 16 | symbols)
+    symbols, sizes = keyed & 0xFFFF, keyed >> 16
     longest = int(sizes[-1])
     spans = 1 << (longest - sizes)
     return symbols, sizes, np.cumsum(spans) - spans, longest
@@ -170,42 +170,46 @@ EXTRA_BASE = np.array([1, 2, 3, 4, *(((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p
 def _symbols(bits: Bits, codes: list[Code], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of one code group from here on, some thousands at once: green symbol, pixel (of literals), length, distance code."""
     first = bits.at >> 3
-    piece = np.frombuffer(bits.data, dtype=np.uint8, count=min(len(bits.data) - first, 1 << 15), offset=first).astype(np.intp)
-    words = piece[:-3] | piece[1:-2] << 8 | piece[2:-1] << 16 | piece[3:] << 24
+    # the next 32 bits from each byte on, which overlap, and from them those from each bit on
+    words = np.ndarray((min(len(bits.data) - first, 1 << 15) - 3,), "<u4", bits.data, first, (1,)).astype(np.intp)
     windows = (words[:, None] >> np.arange(8)).reshape(-1)
     n = len(windows)
 
     def look(code: Code, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if code.only is not None:
             return np.full(len(at), code.only), at
-        found = code.table[windows[np.minimum(at, n - 1)] & ((1 << code.bits) - 1)]
+        found = code.table.take(windows.take(at, mode="clip") & ((1 << code.bits) - 1), mode="clip")
         return found & 0xFFFF, at + (found >> 16)
 
     def more(prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = EXTRA_BITS[prefix]
-        return EXTRA_BASE[prefix] + (windows[np.minimum(at, n - 1)] & ((1 << k) - 1)), at + k
-
-    if codes[0].only is None:
-        found = codes[0].table[windows & ((1 << codes[0].bits) - 1)]
-        green, after = found & 0xFFFF, np.arange(n) + (found >> 16)
-    else:
-        green, after = np.full(n, codes[0].only), np.arange(n)
+        return EXTRA_BASE[prefix] + (windows.take(at, mode="clip") & ((1 << k) - 1)), at + k
+
+    # the table is taken apart first, as it is looked up at every bit
+    table = np.array([codes[0].only]) if codes[0].table is None else codes[0].table
+    greens, sizes = table & 0xFFFF, table >> 16
+    index = windows & ((1 << codes[0].bits) - 1)
+    after = sizes.take(index, mode="clip")
+    after += np.arange(n)
     step, channels = after, []
     for code in codes[1:4]:
         value, step = look(code, step) if code.only is None else (code.only, step)
         channels.append(value)
-    if codes[0].only is None or codes[0].only >= GREEN:
-        refs, cached = np.flatnonzero((green >= GREEN) & (green < GREEN + PREFIXES)), np.flatnonzero(green >= GREEN + PREFIXES)
-        if len(refs) or len(cached):
-            step = step.copy()
+    step = step.copy()
+    if int(greens.max()) >= GREEN:
+        refs = np.flatnonzero((greens >= GREEN).take(index, mode="clip"))
+        green = greens[index[refs]]
+        if int(greens.max()) >= GREEN + PREFIXES:
+            cached = refs[green >= GREEN + PREFIXES]
             step[cached] = after[cached]
-            _, at = more(green[refs] - GREEN, after[refs])
-            prefix, at = look(codes[4], at)
-            _, step[refs] = more(np.minimum(prefix, DISTANCES - 1), at)
-    step = np.minimum(step, n - 1)
-    two = step[step]
-    four = two[two]
-    jump, p, starts = memoryview(four[four]), bits.at & 7, []
+            refs, green = refs[green < GREEN + PREFIXES], green[green < GREEN + PREFIXES]
+        _, at = more(green - GREEN, after[refs])
+        prefix, at = look(codes[4], at)
+        _, step[refs] = more(np.minimum(prefix, DISTANCES - 1), at)
+    np.minimum(step, n - 1, out=step)
+    two = step.take(step, mode="clip")
+    four = two.take(two, mode="clip")
+    jump, p, starts = memoryview(four.take(four, mode="clip")), bits.at & 7, []
     limit = n - EIGHT
     for _ in range((most + 7) // 8):
         if p >= limit:
@@ -214,11 +218,11 @@ def _symbols(bits: Bits, codes: list[Code], most: int) -> tuple[np.ndarray, np.n
         p = jump[p]
     s = np.array(starts, dtype=np.intp)[:, None]
     for further in (step, two, four):
-        s = np.concatenate([s, further[s]], axis=1)
+        s = np.concatenate([s, further.take(s, mode="clip")], axis=1)
     s = s.reshape(-1)[:most]
     red, blue, alpha = (c if isinstance(c, int) else c[s] for c in channels)
-    green = green[s]
-    pixel = np.broadcast_to(np.asarray(alpha << 24 | red << 16 | (green & 255) << 8 | blue).astype(np.uint32), s.shape)
+    green = greens.take(index[s])
+    pixel = ((green & 255) << 8 | (alpha << 24 | red << 16 | blue)).astype(np.uint32)
     length, far = np.ones(len(s), dtype=np.intp), np.zeros(len(s), dtype=np.intp)
     refs = np.flatnonzero((green >= GREEN) & (green < GREEN + PREFIXES))
     if len(refs):
@@ -469,9 +473,6 @@ class Writer:
         self.value |= value << self.size
         self.size += n
 
-    def bits(self, each: np.ndarray) -> None:
-        self.put(int.from_bytes(np.packbits(each, bitorder="little").tobytes(), "little"), len(each))
-
 
 def write_code(out: Writer, lengths: dict[int, int], alphabet: int) -> None:
     """A prefix code's description: simple for a single symbol, else run-length coded lengths."""
@@ -500,8 +501,12 @@ def write_code(out: Writer, lengths: dict[int, int], alphabet: int) -> None:
     count = len(tokens) - 2
     nbits = next(k for k in range(8) if count < 1 << (2 + 2 * k))
     out.put(1, 1), out.put(nbits, 3), out.put(count, 2 + 2 * nbits)
+    value = size = 0
     for t, extra, k in tokens:
-        out.put(codes[t], inner[t]), out.put(extra, k)
+        n = inner[t]
+        value |= (codes[t] | extra << n) << size
+        size += n + k
+    out.put(value, size)
 
 
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -525,19 +530,22 @@ def find_repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     none = np.zeros(0, dtype=np.intp)
     if n < 2:
         return none, none, none
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(samples, SEED)).view("<u8").reshape(-1)
+    words = np.ndarray((n,), "<u8", np.ascontiguousarray(samples), 0, (1,)).copy()  # the next bytes from each place on, which overlap
     # 44 bits of a hash and the place in one number: sorted, equal bytes stand together in order of place
     keyed = np.sort((words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) << np.uint64(20)) | np.arange(n, dtype=np.uint64))
     order = (keyed & np.uint64((1 << 20) - 1)).astype(np.intp)
-    same = np.flatnonzero(words[order[1:]] == words[order[:-1]])
+    words = words.take(order, mode="clip")
+    same = np.flatnonzero(words[1:] == words[:-1])
     far = np.zeros(n, dtype=np.intp)
-    far[order[same + 1]] = order[same + 1] - order[same]
-    far[far > MOST_FAR] = 0
+    later = order[same + 1]
+    far[later] = later - order[same]
+    if n > MOST_FAR:
+        far[far > MOST_FAR] = 0
     has = np.flatnonzero(far)
     if not len(has):
         return none, none, none
     last = np.flatnonzero(np.append((np.diff(has) > 1) | (np.diff(far[has]) != 0), True))  # where a run of one distance ends
-    stop = has[last][np.searchsorted(last, np.arange(len(has)))] + SEED  # for each place, the end of its run
+    stop = np.repeat(has[last] + SEED, np.diff(last, prepend=-1))  # for each place, the end of its run
     places, stops, at, k, found = has.tolist(), stop.tolist(), 0, 0, []
     while k < len(places):
         end = min(stops[k], places[k] + MOST_LONG)
@@ -552,8 +560,8 @@ def _tokens(samples: np.ndarray, width: int, repeats: tuple[np.ndarray, np.ndarr
     """Green symbols, length fields and distance codes of the samples (0 for literals)."""
     place, length, far = repeats
     cover = np.zeros(len(samples) + 1, dtype=np.int32)
-    np.add.at(cover, place, 1)
-    np.add.at(cover, place + length, -1)
+    cover[place] = 1
+    cover[place + length] -= 1  # where the next one begins at once, 0
     begins = np.cumsum(cover[:-1]) == 0
     begins[place] = True
     at = np.flatnonzero(begins)
@@ -596,8 +604,23 @@ def _plain_channels(alpha: int) -> tuple[int, int]:
     return out.value, out.size
 
 
-def write_image(out: Writer, samples: np.ndarray, width: int, alpha: int, main: bool = True) -> np.ndarray:
-    """The bits of an entropy-coded image of green samples: with back-references if these take fewer bits."""
+def _packed(fields: np.ndarray, sizes: np.ndarray) -> tuple[int, int]:
+    """Fields of at most 31 bits one after another, the first lowest, as a number, and how many bits that are."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    if not total:
+        return 0, 0
+    at = ends - sizes
+    # a field begins in each word of 32 bits but the last; those of one word don't overlap, and what the last has above bit 32 is the next word's
+    heads = np.searchsorted(at, np.arange(0, int(at[-1]) + 1, 32))
+    sums = np.append(np.add.reduceat(fields << (at & 31), heads), 0)
+    words = sums & 0xFFFFFFFF
+    words[1:] |= sums[:-1] >> 32
+    return int.from_bytes(words.astype("<u4").tobytes(), "little"), total
+
+
+def write_image(out: Writer, samples: np.ndarray, width: int, alpha: int, main: bool = True) -> None:
+    """An entropy-coded image of green samples: with back-references if these take fewer bits."""
     place, length, far = find_repeats(samples)
     refs = np.zeros(0, dtype=np.intp)
     green, more, code = samples.astype(np.intp), refs, refs
@@ -618,16 +641,13 @@ def write_image(out: Writer, samples: np.ndarray, width: int, alpha: int, main:
         codes, n = _table(dist_lengths, DISTANCES)
         # after a reference's green symbol come three more fields
         after = np.repeat(refs + 1, 3)
-        fields = np.insert(fields, after, np.stack([len_extra, codes[dist], dist_extra], axis=1).reshape(-1))
-        sizes = np.insert(sizes, after, np.stack([len_bits, n[dist], dist_bits], axis=1).reshape(-1))
+        both = np.insert(fields << 8 | sizes, after, np.stack([len_extra << 8 | len_bits, codes[dist] << 8 | n[dist], dist_extra << 8 | dist_bits], axis=1).reshape(-1))
+        fields, sizes = both >> 8, both & 255
     out.put(0, 1 + main)  # no colour cache, no entropy image
     write_code(out, lengths, GREEN + PREFIXES)
     out.put(*_plain_channels(alpha))
     write_code(out, dist_lengths, DISTANCES)
-    fields, sizes = fields[sizes > 0], sizes[sizes > 0]
-    ends = np.cumsum(sizes)
-    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-    return (np.repeat(fields, sizes) >> within & 1).astype(np.uint8)
+    out.put(*_packed(fields, sizes))
 
 
 def residuals(samples: np.ndarray, width: int, mode: int) -> np.ndarray:
@@ -672,12 +692,11 @@ def encode_image(samples: np.ndarray, width: int = WIDTH) -> bytes:
             out.put(1, 1), out.put(PREDICTOR, 2), out.put(7, 3)  # blocks of 512 pixels
             blocks = -(-height >> 9)
             modes = np.full(blocks, mode, dtype=np.uint8)
-            out.bits(write_image(out, modes, 1, 255, main=False))
+            write_image(out, modes, 1, 255, main=False)
             samples, alpha = rest, 0
     out.put(0, 1)
-    body = write_image(out, samples, width, alpha)
-    head = np.unpackbits(np.frombuffer(out.value.to_bytes((out.size + 7) // 8, "little"), dtype=np.uint8), bitorder="little")[: out.size]
-    data = np.packbits(np.concatenate([head, body]), bitorder="little").tobytes()
+    write_image(out, samples, width, alpha)
+    data = out.value.to_bytes((out.size + 7) // 8, "little")
     chunk = b"VP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 

@@ -1,6 +1,8 @@
 """Tokens, packing, WebP, the classifier and language models; held-out accuracy and exact round trips."""
 
+import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -298,6 +300,40 @@ def test_webp_encoder_takes_what_pays(monkeypatch):
     assert (webp.load(media) == text).all() and len(copies) >= 1 and len(media) < 0.15 * len(text)
 
 
+def test_webp_fields_are_packed_by_words():
+    rng = np.random.default_rng(5)
+    for n in [0, 1, 2, 3, 40, 41, 700]:
+        for most in [1, 8, 19, 32]:
+            sizes = rng.integers(0, most, n)
+            fields = rng.integers(0, 1 << 31, n) & ((1 << sizes) - 1)
+            one_by_one = webp.Writer()
+            for f, k in zip(fields.tolist(), sizes.tolist()):
+                one_by_one.put(f, k)
+            assert webp._packed(fields, sizes) == (one_by_one.value, one_by_one.size)
+
+
+def test_webp_encoder_holds_no_array_of_all_bits():
+    """Nothing of the encoder's work grows with the bits of an image, but with its symbols (of what numpy allocates)."""
+    rng = np.random.default_rng(11)
+    samples = rng.integers(0, 256, webp.WIDTH * webp.MAX_ROWS, dtype=np.uint8)
+    tracemalloc.start()
+    try:
+        media = webp.encode_image(samples)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (webp.load(media) == samples).all() and peak < 100 * len(samples)
+
+
+def test_webp_files_stay_as_they_were():
+    """Stored forms by their digest, from the code that wrote every bit by itself."""
+    rng = np.random.default_rng(6)
+    texts = [t for t in pd.read_parquet(f"{SF}/documents.parquet")["text"].dropna()][:200]
+    odd = [b"", b"a", b"ab" * 500, bytes(range(256)) * 9, rng.integers(0, 256, 99_999, dtype=np.uint8).tobytes(), (np.arange(70_000) * 3 // 7 % 256).astype(np.uint8).tobytes(), b"x" * (1 << 20) + b"y"]
+    whole = hashlib.sha256(b"".join(webp.store(webp.padded(raw)) for raw in [*odd, *(t.encode() for t in texts)]))
+    assert whole.hexdigest() == "11736070d30308b8c689ee5861ad228364e522f6c0218cc071492e72bef96c7a"
+
+
 def test_webp_repeats_are_true():
     rng = np.random.default_rng(3)
     for _ in range(60):
