@@ -15,9 +15,9 @@ Defined results: null and empty texts are 64 zero bytes; equal payloads give equ
 
 from __future__ import annotations
 
-import bisect
 import functools
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,12 +31,15 @@ WIDTH, MAX_ROWS = 64, 16_384
 
 # Fixed values of the format: the order of code length codes, the places of short distances, and the alphabets' sizes.
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
+LENGTH_RANK = {s: k for k, s in enumerate(LENGTH_ORDER)}
 PREFIXES, GREEN, CHANNEL, DISTANCES, SHORT_DISTANCES = 24, 256, 256, 40, 120
 PREDICTOR, CROSS_COLOR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 #: The encoder's repeats: bytes that show one, the longest, and the farthest that a distance code can name.
 SEED, MOST_LONG, MOST_FAR = 8, 4096, (1 << 20) - SHORT_DISTANCES
 #: Zero bytes after the data, so that the last symbols can be looked up like the others.
 TAIL = 128
+#: Bytes whose symbols are looked up at once.
+CHUNK = 1 << 12
 #: Bits that eight symbols can't exceed: codes of 15 bits, and 18 more for a length and a distance.
 EIGHT = 8 * (4 * 15 + 2 * 18)
 
@@ -57,11 +60,12 @@ class Bits:
         self.data, self.at, self.end = data + bytes(TAIL), 0, 8 * len(data)
 
     def read(self, n: int) -> int:
-        word = int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 8], "little") >> (self.at & 7)
-        self.at += n
+        """The next bits, 57 at most."""
+        at = self.at
+        self.at = at + n
         if self.at > self.end:
             raise ValueError("image data cut short")
-        return word & ((1 << n) - 1)
+        return int.from_bytes(self.data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7) & ((1 << n) - 1)
 
 
 @functools.lru_cache(maxsize=16)
@@ -75,12 +79,35 @@ def _reversed(bits: int) -> np.ndarray:
 
 def _canonical(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols in the order of their canonical codes, their lengths, where their codes begin among those of the longest length, and that length."""
-    symbols, sizes = (np.fromiter(x, dtype=np.intp, count=len(lengths)) for x in (lengths.keys(), lengths.values()))
-    keyed = np.sort(sizes << 16 | symbols)
+    keyed = np.array(sorted([n << 16 | s for s, n in lengths.items()]), dtype=np.intp)
     symbols, sizes = keyed & 0xFFFF, keyed >> 16
     longest = int(sizes[-1])
     spans = 1 << (longest - sizes)
-    return symbols, sizes, np.cumsum(spans) - spans, longest
+    return symbols, sizes, spans.cumsum() - spans, longest
+
+
+@functools.lru_cache(maxsize=16)
+def _reversed_list(bits: int) -> list[int]:
+    return _reversed(bits).tolist()
+
+
+def _small_table(lengths: dict[int, int]) -> list[tuple[int, int]]:
+    """The table of a code of few symbols, as (symbol, length); a symbol alone takes no bits."""
+    if len(lengths) == 1:
+        return [(next(iter(lengths)), 0)]
+    longest = max(lengths.values(), default=0)
+    back, size, start = _reversed_list(longest), 1 << longest, 0
+    table = [(0, 0)] * size
+    for n, s in sorted((n, s) for s, n in lengths.items()):
+        span = size >> n
+        if start + span > size:
+            break
+        table[back[start] :: 1 << n] = [(s, n)] * span
+        start += span
+    else:
+        if start == size and lengths:
+            return table
+    raise ValueError("prefix code isn't complete")
 
 
 class Code:
@@ -90,13 +117,15 @@ class Code:
         if not lengths:
             raise ValueError("prefix code without symbols")
         self.only, self.bits, self.table = (next(iter(lengths)), 0, None) if len(lengths) == 1 else (None, 0, None)
+        self.largest = max(lengths)
         if self.only is not None:
             return
-        symbols, sizes, _, self.bits = _canonical(lengths)
-        table = np.repeat(symbols | sizes << 16, 1 << (self.bits - sizes))
+        keyed = sorted([(n << 16) + s for s, n in lengths.items()])
+        self.bits = longest = keyed[-1] >> 16
+        table = np.array(keyed, dtype=np.intp).repeat([1 << longest - (x >> 16) for x in keyed])
         if len(table) != 1 << self.bits:
             raise ValueError("prefix code isn't complete")
-        self.table = table[_reversed(self.bits)]
+        self.table = table.take(_reversed(self.bits))
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -111,32 +140,39 @@ class Code:
 
 def read_code(bits: Bits, alphabet: int) -> Code:
     if bits.read(1):
-        two = bits.read(1)
-        first = bits.read(8 if bits.read(1) else 1)
-        symbols = [first, bits.read(8)] if two else [first]
+        two_wide = bits.read(2)
+        first = bits.read(8 if two_wide & 2 else 1)
+        symbols = [first, bits.read(8)] if two_wide & 1 else [first]
         if max(symbols) >= alphabet:
             raise ValueError("symbol outside its alphabet")
         return Code(dict.fromkeys(symbols, 1))
-    inner = {k: n for k in LENGTH_ORDER[: 4 + bits.read(4)] if (n := bits.read(3))}
-    code = Code(inner)
-    table, mask = (code.table.tolist(), (1 << code.bits) - 1) if code.table is not None else ([code.only], 0)
+    order = LENGTH_ORDER[: 4 + bits.read(4)]
+    word = bits.read(3 * len(order))
+    table = _small_table({s: n for k, s in enumerate(order) if (n := word >> 3 * k & 7)})
+    mask = len(table) - 1
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     lengths: dict[int, int] = {}
     at, previous, data, place = 0, 8, bits.data, bits.at
+    word = have = 0
     while at < alphabet and left and place < bits.end:
         left -= 1
-        word = int.from_bytes(data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
-        found = table[word & mask]
-        s, n = found & 0xFFFF, found >> 16
-        place += n
+        if have < 14:  # the most that a length takes, with its repeats
+            word, have = int.from_bytes(data[place >> 3 : (place >> 3) + 8], "little") >> (place & 7), 64 - (place & 7)
+        s, n = table[word & mask]
         if s < 16:
+            word >>= n
+            have -= n
+            place += n
             if s:
                 lengths[at] = previous = s
             at += 1
             continue
         more, least = ((2, 3), (3, 3), (7, 11))[s - 16]
         times = least + (word >> n & ((1 << more) - 1))
-        place += more
+        n += more
+        word >>= n
+        have -= n
+        place += n
         if at + times > alphabet:
             raise ValueError("too many code lengths")
         if s == 16:
@@ -170,43 +206,47 @@ EXTRA_BASE = np.array([1, 2, 3, 4, *(((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p
 def _symbols(bits: Bits, codes: list[Code], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of one code group from here on, some thousands at once: green symbol, pixel (of literals), length, distance code."""
     first = bits.at >> 3
-    # the next 32 bits from each byte on, which overlap, and from them those from each bit on
-    words = np.ndarray((min(len(bits.data) - first, 1 << 15) - 3,), "<u4", bits.data, first, (1,)).astype(np.intp)
-    windows = (words[:, None] >> np.arange(8)).reshape(-1)
-    n = len(windows)
+    # the next 32 bits from each byte on, which overlap, and from them, from each bit on, as many as the longest code has
+    words = np.ndarray((min(len(bits.data) - first, CHUNK) - 3,), "<u4", bits.data, first, (1,)).astype(np.intp)
+    n, most_bits = 8 * len(words), max(code.bits for code in codes)
+    index = words.repeat(8)
+    index >>= _places_in_bytes()[:n]
+    index &= (1 << most_bits) - 1
 
     def look(code: Code, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if code.only is not None:
             return np.full(len(at), code.only), at
-        found = code.table.take(windows.take(at, mode="clip") & ((1 << code.bits) - 1), mode="clip")
+        found = code.table.take(index.take(at, mode="clip") & ((1 << code.bits) - 1))
         return found & 0xFFFF, at + (found >> 16)
 
     def more(prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = EXTRA_BITS[prefix]
-        return EXTRA_BASE[prefix] + (windows.take(at, mode="clip") & ((1 << k) - 1)), at + k
-
-    # the table is taken apart first, as it is looked up at every bit
-    table = np.array([codes[0].only]) if codes[0].table is None else codes[0].table
-    greens, sizes = table & 0xFFFF, table >> 16
-    index = windows & ((1 << codes[0].bits) - 1)
-    after = sizes.take(index, mode="clip")
-    after += np.arange(n)
-    step, channels = after, []
-    for code in codes[1:4]:
-        value, step = look(code, step) if code.only is None else (code.only, step)
-        channels.append(value)
-    step = step.copy()
-    if int(greens.max()) >= GREEN:
-        refs = np.flatnonzero((greens >= GREEN).take(index, mode="clip"))
-        green = greens[index[refs]]
-        if int(greens.max()) >= GREEN + PREFIXES:
-            cached = refs[green >= GREEN + PREFIXES]
-            step[cached] = after[cached]
-            refs, green = refs[green < GREEN + PREFIXES], green[green < GREEN + PREFIXES]
-        _, at = more(green - GREEN, after[refs])
+        k = EXTRA_BITS.take(prefix)
+        return EXTRA_BASE.take(prefix) + (words.take(at >> 3, mode="clip") >> (at & 7) & ((1 << k) - 1)), at + k
+
+    table = codes[0].table
+    if table is None or codes[0].bits < most_bits:
+        table = np.resize(codes[0].only if table is None else table, 1 << most_bits)
+    step = (table >> 16).take(index)
+    step += _all_places()[:n]
+    channels = [code.only for code in codes[1:4]]
+    if None in channels:
+        after = step
+        for k, code in enumerate(codes[1:4]):
+            if code.only is None:
+                channels[k], step = look(code, step)
+        step = np.where(((table & 0xFFFF) < GREEN).take(index), step, after)
+    if codes[0].largest >= GREEN:
+        # a length's extra bits, a distance symbol and its extra bits
+        prefix = (table & 0xFFFF) - GREEN
+        refs = (prefix >= 0).take(index).nonzero()[0]
+        prefix = prefix.take(index.take(refs))
+        if codes[0].largest >= GREEN + PREFIXES:
+            refs, prefix = refs[prefix < PREFIXES], prefix[prefix < PREFIXES]
+        at = step.take(refs)
+        at += EXTRA_BITS.take(prefix)
         prefix, at = look(codes[4], at)
-        _, step[refs] = more(np.minimum(prefix, DISTANCES - 1), at)
-    np.minimum(step, n - 1, out=step)
+        at += EXTRA_BITS.take(prefix, mode="clip")
+        step[refs] = at
     two = step.take(step, mode="clip")
     four = two.take(two, mode="clip")
     jump, p, starts = memoryview(four.take(four, mode="clip")), bits.at & 7, []
@@ -216,27 +256,44 @@ def _symbols(bits: Bits, codes: list[Code], most: int) -> tuple[np.ndarray, np.n
             break
         starts.append(p)
         p = jump[p]
-    s = np.array(starts, dtype=np.intp)[:, None]
-    for further in (step, two, four):
-        s = np.concatenate([s, further.take(s, mode="clip")], axis=1)
+    s = np.empty((len(starts), 8), dtype=np.intp)
+    s[:, 0] = starts
+    s[:, 1] = step.take(s[:, 0])
+    s[:, 2:4] = two.take(s[:, :2])
+    s[:, 4:] = four.take(s[:, :4])
     s = s.reshape(-1)[:most]
-    red, blue, alpha = (c if isinstance(c, int) else c[s] for c in channels)
-    green = greens.take(index[s])
+    red, blue, alpha = (c if isinstance(c, int) else c.take(s) for c in channels)
+    entry = table.take(index.take(s))
+    green = entry & 0xFFFF
     pixel = ((green & 255) << 8 | (alpha << 24 | red << 16 | blue)).astype(np.uint32)
     length, far = np.ones(len(s), dtype=np.intp), np.zeros(len(s), dtype=np.intp)
-    refs = np.flatnonzero((green >= GREEN) & (green < GREEN + PREFIXES))
-    if len(refs):
-        length[refs], at = more(green[refs] - GREEN, after[s[refs]])
+    if codes[0].largest >= GREEN:
+        refs = (green >= GREEN).nonzero()[0]
+        found = entry.take(refs)
+        prefix = (found & 0xFFFF) - GREEN
+        if codes[0].largest >= GREEN + PREFIXES:
+            refs, found, prefix = (x[prefix < PREFIXES] for x in (refs, found, prefix))
+        length[refs], at = more(prefix, s.take(refs) + (found >> 16))
         prefix, at = look(codes[4], at)
         far[refs], _ = more(prefix, at)
     # as many symbols as the image still has room for
-    used = min(len(s), int(np.searchsorted(np.cumsum(length), most)) + 1)
+    used = min(len(s), int(length.cumsum().searchsorted(most)) + 1)
     bits.at = 8 * first + (int(step[s[used - 1]]) if used else bits.at & 7)
     if not used or bits.at > bits.end:
         raise ValueError("image data cut short")
     return green[:used], pixel[:used], length[:used], far[:used]
 
 
+@functools.lru_cache(maxsize=1)
+def _all_places() -> np.ndarray:
+    return np.arange(8 * CHUNK)
+
+
+@functools.lru_cache(maxsize=1)
+def _places_in_bytes() -> np.ndarray:
+    return _all_places() & 7
+
+
 def _slot(pixel: int, cache_bits: int) -> int:
     """A pixel's place in the colour cache (a fixed value of the format)."""
     return (0x1E35A7BD * pixel & 0xFFFFFFFF) >> (32 - cache_bits)
@@ -255,14 +312,18 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = [GREEN + PREFIXES + (1 << cache_bits if cache_bits else 0), CHANNEL, CHANNEL, CHANNEL, DISTANCES]
     codes = [[read_code(bits, n) for n in sizes] for _ in range(1 if groups is None else int(groups.max()) + 1)]
     out = np.zeros(width * height, dtype=np.uint32)
+    cells = memoryview(out)
     cache = [0] * (1 << cache_bits) if cache_bits else None
     cached, at, total = 0, 0, width * height
 
     def copy(at: int, length: int, code: int) -> None:
-        far = _far(code, width)
-        if far > at or at + length > total:
+        far, end = _far(code, width), at + length
+        if far > at or end > total:
             raise ValueError("back-reference outside the image")
-        out[at : at + length] = out[at - far : at - far + length] if far >= length else np.resize(out[at - far : at], length)  # what overlaps repeats
+        if far >= length:
+            cells[at:end] = cells[at - far : end - far]
+        else:
+            out[at:end] = np.resize(out[at - far : at], length)  # what overlaps repeats
 
     def recall(at: int, key: int) -> None:
         nonlocal cached
@@ -274,13 +335,14 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     while at < total:
         if groups is None:
             green, pixel, length, code = _symbols(bits, codes[0], total - at)
-            place = at + np.cumsum(length) - length
-            literal = green < GREEN
-            out[place[literal]] = pixel[literal]
-            rest = np.flatnonzero(~literal)
-            for g, p, n, c in zip(green[rest].tolist(), place[rest].tolist(), length[rest].tolist(), code[rest].tolist()):
-                copy(p, n, c) if g < GREEN + PREFIXES else recall(p, g - GREEN - PREFIXES)
+            place = length.cumsum()
+            place += at - length
             at = int(place[-1] + length[-1])
+            # what isn't a literal is written over after it, from left to right
+            out[place] = pixel
+            rest = (green >= GREEN).nonzero()[0]
+            for g, p, n, c in zip(green.take(rest).tolist(), place.take(rest).tolist(), length.take(rest).tolist(), code.take(rest).tolist()):
+                copy(p, n, c) if g < GREEN + PREFIXES else recall(p, g - GREEN - PREFIXES)
             continue
         group = codes[int(groups[(at // width >> shift) * across + (at % width >> shift)])]
         s = group[0].read(bits)
@@ -300,7 +362,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
 
 def _bytes(pixels: np.ndarray) -> np.ndarray:
     """Channels (blue, green, red, alpha) of pixels."""
-    return pixels.astype("<u4").view(np.uint8).reshape(*pixels.shape, 4)
+    return np.ascontiguousarray(pixels, dtype="<u4").view(np.uint8).reshape(*pixels.shape, 4)
 
 
 def _pixels(channels: np.ndarray) -> np.ndarray:
@@ -435,32 +497,43 @@ def code_lengths(counts: dict[int, int], longest: int) -> dict[int, int]:
     n = len(symbols)
     weights = [counts[s] for s in symbols]
     while True:
-        inner: list[int] = []
+        weights.append(math.inf)  # never the smaller one
+        inner = [math.inf] * n
         parent, leaf, node = [0] * (2 * n - 1), 0, 0
         for new in range(n - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < n and (node >= new or weights[leaf] <= inner[node]):
-                    total += weights[leaf]
-                    parent[leaf] = n + new
-                    leaf += 1
-                else:
-                    total += inner[node]
-                    parent[n + node] = n + new
-                    node += 1
-            inner.append(total)
+            w, v = weights[leaf], inner[node]
+            if w <= v:
+                parent[leaf] = n + new
+                leaf += 1
+                total, w = w, weights[leaf]
+            else:
+                parent[n + node] = n + new
+                node += 1
+                total, v = v, inner[node]
+            if w <= v:
+                parent[leaf] = n + new
+                leaf += 1
+                inner[new] = total + w
+            else:
+                parent[n + node] = n + new
+                node += 1
+                inner[new] = total + v
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
-        if max(depth[:n]) <= longest:
+        if depth[0] <= longest:  # no leaf is deeper than the lightest
             return dict(zip(symbols, depth))
-        weights = [(w >> 2) + 1 for w in weights]
+        weights = [(w >> 2) + 1 for w in weights[:n]]
 
 
 def reversed_codes(lengths: dict[int, int]) -> dict[int, int]:
     """Canonical codes, with their first bit lowest."""
-    symbols, _, starts, longest = _canonical(lengths)
-    return dict(zip(symbols.tolist(), _reversed(longest)[starts].tolist()))
+    longest = max(lengths.values())
+    back, size, start, codes = _reversed_list(longest), 1 << longest, 0, {}
+    for n, s in sorted((n, s) for s, n in lengths.items()):
+        codes[s] = back[start]
+        start += size >> n
+    return codes
 
 
 class Writer:
@@ -487,17 +560,18 @@ def write_code(out: Writer, lengths: dict[int, int], alphabet: int) -> None:
             n = min(gap, 138)
             tokens.append((17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
             gap -= n
-        tokens += [(0, 0, 0)] * gap + [(lengths[s], 0, 0)]
+        if gap:
+            tokens += [(0, 0, 0)] * gap
+        tokens.append((lengths[s], 0, 0))
         at = s + 1
     counts: dict[int, int] = {}
     for t, _, _ in tokens:
         counts[t] = counts.get(t, 0) + 1
     inner = code_lengths(counts, 7) if len(counts) > 1 else {**dict.fromkeys(counts, 1), (0 if 0 not in counts else 1): 1}
     codes = reversed_codes(inner)
-    n = max(LENGTH_ORDER.index(s) for s in inner) + 1
-    out.put(0, 1), out.put(max(n, 4) - 4, 4)
-    for s in LENGTH_ORDER[: max(n, 4)]:
-        out.put(inner.get(s, 0), 3)
+    order = LENGTH_ORDER[: max(4, *(LENGTH_RANK[s] + 1 for s in inner))]
+    out.put(0, 1), out.put(len(order) - 4, 4)
+    out.put(sum(inner[s] << 3 * k for k, s in enumerate(order) if s in inner), 3 * len(order))
     count = len(tokens) - 2
     nbits = next(k for k in range(8) if count < 1 << (2 + 2 * k))
     out.put(1, 1), out.put(nbits, 3), out.put(count, 2 + 2 * nbits)
@@ -511,8 +585,8 @@ def write_code(out: Writer, lengths: dict[int, int], alphabet: int) -> None:
 
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix symbols of lengths or distance codes, with their extra bits' values and numbers."""
-    symbol = np.searchsorted(EXTRA_BASE, values, side="right") - 1
-    return symbol, values - EXTRA_BASE[symbol], EXTRA_BITS[symbol]
+    symbol = EXTRA_BASE.searchsorted(values, side="right") - 1
+    return symbol, values - EXTRA_BASE.take(symbol), EXTRA_BITS.take(symbol)
 
 
 @functools.lru_cache(maxsize=4)
@@ -532,52 +606,57 @@ def find_repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
         return none, none, none
     words = np.ndarray((n,), "<u8", np.ascontiguousarray(samples), 0, (1,)).copy()  # the next bytes from each place on, which overlap
     # 44 bits of a hash and the place in one number: sorted, equal bytes stand together in order of place
-    keyed = np.sort((words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) << np.uint64(20)) | np.arange(n, dtype=np.uint64))
-    order = (keyed & np.uint64((1 << 20) - 1)).astype(np.intp)
-    words = words.take(order, mode="clip")
-    same = np.flatnonzero(words[1:] == words[:-1])
+    place = np.uint64((1 << 20) - 1)
+    keyed = words * np.uint64(0x9E3779B97F4A7C15)
+    keyed &= ~place
+    keyed |= np.arange(n, dtype=np.uint64)
+    keyed.sort()
+    same = (keyed[1:] ^ keyed[:-1] <= place).nonzero()[0]
+    keyed = (keyed & place).view(np.intp)
+    later, before = keyed[1:].take(same), keyed.take(same)
+    true = words.take(later) == words.take(before)  # not only their hash
+    if not true.all():
+        later, before = later[true], before[true]
     far = np.zeros(n, dtype=np.intp)
-    later = order[same + 1]
-    far[later] = later - order[same]
+    far[later] = later - before
     if n > MOST_FAR:
         far[far > MOST_FAR] = 0
-    has = np.flatnonzero(far)
-    if not len(has):
-        return none, none, none
-    last = np.flatnonzero(np.append((np.diff(has) > 1) | (np.diff(far[has]) != 0), True))  # where a run of one distance ends
-    stop = np.repeat(has[last] + SEED, np.diff(last, prepend=-1))  # for each place, the end of its run
-    places, stops, at, k, found = has.tolist(), stop.tolist(), 0, 0, []
-    while k < len(places):
-        end = min(stops[k], places[k] + MOST_LONG)
-        found.append((k, end))
-        at = end
-        k = bisect.bisect_left(places, at, k + 1)
-    k, end = (np.array(x, dtype=np.intp) for x in zip(*found))
-    return has[k], end - has[k], far[has[k]]
-
-
-def _tokens(samples: np.ndarray, width: int, repeats: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Green symbols, length fields and distance codes of the samples (0 for literals)."""
+    bounds = np.concatenate([[0], (far[1:] != far[:-1]).nonzero()[0] + 1, [n]])  # of runs of one distance
+    own = far.take(bounds[:-1])
+    runs = own.nonzero()[0]
+    at, found = 0, []  # place, length and distance of one after the other
+    for begin, end, back in zip(bounds.take(runs).tolist(), bounds.take(runs + 1).tolist(), own.take(runs).tolist()):
+        while at < end:
+            if begin < at:
+                begin = at
+            at = end - 1 + SEED
+            if at > begin + MOST_LONG:
+                at = begin + MOST_LONG
+            found += begin, at - begin, back
+    found = np.array(found, dtype=np.intp)
+    return found[::3], found[1::3], found[2::3]
+
+
+def _tokens(samples: np.ndarray, width: int, repeats: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
+    """Green symbols of the samples, which of them are references, and the prefixes of the references' lengths and distance codes."""
     place, length, far = repeats
-    cover = np.zeros(len(samples) + 1, dtype=np.int32)
-    cover[place] = 1
-    cover[place + length] -= 1  # where the next one begins at once, 0
-    begins = np.cumsum(cover[:-1]) == 0
-    begins[place] = True
-    at = np.flatnonzero(begins)
-    green = samples[at].astype(np.intp)
-    more, code = np.zeros(len(at), dtype=np.intp), np.zeros(len(at), dtype=np.intp)
-    refs = np.searchsorted(at, place)
+    inside = np.zeros(len(samples) + 1, dtype=np.int8)
+    inside[place + 1] = 1
+    inside[place + length] = -1
+    at = (inside[:-1].cumsum(dtype=np.int8) == 0).nonzero()[0]
+    green = samples.take(at).astype(np.intp)
+    refs = at.searchsorted(place)
     near = _near_codes(width)
-    short = near[np.minimum(far, len(near) - 1)]
-    green[refs], more[refs], code[refs] = GREEN + _prefixes(length)[0], length, np.where((far < len(near)) & (short > 0), short, far + SHORT_DISTANCES)
-    return green, more, code
+    short = near.take(far, mode="clip")
+    lengths = _prefixes(length)
+    green[refs] = GREEN + lengths[0]
+    return green, refs, lengths, _prefixes(np.where((far < len(near)) & (short > 0), short, far + SHORT_DISTANCES))
 
 
-def _lengths_of(symbols: np.ndarray) -> dict[int, int]:
-    counts = np.bincount(symbols)
-    used = np.flatnonzero(counts).tolist()
-    return code_lengths({s: int(counts[s]) for s in used}, 12) if len(used) > 1 else {used[0] if used else 0: 0}
+def _lengths_of(counts: np.ndarray) -> dict[int, int]:
+    used = counts.nonzero()[0]
+    symbols = used.tolist()
+    return code_lengths(dict(zip(symbols, counts.take(used).tolist())), 12) if len(symbols) > 1 else {symbols[0] if symbols else 0: 0}
 
 
 def _table(lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -588,11 +667,11 @@ def _table(lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, sizes
 
 
-def _entropy_bits(symbols: np.ndarray) -> float:
-    """Bits of the symbols under their own frequencies; a prefix code of two symbols or more takes one for each at least."""
-    n = np.bincount(symbols)
-    n = n[n > 0]
-    return max(float((n * np.log2(len(symbols) / n)).sum()), len(symbols)) if len(n) > 1 else 0.0
+def _entropy_bits(counts: np.ndarray) -> float:
+    """Bits of symbols that occur so often under their own frequencies; a prefix code of two symbols or more takes one for each at least."""
+    n = counts[counts > 0]
+    total = int(n.sum())
+    return max(float((n * np.log2(total / n)).sum()), total) if len(n) > 1 else 0.0
 
 
 @functools.lru_cache(maxsize=8)
@@ -612,7 +691,8 @@ def _packed(fields: np.ndarray, sizes: np.ndarray) -> tuple[int, int]:
         return 0, 0
     at = ends - sizes
     # a field begins in each word of 32 bits but the last; those of one word don't overlap, and what the last has above bit 32 is the next word's
-    heads = np.searchsorted(at, np.arange(0, int(at[-1]) + 1, 32))
+    word = at >> 5
+    heads = np.append(0, (word[1:] != word[:-1]).nonzero()[0] + 1)
     sums = np.append(np.add.reduceat(fields << (at & 31), heads), 0)
     words = sums & 0xFFFFFFFF
     words[1:] |= sums[:-1] >> 32
@@ -621,28 +701,32 @@ def _packed(fields: np.ndarray, sizes: np.ndarray) -> tuple[int, int]:
 
 def write_image(out: Writer, samples: np.ndarray, width: int, alpha: int, main: bool = True) -> None:
     """An entropy-coded image of green samples: with back-references if these take fewer bits."""
-    place, length, far = find_repeats(samples)
-    refs = np.zeros(0, dtype=np.intp)
-    green, more, code = samples.astype(np.intp), refs, refs
-    if len(place):
-        found = _tokens(samples, width, (place, length, far))
-        at = np.flatnonzero(found[1])
-        bits = _entropy_bits(found[0]) + _entropy_bits(_prefixes(found[2][at])[0]) + int(EXTRA_BITS[_prefixes(found[1][at])[0]].sum() + EXTRA_BITS[_prefixes(found[2][at])[0]].sum())
-        if bits + 64 < _entropy_bits(green):  # another code must be described
-            (green, more, code), refs = found, at
-    lengths = _lengths_of(green)
-    codes, n = _table(lengths, GREEN + PREFIXES)
-    fields, sizes = codes[green], n[green]
+    repeats = find_repeats(samples)
+    green, counts, refs = samples, np.bincount(samples), None
     dist_lengths = {0: 0}
-    if len(refs):
-        dist, dist_extra, dist_bits = _prefixes(code[refs])
-        _, len_extra, len_bits = _prefixes(more[refs])
-        dist_lengths = _lengths_of(dist)
+    if len(repeats[0]):
+        found, at, (_, len_extra, len_bits), (dist, dist_extra, dist_bits) = _tokens(samples, width, repeats)
+        found_counts, dist_counts = np.bincount(found), np.bincount(dist)
+        bits = _entropy_bits(found_counts) + _entropy_bits(dist_counts) + int(len_bits.sum() + dist_bits.sum())
+        if bits + 64 < _entropy_bits(counts):  # another code must be described
+            green, counts, refs, dist_lengths = found, found_counts, at, _lengths_of(dist_counts)
+    lengths = _lengths_of(counts)
+    codes, n = _table(lengths, GREEN + PREFIXES)
+    fields, sizes = codes.take(green), n.take(green)
+    if refs is not None:
+        # a reference's length follows its green symbol in one field, and a field with its distance comes next
+        fields[refs] |= len_extra << sizes.take(refs)
+        sizes[refs] += len_bits
         codes, n = _table(dist_lengths, DISTANCES)
-        # after a reference's green symbol come three more fields
-        after = np.repeat(refs + 1, 3)
-        both = np.insert(fields << 8 | sizes, after, np.stack([len_extra << 8 | len_bits, codes[dist] << 8 | n[dist], dist_extra << 8 | dist_bits], axis=1).reshape(-1))
-        fields, sizes = both >> 8, both & 255
+        n = n.take(dist)
+        after = refs + np.arange(1, len(refs) + 1)
+        kept = np.ones(len(fields) + len(refs), dtype=bool)
+        kept[after] = False
+        kept = kept.nonzero()[0]
+        both = np.empty((2, len(fields) + len(refs)), dtype=np.intp)
+        both[0, kept], both[1, kept] = fields, sizes
+        both[0, after], both[1, after] = codes.take(dist) | dist_extra << n, n + dist_bits
+        fields, sizes = both
     out.put(0, 1 + main)  # no colour cache, no entropy image
     write_code(out, lengths, GREEN + PREFIXES)
     out.put(*_plain_channels(alpha))
@@ -682,13 +766,14 @@ def encode_image(samples: np.ndarray, width: int = WIDTH) -> bytes:
     else:
         alpha, tried = 255, []
         # neighbours that are nearer to each other than values are to their mean
-        spread = float(np.abs(samples - samples.mean()).mean())
+        values = np.arange(256)
+        spread = float(counts @ np.abs(values - int(counts @ values) / len(samples))) / len(samples)
         for mode, step in ((1, 1), (2, width)):
-            if len(samples) > step and np.abs((samples[step:] - samples[:-step]).view(np.int8), dtype=np.float32).mean() < 0.75 * spread:
+            if len(samples) > step and int(np.abs((samples[step:] - samples[:-step]).view(np.int8)).view(np.uint8).sum()) < 0.75 * spread * (len(samples) - step):
                 rest = residuals(samples, width, mode)
-                tried.append((_entropy_bits(rest), mode, rest))
+                tried.append((_entropy_bits(np.bincount(rest)), mode, rest))
         cost, mode, rest = min(tried, key=lambda x: x[:2], default=(0.0, 0, None))
-        if tried and cost < 0.9 * _entropy_bits(samples):
+        if tried and cost < 0.9 * _entropy_bits(counts):
             out.put(1, 1), out.put(PREDICTOR, 2), out.put(7, 3)  # blocks of 512 pixels
             blocks = -(-height >> 9)
             modes = np.full(blocks, mode, dtype=np.uint8)
@@ -709,7 +794,7 @@ def write_palette(out: Writer, steps: np.ndarray) -> None:
     channels = [(steps, GREEN + PREFIXES), (steps * 0, CHANNEL), (steps * 0, CHANNEL), (alphas, CHANNEL)]
     tables = []
     for values, size in channels:
-        lengths = _lengths_of(values)
+        lengths = _lengths_of(np.bincount(values))
         write_code(out, lengths, size)
         tables.append(_table(lengths, size))
     write_code(out, {0: 0}, DISTANCES)
@@ -730,17 +815,18 @@ def store(payload: bytes) -> bytes:
 
 def load(media: bytes) -> np.ndarray:
     """The samples of ``store``: the green channel of the decoded pixels."""
-    return np.concatenate([((p >> 8) & 255).astype(np.uint8).reshape(-1) for p in decode_images(media)])
+    return np.concatenate([_bytes(p)[..., 1].reshape(-1) for p in decode_images(media)])
 
 
 def feature(samples: np.ndarray) -> str:
     """A short description of the pixel array: rows, mean, deviation, distinct values and entropy."""
-    counts = np.bincount(samples, minlength=256).astype(np.float64)
-    p, values = counts / counts.sum(), np.arange(256)
-    mean = float((p * values).sum())
-    spread = float(np.sqrt(max(0.0, (p * values * values).sum() - mean * mean)))
-    entropy = float(-(p[p > 0] * np.log2(p[p > 0])).sum())
-    return f"{WIDTH}x{len(samples) // WIDTH};mean={mean:.3f};std={spread:.3f};distinct={int((counts > 0).sum())};bits={abs(entropy):.3f}"
+    p, values = np.bincount(samples, minlength=256) / len(samples), np.arange(256)
+    weighted = p * values
+    mean = float(weighted.sum())
+    spread = math.sqrt(max(0.0, float((weighted * values).sum()) - mean * mean))
+    some = p[p > 0]
+    entropy = float((some * np.log2(some)).sum())
+    return f"{WIDTH}x{len(samples) // WIDTH};mean={mean:.3f};std={spread:.3f};distinct={len(some)};bits={abs(entropy):.3f}"
 
 
 MEDIA_SCHEMA = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import tracemalloc
 import zlib
 
@@ -334,6 +335,37 @@ def test_webp_files_stay_as_they_were():
     assert whole.hexdigest() == "11736070d30308b8c689ee5861ad228364e522f6c0218cc071492e72bef96c7a"
 
 
+def test_webp_work_of_a_document():
+    """What doesn't depend on the machine: calls for a stored and loaded document (before: 1707), and memory of a long one's loading (before: 21 MB)."""
+    texts = [t for t in pd.read_parquet(f"{SF}/documents.parquet")["text"].dropna()][:200]
+    payloads = [webp.padded(t.encode()) for t in texts]
+    for p in payloads:
+        assert webp.load(webp.store(p)).tobytes() == p
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        for p in payloads:
+            webp.load(webp.store(p))
+    finally:
+        sys.setprofile(before)
+    assert calls < 1400 * len(payloads)
+    long = webp.padded("\n".join(texts * 3).encode()[:300_000])
+    media = webp.store(long)
+    tracemalloc.start()
+    try:
+        back = webp.load(media)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert back.tobytes() == long and len(media) > 4 * webp.CHUNK and peak < 8_000_000
+
+
 def test_webp_repeats_are_true():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -362,6 +394,41 @@ def test_webp_back_references_and_cache():
         assert webp.decode_vp8l(w.bytes()).reshape(-1).tolist() == pixels
 
 
+def test_webp_codes_of_unlike_sizes():
+    """Distance and channel codes longer than green's, a green code of one symbol, and references across what is looked up at once."""
+    rng = np.random.default_rng(12)
+    pixels = rng.choice([0xFF000100, 0xFF000200], 300).tolist()
+    refs, at = {}, len(pixels)
+    for k in range(400):
+        far, n = int(rng.integers(1, min(at, 1 << 2 + k % 14))), int(rng.integers(1, 40))
+        refs[at] = (n, far + 120)
+        for _ in range(n):
+            pixels.append(pixels[-far])
+        at += n
+        own = rng.choice([0xFF000100, 0xFF000200], 200).tolist()
+        pixels += own
+        at += len(own)
+    pixels += [0xFF000100] * (-len(pixels) % 50)
+    w = start(50, len(pixels) // 50)
+    w.put(0, 1)
+    coded(w, pixels, 50, refs=refs)
+    assert len(w.bytes()) > 2 * webp.CHUNK and webp.decode_vp8l(w.bytes()).reshape(-1).tolist() == pixels
+    for cache_bits in (0, 2):
+        reds = [int(r) << 16 | 0xFF000700 for r in rng.integers(0, 256, 4000)]
+        reds[2000:2030] = reds[1000:1030]
+        w = start(50, 80)
+        w.put(0, 1)
+        coded(w, reds, 50, cache_bits, {2000: (30, 1000 + 120)})
+        assert webp.decode_vp8l(w.bytes()).reshape(-1).tolist() == reds
+
+
+def test_webp_length_codes_must_be_complete():
+    for lengths in ({1: 1, 2: 2}, {1: 1, 2: 1, 3: 1}, {}):
+        with pytest.raises(ValueError):
+            webp._small_table(lengths)
+    assert webp._small_table({5: 3}) == [(5, 0)] and webp._small_table({4: 1, 2: 2, 3: 2}) == [(4, 1), (2, 2), (4, 1), (3, 2)]
+
+
 def test_webp_transforms():
     width, height = 9, 7
     target = np.array(picture(7, width * height), dtype=np.uint32).reshape(height, width)
