@@ -93,14 +93,23 @@ def untraceable(edges: DataFrame, events: DataFrame) -> DataFrame:
     return event_edges(edges).join(events.select("investigation_id", "event_id"), ["investigation_id", "event_id"], "left_anti")
 
 
-def details(events: DataFrame, occurrences: DataFrame, edges: DataFrame, correlations: DataFrame) -> DataFrame:
-    """All that is known of each event, as a nested row: its entities, relationships and correlations."""
+def details(events: DataFrame, occurrences: DataFrame, edges: DataFrame, correlations: DataFrame | None = None) -> DataFrame:
+    """All that is known of each event, as a nested row: its entities, relationships and, where they are given, correlations."""
     keys = ["investigation_id", "event_id"]
     of = occurrences.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("entity_type", "entity_key", "role"))).alias("entities"))
     rel = event_edges(edges).groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(*REF, "derived"))).alias("relationships"))
+    found = events.join(of, keys, "left").join(rel, keys, "left")
+    if correlations is None:
+        return found
     pairs = correlations.where("related").select("investigation_id", "event_a", "event_b", "signals", F.explode(F.array("event_a", "event_b")).alias("event_id"))
     cor = pairs.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("event_a", "event_b", "signals"))).alias("correlations"))
-    return events.join(of, keys, "left").join(rel, keys, "left").join(cor, keys, "left")
+    return found.join(cor, keys, "left")
+
+
+def correlation_counts(correlations: DataFrame) -> DataFrame:
+    """How many related pairs each event is in. Pairs are counted where they are found, so no list of them grows with a busy bucket."""
+    pairs = correlations.where("related").select("investigation_id", F.explode(F.array("event_a", "event_b")).alias("event_id"))
+    return pairs.groupBy("investigation_id", "event_id").agg(F.count("*").alias("n_correlations"))
 
 
 def detail(event_id: str, events: DataFrame, occurrences: DataFrame, edges: DataFrame, correlations: DataFrame) -> DataFrame:
